@@ -67,25 +67,3 @@ def shard(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text")
 
 
 SHARDS = 40
-
-#: The same loop as a recursive query over 128-bit arithmetic.
-ORACLE = f"""
-WITH RECURSIVE step AS (
-  SELECT doc_id, ((doc_id::HUGEINT + 18446744073709551616::HUGEINT) % 18446744073709551616::HUGEINT)::UHUGEINT AS k,
-         0::BIGINT AS j, 0::BIGINT AS s40, 0::BIGINT AS s41
-  FROM documents
-  UNION ALL
-  SELECT doc_id, nk,
-         floor((j + 1) * (2147483648.0::DOUBLE / ((nk // 8589934592::UHUGEINT)::DOUBLE + 1.0::DOUBLE)))::BIGINT,
-         j, CASE WHEN j < {SHARDS + 1} THEN j ELSE s41 END
-  FROM (SELECT *, (k * 2862933555777941757::UHUGEINT + 1::UHUGEINT) % 18446744073709551616::UHUGEINT AS nk FROM step)
-  WHERE j < {SHARDS + 1}
-),
-placed AS (
-  SELECT doc_id, max(CASE WHEN j < {SHARDS} THEN j END)::INT AS shard, max(CASE WHEN j < {SHARDS + 1} THEN j END)::INT AS grown_shard
-  FROM step GROUP BY doc_id
-)
-SELECT d.doc_id, (strlen(coalesce(d.text, '')) + {OVERHEAD})::BIGINT AS size, 'key' AS law, p.shard,
-       (row_number() OVER (PARTITION BY p.shard ORDER BY d.doc_id) - 1)::BIGINT AS slot, p.grown_shard
-FROM documents d JOIN placed p USING (doc_id)
-"""
