@@ -89,9 +89,12 @@ def terms_sql(e: str) -> str:
     return f"list_distinct(list_transform({scoring_tokens_sql(e)}, lambda t: {stem_sql('t')}))"
 
 
+_WORDS = "(?<![A-Za-z0-9_])[a-zA-Z]{2,}(?![A-Za-z0-9_])"
+
+
 def key_terms(text: Column) -> Column:
     """Distinct runs of two or more letters, without the attribution stop words."""
-    return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"\b[a-zA-Z]{2,}\b"), 0), lambda t: ~t.isin(ATTRIBUTION_STOP_WORDS)))
+    return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit(_WORDS), 0), lambda t: ~t.isin(ATTRIBUTION_STOP_WORDS)))
 
 
 # --- set measures -------------------------------------------------------------------------
@@ -218,9 +221,17 @@ SUPPLIERS = (
 LOCATIONS = r"(?i)(?:in|at|from|to|near|located\s+(?:in|at))\s+([A-Z][A-Za-z\s]{2,30}?)(?:\.|,|\s+(?:and|or|which|where|facility|plant|warehouse|office))"
 
 
+#: A word edge for ASCII letters, digits and _ whatever the regex engine's own notion is.
+_EDGE = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+
+
+def ascii_edges(pattern: str) -> str:
+    return pattern.replace(r"\b", _EDGE)
+
+
 def found(text: Column, pattern: str, group: int = 0) -> Column:
     """Distinct trimmed matches, first-seen order."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), group), lambda x: F.trim(x)))
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(ascii_edges(pattern)), group), lambda x: F.trim(x)))
 
 
 def dates(text: Column) -> Column:
@@ -240,8 +251,8 @@ def extracted(text: Column) -> Column:
     return F.struct(
         F.array_union(first, second).alias("suppliers"),
         found(text, month).alias("dates"),
-        upper(F.regexp_extract_all(text, F.lit("(?i)" + ORDER_IDS), 1)).alias("order_ids"),
-        upper(F.regexp_extract_all(text, F.lit("(?i)" + MACHINE_IDS), 1)).alias("machine_ids"),
+        upper(F.regexp_extract_all(text, F.lit(ascii_edges("(?i)" + ORDER_IDS)), 1)).alias("order_ids"),
+        upper(F.regexp_extract_all(text, F.lit(ascii_edges("(?i)" + MACHINE_IDS)), 1)).alias("machine_ids"),
         F.filter(found(text, LOCATIONS, 1), lambda x: F.length(x) > 2).alias("locations"),
         F.array_distinct(F.regexp_extract_all(text, F.lit(QUOTED), 1)).alias("quoted_entities"),
         F.filter(strings(CONCEPTS), lambda k: F.contains(low, k)).alias("concepts"),
