@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.operators import retrieval, tagging, warehouse
+from tessera.operators import feedback, knowledge, retrieval, tagging, warehouse
 
-MODULES = (warehouse, tagging, retrieval)
+MODULES = (warehouse, tagging, retrieval, knowledge, feedback)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for m in MODULES for k, v in m.ORACLES.items()}
