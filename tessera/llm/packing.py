@@ -24,8 +24,8 @@ CAPACITY, END = 2048, 1
 CLASSES = (1, 2, 3, 4, 5, 6, 8, 10, 13, 16, 21, 28, 40, 64)
 #: A piece is left whole in a class where it wastes at most this share of its slot.
 SLACK = 0.04
-#: Words whose ids a worker remembers.
-REMEMBERED = 400_000
+#: Words whose ids a worker remembers; when there are more, it keeps the short ones, which recur most.
+REMEMBERED, SHORT = 600_000, 7
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -37,32 +37,77 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class WordCodes(dict):
-    """Ids of each blank-delimited chunk as little-endian bytes, from the tokenizer on a miss.
+class WordCodes:
+    """Ids of texts as little-endian bytes, from a memory of blank-delimited chunks.
 
-    The vocabulary's pre-tokeniser drops white space and never joins across it, so a
-    text's ids are those of its chunks, in order.
+    The vocabulary's pre-tokeniser lower-cases, drops white space, never joins across it and
+    takes runs of letters apart from all else, so a text's ids are those of its chunks in
+    order, and those of ``word,`` are those of ``word`` and ``,``. The tokenizer itself sees every chunk
+    that is not known yet. A text that may hold a special token is given to it whole.
     """
 
     def __init__(self, path: str):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self[""] = b""
-
-    def encode(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        missing = [w for w in set(words) if w not in self]
+        # Ids that end a word: every run of letters has exactly one, its last.
+        vocabulary = self.tokenizer.get_vocab()
+        self.ending = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ending[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.known: dict[bytes, bytes] = {b"": b""}
+
+    def _plain(self, chunks: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+
+    def _letters(self, words: list[bytes]) -> list[bytes]:
+        """Ids of runs of letters, all in one call."""
+        ids = np.array(self.tokenizer.encode(b" ".join(words).decode(), add_special_tokens=False).ids, dtype="<u4")
+        ends = np.flatnonzero(self.ending[ids]) + 1
+        if len(ends) != len(words):
+            return self._plain(words)
+        raw, to = ids.tobytes(), (4 * ends).tolist()
+        return [raw[i:j] for i, j in zip([0, *to[:-1]], to, strict=True)]
+
+    def _learn(self, chunks: set[bytes]) -> None:
+        known = self.known
+        if len(known) + len(chunks) > REMEMBERED:
+            self.known = known = {k: v for k, v in known.items() if len(k) <= SHORT}
+            if len(known) > REMEMBERED // 2:
+                self.known = known = {b"": b""}
+        stopped = {c for c in chunks if c[-1:] in (b",", b".") and c[:-1].decode().isalpha()}
+        words, rest = set(), set()
+        for c in chunks - stopped | {c[:-1] for c in stopped} | {c[-1:] for c in stopped}:
+            if c not in known:
+                (words if c.decode().isalpha() else rest).add(c)
+        for part, how in ((list(words), self._letters), (list(rest), self._plain)):
+            for at in range(0, len(part), 2000):
+                known.update(zip(part[at : at + 2000], how(part[at : at + 2000]), strict=True))
+        for c in stopped:
+            known[c] = known[c[:-1]] + known[c[-1:]]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        split = [None if "<|" in (t or "") else (t or "").encode().lower().replace(b"\n", b" ").split(b" ") for t in texts]
+        chunks = set().union(*[c for c in split if c])
+        missing = chunks.difference(self.known)
         if missing:
-            if len(self) + len(missing) > REMEMBERED:
-                self.clear()
-                self[""] = b""
-                missing = [w for w in set(words) if w]
-            for w, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
-                self[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join(map(self.__getitem__, words))
+            self._learn(missing)
+            missing = chunks.difference(self.known)  # forgotten in the meantime
+            if missing:
+                self._learn(missing)
+        get = self.known.__getitem__
+        return [self._plain([t.encode()])[0] if c is None else b"".join(map(get, c)) for t, c in zip(texts, split, strict=True)]
+
+
+_codes: dict[str, WordCodes] = {}
+
+
+def word_codes(path: str) -> WordCodes:
+    """One memory for each worker process, kept from task to task."""
+    if path not in _codes:
+        _codes[path] = WordCodes(path)
+    return _codes[path]
 
 
 def class_of(length: int, capacity: int = CAPACITY) -> int:
@@ -89,12 +134,12 @@ def _pieces(path: str, capacity: int, end: int):
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("cls", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = WordCodes(path)
+        codes = word_codes(path)
         stop = np.array([end], dtype="<u4").tobytes()
         for b in batches:
             rows = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = codes.encode(text or "") + stop
+            for doc, ids in zip(b.column(0).to_pylist(), codes.encode(b.column(1).to_pylist()), strict=True):
+                ids += stop
                 n, at = len(ids) // 4, 0
                 for k, length in cut(n, capacity):
                     rows.append((doc, at, length, zlib.crc32(ids[4 * at : 4 * (at + length)]), n, k))
