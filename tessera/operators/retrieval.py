@@ -53,8 +53,12 @@ def _mean_idf(docs: DataFrame, text: str, n: int) -> float:
     return df.agg(F.avg(F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))).first()[0] or 0.0
 
 
-def bm25(docs: DataFrame, query: str, k: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, score) of the k best documents with a positive score; ties to the smaller key."""
+def bm25(docs: DataFrame, query: str, k: int, key: str = "doc_id", text: str = "text", memo: dict | None = None) -> DataFrame:
+    """(key, score) of the k best documents with a positive score; ties to the smaller key.
+
+    ``memo`` keeps what does not depend on the query between searches of one corpus.
+    """
+    memo = {} if memo is None else memo
     import math
 
     terms = query_tokens(query)
@@ -69,7 +73,9 @@ def bm25(docs: DataFrame, query: str, k: int, key: str = "doc_id", text: str = "
         return nothing
     idf = {w: math.log(n - d + 0.5) - math.log(d + 0.5) for w, d in zip(distinct, df, strict=True) if d}
     if any(v < 0 for v in idf.values()):
-        floor = EPSILON * _mean_idf(docs, text, n)
+        if "floor" not in memo:
+            memo["floor"] = EPSILON * _mean_idf(docs, text, n)
+        floor = memo["floor"]
         idf = {w: floor if v < 0 else v for w, v in idf.items()}
     if not idf:
         return nothing
