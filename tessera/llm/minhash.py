@@ -2,7 +2,7 @@
 
 Equal shingle sets fall into one class first, and only one row of a class goes on. In a
 band bucket every member is compared with the bucket's least id, not with all others.
-What such stars leave in different components is compared pair by pair, so no link
+What such stars leave in different components is compared block by block, so no link
 between different texts is lost but what banding itself misses: 32 bands of 5
 minima miss a pair at similarity 0.8 with probability below 4e-6, and less above it.
 """
@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bits_for, bloom_has, bloom_words, mix64, stored, text_batches
+from .common import bits_for, bloom_has, bloom_words, gapless, mix64, stored, text_batches
 from .components import components
 
 BANDS, ROWS = 32, 5
@@ -111,6 +111,18 @@ def _confirmed(width: int, percent: int):
     return run
 
 
+def _texts_of(ids: DataFrame, n: int, docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that may have one of about ``n`` ids: only these texts need a shuffle. None is missed."""
+    bits = bits_for(n, 16, 1 << 14, 1 << 25)
+    words = docs.sparkSession.sparkContext.broadcast(bloom_words(ids.select(F.xxhash64("id").alias("h")), "h", bits))
+
+    @F.pandas_udf("boolean")
+    def wanted(h: pd.Series) -> pd.Series:
+        return pd.Series(bloom_has(words.value, h.to_numpy().view(np.uint64)))
+
+    return docs.where(F.col("doc_id").isNotNull()).where(wanted(F.xxhash64("doc_id")))
+
+
 def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of class representatives whose full sets reach the threshold."""
     agreeing = F.pandas_udf("boolean")(_agreeing)
@@ -124,18 +136,10 @@ def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, perce
         .select("a", "b"),
         "near",
     )
-    ends = near.select(F.explode(F.array("a", "b")).alias("id"))
     n = near.count()
     if not n:
         return near
-    words = docs.sparkSession.sparkContext.broadcast(bloom_words(ends.select(F.xxhash64("id").alias("h")), "h", bits_for(2 * n, 16, 1 << 14, 1 << 25)))
-
-    @F.pandas_udf("boolean")
-    def wanted(h: pd.Series) -> pd.Series:
-        return pd.Series(bloom_has(words.value, h.to_numpy().view(np.uint64)))
-
-    # Only texts that some pair needs are shuffled; the filter has no false negatives.
-    texts = docs.where(F.col("doc_id").isNotNull()).where(wanted(F.xxhash64("doc_id")))
+    texts = _texts_of(near.select(F.explode(F.array("a", "b")).alias("id")), 2 * n, docs)
     rows = (
         near.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("t_b")), "b")
         .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("t_a")), "a")
@@ -144,6 +148,82 @@ def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, perce
     return stored(rows.mapInArrow(_confirmed(width, percent), "a long, b long"), "links")
 
 
+#: Members of a block; a pair of blocks is compared in one task, in memory.
+BLOCK, COLUMNS = 256, 8192
+
+
+def _counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of ``a`` with all of ``b``, by products of 0/1 matrices."""
+    words = np.intersect1d(np.unique(np.concatenate(a)), np.unique(np.concatenate(b)), assume_unique=True)
+
+    def places(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        rows = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        flat = np.concatenate(sets)
+        at = np.searchsorted(words, flat)
+        hit = (at < len(words)) & (words[np.minimum(at, len(words) - 1)] == flat)
+        order = np.argsort(at[hit], kind="stable")
+        return rows[hit][order], at[hit][order]
+
+    out = np.zeros((len(a), len(b)), np.float32)
+    if not len(words):
+        return out
+    (ra, ca), (rb, cb) = places(a), places(b)
+    for lo in range(0, len(words), COLUMNS):
+        n = min(COLUMNS, len(words) - lo)
+        x, y = np.zeros((len(a), n), np.float32), np.zeros((len(b), n), np.float32)
+        for m, r, c in ((x, ra, ca), (y, rb, cb)):
+            i, j = np.searchsorted(c, [lo, lo + n])
+            m[r[i:j], c[i:j] - lo] = 1
+        out += x @ y.T
+    return out
+
+
+def _compared(width: int, percent: int):
+    """One link for each two components that some pair of the two blocks links. Sizes are exact in single precision up to 2**24."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingler(width)
+        for b in batches:
+            links: set[tuple[int, int]] = set()
+            for left, right in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                sets = [[shingles(d["text"]) for d in block] for block in (left, right)]
+                root = [np.array([d["root"] for d in block]) for block in (left, right)]
+                both = _counts(*sets).astype(np.float64)
+                size = [np.array([len(x) for x in part], np.float64) for part in sets]
+                union = size[0][:, None] + size[1][None, :] - both
+                hit = (both > 0) & (100 * both >= percent * union) & (root[0][:, None] != root[1][None, :])
+                i, j = hit.nonzero()
+                ends = np.stack([root[0][i], root[1][j]], axis=1)
+                links |= {(int(x), int(y)) for x, y in np.unique(np.sort(ends, axis=1), axis=0)}
+            rows = sorted(links)
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _crowd_links(still: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between components that share an open bucket. ``still``: id, lead, root of the members of open buckets.
+
+    Buckets that share members join to a crowd, whose members are cut into blocks, components together. Every two blocks of a
+    crowd that hold different components meet once; their full sets are compared in memory and only links come
+    out, so that no pair of documents becomes a row.
+    """
+    crowds = components(still.select("lead", "id"))
+    rows = still.select("id", "root").distinct().join(crowds.toDF("id", "crowd"), "id", "left").select("id", "root", F.coalesce("crowd", "id").alias("crowd"))
+    placed = gapless(stored(rows, "crowd"), ["crowd"], "root", [F.col("id")], "n").select("crowd", F.floor(F.col("n") / BLOCK).cast("long").alias("block"), "id", "root")
+    placed = stored(placed, "placed")
+    texts = _texts_of(placed.select("id"), placed.count(), docs)
+    listed = placed.join(texts.withColumnRenamed("doc_id", "id"), "id")
+    # A block has at most BLOCK documents.
+    blocks = stored(listed.groupBy("crowd", "block").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.collect_list(F.struct("root", "text")).alias("docs")), "blocks")
+    left = blocks.select("crowd", F.col("block").alias("i"), F.col("lo").alias("lo_i"), F.col("hi").alias("hi_i"))
+    right = blocks.select("crowd", F.col("block").alias("j"), F.col("lo").alias("lo_j"), F.col("hi").alias("hi_j"))
+    meets = left.join(right, "crowd").where((F.col("i") <= F.col("j")) & ~((F.col("lo_i") == F.col("hi_i")) & (F.col("lo_j") == F.col("hi_j")) & (F.col("lo_i") == F.col("lo_j")))).select("crowd", "i", "j")
+    pairs = meets.join(blocks.select("crowd", F.col("block").alias("j"), F.col("docs").alias("docs_j")), ["crowd", "j"]).join(blocks.select("crowd", F.col("block").alias("i"), F.col("docs").alias("docs_i")), ["crowd", "i"])
+    n = max(1, min(65536, meets.count()))
+    return stored(pairs.select("crowd", "i", "j", "docs_i", "docs_j").repartition(n, "crowd", "i", "j").select("docs_i", "docs_j").mapInArrow(_compared(width, percent), "a long, b long").distinct(), "more")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row.
 
@@ -166,15 +246,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     stars = members.where(F.col("id") != F.col("lead")).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     links = _links(stars, reps, docs, width, percent)
     roots = components(links)
-    # What is left: members of one bucket in different components, other than the star's own pairs.
+    # What is left: members of one bucket in different components.
     labelled = members.where(F.col("size") > 2).join(roots, "id", "left").select("key", "id", "lead", F.coalesce("root", "id").alias("root"))
     open_ = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    still = stored(labelled.where(F.col("id") != F.col("lead")).join(open_, "key"), "open")
-    other = still.select("key", F.col("id").alias("b"), F.col("root").alias("root_b"))
-    pairs = still.join(other, "key").where((F.col("id") < F.col("b")) & (F.col("root") != F.col("root_b"))).select(F.col("id").alias("a"), "b").distinct()
-    more = _links(pairs, reps, docs, width, percent)
-    if more.count():
-        roots = components(roots.toDF("a", "b").union(more))
+    still = stored(labelled.join(open_, "key").select("id", "lead", "root").distinct(), "open")
+    if still.limit(1).count():
+        more = _crowd_links(still, docs, width, percent)
+        if more.count():
+            roots = components(roots.toDF("a", "b").union(more))
     # Classes to components; documents with one id in several classes join these.
     first = reps.select("d1", "d2", F.col("id").alias("least"))
     tied = real.join(first, ["d1", "d2"]).select("doc_id", "least")
