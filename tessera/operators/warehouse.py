@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from tessera.session import table
 
-AMOUNT = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+def amount() -> Column:
+    return F.col("l_extendedprice") * (1 - F.col("l_discount"))
 
 
 def money(c: Column) -> Column:
@@ -24,7 +25,7 @@ def monthly_trend(spark: SparkSession, d: str) -> DataFrame:
 
 
 def revenue_by_supplier(spark: SparkSession, d: str) -> DataFrame:
-    facts = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("order_count"), F.sum(AMOUNT).alias("amount"))
+    facts = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("order_count"), F.sum(amount()).alias("amount"))
     names = table(spark, d, "supplier").select("s_suppkey", "s_name")
     return facts.join(names, F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("s_name").alias("supplier"), "order_count", money(F.col("amount")).alias("revenue")).orderBy(F.col("revenue").desc(), "supplier")
 
@@ -42,7 +43,7 @@ def delayed_by_supplier_region(spark: SparkSession, d: str) -> DataFrame:
 
 
 def top_products(spark: SparkSession, d: str, n: int = 10) -> DataFrame:
-    facts = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.sum(AMOUNT).alias("amount"), F.sum("l_quantity").alias("total_qty"))
+    facts = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.sum(amount()).alias("amount"), F.sum("l_quantity").alias("total_qty"))
     best = facts.orderBy(money(F.col("amount")).desc(), "l_partkey").limit(n)
     return best.join(table(spark, d, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_partkey").alias("product_id"), F.col("p_name").alias("product"), money(F.col("amount")).alias("revenue"), "total_qty")
 

@@ -40,7 +40,7 @@ def ingest(spark: SparkSession, path: str, extensions: list[str] | None = None,
     files = binary.read_binary(spark, path, "*.{" + ",".join(wanted) + "}", recursive).select("path", "content", mime.extension(F.col("path")).alias("ext"))
     kinds = {r for r in map(mime.READER_OF.get, wanted)}
     of = lambda kind: files.where(F.col("ext").isin(mime.READERS[kind].split()))
-    whole = lambda kind: of(kind).select(F.col("path").alias("source"), F.decode("content", "UTF-8").alias("text"))
+    whole = lambda kind: of(kind).select(F.col("path").alias("source"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
     one = lambda df: df.withColumn("part", F.lit(0))
     out = []
     if "text" in kinds:
@@ -52,7 +52,7 @@ def ingest(spark: SparkSession, path: str, extensions: list[str] | None = None,
         code = tables.code_documents(whole("code"))
         out.append(_row(one(code), "code", meta=F.create_map(F.lit("language"), F.col("language"), F.lit("line_count"), F.col("line_count").cast("string"))))
     if "structured" in kinds:
-        data = of("structured").select(F.col("path").alias("source"), F.decode("content", "UTF-8").alias("text"), "ext")
+        data = of("structured").select(F.col("path").alias("source"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"), "ext")
         for kind, names in (("json", ["json"]), ("yaml", ["yaml", "yml"])):
             out.append(_row(one(tables.flatten_documents(data.where(F.col("ext").isin(names)), "source", "text", kind)), kind))
     for kind, parser in binary.PARSERS.items():
