@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.operators import chunking, evaluation, feedback, knowledge, retrieval, tagging, warehouse
+from tessera.operators import chunking, citations, evaluation, feedback, knowledge, retrieval, tagging, warehouse
 from tessera.plans import queries as plan_queries
 from tessera.plans import questions
 from tessera.sources import queries as source_queries
 from tessera.streaming import windows
 
-MODULES = (warehouse, tagging, retrieval, knowledge, feedback, evaluation, chunking, source_queries, questions, plan_queries, windows)
+MODULES = (warehouse, tagging, retrieval, knowledge, feedback, evaluation, citations, chunking, source_queries, questions, plan_queries, windows)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for m in MODULES for k, v in m.ORACLES.items()}
