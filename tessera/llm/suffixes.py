@@ -23,7 +23,10 @@ from pyspark.sql import functions as F
 from .common import bits_for, bloom_has, bloom_words, mix64, stored, text_batches
 
 LENGTH, GRAM = 200, 20
-SEGMENT = 1 << 20
+#: Bytes handled at once; longer texts go on in the next segment.
+SEGMENT = 1 << 17
+#: Bytes of short texts handled at once: small enough for a core's own cache.
+GROUP = 1 << 17
 #: Suffixes with more different contexts than this are compared by a grouped count instead of in one task.
 CROWD = 2000
 BATCHES = 2
@@ -62,44 +65,73 @@ class Anchors:
         after = np.minimum.accumulate(y[:, ::-1], axis=1)[:, ::-1].ravel()
         return np.minimum(after[:n], before[width - 1 : width - 1 + n])
 
-    def __call__(self, text: bytes) -> tuple[np.ndarray, ...]:
-        """(anchor, first window, last window, suffix hash, context hash) of each run of windows."""
-        length, gram = self.length, self.gram
-        parts = []
-        for base in range(0, max(0, len(text) - length + 1), SEGMENT):
-            data = np.frombuffer(text, np.uint8, min(len(text) - base, SEGMENT + length - 1), base)
-            with np.errstate(over="ignore"):
-                c = self.prefix(data)
-                h = mix64((c[gram:] - c[:-gram]) * self.down[: len(data) - gram + 1])
-                # Ties in the upper bits go to the first: the choice depends on the window's bytes alone.
-                m = self._least((h & ~_MASK) | np.arange(len(h), dtype=np.uint64), length - gram + 1)
-                at = (m & _MASK).astype(np.int64)
-                lo = np.flatnonzero(np.diff(at, prepend=-1))
-                hi = np.append(lo[1:], len(at)) - 1
-                a = at[lo]
-                body = (c[hi + length] - c[lo]) * self.down[lo]
-                context = mix64(body + (a - lo).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + (hi - lo).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
-            parts.append((a + base, lo + base, hi + base, h[a], context))
+    def many(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
+        """(text, anchor, first window, last window, suffix hash, context hash) of each run of windows with one anchor.
+
+        Short texts are handled together, long ones in segments; a run that a segment's end cuts is two runs.
+        """
+        parts: list[tuple[np.ndarray, ...]] = []
+        held: list[int] = []
+        size = 0
+        for i, t in enumerate(texts):
+            if len(t) > SEGMENT:
+                for base in range(0, len(t) - self.length + 1, SEGMENT):
+                    _, a, lo, hi, suffix, context = self._joined([0], [t[base : base + SEGMENT + self.length - 1]])
+                    parts.append((np.full(len(a), i), a + base, lo + base, hi + base, suffix, context))
+            elif len(t) >= self.length:
+                held.append(i)
+                size += len(t)
+                if size > GROUP:
+                    parts.append(self._joined(held, texts))
+                    held, size = [], 0
+        if held:
+            parts.append(self._joined(held, texts))
         if not parts:
-            return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+            return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
         return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
+    def _joined(self, which: list[int], texts: list[bytes]) -> tuple[np.ndarray, ...]:
+        length, gram = self.length, self.gram
+        sizes = np.array([len(texts[i]) for i in which])
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        data = np.frombuffer(b"".join([texts[i] for i in which]), np.uint8)
+        with np.errstate(over="ignore"):
+            c = self.prefix(data)
+            h = mix64((c[gram:] - c[:-gram]) * self.down[: len(data) - gram + 1])
+            m = self._least((h & ~_MASK) | np.arange(len(h), dtype=np.uint64), length - gram + 1)
+            # Windows that reach into the next text do not count.
+            own = np.repeat(np.arange(len(which)), sizes)[: len(m)]
+            inside = np.flatnonzero(np.arange(len(m)) + length <= ends[own])
+            at = (m[inside] & _MASK).astype(np.int64)
+            first = np.flatnonzero(np.diff(at, prepend=-1))
+            lo, hi, a = inside[first], inside[np.append(first[1:], len(at)) - 1], at[first]
+            body = (c[hi + length] - c[lo]) * self.down[lo]
+            context = mix64(body + (a - lo).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + (hi - lo).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+        text = own[lo]
+        base = starts[text]
+        return np.array(which)[text], a - base, lo - base, hi - base, h[a], context
+
 
 def _rows(docs: DataFrame) -> DataFrame:
     """(k1, k2, text): the key of a row is its doc_id, null-safe, and a hash of its text."""
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("k1"), F.xxhash64("text").alias("k2"), "text")
 
 
-def _place(k1: int, k2: int, lo: np.ndarray) -> np.ndarray:
-    """A 64-bit name of an anchor, for Bloom filters."""
+def _place(k1: np.ndarray, k2: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """64-bit names of anchors, for Bloom filters."""
     with np.errstate(over="ignore"):
-        own = np.array([k1 & (2**64 - 1)], np.uint64) * np.uint64(0xD1342543DE82EF95) + np.array([k2 & (2**64 - 1)], np.uint64)
+        own = k1.view(np.uint64) * np.uint64(0xD1342543DE82EF95) + k2.view(np.uint64)
         return mix64(mix64(own) + lo.astype(np.uint64))
 
 
-def _arrays(schema: pa.Schema, columns: list[list[np.ndarray]]) -> pa.RecordBatch:
-    flat = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in columns]
-    return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64) if x.dtype == np.uint64 else x, t.type) for x, t in zip(flat, schema, strict=True)], schema=schema)
+def _opened(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    k1, k2 = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+    return k1, k2, [(t or "").encode() for t in b.column(2).to_pylist()]
+
+
+def _arrays(schema: pa.Schema, columns: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64) if x.dtype == np.uint64 else x, t.type) for x, t in zip(columns, schema, strict=True)], schema=schema)
 
 
 _ENTRY = pa.schema([(c, pa.int64()) for c in ("k1", "k2", "lo", "hi", "suffix", "context", "place")])
@@ -111,16 +143,12 @@ def _entries(length: int, gram: int, again):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = Anchors(length, gram)
         for b in batches:
-            out: list[list[np.ndarray]] = [[] for _ in _ENTRY]
-            for k1, k2, text in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
-                _, lo, hi, suffix, context = find((text or "").encode())
-                if again is not None and len(lo):
-                    keep = bloom_has(again.value, suffix)
-                    lo, hi, suffix, context = lo[keep], hi[keep], suffix[keep], context[keep]
-                n = len(lo)
-                for to, v in zip(out, (np.full(n, k1), np.full(n, k2), lo, hi, suffix, context, _place(k1, k2, lo)), strict=True):
-                    to.append(v)
-            yield _arrays(_ENTRY, out)
+            k1, k2, texts = _opened(b)
+            i, _, lo, hi, suffix, context = find.many(texts)
+            if again is not None:
+                keep = bloom_has(again.value, suffix)
+                i, lo, hi, suffix, context = i[keep], lo[keep], hi[keep], suffix[keep], context[keep]
+            yield _arrays(_ENTRY, [k1[i], k2[i], lo, hi, suffix, context, _place(k1[i], k2[i], lo)])
 
     return run
 
@@ -174,79 +202,70 @@ def _contexts(length: int, gram: int, wanted, crowded):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = Anchors(length, gram)
         for b in batches:
-            rows = []
-            for k1, k2, text in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
-                body = (text or "").encode()
-                a, lo, hi, suffix, _ = find(body)
-                if len(a):
-                    for i in np.flatnonzero(bloom_has(wanted.value, _place(k1, k2, lo)) & ~bloom_has(crowded.value, suffix)):
-                        rows.append((int(suffix[i : i + 1].view(np.int64)[0]), k1, k2, int(lo[i]), int(lo[i] - a[i]), body[lo[i] : hi[i] + length]))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, _CONTEXT, strict=True)], schema=_CONTEXT)
+            k1, k2, texts = _opened(b)
+            i, a, lo, hi, suffix, _ = find.many(texts)
+            keep = bloom_has(wanted.value, _place(k1[i], k2[i], lo)) & ~bloom_has(crowded.value, suffix)
+            i, a, lo, hi, suffix = i[keep], a[keep], lo[keep], hi[keep], suffix[keep]
+            data = [texts[t][x : y + length] for t, x, y in zip(i.tolist(), lo.tolist(), hi.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(suffix.view(np.int64)), pa.array(k1[i]), pa.array(k2[i]), pa.array(lo), pa.array((lo - a).astype(np.int32)), pa.array(data, pa.binary())], schema=_CONTEXT)
 
     return run
 
 
+def _window_hashes(find: Anchors, sizes: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place in the row, hash) of every window of ``find.length`` bytes inside the rows that ``data`` joins."""
+    ends = np.cumsum(sizes)
+    if not len(sizes) or len(data) < find.length:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    row = np.repeat(np.arange(len(sizes)), sizes)[: len(data) - find.length + 1]
+    at = np.flatnonzero(np.arange(len(row)) + find.length <= ends[row])
+    with np.errstate(over="ignore"):
+        c = find.prefix(data)
+        return row[at], at - (ends - sizes)[row[at]], mix64((c[at + find.length] - c[at]) * find.down[at])
+
+
 def _windows(length: int, gram: int, wanted, crowded):
     """Every window of the anchors to compare whose suffix is crowded, by name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = Anchors(length, gram)
         for b in batches:
-            out: list[list[np.ndarray]] = [[] for _ in _WINDOW]
-            for k1, k2, text in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
-                body = (text or "").encode()
-                a, lo, hi, suffix, _ = find(body)
-                if not len(a):
-                    continue
-                for i in np.flatnonzero(bloom_has(crowded.value, suffix) & bloom_has(wanted.value, _place(k1, k2, lo))):
-                    w, shift = _window_hashes(find, body[lo[i] : hi[i] + length], int(lo[i] - a[i]))
-                    n = len(w)
-                    with np.errstate(over="ignore"):
-                        first = mix64(np.full(n, suffix[i]) + shift)
-                    for to, v in zip(out, (np.full(n, k1), np.full(n, k2), np.arange(lo[i], hi[i] + 1), first, w), strict=True):
-                        to.append(v)
-            yield _arrays(_WINDOW, out)
+            k1, k2, texts = _opened(b)
+            i, a, lo, hi, suffix, _ = find.many(texts)
+            keep = bloom_has(crowded.value, suffix) & bloom_has(wanted.value, _place(k1[i], k2[i], lo))
+            i, a, lo, hi, suffix = i[keep], a[keep], lo[keep], hi[keep], suffix[keep]
+            data = b"".join([texts[t][x : y + length] for t, x, y in zip(i.tolist(), lo.tolist(), hi.tolist(), strict=True)])
+            row, at, w = _window_hashes(find, hi - lo + length, np.frombuffer(data, np.uint8))
+            with np.errstate(over="ignore"):
+                first = mix64(suffix[row] + (at + (lo - a)[row]).astype(np.uint64))
+            yield _arrays(_WINDOW, [k1[i[row]], k2[i[row]], lo[row] + at, first, w])
 
     return run
 
 
-def _window_hashes(find: Anchors, data: bytes, shift: int) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(data, np.uint8)
-    n = len(raw) - find.length + 1
-    with np.errstate(over="ignore"):
-        c = find.prefix(raw)
-        return mix64((c[find.length :] - c[:n]) * find.down[:n]), (np.arange(n) + shift).astype(np.uint64)
-
-
 def _compared(length: int, gram: int):
     """Spans covered by windows that two contexts of a suffix share. Rows come sorted by suffix."""
     schema = pa.schema([(c, pa.int64()) for c in ("k1", "k2", "start", "end")])
 
     def spans(t: pa.Table, find: Anchors) -> pa.RecordBatch:
+        t = t.combine_chunks()
         suffix, k1, k2, lo, shift = (t.column(i).to_numpy() for i in range(5))
         group = np.cumsum(np.diff(suffix, prepend=suffix[:1]) != 0)
-        size = np.bincount(group)[group]
-        keep = np.flatnonzero(size > 1)
-        names, row, at = [], [], []
-        data = t.column(5)
-        for i in keep:
-            w, place = _window_hashes(find, data[int(i)].as_py(), int(shift[i]))
-            with np.errstate(over="ignore"):
-                names.append(mix64(w + mix64(place + np.uint64(group[i]) * np.uint64(0xA24BAED4963EE407))))
-            row.append(np.full(len(w), i)), at.append(np.arange(len(w)))
-        if not names:
-            return _arrays(schema, [[], [], [], []])
-        names, row, at = np.concatenate(names), np.concatenate(row), np.concatenate(at)
+        column = t.column(5).chunk(0)
+        edges = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+        data = np.frombuffer(column.buffers()[2], np.uint8)[edges[0] : edges[-1]]
+        row, at, w = _window_hashes(find, np.diff(edges).astype(np.int64), data)
+        with np.errstate(over="ignore"):
+            names = mix64(w + mix64((at + shift[row]).astype(np.uint64) + group[row].astype(np.uint64) * np.uint64(0xA24BAED4963EE407)))
         _, where, n = np.unique(names, return_inverse=True, return_counts=True)
         hit = n[where] > 1
         row, at = row[hit], at[hit]
-        new = (np.diff(row, prepend=-1) != 0) | (np.diff(at, prepend=-2) != 1)
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(row)) - 1
         if not len(row):
-            return _arrays(schema, [[], [], [], []])
+            return _arrays(schema, [np.zeros(0, np.int64)] * 4)
+        first = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(at, prepend=-2) != 1))
+        last = np.append(first[1:], len(row)) - 1
         r = row[first]
-        return _arrays(schema, [[k1[r]], [k2[r]], [lo[r] + at[first]], [lo[r] + at[last] + length]])
+        return _arrays(schema, [k1[r], k2[r], lo[r] + at[first], lo[r] + at[last] + length])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, held = Anchors(length, gram), None
@@ -296,22 +315,35 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
     return spans
 
 
+#: A span as one long: its start, and its length in the lower bits. Spans end within two windows of their start.
+PACK = 1 << 20
+
+
+def _union(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the union of packed spans; spans that touch are one."""
+    packed = np.sort(packed)
+    starts, ends = packed // PACK, packed // PACK + packed % PACK
+    reach = np.maximum.accumulate(ends)
+    first = np.flatnonzero(np.append(True, starts[1:] > reach[:-1]))
+    return starts[first], reach[np.append(first[1:], len(starts)) - 1]
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        n, spans, kept = [], [], []
-        for text, starts, ends in zip(*[b.column(i).to_pylist() for i in (1, 2, 3)], strict=True):
+        n, starts, ends, sizes, kept = [], [], [], [], []
+        lists = b.column(2)
+        for i, text in enumerate(b.column(1).to_pylist()):
             body = (text or "").encode()
-            merged: list[list[int]] = []
-            for s, e in sorted(zip(starts or (), ends or (), strict=True)):
-                if merged and s <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], e)
-                else:
-                    merged.append([s, e])
-            edges = [0, *[x for m in merged for x in m], len(body)]
-            n.append(len(body)), spans.append([{"start": s, "end": e} for s, e in merged])
-            kept.append(b"".join(body[i:j] for i, j in zip(edges[::2], edges[1::2], strict=True)))
-        span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
+            own = lists[i].values
+            lo = hi = np.zeros(0, np.int64)
+            if own is not None and len(own):
+                lo, hi = _union(own.to_numpy(zero_copy_only=False))
+            edges = [0, *np.stack([lo, hi], axis=1).ravel().tolist(), len(body)]
+            n.append(len(body)), starts.append(lo), ends.append(hi), sizes.append(len(lo))
+            kept.append(b"".join(body[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)))
+        spans = pa.StructArray.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (starts, ends)], ["start", "end"])
+        offsets = pa.array(np.cumsum([0, *sizes]), pa.int32())
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.ListArray.from_arrays(offsets, spans), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
@@ -323,8 +355,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bat
     gives an empty result; other columns are ignored. ``kept`` may cut a character of several bytes.
     """
     spans = repeated_spans(docs, length, gram, batches)
-    listed = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("x"))
+    listed = spans.groupBy("k1", "k2").agg(F.collect_list(F.col("start") * PACK + F.col("end") - F.col("start")).alias("x"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     same = (F.coalesce("doc_id", F.lit(-(2**63))) == F.col("k1")) & (F.xxhash64("text") == F.col("k2"))
-    joined = rows.join(listed, same, "left").select("doc_id", "text", F.col("x.start").alias("s"), F.col("x.end").alias("e"))
+    joined = rows.join(listed, same, "left").select("doc_id", "text", "x")
     return joined.mapInArrow(_cut, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
