@@ -81,8 +81,8 @@ def bloom_words(df: DataFrame, hash_column: str, bits: int, probes: int = 3) ->
         .agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("b"))
     )
     out = np.zeros(bits // 64, dtype=np.uint64)
-    for r in words.collect():
-        out[r.w] = np.uint64(r.b & 0xFFFFFFFFFFFFFFFF)
+    got = words.toArrow()  # two numbers a word, not a Python row
+    out[got.column(0).to_numpy()] = got.column(1).to_numpy().view(np.uint64)
     return out
 
 

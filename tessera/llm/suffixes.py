@@ -296,15 +296,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
         index.add(_entry_table(rows.where(F.pmod(F.xxhash64("k1", "k2"), F.lit(batches)) == i), length, gram))
     told = stored(index.repeated(), "repeated")
     n_told, n_open, crowd = told.agg(F.count("*"), F.sum(F.col("open").cast("long")), F.max("contexts")).first()
-    again = share(bloom_words(told.where("n > 1").select("suffix"), "suffix", bits_for(n_told, 16, 1 << 16, 1 << 26)))
+    again = share(bloom_words(told.where("n > 1").select("suffix"), "suffix", bits_for(n_told, 16, 1 << 16, 1 << 25)))
     anchors = _entry_table(rows, length, gram, again)
     whole = anchors.join(told.where("n > 1").select("suffix", "context"), ["suffix", "context"]).select("k1", "k2", F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
     if not n_open:
         return whole
     # Entries that occur once name themselves; of the others one is enough.
-    wanted = share(bloom_words(told.where("open").select("place"), "place", bits_for(n_open, 16, 1 << 16, 1 << 26)))
+    wanted = share(bloom_words(told.where("open").select("place"), "place", bits_for(n_open, 16, 1 << 16, 1 << 25)))
     many = told.where(F.col("open") & (F.col("contexts") > CROWD)).select("suffix").distinct()
-    crowded = share(bloom_words(many, "suffix", bits_for(many.count() if crowd > CROWD else 0, 16, 1 << 16, 1 << 26)))
+    crowded = share(bloom_words(many, "suffix", bits_for(many.count() if crowd > CROWD else 0, 16, 1 << 16, 1 << 25)))
     near = rows.mapInArrow(_contexts(length, gram, wanted, crowded), "suffix long, k1 long, k2 long, lo long, shift int, data binary")
     part = near.repartition("suffix").sortWithinPartitions("suffix").mapInArrow(_compared(length, gram), "k1 long, k2 long, start long, end long")
     spans = whole.union(part)
