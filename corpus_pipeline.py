@@ -44,8 +44,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 2048 tokens."""
-    return packing.pack(docs)
+    """Pieces of documents in sequences of at most 2048 tokens, filled in the order of the mixture.
+
+    A written table has no order, so the places in the mixture are derived again: they depend on the rows alone.
+    """
+    return packing.pack(mixing.placed(docs, mixing.TARGETS, "_place", mixing.BLOCK), order="_place")
 
 
 STAGES = [

@@ -77,6 +77,11 @@ def mix(docs: DataFrame, targets: dict[str, int], block: int = BLOCK, source: st
     return joined.select(*docs.columns, "entry", "block", "place", (cycle + F.col("_r")).alias("release"), (cycle + F.col("_d")).alias("deadline"), (cycle + F.col("_s")).alias("slot"))
 
 
+def placed(docs: DataFrame, targets: dict[str, int], name: str, block: int = BLOCK) -> DataFrame:
+    """The rows of ``docs`` with their place in the mixture as ``name``: different for every row, with gaps where slots are empty."""
+    return mix(docs, targets, block).select(*docs.columns, (F.col("slot") * block + F.col("place")).alias(name))
+
+
 def mixed(docs: DataFrame, targets: dict[str, int], block: int = BLOCK) -> DataFrame:
     """The rows of ``docs``, all of them and no more columns, in the order of the mixture."""
     return mix(docs, targets, block).orderBy("slot", "place").select(*docs.columns)

@@ -130,38 +130,41 @@ def cut(total: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return out
 
 
-def _pieces(path: str, capacity: int, end: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("cls", pa.int32())])
+def _pieces(path: str, capacity: int, end: int, names: list[str]):
+    """``names``: the columns after the text, which every piece of a document repeats."""
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("cls", pa.int32()), *[(n, pa.int64()) for n in names]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = word_codes(path)
         stop = np.array([end], dtype="<u4").tobytes()
         for b in batches:
             rows = []
-            for doc, ids in zip(b.column(0).to_pylist(), codes.encode(b.column(1).to_pylist()), strict=True):
+            for doc, ids, *more in zip(b.column(0).to_pylist(), codes.encode(b.column(1).to_pylist()), *[c.to_pylist() for c in b.columns[2:]], strict=True):
                 ids += stop
                 n, at = len(ids) // 4, 0
                 for k, length in cut(n, capacity):
-                    rows.append((doc, at, length, zlib.crc32(ids[4 * at : 4 * (at + length)]), n, k))
+                    rows.append((doc, at, length, zlib.crc32(ids[4 * at : 4 * (at + length)]), n, k, *more))
                     at += length
             yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], t.type) for t in schema], schema=schema)
 
     return run
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, end: int = END, path: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, end: int = END, path: str | None = None, order: str = "doc_id") -> DataFrame:
     """Pack every document into sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, padded.
 
     A null or empty text is its end id alone. Null ids are kept and come first;
     documents with one id are packed each for itself, in a fixed order. An empty table
-    gives an empty result; other columns are ignored. Bins are filled per class by the rank of a piece in its class;
-    all bins but the last of each class hold their fixed count.
+    gives an empty result; other columns are ignored. Bins are filled per class by the rank of a piece in its class,
+    in the ``order`` of an integer column (null first), then of doc_id; all bins but the last of each class hold their fixed count.
     """
     text_batches(docs.sparkSession)
     path = path or tokenizer_path()
-    pieces = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pieces(path, capacity, end), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, cls int"), "pieces")
-    ties = [F.col(c) for c in ("start", "doc_tokens", "ids_crc32")]
-    ranked = gapless(pieces, ["cls"], "doc_id", ties, "n").withColumn("bin", F.floor(F.col("n") / F.col("cls")).cast("long"))
+    rank = [] if order == "doc_id" else ["_rank"]
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(order).cast("long").alias(r) for r in rank])
+    pieces = stored(read.mapInArrow(_pieces(path, capacity, end, rank), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, cls int" + "".join(f", {r} long" for r in rank)), "pieces")
+    key, *ties = [*rank, "doc_id", "start", "doc_tokens", "ids_crc32"]
+    ranked = gapless(pieces, ["cls"], key, [F.col(c).asc_nulls_first() for c in ties], "n").withColumn("bin", F.floor(F.col("n") / F.col("cls")).cast("long"))
     inside = Window.partitionBy("cls", "bin").orderBy("n")
     whole = Window.partitionBy("cls", "bin")
     filled = F.sum("length").over(whole)

@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 
 import corpus_pipeline
-from tessera.llm import minhash, topk, toxicity, urlgraph
+from tessera.llm import minhash, mixing, topk, toxicity, urlgraph
 
 from . import fixtures
 
@@ -199,6 +199,34 @@ def test_run(spark, folder):
     assert got and {r.doc_id for r in got} <= {r.doc_id for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
 
 
+def test_packing_follows_the_mixture(spark, folder, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 2)
+    r = random.Random(6)
+    # A hot source with the lowest ids, and a rare one with the highest.
+    docs = spark.createDataFrame([(i, fixtures.prose(r, 12), "en", "src0" if i < 60 else "src1", 0) for i in range(80)], COLUMNS).repartition(3)
+    found = []
+    for targets in ({"src0": 1, "src1": 1}, {"src0": 3, "src1": 1}):
+        monkeypatch.setattr(mixing, "TARGETS", targets)
+        order = {x.doc_id: (x.slot, x.place) for x in mixing.mix(docs, targets, 2).collect()}
+        rows = corpus_pipeline.pack_sequences(spark, docs, folder).collect()
+        found.append({tuple(x) for x in rows})
+        classes = defaultdict(list)
+        for x in rows:
+            classes[x.sequence_id % 128].append((x.sequence_id // 128, x.offset, order[x.doc_id], x.start))
+        for pieces in classes.values():
+            assert [p[2:] for p in sorted(pieces)] == sorted(p[2:] for p in pieces)
+    assert found[0] != found[1]
+
+
+def test_weights_change_what_run_returns(spark, folder, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 1)
+    before = Counter(map(tuple, corpus_pipeline.run(spark, folder).collect()))
+    monkeypatch.setattr(mixing, "TARGETS", {mixing.REST: 1, "src1": 7})
+    after = Counter(map(tuple, corpus_pipeline.run(spark, folder).collect()))
+    pieces = lambda rows: Counter(x[:5] for x in rows.elements())
+    assert before != after and pieces(before) == pieces(after)
+
+
 def test_queries_are_registered():
     import __spark_entry__ as entry
 
