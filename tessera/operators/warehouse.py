@@ -120,7 +120,7 @@ def entity_filter(df: DataFrame, columns: list[str], needle: str, most: int = 20
     hit = F.lit(False)
     for c in columns:
         hit |= F.contains(F.lower(F.col(c)), F.lower(F.lit(needle)))
-    return df.where(hit).limit(most)
+    return df.where(hit).orderBy(*df.columns).limit(most)
 
 
 def low_card_sql(table_: str, columns: list[str]) -> str:
@@ -142,7 +142,7 @@ QUERIES = {
     "recent_orders": recent_orders,
     "known_values": known_values_all,
     "schema_description": describe_orders,
-    "entity_filter": lambda spark, d: entity_filter(table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment").where("c_custkey <= 150"), ["c_name", "c_mktsegment"], "build"),
+    "entity_filter": lambda spark, d: entity_filter(table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment"), ["c_name", "c_mktsegment"], "build"),
 }
 
 ORACLES = {

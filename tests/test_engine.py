@@ -380,3 +380,9 @@ def test_log_lines_keep_the_lead(spark):
     df = spark.createDataFrame([(1, "\nlead\n[2024-01-12 08:00] DEBUG AB-123: hi\n more\n")], "id long, text string")
     got = text.log_entries(df, "id", "text").orderBy("entry").collect()
     assert [(r.timestamp, r.level, r.entry_id, r.message) for r in got] == [(None, None, None, "lead"), ("2024-01-12 08:00", "DEBUG", "AB-123", "hi more")]
+
+
+def test_entity_filter_reads_the_whole_table(spark, tmp_path):
+    spark.range(1, 1001).selectExpr("id AS c_custkey", "concat('Customer', id) AS c_name", "CASE WHEN id % 3 = 0 THEN 'BUILDING' ELSE 'other' END AS c_mktsegment").repartition(5).write.parquet(f"{tmp_path}/customer.parquet")
+    got = [r.c_custkey for r in warehouse.QUERIES["entity_filter"](spark, str(tmp_path)).collect()]
+    assert got == list(range(3, 601, 3))
