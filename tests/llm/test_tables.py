@@ -147,6 +147,15 @@ def test_judge_without_links_or_rows(spark):
     assert urlgraph.judge(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_a_verdict_does_not_depend_on_unlinked_hosts(spark):
+    chain = [page(1, "http://a.io/", "http://b.io/"), page(2, "http://b.io/", "http://c.com/en/"), page(3, "http://c.com/en/")]
+    far = spark.range(100, 30_100).selectExpr("id AS page_id", "concat('http://u', id % 1000, '.io/') AS url", "'' AS html", "'' AS host", "'' AS rule", "1.0D AS mass")
+    alone = spark.createDataFrame(chain, PAGES)
+    for pages in (alone, alone.union(far)):
+        got = {r.page_id: r.verdict for r in urlgraph.judge(pages).where("page_id < 100").collect()}
+        assert got == {1: "block", 2: "allow", 3: "block"}
+
+
 # --- pipeline -----------------------------------------------------------------------------
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
