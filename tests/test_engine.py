@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import chunking, evaluation, feedback, knowledge, retrieval, tagging, warehouse
 from tessera.plans import answering, guard, questions
+from tessera.plans import queries as plan_queries
 from tessera.sources import binary, markup, mime, reader, tables, text
 from tessera.streaming import windows
 
@@ -386,3 +387,17 @@ def test_entity_filter_reads_the_whole_table(spark, tmp_path):
     spark.range(1, 1001).selectExpr("id AS c_custkey", "concat('Customer', id) AS c_name", "CASE WHEN id % 3 = 0 THEN 'BUILDING' ELSE 'other' END AS c_mktsegment").repartition(5).write.parquet(f"{tmp_path}/customer.parquet")
     got = [r.c_custkey for r in warehouse.QUERIES["entity_filter"](spark, str(tmp_path)).collect()]
     assert got == list(range(3, 601, 3))
+
+
+def test_answers_rest_on_all_records(spark, tmp_path, monkeypatch):
+    spark.range(1, 201).selectExpr("id AS o_orderkey", "id AS o_custkey", "timestamp_ntz '2020-01-01' AS o_orderdate", "'F' AS o_orderstatus", "'1-URGENT' AS o_orderpriority").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, "some text")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    seen = []
+
+    def ask(session, question, search, edges, *more):
+        seen.append(edges.agg(F.sum("weight")).first()[0])
+        return {"specialists": [], "answer": "", "verification": {"grounded": True}, "retry_count": 0}
+
+    monkeypatch.setattr(answering, "ask", ask)
+    plan_queries.QUERIES["answer_question"](spark, str(tmp_path))
+    assert seen == [200 * 5]
