@@ -233,7 +233,7 @@ def _multimodal_query(spark, d):
 
 
 def _terms_query(spark, d):
-    return term_statistics(_docs(spark, d)).where("df >= 5")
+    return term_statistics(_docs(spark, d))
 
 
 def _batch_query(spark, d):

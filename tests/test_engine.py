@@ -401,3 +401,9 @@ def test_answers_rest_on_all_records(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(answering, "ask", ask)
     plan_queries.QUERIES["answer_question"](spark, str(tmp_path))
     assert seen == [200 * 5]
+
+
+def test_rare_terms_have_statistics(spark, tmp_path):
+    spark.createDataFrame([(i, "common " + ("rare rare" if i == 3 else "")) for i in range(6)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.term, r.df, r.cf) for r in retrieval.QUERIES["bm25_terms"](spark, str(tmp_path)).collect()}
+    assert got == {("common", 6, 6), ("rare", 1, 2)}
