@@ -14,32 +14,23 @@ from pyspark.sql import functions as F
 
 from .common import stored, sub_bucket
 
-#: Combining marks in use in the composed Latin ranges, with what they compose: fixed values of Unicode NFC
-#: for the letters of Western European languages. Text outside them is hashed as it stands.
-COMPOSED = {
-    "̀": ("AEIOUNaeioun", "ÀÈÌÒÙǸàèìòùǹ"),
-    "́": ("AEIOUYCNSZaeiouycnsz", "ÁÉÍÓÚÝĆŃŚŹáéíóúýćńśź"),
-    "̂": ("AEIOUaeiou", "ÂÊÎÔÛâêîôû"),
-    "̃": ("ANOano", "ÃÑÕãñõ"),
-    "̈": ("AEIOUYaeiouy", "ÄËÏÖÜŸäëïöüÿ"),
-    "̊": ("Aa", "Åå"),
-    "̧": ("CScs", "ÇŞçş"),
-    "̌": ("CSZcsz", "ČŠŽčšž"),
-}
 BLANKS = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
-#: Compatibility forms that differ in looks only: full-width ASCII, quotes and dashes.
-WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "‘’“”‐‑‒–—…"
-PLAIN = "".join(chr(c) for c in range(0x21, 0x7F)) + "''\"\"-----…"
+#: Quotes and dashes that differ in looks only and that Unicode leaves apart.
+LOOKS, PLAIN = "‘’“”‐‒–—", "''\"\"----"
+#: The normaliser that Spark's own collations bring along.
+NORMALIZER = "com.ibm.icu.text.Normalizer"
 
 
 def canonical(text: Column) -> Column:
-    """Unicode composition and compatibility folding, lower case, blanks to one space, trimmed; null is empty."""
+    """Unicode NFKC, quotes and dashes folded, lower case, blanks to one space, trimmed; null is empty.
+
+    NFKC is made again of the lower-cased text, which some capitals (as a dotted I) leave decomposed.
+    """
     out = F.coalesce(text, F.lit(""))
-    pairs = [F.struct(F.lit(base + mark).alias("a"), F.lit(letter).alias("b")) for mark, (bases, whole) in COMPOSED.items() for base, letter in zip(bases, whole, strict=True)]
-    composed = F.aggregate(F.array(*pairs), out, lambda acc, x: F.replace(acc, x["a"], x["b"]))
-    out = F.when(out.rlike("[\\u0300-\\u036F]"), composed).otherwise(out)
-    out = F.when(out.rlike("[\\u2010-\\u2026\\uFF01-\\uFF5E]"), F.translate(out, WIDE, PLAIN)).otherwise(out)
-    return F.trim(F.regexp_replace(F.lower(out), BLANKS, " "))
+    compose = lambda c: F.java_method(F.lit(NORMALIZER), F.lit("compose"), c, F.lit(True))
+    folded = compose(F.lower(F.translate(compose(out), LOOKS, PLAIN)))
+    out = F.when(out.rlike("[^\\x00-\\x7F]"), folded).otherwise(F.lower(out))
+    return F.trim(F.regexp_replace(out, BLANKS, " "))
 
 
 def wide_hash(text: Column) -> tuple[Column, Column]:

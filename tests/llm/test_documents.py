@@ -341,3 +341,15 @@ def test_grammar_composes():
 )
 def test_empty_table(spark, run):
     assert run(fixtures.frame(spark, []), spark).count() == 0
+
+
+def test_canonical_form_covers_all_of_unicode(spark):
+    import unicodedata
+
+    from pyspark.sql import functions as F
+
+    letters = "ąężČěřďťňőűğāēµάέΐΰйёїấệộ각힣ﬁﬀ½™ｱｶﾞÅΩİǅ"
+    pairs = [(x, form, unicodedata.normalize(form, f"A {x} z")) for x in letters for form in ("NFC", "NFD", "NFKC", "NFKD")]
+    pairs += [("marks", str(i), "q" + m) for i, m in enumerate(("̣̇", "̣̇"))]
+    got = spark.createDataFrame(pairs, "x string, form string, t string").select("x", fingerprint.canonical(F.col("t")).alias("c")).distinct().collect()
+    assert len(got) == len({x for x, *_ in pairs})
