@@ -8,7 +8,9 @@ a class, so that its bins come out full.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,8 +26,8 @@ CAPACITY, END = 2048, 1
 CLASSES = (1, 2, 3, 4, 5, 6, 8, 10, 13, 16, 21, 28, 40, 64)
 #: A piece is left whole in a class where it wastes at most this share of its slot.
 SLACK = 0.04
-#: Words whose ids a worker remembers; when there are more, it keeps the short ones, which recur most.
-REMEMBERED, SHORT = 600_000, 7
+#: Chunks whose ids a worker remembers, in each of two generations.
+REMEMBERED = 400_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -37,13 +39,28 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class WordCodes:
-    """Ids of texts as little-endian bytes, from a memory of blank-delimited chunks.
+#: What the shortcut below takes for granted; a vocabulary with other rules is given whole texts.
+_NORMALIZER = ["NFC", "Replace", "Lowercase"]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Letters whose composed, lower-cased form Python and the tokenizer agree on, then signs without an apostrophe.
+_CHUNK = re.compile(r"([a-zß-öø-ÿœ]*)([!-&(-/:-@\[-`{-~]*)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for letters from 256 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+class WordCodes(dict):
+    """Ids as little-endian bytes of blank-delimited chunks, found when first asked for.
 
     The vocabulary's pre-tokeniser lower-cases, drops white space, never joins across it and
-    takes runs of letters apart from all else, so a text's ids are those of its chunks in
-    order, and those of ``word,`` are those of ``word`` and ``,``. The tokenizer itself sees every chunk
-    that is not known yet. A text that may hold a special token is given to it whole.
+    takes runs of letters apart from runs of signs, so a text's ids are those of its chunks in
+    order, and those of ``word,`` are those of ``word`` and ``,``. Plain runs go to the model itself, other chunks
+    and texts that may hold a special token to the whole tokenizer. Chunks that were not met for a generation of
+    REMEMBERED others are forgotten.
     """
 
     def __init__(self, path: str):
@@ -51,53 +68,64 @@ class WordCodes:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        # Ids that end a word: every run of letters has exactly one, its last.
-        vocabulary = self.tokenizer.get_vocab()
-        self.ending = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.ending[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.known: dict[bytes, bytes] = {b"": b""}
-
-    def _plain(self, chunks: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
-
-    def _letters(self, words: list[bytes]) -> list[bytes]:
-        """Ids of runs of letters, all in one call."""
-        ids = np.array(self.tokenizer.encode(b" ".join(words).decode(), add_special_tokens=False).ids, dtype="<u4")
-        ends = np.flatnonzero(self.ending[ids]) + 1
-        if len(ends) != len(words):
-            return self._plain(words)
-        raw, to = ids.tobytes(), (4 * ends).tolist()
-        return [raw[i:j] for i, j in zip([0, *to[:-1]], to, strict=True)]
-
-    def _learn(self, chunks: set[bytes]) -> None:
-        known = self.known
-        if len(known) + len(chunks) > REMEMBERED:
-            self.known = known = {k: v for k, v in known.items() if len(k) <= SHORT}
-            if len(known) > REMEMBERED // 2:
-                self.known = known = {b"": b""}
-        stopped = {c for c in chunks if c[-1:] in (b",", b".") and c[:-1].decode().isalpha()}
-        words, rest = set(), set()
-        for c in chunks - stopped | {c[:-1] for c in stopped} | {c[-1:] for c in stopped}:
-            if c not in known:
-                (words if c.decode().isalpha() else rest).add(c)
-        for part, how in ((list(words), self._letters), (list(rest), self._plain)):
-            for at in range(0, len(part), 2000):
-                known.update(zip(part[at : at + 2000], how(part[at : at + 2000]), strict=True))
-        for c in stopped:
-            known[c] = known[c[:-1]] + known[c[-1:]]
+        rules = json.loads(self.tokenizer.to_str())
+        model, pre, normal = rules["model"], rules["pre_tokenizer"] or {}, rules["normalizer"] or {}
+        steps = pre.get("pretokenizers", [{}])
+        self.shortcut = (
+            [x["type"] for x in normal.get("normalizers", [])] == _NORMALIZER
+            and [x.get("type") for x in steps] == ["Split", "ByteLevel"]
+            and steps[0]["pattern"] == {"Regex": _SPLIT}
+            and steps[0]["behavior"] == "Removed" and steps[0]["invert"]
+            and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
+            and model["type"] == "BPE" and not model["dropout"]
+            and all(x["content"].startswith("<|") for x in rules["added_tokens"])
+        )
+        self.tokenize = self.tokenizer.model.tokenize
+        self.alphabet = _byte_letters()
+        self.four = [i.to_bytes(4, "little") for i in range(max(self.tokenizer.get_vocab().values()) + 1)]
+        self.older: dict[bytes, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _run(self, run: str) -> bytes:
+        """Ids of one run of letters or of signs."""
+        if not run.isascii():
+            run = run.encode().decode("latin-1").translate(self.alphabet)
+        four = self.four
+        return b"".join([four[t.id] for t in self.tokenize(run)])
+
+    def _chunk(self, chunk: bytes) -> bytes:
+        text = chunk.decode()
+        plain = _CHUNK.fullmatch(text if text.isascii() else text.lower())
+        if plain is None:
+            return self.whole(text)
+        letters, signs = plain.groups()
+        if not signs:
+            return self._run(letters) if letters else b""
+        # The same word or sign alone is often known already.
+        ids = (self.get(letters.encode()) or self._run(letters)) if letters else b""
+        return ids + (self.get(signs.encode()) or self._run(signs))
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        ids = self.older.get(chunk)
+        if ids is None:
+            ids = self._run(chunk.decode()) if chunk.isalpha() else self._chunk(chunk)
+        self[chunk] = ids
+        return ids
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [None if "<|" in (t or "") else (t or "").encode().lower().replace(b"\n", b" ").split(b" ") for t in texts]
-        chunks = set().union(*[c for c in split if c])
-        missing = chunks.difference(self.known)
-        if missing:
-            self._learn(missing)
-            missing = chunks.difference(self.known)  # forgotten in the meantime
-            if missing:
-                self._learn(missing)
-        get = self.known.__getitem__
-        return [self._plain([t.encode()])[0] if c is None else b"".join(map(get, c)) for t, c in zip(texts, split, strict=True)]
+        done: dict[str, bytes] = {}
+        get = self.__getitem__
+        for t in {t or "" for t in texts}:
+            if not self.shortcut or "<|" in t:
+                done[t] = self.whole(t)
+            else:
+                done[t] = b"".join(map(get, t.encode().lower().replace(b"\n", b" ").split(b" ")))
+        return [done[t or ""] for t in texts]
 
 
 _codes: dict[str, WordCodes] = {}

@@ -229,13 +229,29 @@ def test_piece_classes():
         assert all(0 < length and length * k <= 2048 for k, length in pieces)
 
 
-def test_word_codes_match_the_tokenizer():
+def test_word_codes_match_the_tokenizer(monkeypatch):
     codes = packing.WordCodes(packing.tokenizer_path())
-    texts = ["Don't stop, a.b,c. x,", "", "  ", "<|endoftext|> hi <|startoftext|>x", "<|ENDOFTEXT|>", "ΣΑΣ İx, ǅ. Å é́", "foo\x1cbar!\x85?", "​x ﬁn, ²x ½.", None, "1,2 3. ,. .,", "日本語 テスト, 漢字."]
+    texts = ["Don't stop, a.b,c. x,", "", "  ", "<|endoftext|> hi <|startoftext|>x", "<|ENDOFTEXT|>", "ΣΑΣ İx, ǅ. Å é́", "foo\x1cbar!\x85?", "​x ﬁn, ²x ½.", "Äkeitß$$$ Œuvre,*** it's 'll Ÿ", None, "1,2 3. ,. .,", "日本語 テスト, 漢字."]
     for t, got in zip(texts, codes.encode(texts), strict=True):
         assert np.frombuffer(got, "<u4").tolist() == codes.tokenizer.encode(t or "", add_special_tokens=False).ids
-    codes.known = {b"": b""}
-    assert codes.encode(texts) == [packing.WordCodes(packing.tokenizer_path()).encode([t])[0] for t in texts]
+    assert codes.shortcut
+    monkeypatch.setattr(packing, "REMEMBERED", 3)
+    fresh = packing.WordCodes(packing.tokenizer_path())
+    assert fresh.encode(texts) == codes.encode(texts) and len(fresh) <= 3
+    other = packing.WordCodes(packing.tokenizer_path("byte_bpe_50k.json"))  # other rules: no shortcut
+    assert not other.shortcut
+    assert [np.frombuffer(x, "<u4").tolist() for x in other.encode(texts)] == [other.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_word_codes_on_random_strings():
+    import random
+
+    r = random.Random(8)
+    letters = "abcXYZ'éÉßẞœŒÿŸÅKİıǅé  \n\t\u00a0.,;!?%$-_0129½²<|>~`\u0301日本ΣσςйЙ"
+    codes = packing.WordCodes(packing.tokenizer_path())
+    texts = ["".join(r.choice(letters) for _ in range(r.randrange(40))) for _ in range(3000)]
+    for t, got in zip(texts, codes.encode(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == codes.tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
 def brute_edited(rows):
