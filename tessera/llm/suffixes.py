@@ -1,23 +1,27 @@
-"""Removal of long repeated byte strings with a logarithmic family of sampled suffix arrays.
+"""Removal of long repeated byte strings with a logarithmic family of sparse suffix arrays.
 
-A full suffix array of the corpus would hold every byte position. Here a suffix is indexed only
+A full suffix array of the corpus would hold every byte position. Here a suffix is taken up only
 where it is the minimizer of a window of ``length`` bytes (Roberts et al., 2004; Schleimer et al.,
-2003): equal windows choose the same suffix, so no repeat of ``length`` bytes is lost. An entry orders a
-suffix by the hash of its first bytes, then by the hash of its context, the bytes of all windows that chose it.
-
-New batches are sorted into a level of their own; levels of equal size merge, so that an index
-of n batches has at most log2(n) + 1 levels (Bentley and Saxe, 1980). Anchors are then merge-scanned against
-the levels: a context found twice is a long match as a whole; where only the suffix is found
-again, the windows of the context are compared one by one.
+2003): equal windows choose the same suffix, so no repeat of ``length`` bytes is lost. An entry holds the bytes themselves:
+``suffix`` from the anchor to the end of the last window that chose it, and ``left``, what those windows hold before
+the anchor. An array is sorted by (suffix, left) as bytes and split among tasks by the first bytes of the suffix.
+
+A new batch gets an array of its own and is merge-scanned against the levels there are: entries equal in all bytes are a
+long match as a whole, and entries that share their first bytes only are compared window by window, on bytes. The array
+is then kept as a level; levels of equal size merge, so that n batches have at most log2(n) + 1 levels (Bentley and
+Saxe, 1980). Levels lie in a folder and may be opened again by another session.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bits_for, bloom_has, bloom_words, mix64, stored, text_batches
@@ -27,11 +31,14 @@ LENGTH, GRAM = 200, 20
 SEGMENT = 1 << 17
 #: Bytes of short texts handled at once: small enough for a core's own cache.
 GROUP = 1 << 17
-#: Suffixes with more different contexts than this are compared by a grouped count instead of in one task.
+#: Suffixes whose first bytes have more different entries than this are compared by a grouped count instead of in one task.
 CROWD = 2000
-BATCHES = 2
+#: Entries met this often are joined by broadcast, if there are at most so many of them.
+HOT, BROADCAST_NAMES = 1000, 100_000
+#: Bytes compared at once.
+VERIFIED = 4096
 
-_MULTIPLIER = 0x9E3779B97F4A7C15
+_MULTIPLIER, _SECOND = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _MASK = np.uint64((1 << 24) - 1)
 
 
@@ -43,17 +50,17 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class Anchors:
-    """Minimizer anchors of byte strings, with hashes of their suffix and of their context."""
+    """Minimizer anchors of byte strings, with a hash of the first bytes of their suffix."""
 
-    def __init__(self, length: int = LENGTH, gram: int = GRAM):
-        self.length, self.gram = length, min(gram, length)
+    def __init__(self, length: int = LENGTH, gram: int = GRAM, multiplier: int = _MULTIPLIER):
+        self.length, self.gram, self.multiplier = length, min(gram, length), multiplier
         self.up = self.down = np.ones(1, np.uint64)
 
     def prefix(self, data: np.ndarray) -> np.ndarray:
         """Sums c with hash(data[i:j]) = (c[j] - c[i]) * down[i]."""
         if len(self.up) <= len(data):
             n = max(2 * len(data), 1 << 16)
-            self.up, self.down = _powers(_MULTIPLIER, n), _powers(pow(_MULTIPLIER, -1, 1 << 64), n)
+            self.up, self.down = _powers(self.multiplier, n), _powers(pow(self.multiplier, -1, 1 << 64), n)
         out = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.up[: len(data)], out=out[1:])
         return out
@@ -66,7 +73,7 @@ class Anchors:
         return np.minimum(after[:n], before[width - 1 : width - 1 + n])
 
     def many(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
-        """(text, anchor, first window, last window, suffix hash, context hash) of each run of windows with one anchor.
+        """(text, anchor, first window, last window, hash of the first ``gram`` bytes) of each run of windows with one anchor.
 
         Short texts are handled together, long ones in segments; a run that a segment's end cuts is two runs.
         """
@@ -76,8 +83,8 @@ class Anchors:
         for i, t in enumerate(texts):
             if len(t) > SEGMENT:
                 for base in range(0, len(t) - self.length + 1, SEGMENT):
-                    _, a, lo, hi, suffix, context = self._joined([0], [t[base : base + SEGMENT + self.length - 1]])
-                    parts.append((np.full(len(a), i), a + base, lo + base, hi + base, suffix, context))
+                    _, a, lo, hi, head = self._joined([0], [t[base : base + SEGMENT + self.length - 1]])
+                    parts.append((np.full(len(a), i), a + base, lo + base, hi + base, head))
             elif len(t) >= self.length:
                 held.append(i)
                 size += len(t)
@@ -87,7 +94,7 @@ class Anchors:
         if held:
             parts.append(self._joined(held, texts))
         if not parts:
-            return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
+            return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64))
         return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
     def _joined(self, which: list[int], texts: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -106,11 +113,9 @@ class Anchors:
             at = (m[inside] & _MASK).astype(np.int64)
             first = np.flatnonzero(np.diff(at, prepend=-1))
             lo, hi, a = inside[first], inside[np.append(first[1:], len(at)) - 1], at[first]
-            body = (c[hi + length] - c[lo]) * self.down[lo]
-            context = mix64(body + (a - lo).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + (hi - lo).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
         text = own[lo]
         base = starts[text]
-        return np.array(which)[text], a - base, lo - base, hi - base, h[a], context
+        return np.array(which)[text], a - base, lo - base, hi - base, h[a]
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -118,13 +123,6 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("k1"), F.xxhash64("text").alias("k2"), "text")
 
 
-def _place(k1: np.ndarray, k2: np.ndarray, lo: np.ndarray) -> np.ndarray:
-    """64-bit names of anchors, for Bloom filters."""
-    with np.errstate(over="ignore"):
-        own = k1.view(np.uint64) * np.uint64(0xD1342543DE82EF95) + k2.view(np.uint64)
-        return mix64(mix64(own) + lo.astype(np.uint64))
-
-
 def _opened(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     k1, k2 = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
     return k1, k2, [(t or "").encode() for t in b.column(2).to_pylist()]
@@ -134,82 +132,119 @@ def _arrays(schema: pa.Schema, columns: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64) if x.dtype == np.uint64 else x, t.type) for x, t in zip(columns, schema, strict=True)], schema=schema)
 
 
-_ENTRY = pa.schema([(c, pa.int64()) for c in ("k1", "k2", "lo", "hi", "suffix", "context", "place")])
+def _heads(length: int, gram: int):
+    """The hash of the first bytes of every anchor's suffix."""
+    schema = pa.schema([("head", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = Anchors(length, gram)
+        for b in batches:
+            yield _arrays(schema, [find.many(_opened(b)[2])[4]])
+
+    return run
+
+
+_ENTRY = pa.schema([*[(c, pa.int64()) for c in ("head", "n1", "n2", "k1", "k2", "lo")], ("suffix", pa.binary()), ("left", pa.binary())])
 
 
 def _entries(length: int, gram: int, again):
-    """Anchors whose suffix may occur again; all of them where ``again`` is None."""
+    """Anchors with their bytes and a 128-bit name of these; only those whose head may occur again, or all where ``again`` is None."""
+    digest = xxhash.xxh3_128_digest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = Anchors(length, gram)
         for b in batches:
             k1, k2, texts = _opened(b)
-            i, _, lo, hi, suffix, context = find.many(texts)
+            i, a, lo, hi, head = find.many(texts)
             if again is not None:
-                keep = bloom_has(again.value, suffix)
-                i, lo, hi, suffix, context = i[keep], lo[keep], hi[keep], suffix[keep], context[keep]
-            yield _arrays(_ENTRY, [k1[i], k2[i], lo, hi, suffix, context, _place(k1[i], k2[i], lo)])
+                keep = bloom_has(again.value, head)
+                i, a, lo, hi, head = i[keep], a[keep], lo[keep], hi[keep], head[keep]
+            where = list(zip(i.tolist(), lo.tolist(), a.tolist(), (hi + length).tolist(), strict=True))
+            left = [texts[t][x:y] for t, x, y, _ in where]
+            suffix = [texts[t][y:z] for t, _, y, z in where]
+            # The length of the left part keeps entries apart that split the same bytes elsewhere.
+            names = np.frombuffer(b"".join([digest(x + y, seed=len(x)) for x, y in zip(left, suffix, strict=True)]), "<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in (head.view(np.int64), names[:, 0], names[:, 1], k1[i], k2[i], lo)], pa.array(suffix, pa.binary()), pa.array(left, pa.binary())], schema=_ENTRY)
 
     return run
 
 
-def _entry_table(docs: DataFrame, length: int, gram: int, again=None) -> DataFrame:
-    return docs.mapInArrow(_entries(length, gram, again), ", ".join(f"{c} long" for c in _ENTRY.names))
-
-
-class LogIndex:
-    """Levels of sorted (suffix, context) entries; level i holds 2**i batches."""
+_ENTRY_TYPES = ", ".join(f"{c} long" for c in _ENTRY.names[:6]) + ", suffix binary, left binary"
 
-    def __init__(self) -> None:
-        self.levels: dict[int, DataFrame] = {}
 
-    @staticmethod
-    def _merged(entries: DataFrame) -> DataFrame:
-        return entries.groupBy("suffix", "context").agg(F.sum("n").alias("n"), F.min("place").alias("place")).sortWithinPartitions("suffix", "context")
+def _array(entries: DataFrame) -> DataFrame:
+    """Entries equal in all bytes as one, sorted by their bytes; tasks share them by their head.
 
-    def add(self, anchors: DataFrame) -> None:
-        """Sort a batch of anchors into the family, merging levels of equal size."""
-        level, run = 0, stored(self._merged(anchors.select("suffix", "context", F.lit(1).cast("long").alias("n"), "place")), "level")
-        while level in self.levels:
-            run = stored(self._merged(self.levels.pop(level).unionByName(run)), "level")
-            level += 1
-        self.levels[level] = run
+    ``n`` counts places, ``mine`` says whether the new batch has one, k1, k2, lo name one of the new batch, or any.
+    """
+    place = F.struct("k1", "k2", "lo")
+    one = entries.groupBy("head", "suffix", "left").agg(F.sum("n").alias("n"), F.max("mine").alias("mine"), F.coalesce(F.min(F.when(F.col("mine"), place)), F.min(place)).alias("p"), F.first("n1").alias("n1"), F.first("n2").alias("n2"))
+    return one.select("head", "suffix", "left", "n", "mine", "p.*", "n1", "n2").repartition("head").sortWithinPartitions("suffix", "left")
 
-    def repeated(self) -> DataFrame:
-        """(suffix, context, n, place, contexts, open) of the suffixes that occur twice or more, over all levels.
 
-        ``place`` names one anchor of the entry, ``contexts`` counts the entries of the suffix, and
-        ``open`` says that some entry of it occurs once.
-        """
-        levels = list(self.levels.values())
-        every = levels[0]
-        for x in levels[1:]:
-            every = every.unionByName(x)
-        if len(levels) > 1:
-            every = self._merged(every)
-        by = Window.partitionBy("suffix")
-        told = every.withColumn("all", F.sum("n").over(by)).withColumn("contexts", F.count("*").over(by)).withColumn("open", F.min("n").over(by) == 1)
-        return told.where("all > 1").drop("all")
+_LEVEL = ["head", "suffix", "left", "n", "k1", "k2", "lo", "n1", "n2"]
 
 
-_CONTEXT = pa.schema([("suffix", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("lo", pa.int64()), ("shift", pa.int32()), ("data", pa.binary())])
-_WINDOW = pa.schema([(c, pa.int64()) for c in ("k1", "k2", "at", "w1", "w2")])
-
+class LogIndex:
+    """Levels of sorted arrays in a folder; level i holds 2**i batches.
 
-def _contexts(length: int, gram: int, wanted, crowded):
-    """The bytes around the anchors to compare; those of crowded suffixes are left out."""
+    The list of levels is one small file for each change, written last: what a lost driver has left
+    half done is not listed. Folders of merged levels are deleted after the list no longer names them.
+    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = Anchors(length, gram)
-        for b in batches:
-            k1, k2, texts = _opened(b)
-            i, a, lo, hi, suffix, _ = find.many(texts)
-            keep = bloom_has(wanted.value, _place(k1[i], k2[i], lo)) & ~bloom_has(crowded.value, suffix)
-            i, a, lo, hi, suffix = i[keep], a[keep], lo[keep], hi[keep], suffix[keep]
-            data = [texts[t][x : y + length] for t, x, y in zip(i.tolist(), lo.tolist(), hi.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(suffix.view(np.int64)), pa.array(k1[i]), pa.array(k2[i]), pa.array(lo), pa.array((lo - a).astype(np.int32)), pa.array(data, pa.binary())], schema=_CONTEXT)
+    def __init__(self, spark: SparkSession, path: str, length: int = LENGTH, gram: int = GRAM):
+        self.spark, self.path, self.length, self.gram = spark, path.rstrip("/"), length, gram
+        self.version, self.levels = 0, {}
+        listed = self._fs("").listStatus(self._hadoop("")) if self._fs("").exists(self._hadoop("")) else []
+        names = sorted(f.getPath().getName() for f in listed if f.getPath().getName().startswith("levels-"))
+        if names:
+            state = json.loads("".join(r.value for r in spark.read.text(f"{self.path}/{names[-1]}").collect()))
+            if (state["length"], state["gram"]) != (length, gram):
+                raise ValueError(f"the index was made for strings of {state['length']} bytes and {state['gram']} first bytes")
+            self.version, self.levels = state["version"], {int(k): v for k, v in state["levels"].items()}
+
+    def _hadoop(self, name: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def _fs(self, name: str):
+        return self._hadoop(name).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _list(self) -> None:
+        self.version += 1
+        state = {"version": self.version, "length": self.length, "gram": self.gram, "levels": self.levels}
+        out = self._fs("").create(self._hadoop(f"levels-{self.version:08d}.json"), True)
+        try:
+            out.write(json.dumps(state).encode())
+        finally:
+            out.close()
+
+    def level(self, i: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{self.levels[i]}")
+
+    def entries(self) -> DataFrame | None:
+        """All levels, or None where there is none."""
+        out = None
+        for i in self.levels:
+            out = self.level(i) if out is None else out.unionByName(self.level(i))
+        return out
 
-    return run
+    def keep(self, array: DataFrame) -> None:
+        """Take up the array of a batch, merging levels of equal size."""
+        level, gone = 0, []
+        run = array.select(*_LEVEL)
+        while True:
+            name = f"level-{level}-{uuid.uuid4().hex}"
+            run.write.parquet(f"{self.path}/{name}")
+            if level not in self.levels:
+                break
+            other = self.level(level)
+            gone += [self.levels.pop(level), name]
+            run = _array(other.unionByName(self.spark.read.parquet(f"{self.path}/{name}")).withColumn("mine", F.lit(False))).select(*_LEVEL)
+            level += 1
+        self.levels[level] = name
+        self._list()
+        for name in gone:
+            self._fs(name).delete(self._hadoop(name), True)
 
 
 def _window_hashes(find: Anchors, sizes: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -224,48 +259,74 @@ def _window_hashes(find: Anchors, sizes: np.ndarray, data: np.ndarray) -> tuple[
         return row[at], at - (ends - sizes)[row[at]], mix64((c[at + find.length] - c[at]) * find.down[at])
 
 
-def _windows(length: int, gram: int, wanted, crowded):
-    """Every window of the anchors to compare whose suffix is crowded, by name."""
+def _equal_windows(data: np.ndarray, at: np.ndarray, to: np.ndarray, length: int) -> bool:
+    """Whether all windows of ``data`` at ``at`` equal those at ``to``, byte by byte."""
+    span = np.arange(length)
+    return all(np.array_equal(data[at[i : i + VERIFIED, None] + span], data[to[i : i + VERIFIED, None] + span]) for i in range(0, len(at), VERIFIED))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = Anchors(length, gram)
-        for b in batches:
-            k1, k2, texts = _opened(b)
-            i, a, lo, hi, suffix, _ = find.many(texts)
-            keep = bloom_has(crowded.value, suffix) & bloom_has(wanted.value, _place(k1[i], k2[i], lo))
-            i, a, lo, hi, suffix = i[keep], a[keep], lo[keep], hi[keep], suffix[keep]
-            data = b"".join([texts[t][x : y + length] for t, x, y in zip(i.tolist(), lo.tolist(), hi.tolist(), strict=True)])
-            row, at, w = _window_hashes(find, hi - lo + length, np.frombuffer(data, np.uint8))
-            with np.errstate(over="ignore"):
-                first = mix64(suffix[row] + (at + (lo - a)[row]).astype(np.uint64))
-            yield _arrays(_WINDOW, [k1[i[row]], k2[i[row]], lo[row] + at, first, w])
 
-    return run
+def _binary(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(edges, bytes) of a binary column of one chunk."""
+    c = column.chunk(0)
+    edges = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1].astype(np.int64)
+    return edges - edges[0], np.frombuffer(c.buffers()[2], np.uint8)[edges[0] : edges[-1]]
+
 
+def _spans(row: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end) of the runs of windows."""
+    first = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(at, prepend=-2) != 1))
+    last = np.append(first[1:], len(row)) - 1
+    return row[first], at[first], at[last] + length
 
-def _compared(length: int, gram: int):
-    """Spans covered by windows that two contexts of a suffix share. Rows come sorted by suffix."""
-    schema = pa.schema([(c, pa.int64()) for c in ("k1", "k2", "start", "end")])
 
-    def spans(t: pa.Table, find: Anchors) -> pa.RecordBatch:
+_FOUND = pa.schema([(c, pa.int64()) for c in ("k1", "k2", "start", "end")])
+
+
+def _scanned(length: int, gram: int):
+    """The merge scan: spans of the new batch's lone entries covered by windows that another entry of the same head holds.
+
+    Rows are (suffix, left, n, mine, k1, k2, lo), sorted by their bytes, so entries of one head follow each other.
+    """
+
+    def spans(t: pa.Table, find: Anchors) -> Iterator[pa.RecordBatch]:
         t = t.combine_chunks()
-        suffix, k1, k2, lo, shift = (t.column(i).to_numpy() for i in range(5))
-        group = np.cumsum(np.diff(suffix, prepend=suffix[:1]) != 0)
-        column = t.column(5).chunk(0)
-        edges = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-        data = np.frombuffer(column.buffers()[2], np.uint8)[edges[0] : edges[-1]]
-        row, at, w = _window_hashes(find, np.diff(edges).astype(np.int64), data)
+        n, mine, k1, k2, lo = (t.column(i).to_numpy() for i in range(2, 7))
+        (se, sd), (le, ld) = _binary(t.column(0)), _binary(t.column(1))
+        heads = sd[se[:-1, None] + np.arange(find.gram)]
+        group = np.cumsum(np.append(False, (heads[1:] != heads[:-1]).any(axis=1)))
+        # Of a head without a lone entry of the new batch, or with no other entry, nothing is asked.
+        lone = (n == 1) & mine
+        open_ = (np.bincount(group, lone) > 0) & (np.bincount(group) > 1)
+        pick = np.flatnonzero(open_[group])
+        if not len(pick):
+            return
+        shift, size = np.diff(le)[pick], (np.diff(le) + np.diff(se))[pick]
+        # The bytes of an entry in their order: left part, then suffix.
+        ends = np.cumsum(size)
+        inner = np.arange(ends[-1]) - np.repeat(ends - size, size)
+        own = np.repeat(np.arange(len(pick)), size)
+        before = inner < shift[own]
+        data = np.empty(ends[-1], np.uint8)
+        data[before] = ld[le[pick][own[before]] + inner[before]]
+        data[~before] = sd[se[pick][own[~before]] + inner[~before] - shift[own[~before]]]
+        row, at, w = _window_hashes(find, size, data)
         with np.errstate(over="ignore"):
-            names = mix64(w + mix64((at + shift[row]).astype(np.uint64) + group[row].astype(np.uint64) * np.uint64(0xA24BAED4963EE407)))
-        _, where, n = np.unique(names, return_inverse=True, return_counts=True)
-        hit = n[where] > 1
-        row, at = row[hit], at[hit]
-        if not len(row):
-            return _arrays(schema, [np.zeros(0, np.int64)] * 4)
-        first = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(at, prepend=-2) != 1))
-        last = np.append(first[1:], len(row)) - 1
-        r = row[first]
-        return _arrays(schema, [k1[r], k2[r], lo[r] + at[first], lo[r] + at[last] + length])
+            names = mix64(w + mix64((at - shift[row]).astype(np.uint64) + group[pick][row].astype(np.uint64) * np.uint64(0xA24BAED4963EE407)))
+        _, first, where, met = np.unique(names, return_index=True, return_inverse=True, return_counts=True)
+        hit = np.flatnonzero(met[where] > 1)
+        absolute = (ends - size)[row] + at
+        if not _equal_windows(data, absolute[hit], absolute[first[where[hit]]], length):  # two windows share a hash
+            body = data.tobytes()
+            exact: dict[tuple, int] = {}
+            keys = [(int(group[pick][row[i]]), int(at[i] - shift[row[i]]), body[absolute[i] : absolute[i] + length]) for i in hit]
+            for key in keys:
+                exact[key] = exact.get(key, 0) + 1
+            hit = hit[[exact[key] > 1 for key in keys]]
+        hit = hit[lone[pick][row[hit]]]
+        if len(hit):
+            r, start, end = _spans(row[hit], at[hit], length)
+            r = pick[r]
+            yield _arrays(_FOUND, [k1[r], k2[r], lo[r] + start, lo[r] + end])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, held = Anchors(length, gram), None
@@ -273,45 +334,95 @@ def _compared(length: int, gram: int):
             if not b.num_rows:
                 continue
             t = pa.Table.from_batches([b])
-            held = pa.concat_tables([held, t]).combine_chunks() if held is not None else t
-            s = held.column(0).to_numpy()
-            whole = int(np.searchsorted(s, s[-1]))  # the last suffix may go on
+            t = pa.concat_tables([held, t]) if held is not None else t
+            last, heads = t.column(0)[-1].as_py()[: find.gram], t.column(0)
+            whole = t.num_rows - 1  # the last head may go on
+            while whole and heads[whole - 1].as_py()[: find.gram] == last:
+                whole -= 1
             if whole:
-                yield spans(held.slice(0, whole), find)
-                held = held.slice(whole)
-        if held is not None and held.num_rows:
-            yield spans(held, find)
+                yield from spans(t.slice(0, whole), find)
+            held = t.slice(whole)
+        if held is not None:
+            yield from spans(held, find)
 
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
-    """(k1, k2, start, end): spans whose union is what strings of ``length`` bytes found elsewhere cover."""
+_WINDOW = pa.schema([(c, pa.int64()) for c in ("k1", "k2", "at", "w1", "w2", "n", "lone")])
+
+
+def _windows(length: int, gram: int):
+    """Every window of entries of crowded heads, by a 128-bit name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, second = Anchors(length, gram), Anchors(length, gram, _SECOND)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            n, mine, k1, k2, lo, head = (t.column(i).to_numpy() for i in range(2, 8))
+            suffix, left = t.column(0).to_pylist(), t.column(1).to_pylist()
+            shift = np.array([len(x) for x in left])
+            data = np.frombuffer(b"".join([x + y for x, y in zip(left, suffix, strict=True)]), np.uint8)
+            size = shift + np.array([len(x) for x in suffix])
+            row, at, w1 = _window_hashes(find, size, data)
+            w2 = _window_hashes(second, size, data)[2]
+            with np.errstate(over="ignore"):
+                w1 = mix64(w1 + mix64(head.view(np.uint64)[row] + (at - shift[row]).astype(np.uint64)))
+            yield _arrays(_WINDOW, [k1[row], k2[row], lo[row] + at, w1, w2, n[row], ((n == 1) & mine)[row].astype(np.int64)])
+
+    return run
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, index: LogIndex | None = None) -> DataFrame:
+    """(k1, k2, start, end): spans of ``docs`` whose union is what strings of ``length`` bytes found elsewhere cover.
+
+    Elsewhere is ``docs`` itself and, with an ``index``, every batch it has taken up; ``docs`` is then taken up as well. Without an
+    index nothing is kept, so that entries whose head occurs once are left out of the array.
+    """
     spark = docs.sparkSession
     text_batches(spark)
     rows = _rows(docs)
     share = spark.sparkContext.broadcast
-    index = LogIndex()
-    for i in range(batches):
-        index.add(_entry_table(rows.where(F.pmod(F.xxhash64("k1", "k2"), F.lit(batches)) == i), length, gram))
-    told = stored(index.repeated(), "repeated")
-    n_told, n_open, crowd = told.agg(F.count("*"), F.sum(F.col("open").cast("long")), F.max("contexts")).first()
-    again = share(bloom_words(told.where("n > 1").select("suffix"), "suffix", bits_for(n_told, 16, 1 << 16, 1 << 25)))
-    anchors = _entry_table(rows, length, gram, again)
-    whole = anchors.join(told.where("n > 1").select("suffix", "context"), ["suffix", "context"]).select("k1", "k2", F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
-    if not n_open:
-        return whole
-    # Entries that occur once name themselves; of the others one is enough.
-    wanted = share(bloom_words(told.where("open").select("place"), "place", bits_for(n_open, 16, 1 << 16, 1 << 25)))
-    many = told.where(F.col("open") & (F.col("contexts") > CROWD)).select("suffix").distinct()
-    crowded = share(bloom_words(many, "suffix", bits_for(many.count() if crowd > CROWD else 0, 16, 1 << 16, 1 << 25)))
-    near = rows.mapInArrow(_contexts(length, gram, wanted, crowded), "suffix long, k1 long, k2 long, lo long, shift int, data binary")
-    part = near.repartition("suffix").sortWithinPartitions("suffix").mapInArrow(_compared(length, gram), "k1 long, k2 long, start long, end long")
-    spans = whole.union(part)
-    if crowd > CROWD:
-        windows = stored(rows.mapInArrow(_windows(length, gram, wanted, crowded), ", ".join(f"{c} long" for c in _WINDOW.names)), "windows")
-        twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
-        spans = spans.union(windows.join(twice, ["w1", "w2"]).select("k1", "k2", F.col("at").alias("start"), (F.col("at") + length).alias("end")))
+    gram = min(gram, length)
+    again = None
+    if index is None:
+        heads = stored(rows.mapInArrow(_heads(length, gram), "head long").groupBy("head").agg(F.count("*").alias("n")).where("n > 1").select("head"), "heads")
+        again = share(bloom_words(heads, "head", bits_for(heads.count(), 16, 1 << 16, 1 << 25)))
+    mine = stored(rows.mapInArrow(_entries(length, gram, again), _ENTRY_TYPES), "entries")
+    batch = mine.withColumn("n", F.lit(1).cast("long")).withColumn("mine", F.lit(True))
+    before = index.entries() if index else None
+    if before is not None:
+        known = before.join(mine.select("head").distinct(), "head", "left_semi").withColumn("mine", F.lit(False))
+        batch = batch.unionByName(known.select(*batch.columns))
+    array = stored(_array(batch), "array")
+    if index is not None:
+        index.keep(array if before is None else _array(mine.withColumn("n", F.lit(1).cast("long")).withColumn("mine", F.lit(True))))
+    # Entries met more than once are repeated as a whole, at each of their places.
+    again = array.where(F.col("mine") & (F.col("n") > 1)).select("n1", "n2", "n")
+    often = F.col("n") > HOT
+    places = mine.select("n1", "n2", "k1", "k2", F.col("lo").alias("start"), (F.col("lo") + F.length("suffix") + F.length("left")).alias("end"))
+    hot = again.where(often).select("n1", "n2")
+    if 0 < hot.count() <= BROADCAST_NAMES:
+        whole = places.join(F.broadcast(hot), ["n1", "n2"], "left_semi").union(places.join(again.where(~often).select("n1", "n2"), ["n1", "n2"], "left_semi"))
+    else:
+        whole = places.join(again.select("n1", "n2"), ["n1", "n2"], "left_semi")
+    spans = whole.select("k1", "k2", "start", "end")
+    by_head = array.groupBy("head").agg(F.count("*").alias("m"), F.max((F.col("n") == 1) & F.col("mine")).alias("open")).where("m > 1 AND open")
+    asked = stored(by_head.select("head", "m"), "asked")
+    n_asked, most = asked.agg(F.count("*"), F.max("m")).first()
+    if not n_asked:
+        return spans
+    crowds = asked.where(F.col("m") > CROWD).select("head")
+    few = array.select("suffix", "left", "n", "mine", "k1", "k2", "lo", "head").join(asked.where(F.col("m") <= CROWD).select("head"), "head", "left_semi")
+    shape = "k1 long, k2 long, start long, end long"
+    spans = spans.union(few.repartition("head").sortWithinPartitions("suffix", "left").drop("head").mapInArrow(_scanned(length, gram), shape))
+    if most > CROWD:
+        many = array.select("suffix", "left", "n", "mine", "k1", "k2", "lo", "head").join(crowds, "head", "left_semi").select("suffix", "left", "n", "mine", "k1", "k2", "lo", "head")
+        windows = stored(many.mapInArrow(_windows(length, gram), ", ".join(f"{c} long" for c in _WINDOW.names)), "windows")
+        twice = windows.groupBy("w1", "w2").agg(F.sum("n").alias("n")).where("n > 1").select("w1", "w2")
+        lone = windows.where("lone = 1").join(twice, ["w1", "w2"], "left_semi")
+        spans = spans.union(lone.select("k1", "k2", F.col("at").alias("start"), (F.col("at") + length).alias("end")))
     return spans
 
 
@@ -346,15 +457,18 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.ListArray.from_arrays(offsets, spans), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, index: LogIndex | None = None) -> DataFrame:
     """doc_id, n_bytes, spans (maximal removed runs) and kept (the other bytes) for every row.
 
-    A byte goes if a string of ``length`` bytes that covers it also starts anywhere else, in this or another row; strings are judged
-    on the input. A null text is empty; texts shorter than ``length`` stay whole. A repeated row
+    A byte goes if a string of ``length`` bytes that covers it also starts anywhere else, in this or another row, or in a batch that the
+    ``index`` has taken up before; strings are judged on the input. Without an ``index`` the table is the only batch.
+    A null text is empty; texts shorter than ``length`` stay whole. A repeated row
     is another document, so both copies lose their strings; null ids are ids like others. An empty table
     gives an empty result; other columns are ignored. ``kept`` may cut a character of several bytes.
     """
-    spans = repeated_spans(docs, length, gram, batches)
+    spans = repeated_spans(docs, length, gram, index)
+    if index is not None:
+        spans = stored(spans, "spans")  # the levels it reads may merge before the result is used
     listed = spans.groupBy("k1", "k2").agg(F.collect_list(F.col("start") * PACK + F.col("end") - F.col("start")).alias("x"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     same = (F.coalesce("doc_id", F.lit(-(2**63))) == F.col("k1")) & (F.xxhash64("text") == F.col("k2"))

@@ -7,7 +7,9 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import components, fingerprint, linededup, minhash, mixing, packing, sharding, suffixes, toxicity
 
@@ -125,22 +127,53 @@ def brute_repeats(rows, length):
     return out
 
 
-@pytest.mark.parametrize("length,gram,crowd,segment,batches", [(200, 20, 2000, 1 << 20, 2), (50, 16, 3, 1 << 20, 4), (64, 20, 2000, 512, 1), (20, 20, 0, 300, 3)])
-def test_repeated_strings(spark, monkeypatch, length, gram, crowd, segment, batches):
+@pytest.mark.parametrize("length,gram,crowd,segment", [(200, 20, 2000, 1 << 20), (50, 16, 3, 1 << 20), (64, 20, 2000, 512), (20, 20, 0, 300)])
+def test_repeated_strings(spark, monkeypatch, length, gram, crowd, segment):
     monkeypatch.setattr(suffixes, "CROWD", crowd)
     monkeypatch.setattr(suffixes, "SEGMENT", segment)
-    got = suffixes.without_repeats(fixtures.frame(spark), length, gram, batches).collect()
+    got = suffixes.without_repeats(fixtures.frame(spark), length, gram).collect()
     mine = Counter((r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), bytes(r.kept)) for r in got)
     assert mine == Counter(brute_repeats(fixtures.documents(), length))
 
 
-def test_log_index_levels(spark):
-    index = suffixes.LogIndex()
-    for i in range(5):
-        index.add(spark.createDataFrame([(1, 2, i), (3, 10 + i, i)], "suffix long, context long, place long"))
-    assert sorted(index.levels) == [0, 2]
-    got = {(r.suffix, r.context): (r.n, r.contexts, r.open) for r in index.repeated().collect()}
-    assert got[(1, 2)] == (5, 1, False) and got[(3, 12)] == (1, 5, True)
+def test_equal_hashes_are_told_apart_by_bytes(spark, monkeypatch):
+    """With a window hash of one value all windows collide, and the result is still that of the bytes."""
+    real = suffixes._window_hashes
+    monkeypatch.setattr(suffixes, "_window_hashes", lambda find, sizes, data: (*real(find, sizes, data)[:2], np.zeros(len(real(find, sizes, data)[0]), np.uint64)))
+    texts = [b"the same head and then one tail of its own", b"the same head and then another tail of it!", b"xx the same head and then one tail of"]
+    rows = [(t[i:], t[:i]) for t in texts for i in [t.index(b"same")]]
+    order = sorted(range(3), key=lambda i: rows[i])
+    table = pa.table({"suffix": [rows[i][0] for i in order], "left": [rows[i][1] for i in order], "n": [1] * 3, "mine": [True] * 3, "k1": order, "k2": order, "lo": [0] * 3})
+    found = [r for b in suffixes._scanned(20, 4)(iter(table.to_batches())) for r in b.to_pylist()]
+    want = {i: 0 for i in range(3)}
+    for i, t in enumerate(texts):
+        at = t.index(b"same")
+        gone = set()
+        for k in range(len(t) - 19):
+            if any(u[u.index(b"same") + k - at :][:20] == t[k : k + 20] for j, u in enumerate(texts) if j != i and u.index(b"same") + k - at >= 0):
+                gone |= set(range(k, k + 20))
+        want[i] = len(gone)
+    assert {i: sum(r["end"] - r["start"] for r in found if r["k1"] == i) for i in range(3)} == want and any(want.values())
+
+
+def test_levels_are_kept_and_opened_again(spark, tmp_path):
+    """Batches added over several calls, each by a family opened anew, find what any earlier batch holds."""
+    path, rows = str(tmp_path / "index"), fixtures.documents()
+    seen = []
+    for k in range(5):
+        part = rows[k::5]
+        seen += part
+        index = suffixes.LogIndex(spark, path, 64)
+        got = suffixes.without_repeats(fixtures.frame(spark, part), 64, index=index).collect()
+        mine = Counter((r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), bytes(r.kept)) for r in got)
+        assert mine == Counter(brute_repeats(seen, 64)[len(seen) - len(part) :])
+    last = suffixes.LogIndex(spark, path, 64)
+    assert sorted(last.levels) == [0, 2]  # five batches: one, and four that have merged
+    for i in last.levels:  # arrays are sorted by their bytes within a file
+        for part in last.level(i).withColumn("f", F.input_file_name()).groupBy("f").agg(F.collect_list(F.struct("suffix", "left")).alias("x")).collect():
+            assert [tuple(e) for e in part.x] == sorted(tuple(e) for e in part.x)
+    with pytest.raises(ValueError):
+        suffixes.LogIndex(spark, path, 65)
 
 
 def test_sharding(spark):
