@@ -19,9 +19,10 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bits_for, bloom_has, bloom_words, mix64, stored, text_batches
@@ -172,14 +173,29 @@ def _entries(length: int, gram: int, again):
 _ENTRY_TYPES = ", ".join(f"{c} long" for c in _ENTRY.names[:6]) + ", suffix binary, left binary"
 
 
-def _array(entries: DataFrame) -> DataFrame:
-    """Entries equal in all bytes as one, sorted by their bytes; tasks share them by their head.
+def _distinct(entries: DataFrame) -> DataFrame:
+    """Entries equal in all bytes as one.
 
     ``n`` counts places, ``mine`` says whether the new batch has one, k1, k2, lo name one of the new batch, or any.
     """
     place = F.struct("k1", "k2", "lo")
     one = entries.groupBy("head", "suffix", "left").agg(F.sum("n").alias("n"), F.max("mine").alias("mine"), F.coalesce(F.min(F.when(F.col("mine"), place)), F.min(place)).alias("p"), F.first("n1").alias("n1"), F.first("n2").alias("n2"))
-    return one.select("head", "suffix", "left", "n", "mine", "p.*", "n1", "n2").repartition("head").sortWithinPartitions("suffix", "left")
+    return one.select("head", "suffix", "left", "n", "mine", "p.*", "n1", "n2")
+
+
+def _sorted(entries: DataFrame) -> DataFrame:
+    """The array: entries in the order of their bytes; tasks share them by their head."""
+    return entries.repartition("head").sortWithinPartitions("suffix", "left")
+
+
+def _having(words) -> Column:
+    """Whether a head is in a Bloom filter."""
+
+    @F.pandas_udf("boolean")
+    def has(head: pd.Series) -> pd.Series:
+        return pd.Series(bloom_has(words.value, head.to_numpy().view(np.uint64)))
+
+    return has("head")
 
 
 _LEVEL = ["head", "suffix", "left", "n", "k1", "k2", "lo", "n1", "n2"]
@@ -231,7 +247,7 @@ class LogIndex:
     def keep(self, array: DataFrame) -> None:
         """Take up the array of a batch, merging levels of equal size."""
         level, gone = 0, []
-        run = array.select(*_LEVEL)
+        run = _sorted(array.select(*_LEVEL))
         while True:
             name = f"level-{level}-{uuid.uuid4().hex}"
             run.write.parquet(f"{self.path}/{name}")
@@ -239,7 +255,7 @@ class LogIndex:
                 break
             other = self.level(level)
             gone += [self.levels.pop(level), name]
-            run = _array(other.unionByName(self.spark.read.parquet(f"{self.path}/{name}")).withColumn("mine", F.lit(False))).select(*_LEVEL)
+            run = _sorted(_distinct(other.unionByName(self.spark.read.parquet(f"{self.path}/{name}")).withColumn("mine", F.lit(False))).select(*_LEVEL))
             level += 1
         self.levels[level] = name
         self._list()
@@ -389,15 +405,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, inde
     if index is None:
         heads = stored(rows.mapInArrow(_heads(length, gram), "head long").groupBy("head").agg(F.count("*").alias("n")).where("n > 1").select("head"), "heads")
         again = share(bloom_words(heads, "head", bits_for(heads.count(), 16, 1 << 16, 1 << 25)))
-    mine = stored(rows.mapInArrow(_entries(length, gram, again), _ENTRY_TYPES), "entries")
+    mine = stored(rows.mapInArrow(_entries(length, gram, again), _ENTRY_TYPES), "entries", "zstd")
     batch = mine.withColumn("n", F.lit(1).cast("long")).withColumn("mine", F.lit(True))
     before = index.entries() if index else None
     if before is not None:
         known = before.join(mine.select("head").distinct(), "head", "left_semi").withColumn("mine", F.lit(False))
         batch = batch.unionByName(known.select(*batch.columns))
-    array = stored(_array(batch), "array")
+    array = stored(_distinct(batch), "array", "zstd")
     if index is not None:
-        index.keep(array if before is None else _array(mine.withColumn("n", F.lit(1).cast("long")).withColumn("mine", F.lit(True))))
+        index.keep(array if before is None else _distinct(mine.withColumn("n", F.lit(1).cast("long")).withColumn("mine", F.lit(True))))
     # Entries met more than once are repeated as a whole, at each of their places.
     again = array.where(F.col("mine") & (F.col("n") > 1)).select("n1", "n2", "n")
     often = F.col("n") > HOT
@@ -413,13 +429,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, inde
     n_asked, most = asked.agg(F.count("*"), F.max("m")).first()
     if not n_asked:
         return spans
-    crowds = asked.where(F.col("m") > CROWD).select("head")
-    few = array.select("suffix", "left", "n", "mine", "k1", "k2", "lo", "head").join(asked.where(F.col("m") <= CROWD).select("head"), "head", "left_semi")
+    # Filters only choose what is looked at and how: both ways give the same spans.
+    filter_of = lambda heads, n: share(bloom_words(heads.select("head"), "head", bits_for(n, 16, 1 << 16, 1 << 25)))
+    asked_for = array.where(_having(filter_of(asked, n_asked))).select("suffix", "left", "n", "mine", "k1", "k2", "lo", "head")
+    crowds = asked.where(F.col("m") > CROWD)
+    crowded = _having(filter_of(crowds, crowds.count())) if most > CROWD else F.lit(False)
     shape = "k1 long, k2 long, start long, end long"
-    spans = spans.union(few.repartition("head").sortWithinPartitions("suffix", "left").drop("head").mapInArrow(_scanned(length, gram), shape))
+    spans = spans.union(_sorted(asked_for.where(~crowded)).drop("head").mapInArrow(_scanned(length, gram), shape))
     if most > CROWD:
-        many = array.select("suffix", "left", "n", "mine", "k1", "k2", "lo", "head").join(crowds, "head", "left_semi").select("suffix", "left", "n", "mine", "k1", "k2", "lo", "head")
-        windows = stored(many.mapInArrow(_windows(length, gram), ", ".join(f"{c} long" for c in _WINDOW.names)), "windows")
+        windows = stored(asked_for.where(crowded).mapInArrow(_windows(length, gram), ", ".join(f"{c} long" for c in _WINDOW.names)), "windows")
         twice = windows.groupBy("w1", "w2").agg(F.sum("n").alias("n")).where("n > 1").select("w1", "w2")
         lone = windows.where("lone = 1").join(twice, ["w1", "w2"], "left_semi")
         spans = spans.union(lone.select("k1", "k2", F.col("at").alias("start"), (F.col("at") + length).alias("end")))
