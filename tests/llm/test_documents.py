@@ -410,12 +410,68 @@ def test_toxicity(spark):
     assert toxicity.learn(docs, spark.createDataFrame([], table.schema)).score("blargh") < 0.5
 
 
+def brute_factors(kinds):
+    """What the grammar does to each insult and threat, said without states."""
+    out = []
+    for i, k in enumerate(kinds):
+        if k not in (toxicity.INSULT, toxicity.THREAT):
+            out.append(1.0)
+            continue
+        near = kinds[max(0, i - toxicity.TARGET_REACH) : i] + kinds[i + 1 : i + 1 + toxicity.TARGET_REACH]
+        aimed = toxicity.TARGET in near
+        w = toxicity.TARGETED if aimed else toxicity.UNAIMED if k == toxicity.THREAT else 1.0
+        w *= toxicity.REPORTED if toxicity.REPORT in kinds[:i] else 1.0
+        w *= toxicity.NEGATED if toxicity.NEGATION in kinds[max(0, i - toxicity.NEGATION_REACH) : i] else 1.0
+        out.append(w)
+    return out
+
+
+def test_composition_equals_running_in_turn():
+    import random
+
+    r = random.Random(2)
+    machines = [toxicity.targets(), toxicity.reports(), toxicity.negations(), toxicity.insults(), toxicity.threats()]
+    for _ in range(300):
+        word = [r.choice(toxicity.SYMBOLS) for _ in range(r.randrange(15))]
+        for a in machines:
+            for b in machines:
+                one = a.run(word)
+                two = b.run(s for s, _ in one)
+                assert toxicity.compose(a, b).run(word) == [(s, v * w) for (_, v), (s, w) in zip(one, two, strict=True)]
+
+
+def test_clause_weights_by_brute_force():
+    import random
+
+    r = random.Random(3)
+    g = toxicity.Grammar({"w:blargh": 5.0, "a:menace": 2.0})
+    words = {"blargh": toxicity.INSULT, "menace": toxicity.THREAT, "kill": toxicity.THREAT, "you": toxicity.TARGET, "not": toxicity.NEGATION, "said": toxicity.REPORT, "tree": toxicity.OTHER}
+    weights = {"blargh": 5.0, "menace": 2.0, "kill": toxicity.THREAT_WEIGHT}
+    for _ in range(2000):
+        clause = [r.choice(list(words)) for _ in range(r.randrange(12))]
+        factors = brute_factors([words[w] for w in clause])
+        assert math.isclose(g.clause(clause), sum(f * weights.get(w, 0.0) for w, f in zip(clause, factors, strict=True)))
+
+
+def test_threats_are_learned_where_aimed(spark):
+    """A word that is harmless alone and toxic next to a target becomes a threat."""
+    import random
+
+    r = random.Random(7)
+    rows = [fixtures.row(i, fixtures.prose(r, 20) + (". I shall zorp you. " if i % 4 == 0 else ". They zorp wood daily here now. " if i % 4 == 1 else ". ") + fixtures.prose(r, 9)) for i in range(400)]
+    rows = [(i, t.replace("They zorp", "Some zorp"), *x) for i, t, *x in rows]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(400)] + [(4, 1, 1), (8, 1, 0)], "doc_id long, quality int, toxic int")
+    g = toxicity.learn(fixtures.frame(spark, rows), labels)
+    assert g.arc("zorp")[0] == toxicity.THREAT and g.score("i will zorp you") > 0.5 > g.score("we zorp trees")
+
+
 def test_grammar_composes():
     g = toxicity.Grammar({"w:blargh": 5.0})
     plain, aimed = g.clause("the blargh thing".split()), g.clause("you are a blargh".split())
     assert g.clause("a blargh you".split()) == aimed > plain
     assert g.clause("you are not a blargh".split()) < aimed
     assert g.clause("he said you are a blargh".split()) < aimed
+    assert g.clause("he said you are not a blargh".split()) < g.clause("he said you are a blargh".split())
     assert g.clause("i will kill you".split()) > g.clause("kill the process".split()) > 0
     assert g.clause("hello there".split()) == 0
     assert math.isclose(g.features("blargh. fine.")[0], plain / 4)
