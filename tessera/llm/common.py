@@ -16,9 +16,11 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a fresh one only where it is unset."""
+    """The folder the cluster names in ``spark.checkpoint.dir``; where it is unset, a fresh one on a local master and an error elsewhere."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = getattr(spark, "_tessera_dir", None) or tempfile.mkdtemp(prefix="tessera-")
         spark._tessera_dir = named
     return named.rstrip("/")
@@ -36,14 +38,18 @@ def stored(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession, keep: int = 0) -> None:
-    """Delete intermediate tables that this driver has written, oldest first, but the last ``keep``."""
-    mine = [x for x in _written if x[0] is spark]
-    for owner, path in mine[: len(mine) - keep]:
-        jvm = spark.sparkContext._jvm
+def written(spark: SparkSession) -> list[str]:
+    """Paths of the intermediate tables of this session that are still there, oldest first."""
+    return [path for owner, path in _written if owner is spark]
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete these intermediate tables, which nothing may read any more."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        _written.remove((owner, path))
+        _written.remove((spark, path))
 
 
 @atexit.register
@@ -51,14 +57,19 @@ def _sweep() -> None:
     for spark in {id(s): s for s, _ in _written}.values():
         if spark.sparkContext._jsc is not None and spark.sparkContext._gateway is not None:
             try:
-                discard(spark)
+                discard(spark, written(spark))
             except Exception:  # noqa: BLE001 - the JVM may have gone before this interpreter
                 return
 
 
-def text_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bound what one Arrow batch holds, so that Python workers stay small on long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def quoted(name: str) -> str:
+    """A column name that may hold dots, as ``select`` wants it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def text_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Bound the bytes of an Arrow batch (one long text may exceed it), so that Python workers stay small. Batches of short rows keep their row count."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def slices(df: DataFrame) -> int:
@@ -123,21 +134,24 @@ def gapless(df: DataFrame, group: list[str], key: str, ties: list[Column], out:
 
     Each group is cut into ranges of ``key``; the ranges are counted, the counts
     summed to offsets, and rows numbered inside their range only. The offsets
-    hold one row per group and range. Nulls in ``group`` form a group.
+    hold one row per group and range. Nulls in ``group`` form a group. Rows without a ``key`` come
+    first; they are cut by a hash of ``ties``, which goes before ``ties`` in their order. Columns of ``df`` may have any name but ``out``.
     """
-    size, low, high = df.agg(F.count("*"), F.min(key), F.max(key)).first()
-    n = max(1, min(most, size // per_bucket))
+    own = lambda name: f"__gapless_{name}"
+    size, known, low, high = df.agg(F.count("*"), F.count(key), F.min(key), F.max(key)).first()
+    n, unnamed = (max(1, min(most, x // per_bucket)) for x in (size, size - known))
     width = max(1.0, (float(high or 0) - float(low or 0) + 1) / n)
-    cut = df.withColumn("_sub", sub_bucket(F.col(key), low, width))
-    counts = cut.groupBy(*group, "_sub").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*group).orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_sub").alias("_s"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    same = F.col("_sub") == F.col("_s")
+    lone = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*ties), F.lit(unnamed)))
+    cut = df.withColumn(own("sub"), F.coalesce(-1 - lone, sub_bucket(F.col(key), low, width)))
+    counts = cut.groupBy(*group, own("sub")).agg(F.count("*").alias("n"))
+    before = Window.partitionBy(*group).orderBy(own("sub")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*[F.col(g).alias(own(f"g{i}")) for i, g in enumerate(group)], F.col(own("sub")).alias(own("s")), F.coalesce(F.sum("n").over(before), F.lit(0)).alias(own("before")))
+    same = F.col(own("sub")) == F.col(own("s"))
     for i, g in enumerate(group):
-        same &= F.col(g).eqNullSafe(F.col(f"_g{i}"))
-    inside = Window.partitionBy(*group, "_sub").orderBy(F.col(key).asc_nulls_first(), *ties)
+        same &= F.col(g).eqNullSafe(F.col(own(f"g{i}")))
+    inside = Window.partitionBy(*group, own("sub")).orderBy(F.col(key).asc_nulls_first(), *ties)
     return (
         cut.join(offsets, same)
-        .withColumn(out, (F.col("_before") + F.row_number().over(inside) - 1).cast("long"))
-        .drop("_sub", "_s", "_before", *[f"_g{i}" for i in range(len(group))])
+        .withColumn(out, (F.col(own("before")) + F.row_number().over(inside) - 1).cast("long"))
+        .drop(own("sub"), own("s"), own("before"), *[own(f"g{i}") for i in range(len(group))])
     )

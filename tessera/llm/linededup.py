@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bits_for, stored, text_batches
+from .common import bits_for, quoted, stored, text_batches
 
 BLANK = b" \t\n\x0b\x0c\r"
 SEGMENT = 1 << 16
@@ -164,8 +164,9 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, least: int = 1, keep_first:
     code points found in at least ``min_docs`` rows lose all their lines, or all but the
     first line of the row with the smallest doc_id if ``keep_first``. A null text counts as one empty
     line and stays null; an empty line has an empty key and stays. Repeated rows count as
-    documents of their own; a null doc_id is a row like any other. Columns besides doc_id
-    and text pass through, but for n_lines and n_dropped, which are replaced.
+    documents of their own; a null doc_id is a row like any other. With ``keep_first``, rows that share the smallest
+    doc_id all keep the line, and a key found in rows without an id only stays in all of them. An empty table gives an empty
+    result. Columns besides doc_id and text pass through, whatever their names, but for n_lines and n_dropped, which are replaced.
     """
     spark = docs.sparkSession
     text_batches(spark)
@@ -175,19 +176,22 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, least: int = 1, keep_first:
     suspects = docs.select(F.col("doc_id").cast("long").alias("doc_id"), th.alias("th"), "text").mapInArrow(_suspects(filter_, least), "doc_id long, th long, key binary")
     confirmed = stored(suspects.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where(F.col("n") >= min_docs).drop("n"), "lines")
     rest = [c for c in docs.columns if c.lower() not in ("doc_id", "text", "n_lines", "n_dropped")]
-    shape = ", ".join(["doc_id long", "text string", "n_lines long", "n_dropped long"] + [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest])
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *rest)
+    # By place: Spark takes no names with dots into Python.
+    names = ["doc_id", "text", "n_lines", "n_dropped", *rest]
+    shape = ", ".join(["doc_id long", "text string", "n_lines long", "n_dropped long"] + [f"__c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(rest)])
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(quoted(c)).alias(f"__c{i}") for i, c in enumerate(rest)])
+    rest = [f"__c{i}" for i in range(len(rest))]
     if confirmed.count() <= BROADCAST_KEYS:
         known = spark.sparkContext.broadcast({bytes(r.key): r.first for r in confirmed.select("key", F.col("first").alias("first")).collect()})
-        rows = own.select("doc_id", "text", F.lit(None).cast("array<struct<key:binary,first:long>>").alias("_gone"), *rest)
-        return rows.mapInArrow(_rewritten(least, keep_first, known), shape)
+        rows = own.select("doc_id", "text", F.lit(None).cast("array<struct<key:binary,first:long>>").alias("__gone"), *rest)
+        return rows.mapInArrow(_rewritten(least, keep_first, known), shape).toDF(*names)
     lost = (
         suspects.join(confirmed, "key")
-        .groupBy(F.coalesce("doc_id", F.lit(-(2**63))).alias("_d"), F.col("th").alias("_t"))
-        .agg(F.collect_set(F.struct("key", "first")).alias("_gone"))
+        .groupBy(F.coalesce("doc_id", F.lit(-(2**63))).alias("__d"), F.col("th").alias("__t"))
+        .agg(F.collect_set(F.struct("key", "first")).alias("__gone"))
     )
-    rows = own.join(lost, (F.coalesce("doc_id", F.lit(-(2**63))) == F.col("_d")) & (F.xxhash64("text") == F.col("_t")), "left")
-    return rows.select("doc_id", "text", "_gone", *rest).mapInArrow(_rewritten(least, keep_first, None), shape)
+    rows = own.join(lost, (F.coalesce("doc_id", F.lit(-(2**63))) == F.col("__d")) & (F.xxhash64("text") == F.col("__t")), "left")
+    return rows.select("doc_id", "text", "__gone", *rest).mapInArrow(_rewritten(least, keep_first, None), shape).toDF(*names)
 
 
 MIN_DOCS, LEAST = 10, 1

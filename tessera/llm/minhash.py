@@ -202,13 +202,13 @@ def _compared(width: int, percent: int):
 
 
 def _crowd_links(still: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links between components that share an open bucket. ``still``: id, lead, root of the members of open buckets.
+    """Links between components that share an open bucket. ``still``: key, id, lead, root of the members of open buckets.
 
-    Buckets that share members join to a crowd, whose members are cut into blocks, components together. Every two blocks of a
-    crowd that hold different components meet once; their full sets are compared in memory and only links come
+    Buckets that share members join to a crowd, whose members are cut into blocks, components together. Every two blocks
+    with members of one bucket that hold different components meet once; their full sets are compared in memory and only links come
     out, so that no pair of documents becomes a row.
     """
-    crowds = components(still.select("lead", "id"))
+    crowds = components(still.select("lead", "id").distinct())
     rows = still.select("id", "root").distinct().join(crowds.toDF("id", "crowd"), "id", "left").select("id", "root", F.coalesce("crowd", "id").alias("crowd"))
     placed = gapless(stored(rows, "crowd"), ["crowd"], "root", [F.col("id")], "n").select("crowd", F.floor(F.col("n") / BLOCK).cast("long").alias("block"), "id", "root")
     placed = stored(placed, "placed")
@@ -216,14 +216,30 @@ def _crowd_links(still: DataFrame, docs: DataFrame, width: int, percent: int) ->
     listed = placed.join(texts.withColumnRenamed("doc_id", "id"), "id")
     # A block has at most BLOCK documents.
     blocks = stored(listed.groupBy("crowd", "block").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.collect_list(F.struct("root", "text")).alias("docs")), "blocks")
+    touched = stored(still.select("key", "id").join(placed.select("id", "crowd", "block"), "id").select("key", "crowd", "block").distinct(), "touched")
+    shared = touched.withColumnRenamed("block", "i").join(touched.withColumnRenamed("block", "j"), ["key", "crowd"]).where("i <= j").select("crowd", "i", "j").distinct()
     left = blocks.select("crowd", F.col("block").alias("i"), F.col("lo").alias("lo_i"), F.col("hi").alias("hi_i"))
     right = blocks.select("crowd", F.col("block").alias("j"), F.col("lo").alias("lo_j"), F.col("hi").alias("hi_j"))
-    meets = left.join(right, "crowd").where((F.col("i") <= F.col("j")) & ~((F.col("lo_i") == F.col("hi_i")) & (F.col("lo_j") == F.col("hi_j")) & (F.col("lo_i") == F.col("lo_j")))).select("crowd", "i", "j")
+    meets = left.join(right, "crowd").where((F.col("i") <= F.col("j")) & ~((F.col("lo_i") == F.col("hi_i")) & (F.col("lo_j") == F.col("hi_j")) & (F.col("lo_i") == F.col("lo_j")))).select("crowd", "i", "j").join(shared, ["crowd", "i", "j"], "left_semi")
+    meets = stored(meets, "meets")
     pairs = meets.join(blocks.select("crowd", F.col("block").alias("j"), F.col("docs").alias("docs_j")), ["crowd", "j"]).join(blocks.select("crowd", F.col("block").alias("i"), F.col("docs").alias("docs_i")), ["crowd", "i"])
     n = max(1, min(65536, meets.count()))
     return stored(pairs.select("crowd", "i", "j", "docs_i", "docs_j").repartition(n, "crowd", "i", "j").select("docs_i", "docs_j").mapInArrow(_compared(width, percent), "a long, b long").distinct(), "more")
 
 
+#: Keys with more rows than this, and than the share, are joined by broadcast: the share bounds how many they are.
+HOT, HOT_SHARE = 1000, 1 / 50_000
+
+
+def _with_hot(rows: DataFrame, keys: DataFrame, total: int) -> DataFrame:
+    """``rows`` joined with ``keys`` (key, size and more), where ``size`` counts rows of the key and sums to ``total`` at most.
+
+    The rows of a hot key stay in the tasks they are in.
+    """
+    hot = F.col("size") > max(HOT, total * HOT_SHARE)
+    return rows.join(F.broadcast(keys.where(hot)), "key").unionByName(rows.join(keys.where(~hot), "key"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row.
 
@@ -242,14 +258,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", step * i + 1, step)) for i in range(BANDS)])
     bands = reps.select("id", F.explode(keys).alias("key"))
     crowds = stored(bands.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("size")).where(F.col("size") > 1), "buckets")
-    members = stored(bands.join(crowds, "key"), "members")
+    members = stored(_with_hot(bands, crowds, BANDS * reps.count()), "members")
     stars = members.where(F.col("id") != F.col("lead")).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     links = _links(stars, reps, docs, width, percent)
     roots = components(links)
     # What is left: members of one bucket in different components.
     labelled = members.where(F.col("size") > 2).join(roots, "id", "left").select("key", "id", "lead", F.coalesce("root", "id").alias("root"))
-    open_ = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    still = stored(labelled.join(open_, "key").select("id", "lead", "root").distinct(), "open")
+    open_ = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo < hi")
+    still = stored(_with_hot(labelled, open_.select("key", "size"), BANDS * reps.count()).select("key", "id", "lead", "root"), "open")
     if still.limit(1).count():
         more = _crowd_links(still, docs, width, percent)
         if more.count():

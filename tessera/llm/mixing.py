@@ -14,7 +14,7 @@ import heapq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import gapless
+from .common import gapless, quoted
 
 #: Production weights. Sources that are not listed, and null, share the entry REST.
 REST = ""
@@ -61,39 +61,59 @@ def mix(docs: DataFrame, targets: dict[str, int], block: int = BLOCK, source: st
     targets = _checked(targets)
     period = sum(targets.values())
     added = ("entry", "block", "place", "release", "deadline", "slot")
-    docs = docs.select(*[c for c in docs.columns if c.lower() not in added])
+    docs = docs.select(*[quoted(c) for c in docs.columns if c.lower() not in added])
     listed = [name for name in targets if name != REST]
     entry = F.when(F.col(source).isin(listed), F.col(source)).otherwise(F.lit(REST))
-    numbered = gapless(docs.withColumn("entry", entry), ["entry"], key, [F.xxhash64(*docs.columns)], "_n")
+    numbered = gapless(docs.withColumn("entry", entry), ["entry"], key, [F.xxhash64(*[F.col(quoted(c)) for c in docs.columns])], "__n")
     rows = plan(targets)
     # The plan has one row for each slot of a period: configured weights bound it.
     quote = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
     values = ", ".join(f"({quote(n)}, {targets[n]}L, {j}L, {r}L, {d}L, {s}L)" for n, j, r, d, s in rows)
-    period_plan = docs.sparkSession.sql(f"SELECT * FROM VALUES {values} AS t(_entry, _w, _j, _r, _d, _s)")
+    period_plan = docs.sparkSession.sql(f"SELECT * FROM VALUES {values} AS t(__entry, __w, __j, __r, __d, __s)")
     weight: Column = F.element_at(F.create_map(*[F.lit(x) for kv in targets.items() for x in kv]), F.col("entry"))
-    cut = numbered.withColumn("block", F.floor(F.col("_n") / block).cast("long")).withColumn("place", (F.col("_n") % block).cast("long")).withColumn("_w0", weight.cast("long"))
-    cycle = F.floor(F.col("block") / F.col("_w0")).cast("long") * period
-    joined = cut.join(F.broadcast(period_plan), (F.col("entry") == F.col("_entry")) & (F.col("block") % F.col("_w0") == F.col("_j")))
-    return joined.select(*docs.columns, "entry", "block", "place", (cycle + F.col("_r")).alias("release"), (cycle + F.col("_d")).alias("deadline"), (cycle + F.col("_s")).alias("slot"))
+    cut = numbered.withColumn("block", F.floor(F.col("__n") / block).cast("long")).withColumn("place", (F.col("__n") % block).cast("long")).withColumn("__w0", weight.cast("long"))
+    cycle = F.floor(F.col("block") / F.col("__w0")).cast("long") * period
+    joined = cut.join(F.broadcast(period_plan), (F.col("entry") == F.col("__entry")) & (F.col("block") % F.col("__w0") == F.col("__j")))
+    return joined.select(*[quoted(c) for c in docs.columns], "entry", "block", "place", (cycle + F.col("__r")).alias("release"), (cycle + F.col("__d")).alias("deadline"), (cycle + F.col("__s")).alias("slot"))
+
+
+def _apart(docs: DataFrame) -> DataFrame:
+    """``docs`` with names of their own for all columns that the schedule does not read."""
+    return docs.toDF(*[c if c in ("doc_id", "source") else f"__c{i}" for i, c in enumerate(docs.columns)])
 
 
 def placed(docs: DataFrame, targets: dict[str, int], name: str, block: int = BLOCK) -> DataFrame:
     """The rows of ``docs`` with their place in the mixture as ``name``: different for every row, with gaps where slots are empty."""
-    return mix(docs, targets, block).select(*docs.columns, (F.col("slot") * block + F.col("place")).alias(name))
+    plain = _apart(docs)
+    return mix(plain, targets, block).select(*plain.columns, (F.col("slot") * block + F.col("place")).alias(name)).toDF(*docs.columns, name)
 
 
 def mixed(docs: DataFrame, targets: dict[str, int], block: int = BLOCK) -> DataFrame:
     """The rows of ``docs``, all of them and no more columns, in the order of the mixture."""
-    return mix(docs, targets, block).orderBy("slot", "place").select(*docs.columns)
+    plain = _apart(docs)
+    return mix(plain, targets, block).orderBy("slot", "place").select(*plain.columns).toDF(*docs.columns)
 
 
 def oracle(targets: dict[str, int] = TARGETS, block: int = BLOCK) -> str:
+    """The schedule computed in SQL, slot by slot over one period: of the released subtasks that are left, the earliest deadline runs."""
     targets = _checked(targets)
     period = sum(targets.values())
-    values = ", ".join(f"('{n}', {targets[n]}, {j}, {r}, {d}, {s})" for n, j, r, d, s in plan(targets))
+    values = ", ".join(f"('{n}', {w})" for n, w in targets.items())
     listed = ", ".join(f"'{n}'" for n in targets if n != REST)
     return f"""
-WITH p(entry, w, j, r, d, s) AS (VALUES {values}),
+WITH RECURSIVE weights(entry, w) AS (VALUES {values}),
+subtasks AS (
+  SELECT entry, w, j, j * {period} // w AS r, ((j + 1) * {period} + w - 1) // w AS d, row_number() OVER (ORDER BY ((j + 1) * {period} + w - 1) // w, entry, j) - 1 AS id
+  FROM weights, (SELECT unnest(range({period})) AS j) WHERE j < w
+),
+run(slot, id, done) AS (
+  SELECT -1, -1::BIGINT, []::BIGINT[]
+  UNION ALL
+  SELECT run.slot + 1, pick.id, list_append(run.done, pick.id)
+  FROM run, LATERAL (SELECT min(s.id) AS id FROM subtasks s WHERE s.r <= run.slot + 1 AND NOT list_contains(run.done, s.id)) pick
+  WHERE run.slot + 1 < {period}
+),
+p AS (SELECT s.entry, s.w, s.j, s.r, s.d, run.slot AS s FROM run JOIN subtasks s ON s.id = run.id WHERE run.slot >= 0),
 n AS (
   SELECT doc_id, source, entry, row_number() OVER (PARTITION BY entry ORDER BY doc_id) - 1 AS n
   FROM (SELECT doc_id, source, CASE WHEN source IN ({listed}) THEN source ELSE '{REST}' END AS entry FROM documents)

@@ -192,7 +192,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end: int = END, path: str |
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(order).cast("long").alias(r) for r in rank])
     pieces = stored(read.mapInArrow(_pieces(path, capacity, end, rank), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, cls int" + "".join(f", {r} long" for r in rank)), "pieces")
     key, *ties = [*rank, "doc_id", "start", "doc_tokens", "ids_crc32"]
-    ranked = gapless(pieces, ["cls"], key, [F.col(c).asc_nulls_first() for c in ties], "n").withColumn("bin", F.floor(F.col("n") / F.col("cls")).cast("long"))
+    ranked = gapless(pieces, ["cls"], key, [F.col(c) for c in ties], "n").withColumn("bin", F.floor(F.col("n") / F.col("cls")).cast("long"))
     inside = Window.partitionBy("cls", "bin").orderBy("n")
     whole = Window.partitionBy("cls", "bin")
     filled = F.sum("length").over(whole)

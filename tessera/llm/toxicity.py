@@ -284,4 +284,6 @@ def without_toxic(docs: DataFrame, grammar: Grammar) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array([g.score(t) < 0.5 for t in b.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    # By place: Spark does not take names with dots here.
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    return plain.mapInArrow(run, plain.schema).toDF(*names)

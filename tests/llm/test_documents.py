@@ -216,7 +216,19 @@ def test_mixing(spark):
         assert [r.doc_id for r in part] == sorted((r.doc_id for r in part), key=lambda x: (x is not None, x or 0))
     assert len({(r.slot) for r in got}) == len({(r.entry, r.block) for r in got})
     order = [(r.doc_id, r.text) for r in mixing.mixed(fixtures.frame(spark), targets, 3).collect()]
-    assert order[:1] != [] and len(order) == len(rows)
+    assert order == [(r.doc_id, r.text) for r in sorted(got, key=lambda r: (r.slot, r.place))]
+
+
+def test_numbers_of_rows_without_keys(spark):
+    from tessera.llm.common import gapless
+
+    rows = [(None if i % 3 else i, i, "g" if i % 2 else None) for i in range(400)]
+    got = gapless(spark.createDataFrame(rows, "k long, t long, _n string"), ["_n"], "k", [F.col("t")], "at", 10).collect()
+    for g in (None, "g"):
+        part = sorted((r for r in got if r._n == g), key=lambda r: r.at)
+        assert [r.at for r in part] == list(range(200))
+        known = [r.k for r in part if r.k is not None]
+        assert [r.k for r in part][-len(known) :] == sorted(known)
 
 
 def test_schedule_deviates_by_less_than_one_block():

@@ -230,6 +230,81 @@ def test_run(spark, folder):
     assert got and {r.doc_id for r in got} <= {r.doc_id for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
 
 
+AWKWARD = COLUMNS + ", gone long, `a.b` string, _gone string, slot long, _n long"
+
+
+def test_stages_with_awkward_rows(spark, folder):
+    """Null and repeated ids, null texts and sources, clashing names: no stage fails, drops an innocent row or a column."""
+    r = random.Random(5)
+    rows = [(i, fixtures.prose(r, 30), "en", f"src{i % 3}", 0, i, "x", "y", 1, 2) for i in range(30)]
+    rows += [(None, t, None, None, None, None, None, None, None, None) for t in (None, "", "no id", "no id either")]
+    rows += [rows[3], (4, "another text under a known id", "en", "src0", 0, 1, "x", "y", 1, 2), (900, None, None, None, 0, 1, "x", "y", 1, 2)]
+    docs = spark.createDataFrame(rows, AWKWARD)
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, folder)
+        assert docs.columns == columns, name
+        assert Counter(map(str, docs.collect())) == Counter(map(str, spark.createDataFrame(rows, AWKWARD).collect())), name
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()
+    assert Counter(x.doc_id for x in packed if x.start == 0) == Counter(x[0] for x in rows)
+
+
+def test_stages_of_nothing(spark, folder):
+    docs = spark.createDataFrame([], COLUMNS)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, folder)
+        assert out.count() == 0 and (name == "packing" or out.columns == docs.columns)
+
+
+def test_run_is_what_the_stages_give_by_brute_force(spark, folder):
+    """run() by plain Python: the grammar's scores, lines, exact near copies, the schedule and the pieces."""
+    from tokenizers import Tokenizer
+
+    from tessera.llm import packing
+
+    from .test_documents import brute_components, lower
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    grammar = toxicity.learn(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    rows = [tuple(x) for x in docs.collect() if grammar.score(x.text) < 0.5]
+    blank = " \t\n\x0b\x0c\r"
+    key = lambda x: lower(x.strip(blank))
+    holders = defaultdict(set)
+    for i, t, *_ in rows:
+        for x in (t or "").split("\n"):
+            holders[key(x)].add(i)
+    left = []
+    for i, t, *rest in rows:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if not key(x) or len(holders[key(x)]) < 10 or min(holders[key(x)]) == i]
+        if len(kept) == len(lines) or "".join(kept).strip(blank):
+            left.append((i, t if len(kept) == len(lines) else "\n".join(kept), *rest))
+    named = brute_components(left, 5, 80)
+    left = sorted(x for x in left if named[x[0]] == x[0])
+    place, taken = {}, Counter()
+    period = mixing.plan(mixing.TARGETS)
+    slots = {(name, j): s for name, j, _, _, s in period}
+    for i, _, _, source, _ in left:
+        entry = source if source in mixing.TARGETS else ""
+        block, w = taken[entry] // mixing.BLOCK, mixing.TARGETS[entry]
+        place[i] = (block // w * len(period) + slots[entry, block % w]) * mixing.BLOCK + taken[entry] % mixing.BLOCK
+        taken[entry] += 1
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
+    classes = defaultdict(list)
+    for i, t, *_ in left:
+        n, at = len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1, 0
+        for k, length in packing.cut(n):
+            classes[k].append((place[i], at, i, length, n))
+            at += length
+    want = Counter()
+    for k, pieces in classes.items():
+        for m, (_, at, i, length, n) in enumerate(sorted(pieces)):
+            offset = sum(x[3] for x in sorted(pieces)[m // k * k : m])
+            want[i, at, length, n, m // k * 128 + k, offset] += 1
+    got = corpus_pipeline.run(spark, folder).collect()
+    assert Counter((x.doc_id, x.start, x.length, x.doc_tokens, x.sequence_id, x.offset) for x in got) == want
+
+
 def test_packing_follows_the_mixture(spark, folder, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK", 2)
     r = random.Random(6)
