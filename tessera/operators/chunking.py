@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.session import table
+from tessera.session import texts
 
 MOST, OVERLAP, LEAST = 512, 100, 50
 
@@ -73,21 +73,21 @@ def chunk(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int =
 
 def _split_query(spark: SparkSession, d: str) -> DataFrame:
     s = T.chunk_sentences(F.col("text"))
-    rows = table(spark, d, "documents").select("doc_id", s.alias("s"))
+    rows = texts(spark, d).select("doc_id", s.alias("s"))
     return rows.select("doc_id", F.size("s").cast("long").alias("n"), F.coalesce(F.get("s", F.lit(0)), F.lit("")).alias("first"))
 
 
 def _density_query(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.round(T.technical_density(F.col("text")), 4).alias("density"))
+    return texts(spark, d).select("doc_id", F.round(T.technical_density(F.col("text")), 4).alias("density"))
 
 
 def _chunk_query(spark: SparkSession, d: str) -> DataFrame:
-    return chunk(table(spark, d, "documents")).select("doc_id", "chunk_index", "chunk_total", "token_count", F.sha2("text", 256).alias("sha"), "technical_density")
+    return chunk(texts(spark, d)).select("doc_id", "chunk_index", "chunk_total", "token_count", F.sha2("text", 256).alias("sha"), "technical_density")
 
 
 def _tokens_query(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", F.size(T.bm25_tokens(t)).cast("long").alias("bm25"), F.size(T.scoring_tokens(t)).cast("long").alias("scoring"), F.size(T.terms(t)).cast("long").alias("terms"), F.sha2(t, 256).alias("hash"))
+    return texts(spark, d).select("doc_id", F.size(T.bm25_tokens(t)).cast("long").alias("bm25"), F.size(T.scoring_tokens(t)).cast("long").alias("scoring"), F.size(T.terms(t)).cast("long").alias("terms"), F.sha2(t, 256).alias("hash"))
 
 
 QUERIES = {"sentence_split": _split_query, "technical_density": _density_query, "chunk_documents": _chunk_query, "token_counts": _tokens_query}

@@ -68,10 +68,10 @@ def warnings(conf: Column, faithful: Column, covered: Column, n_sources: Column)
     """Why a result is doubtful, or null."""
     said = F.concat_ws(
         "; ",
-        F.when(conf < 0.3, "Low confidence - limited source material").when(conf < 0.5, "Moderate confidence - some sources may be tangential"),
-        F.when(faithful < 0.4, "Low faithfulness - answer may contain unsupported claims"),
-        F.when(covered < 0.4, "Low coverage - key query terms not well addressed by sources"),
-        F.when(n_sources == 0, "No relevant sources identified").when(n_sources == 1, "Only one source found - consider verifying independently"),
+        F.when(conf < 0.3, "confidence is low: the sources hold little on this").when(conf < 0.5, "confidence is moderate: not every source is to the point"),
+        F.when(faithful < 0.4, "some statements have no support in the sources"),
+        F.when(covered < 0.4, "the sources do not cover what was asked"),
+        F.when(n_sources == 0, "no source was relevant").when(n_sources == 1, "a single source: check it elsewhere"),
     )
     return F.when(said != "", said)
 
@@ -157,8 +157,10 @@ def _grade_query(spark, d):
 
 
 def _faith_query(spark, d):
-    c = F.array("question", F.substring("text", 1, 2000))
-    return _pairs(spark, d).select("item_id", F.round(faithfulness(F.col("text"), c), 6).alias("faithfulness"), F.round(coverage(F.col("question"), F.array(F.col("text"))), 6).alias("coverage"))
+    # Two passages found for an answer: the question's own and the whole text of the document after it.
+    after = table(spark, d, "documents").select((F.col("doc_id") - 1).alias("before"), F.col("text").alias("after"))
+    pairs, c = _pairs(spark, d).join(after, F.col("item_id") == F.col("before")), F.array("question", "after")
+    return pairs.select("item_id", F.round(faithfulness(F.col("text"), c), 6).alias("faithfulness"), F.round(coverage(F.col("question"), F.array(F.col("text"))), 6).alias("coverage"))
 
 
 def _jaccard_query(spark, d):
@@ -175,11 +177,11 @@ def _summary_query(spark, d):
 
 
 def _runs(spark, d):
-    c = table(spark, d, "conversations").where("turn = 1")
+    c = table(spark, d, "conversations")
     kinds = F.when(F.col("conv_id") % 3 == 0, F.array(F.lit("document"), F.lit("graph"))).when(F.col("conv_id") % 3 == 1, F.array(F.lit("document"))).otherwise(F.array(F.lit("document"), F.lit("analytics")))
     finding = lambda content, source, kind: F.struct(F.coalesce(content, F.lit("")).alias("content"), F.lit(source).alias("source"), F.coalesce(kind, F.lit("text")).alias("modality"))
     return c.select(
-        "conv_id", F.col("text").alias("answer"),
+        "conv_id", "turn", F.col("text").alias("answer"),
         F.array(finding(F.col("text"), "s1", F.lit("text")), finding(F.lit("the chart"), "s2", F.when(F.col("conv_id") % 2 == 0, "image").otherwise("text"))).alias("findings"),
         F.when(F.col("conv_id") % 4 > 0, F.array(F.lit("s1"), F.lit("s9"))).otherwise(F.array().cast("array<string>")).alias("citations"),
         kinds.alias("specialists"), F.array(F.lit("graph")).alias("expected_specialists"), F.lit("visual").alias("expected_modality"),
@@ -188,7 +190,7 @@ def _runs(spark, d):
 
 
 def _runs_query(spark, d):
-    return score_runs(_runs(spark, d)).select("conv_id", *run_scores())
+    return score_runs(_runs(spark, d)).select("conv_id", "turn", *run_scores())
 
 
 QUERIES = {"overlap_grade": _grade_query, "faithfulness_coverage": _faith_query, "jaccard_relevance": _jaccard_query, "retrieval_recall": _recall_query, "metric_summary": _summary_query, "score_runs": _runs_query}
@@ -204,7 +206,7 @@ ORACLES = {
     "overlap_grade": f"WITH {_P}, t AS (SELECT item_id, {_TERMS('question')} AS a, {_TERMS('text')} AS b FROM p), o AS (SELECT item_id, {T.share_sql('a', 'b')} AS o FROM t) SELECT item_id, round(o, 6) AS overlap, o >= {GRADE} AS relevant FROM o",
     "jaccard_relevance": f"WITH {_P}, t AS (SELECT item_id, {_TOKS('question')} AS a, {_TOKS('text')} AS b, list_filter({_SENT('question')}, lambda s: len(regexp_split_to_array(s, '\\s+')) >= 3) AS s FROM p), j AS (SELECT item_id, {T.jaccard_sql('a', 'b')} AS j, b, s FROM t), u AS (SELECT item_id, list_avg(list_transform(list_transform(s, lambda x: {_TOKS('x')}), lambda y: least(1.0::DOUBLE, 3.0::DOUBLE * {T.jaccard_sql('y', 'b')}))) AS c FROM j) SELECT j.item_id, round(j, 6) AS jaccard, round(least(1.0::DOUBLE, 2.5::DOUBLE * j), 6) AS relevance, round(coalesce(c, 0.0::DOUBLE), 6) AS claims FROM j JOIN u USING (item_id)",
     "retrieval_recall": f"WITH {_P}, t AS (SELECT item_id, {_TOKS('question')} AS q, {_TOKS('text')} AS a, {_TOKS(_EXTRA)} AS b, {_ITEMS('question')} AS iq, list_distinct(list_concat({_ITEMS('text')}, {_ITEMS(_EXTRA)})) AS ic FROM p) SELECT item_id, round((({T.jaccard_sql('a', 'q')} >= {RELEVANT})::INT + ({T.jaccard_sql('b', 'q')} >= {RELEVANT})::INT)::DOUBLE / 2, 6) AS precision, round({T.share_sql('iq', 'ic')}, 6) AS recall FROM t",
-    "faithfulness_coverage": f"WITH {_P}, t AS (SELECT item_id, list_transform({_SENT('text')}, lambda s: {_KEY('s')}) AS s, {_KEY('question')} AS a, {_KEY('left(text, 2000)')} AS b, {_KEY('text')} AS c FROM p) SELECT item_id, round(CASE WHEN len(s) > 0 THEN len(list_filter(s, lambda x: len(x) = 0 OR len(list_intersect(x, a)) >= {SUPPORT}::DOUBLE * len(x) OR len(list_intersect(x, b)) >= {SUPPORT}::DOUBLE * len(x)))::DOUBLE / len(s) ELSE 0.0::DOUBLE END, 6) AS faithfulness, round({T.share_sql('a', 'c')}, 6) AS coverage FROM t",
+    "faithfulness_coverage": f"WITH {_P}, t AS (SELECT item_id, list_transform({_SENT('text')}, lambda s: {_KEY('s')}) AS s, {_KEY('question')} AS a, {_KEY('after')} AS b, {_KEY('text')} AS c FROM (SELECT p.*, n.text AS after FROM p JOIN documents n ON n.doc_id = item_id + 1)) SELECT item_id, round(CASE WHEN len(s) > 0 THEN len(list_filter(s, lambda x: len(x) = 0 OR len(list_intersect(x, a)) >= {SUPPORT}::DOUBLE * len(x) OR len(list_intersect(x, b)) >= {SUPPORT}::DOUBLE * len(x)))::DOUBLE / len(s) ELSE 0.0::DOUBLE END, 6) AS faithfulness, round({T.share_sql('a', 'c')}, 6) AS coverage FROM t",
     "metric_summary": "SELECT event_type, count(*) AS n, round(avg(value), 4) AS mean, round(median(value), 4) AS median, round(min(value), 4) AS min, round(max(value), 4) AS max, round(stddev_pop(value), 4) AS std FROM events WHERE value IS NOT NULL GROUP BY 1",
-    "score_runs": f"WITH r AS (SELECT conv_id, text, {_TERMS('text')} AS t, {_TERMS(chr(39) + 'the chart' + chr(39))} AS x FROM conversations WHERE turn = 1) SELECT conv_id, CASE WHEN length(text) > 0 THEN round({T.share_sql('t', 'list_distinct(list_concat(t, x))')}, 3) ELSE 0.0::DOUBLE END AS faithfulness, CASE WHEN conv_id % 4 > 0 THEN 0.5::DOUBLE END AS citation_accuracy, CASE WHEN conv_id % 3 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS routing_accuracy, CASE conv_id % 3 WHEN 0 THEN 1.0::DOUBLE WHEN 2 THEN 0.0::DOUBLE END AS routing_precision, CASE WHEN conv_id % 2 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS modality_match, round(((list_contains(t, 'order'))::INT + list_contains(t, 'zzz')::INT)::DOUBLE / 2, 3) AS answer_correctness, round(1.0::DOUBLE - (conv_id % 3)::DOUBLE / 3, 3) AS retry_efficiency FROM r",
+    "score_runs": f"WITH r AS (SELECT conv_id, turn, text, {_TERMS('text')} AS t, {_TERMS(chr(39) + 'the chart' + chr(39))} AS x FROM conversations) SELECT conv_id, turn, CASE WHEN length(text) > 0 THEN round({T.share_sql('t', 'list_distinct(list_concat(t, x))')}, 3) ELSE 0.0::DOUBLE END AS faithfulness, CASE WHEN conv_id % 4 > 0 THEN 0.5::DOUBLE END AS citation_accuracy, CASE WHEN conv_id % 3 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS routing_accuracy, CASE conv_id % 3 WHEN 0 THEN 1.0::DOUBLE WHEN 2 THEN 0.0::DOUBLE END AS routing_precision, CASE WHEN conv_id % 2 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS modality_match, round(((list_contains(t, 'order'))::INT + list_contains(t, 'zzz')::INT)::DOUBLE / 2, 3) AS answer_correctness, round(1.0::DOUBLE - (conv_id % 3)::DOUBLE / 3, 3) AS retry_efficiency FROM r",
 }

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.session import table
+from tessera.session import table, texts
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 VECTOR_WEIGHT, KEYWORD_WEIGHT, RRF = 0.6, 0.4, 60
@@ -36,11 +36,12 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
 def term_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(term, df, cf): documents with the term and its occurrences."""
-    tokens = docs.select(T.bm25_tokens(F.col(text)).alias("t"))
-    # A document sends each distinct term once for df and each token for cf; both meet in one aggregate.
-    once = F.transform(F.array_distinct("t"), lambda w: F.struct(w.alias("term"), F.lit(1).alias("d"), F.lit(0).alias("c")))
-    every = F.transform("t", lambda w: F.struct(w.alias("term"), F.lit(0).alias("d"), F.lit(1).alias("c")))
-    return tokens.select(F.explode(F.concat(once, every)).alias("x")).groupBy("x.term").agg(F.sum("x.d").cast("long").alias("df"), F.sum("x.c").cast("long").alias("cf"))
+    tokens = docs.select(F.array_sort(T.bm25_tokens(F.col(text))).alias("t"))
+    # Counted inside the document: where the sorted tokens change, a run ends, and its length is the distance to the run before.
+    last = F.filter(F.sequence(F.lit(1), F.size("t")), lambda i: (i == F.size("t")) | (F.element_at("t", i) != F.get("t", i)))
+    ends = tokens.where(F.size("t") > 0).select("t", last.alias("e"))
+    runs = F.transform("e", lambda e, i: F.struct(F.element_at("t", e).alias("term"), (e - F.when(i > 0, F.get("e", i - 1)).otherwise(0)).alias("c")))
+    return ends.select(F.explode(runs).alias("x")).groupBy("x.term").agg(F.count("*").alias("df"), F.sum("x.c").cast("long").alias("cf"))
 
 
 def _count(tokens: str, word: str) -> Column:
@@ -121,8 +122,11 @@ def embed_missing(chunks: DataFrame, cache: DataFrame, embedder) -> DataFrame:
 
 
 def minmax(df: DataFrame, score: str, out: str, by: list[str] | None = None) -> DataFrame:
-    """Scores scaled to 0 .. 1; 1.0 where all are equal. The bounds come from an aggregate, not from one window over all rows."""
-    if by:
+    """Scores scaled to 0 .. 1; 1.0 where all are equal. The bounds come from an aggregate, not from one window over all rows.
+
+    With ``by`` they come from a window over each group; ``[]`` makes one group of a short list, which is then read once.
+    """
+    if by is not None:
         w = Window.partitionBy(*by)
         lo, hi = F.min(score).over(w), F.max(score).over(w)
         return df.withColumn(out, F.when(hi == lo, 1.0).otherwise((F.col(score) - lo) / (hi - lo)))
@@ -132,8 +136,8 @@ def minmax(df: DataFrame, score: str, out: str, by: list[str] | None = None) ->
 
 def fuse_weighted(vector_hits: DataFrame, keyword_hits: DataFrame, k: int, key: str = "doc_id", a: float = VECTOR_WEIGHT, b: float = KEYWORD_WEIGHT) -> DataFrame:
     """(key, final_score, vector_score, bm25_score): scaled lists, outer-joined; a missing score is 0."""
-    v = minmax(vector_hits.select(key, "score"), "score", "vector_score").drop("score")
-    w = minmax(keyword_hits.select(key, "score"), "score", "bm25_score").drop("score")
+    v = minmax(vector_hits.select(key, "score"), "score", "vector_score", []).drop("score")
+    w = minmax(keyword_hits.select(key, "score"), "score", "bm25_score", []).drop("score")
     both = v.join(w, key, "full_outer").na.fill(0.0, ["vector_score", "bm25_score"])
     return both.withColumn("final_score", a * F.col("vector_score") + b * F.col("bm25_score")).orderBy(F.col("final_score").desc(), key).limit(k)
 
@@ -186,7 +190,7 @@ QUESTION = "was this thing with the delay, and the that with this?"
 
 
 def _docs(spark, d):
-    return table(spark, d, "documents").select("doc_id", "text")
+    return texts(spark, d)
 
 
 def bm25_query(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
@@ -283,7 +287,7 @@ bk AS (SELECT * FROM bm ORDER BY round(score, 9) DESC, doc_id LIMIT 20),
 vk AS (SELECT * FROM vec ORDER BY score DESC, doc_id LIMIT 20)"""
 
 ORACLES = {
-    "bm25_terms": f"WITH {_TOK} SELECT w AS term, count(*) AS df, sum(c)::BIGINT AS cf FROM (SELECT doc_id, w, count(*) AS c FROM (SELECT doc_id, unnest(t) AS w FROM toks) GROUP BY ALL) GROUP BY w HAVING count(*) >= 5",
+    "bm25_terms": f"WITH {_TOK} SELECT w AS term, count(*) AS df, sum(c)::BIGINT AS cf FROM (SELECT doc_id, w, count(*) AS c FROM (SELECT doc_id, unnest(t) AS w FROM toks) GROUP BY ALL) GROUP BY w",
     "bm25_topk": f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM bk LIMIT 10",
     "vector_topk": f"WITH {_BM25} SELECT doc_id AS vec_id, round(score, 6) AS score FROM vk LIMIT 10",
     "vector_topk_batch": "WITH f AS (SELECT label, vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), c AS (SELECT label, list(m ORDER BY i) AS centre FROM (SELECT label, i, round(avg(x), 6) AS m FROM f GROUP BY ALL) GROUP BY label) SELECT label, vec_id, round(list_dot_product(embedding::DOUBLE[], centre), 6) AS score, row_number() OVER (PARTITION BY label ORDER BY round(list_dot_product(embedding::DOUBLE[], centre), 6) DESC, vec_id)::INT AS rank FROM embeddings JOIN c USING (label) QUALIFY rank <= 3",

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.session import table
+from tessera.session import table, texts
 
 # Keyword banks in the order in which they win ties, and priority signals.
 TYPE_BANKS = {
@@ -41,8 +43,15 @@ def best_bank(low: Column, banks: dict[str, list[str]]) -> Column:
     return F.when(-best["s"] >= LEAST, best["name"]).otherwise(F.lit("general"))
 
 
-def priority(text: Column) -> Column:
-    hits = lambda rules: sum((F.when(text.rlike(T.ascii_edges("(?i)" + r)), 1).otherwise(0) for r in rules), F.lit(0))
+def _plain(rule: str) -> str:
+    """The longest run of letters that every match of a rule holds, lower-cased."""
+    return max(re.findall(r"[a-z]+", re.sub(r"\(.*?\)|\\b", " ", rule).lower()), key=len)
+
+
+def priority(text: Column, low: Column | None = None) -> Column:
+    """The text's urgency; ``low`` is the text lower-cased, where the plain words are looked for before any pattern runs."""
+    low = F.lower(text) if low is None else low
+    hits = lambda rules: sum((F.when(F.contains(low, F.lit(_plain(r))) & text.rlike(T.ascii_edges("(?i)" + r)), 1).otherwise(0) for r in rules), F.lit(0))
     high, low = hits(HIGH), hits(LOW)
     return F.when(high >= 2, "high").when((high == 1) & (low == 0), "medium").when((low >= 1) & (high == 0), "low").otherwise("medium")
 
@@ -52,15 +61,17 @@ def tag_documents(docs: DataFrame, text: str = "text", detected: str | None = No
 
     ``detected`` names a column with the loader's format; log and email there win over the keywords.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    kind = best_bank(F.lower(body), TYPE_BANKS)
+    body, low = F.coalesce(F.col(text), F.lit("")), F.col("__low")
+    # Lower-cased in a projection of its own: inside the lambdas it would be done again for every keyword.
+    lowered = docs.withColumn("__low", F.lower(body))
+    kind = best_bank(low, TYPE_BANKS)
     if detected:
         kind = F.when(F.col(detected).isin("log", "email"), F.col(detected)).otherwise(kind)
-    return docs.withColumns({"type": kind, "category": best_bank(F.lower(body), CATEGORY_BANKS), "priority": priority(body), "dates": T.dates(body), "entities": T.names(body)})
+    return lowered.withColumns({"type": kind, "category": best_bank(low, CATEGORY_BANKS), "priority": priority(body, low), "dates": T.dates(body), "entities": T.names(body)}).drop("__low")
 
 
 def _tag_query(spark: SparkSession, d: str) -> DataFrame:
-    out = tag_documents(table(spark, d, "documents"))
+    out = tag_documents(texts(spark, d))
     return out.select("doc_id", "type", "category", "priority", F.size("dates").cast("long").alias("n_dates"), F.size("entities").cast("long").alias("n_entities"))
 
 
@@ -80,7 +91,7 @@ def _ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _dates(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", T.dates(F.col("text")).alias("x")).select("doc_id", F.size("x").cast("long").alias("n_dates"), F.concat_ws("|", "x").alias("dates"))
+    return texts(spark, d).select("doc_id", T.dates(F.col("text")).alias("x")).select("doc_id", F.size("x").cast("long").alias("n_dates"), F.concat_ws("|", "x").alias("dates"))
 
 
 QUERIES = {"tag_documents": _tag_query, "tag_records": _tagged_records, "extract_ids": _ids, "extract_dates": _dates}

@@ -159,5 +159,5 @@ ORACLES = {
     + " UNION ALL ".join(low_card_sql(t, c) for t, c in {"customer": ["c_name", "c_mktsegment"], "orders": ["o_orderstatus", "o_orderpriority"], "part": ["p_name", "p_brand", "p_type"], "lineitem": ["l_returnflag", "l_linestatus"]}.items())
     + ') WHERE value IS NOT NULL) SELECT * FROM v QUALIFY count(*) OVER (PARTITION BY "table", "column") <= 12',
     "schema_description": "SELECT * FROM (VALUES ('orders', 1, 'o_orderkey', 'bigint'), ('orders', 2, 'o_orderstatus', 'string'), ('orders', 3, 'o_totalprice', 'double')) AS t(\"table\", position, \"column\", \"type\") CROSS JOIN (SELECT count(*) AS row_count FROM orders)",
-    "entity_filter": "SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_custkey <= 150 AND (contains(lower(c_name), 'build') OR contains(lower(c_mktsegment), 'build'))",
+    "entity_filter": "SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE contains(lower(c_name), 'build') OR contains(lower(c_mktsegment), 'build') ORDER BY c_custkey LIMIT 200",
 }

@@ -37,5 +37,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents", columns: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+    """Columns of a text table for work that costs much a row. A table of fewer pieces than the session has cores (one small file)
+    is dealt out first; a large one has pieces enough and is read as it lies."""
+    df = table(spark, sf_dir, name).select(*columns)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def default_sf_dir() -> str:
     return os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")

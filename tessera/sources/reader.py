@@ -39,7 +39,7 @@ def ingest(spark: SparkSession, path: str, extensions: list[str] | None = None,
     wanted = [e for e in (extensions or list(mime.READER_OF)) if e in mime.READER_OF]
     files = binary.read_binary(spark, path, "*.{" + ",".join(wanted) + "}", recursive).select("path", "content", mime.extension(F.col("path")).alias("ext"))
     kinds = {r for r in map(mime.READER_OF.get, wanted)}
-    of = lambda kind: files.where(F.col("ext").isin(mime.READERS[kind].split()))
+    of = lambda kind: files.where(F.col("ext").isin([e for e, reader in mime.READER_OF.items() if reader == kind]))
     whole = lambda kind: of(kind).select(F.col("path").alias("source"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
     one = lambda df: df.withColumn("part", F.lit(0))
     out = []
