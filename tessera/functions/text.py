@@ -6,7 +6,7 @@ oracles are built from them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
 # Stop words of the scoring tokenizer.
@@ -275,6 +275,11 @@ def spans_and_numbers(text: Column) -> Column:
     return F.array_union(caps, F.regexp_extract_all(text, F.lit(r"\d+(?:\.\d+)?%?"), 0))
 
 
+def in_order(by: list[str], order: str) -> WindowSpec:
+    """A window over each group in an order."""
+    return Window.partitionBy(*by).orderBy(order)
+
+
 def content_hash(text: Column) -> Column:
     return F.sha2(text, 256)
 

@@ -1,8 +1,8 @@
 """Keyword, vector and hybrid retrieval, fusion and reranking.
 
 A keyword search needs counts of the query's own terms only: one pass gathers corpus
-statistics, one scores and keeps the best in each task. No postings are exploded or
-shuffled for a query; :func:`postings` builds them where many queries share an index.
+statistics, one scores and keeps the best in each task. Where many queries share a corpus, :class:`tessera.operators.index.CorpusIndex`
+keeps postings.
 """
 
 from __future__ import annotations
@@ -28,20 +28,22 @@ def query_tokens(query: str) -> list[str]:
 # --- keyword search -----------------------------------------------------------------------
 
 
-def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, term, tf, dl): an index table to be written once, partitioned by nothing but its own order."""
-    tokens = docs.select(key, T.bm25_tokens(F.col(text)).alias("tokens"))
-    return tokens.select(key, F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
+def token_runs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, dl, x): a row for each distinct term of a document, x = struct<term, c>, counted inside the document.
+
+    Where the sorted tokens change, a run ends, and its length is the distance to the run before. The generator takes an expression
+    over written-out columns: a filter inferred from it must not carry the tokeniser into its lambdas.
+    """
+    tokens = docs.select(key, F.array_sort(T.bm25_tokens(F.col(text))).alias("t"))
+    last = F.filter(F.sequence(F.lit(1), F.size("t")), lambda i: (i == F.size("t")) | (F.element_at("t", i) != F.get("t", i)))
+    ends = tokens.where(F.size("t") > 0).select(key, "t", last.alias("e"))
+    runs = F.transform("e", lambda e, i: F.struct(F.element_at("t", e).alias("term"), (e - F.when(i > 0, F.get("e", i - 1)).otherwise(0)).alias("c")))
+    return ends.select(key, F.size("t").alias("dl"), F.explode(runs).alias("x"))
 
 
 def term_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(term, df, cf): documents with the term and its occurrences."""
-    tokens = docs.select(F.array_sort(T.bm25_tokens(F.col(text))).alias("t"))
-    # Counted inside the document: where the sorted tokens change, a run ends, and its length is the distance to the run before.
-    last = F.filter(F.sequence(F.lit(1), F.size("t")), lambda i: (i == F.size("t")) | (F.element_at("t", i) != F.get("t", i)))
-    ends = tokens.where(F.size("t") > 0).select("t", last.alias("e"))
-    runs = F.transform("e", lambda e, i: F.struct(F.element_at("t", e).alias("term"), (e - F.when(i > 0, F.get("e", i - 1)).otherwise(0)).alias("c")))
-    return ends.select(F.explode(runs).alias("x")).groupBy("x.term").agg(F.count("*").alias("df"), F.sum("x.c").cast("long").alias("cf"))
+    return token_runs(docs, key, text).groupBy("x.term").agg(F.count("*").alias("df"), F.sum("x.c").cast("long").alias("cf"))
 
 
 def _count(tokens: str, word: str) -> Column:
@@ -194,7 +196,9 @@ def _docs(spark, d):
 
 
 def bm25_query(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
-    return bm25(_docs(spark, d), QUESTION, k)
+    from tessera.operators import index
+
+    return index.documents_index(spark, d).keyword(QUESTION, k)
 
 
 def vector_query(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
@@ -216,8 +220,10 @@ def hybrid_rrf(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
 
 
 def _rerank_query(spark, d):
-    hits = bm25_query(spark, d, 20).join(_docs(spark, d), "doc_id")
-    return rerank(hits, QUESTION, 5).select("doc_id", F.round("rerank_score", 6).alias("rerank_score"))
+    from tessera.operators import index
+
+    kept = index.documents_index(spark, d)
+    return rerank(kept.with_text(kept.keyword(QUESTION, 20)), QUESTION, 5).select("doc_id", F.round("rerank_score", 6).alias("rerank_score"))
 
 
 def _minmax_query(spark, d):

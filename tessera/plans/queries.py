@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.operators import knowledge, warehouse
+from tessera.operators import index, knowledge, warehouse
 from tessera.plans import answering, guard, questions
-from tessera.session import table
 
 
 def _search(spark, d):
-    return answering.keyword_search(table(spark, d, "documents").select("doc_id", "text"))
+    return index.documents_index(spark, d).search
 
 
 def _hops(spark, d):

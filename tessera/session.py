@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -37,6 +39,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def work_dir(spark: SparkSession) -> str:
+    """A folder for the engine's own tables: below ``spark.checkpoint.dir``, else, on a local master only, a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = getattr(spark, "_tessera_work", None) or tempfile.mkdtemp(prefix="tessera-")
+        spark._tessera_work = named
+    return named.rstrip("/") + "/tessera"
+
+
 def texts(spark: SparkSession, sf_dir: str, name: str = "documents", columns: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
     """Columns of a text table for work that costs much a row. A table of fewer pieces than the session has cores (one small file)
     is dealt out first; a large one has pieces enough and is read as it lies."""
