@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -138,6 +140,33 @@ def metric_summary(scores: DataFrame, value: str, by: list[str]) -> DataFrame:
     return scores.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), r(F.avg(value)).alias("mean"), r(F.median(value)).alias("median"), r(F.min(value)).alias("min"), r(F.max(value)).alias("max"), r(F.stddev_pop(value)).alias("std"))
 
 
+def experiment_means(scores: DataFrame, metrics: list[str]) -> DataFrame:
+    """(metric, n, mean): the mean of each metric over the runs that have it; a metric that no run has is left out."""
+    long = scores.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("x")).select("x.*")
+    return long.where("value IS NOT NULL").groupBy("metric").agg(F.count("*").alias("n"), F.round(F.avg("value"), 3).alias("mean"))
+
+
+def evaluated(examples: DataFrame, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Scores of a pipeline: ``run`` adds answer and contexts (array) to the examples (query, truth, expected array)."""
+    got = run(examples)
+    context = F.array_join("contexts", "\n")
+    return got.select(
+        "*",
+        retrieval_precision(F.col("contexts"), F.col("truth")).alias("retrieval_precision"), retrieval_recall(F.col("contexts"), F.col("truth")).alias("retrieval_recall"),
+        answer_relevance(F.col("query"), F.col("answer")).alias("answer_relevance"), claim_faithfulness(F.col("answer"), context).alias("faithfulness"), keyword_hit(F.col("answer"), F.col("expected")).alias("keyword_hit"),
+    )
+
+
+def attributed_result(answer: str, query: str, chunks: DataFrame) -> DataFrame:
+    """One row about an answer: number of sources, faithfulness, coverage, confidence and warnings over all its chunks."""
+    sources = attribution(answer, query, chunks).agg(F.count("*").alias("n_sources"), F.coalesce(F.avg("relevance"), F.lit(0.0)).alias("mean_relevance"))
+    # The chunks of one answer are a handful.
+    contexts = chunks.where(F.coalesce(F.length("text"), F.lit(0)) > 0).agg(F.collect_list("text").alias("c"))
+    both = contexts.crossJoin(F.broadcast(sources)).select("n_sources", "mean_relevance", faithfulness(F.lit(answer), F.col("c")).alias("faithfulness"), coverage(F.lit(query), F.col("c")).alias("coverage"))
+    scored = both.withColumn("confidence", confidence(F.col("n_sources"), F.col("mean_relevance"), F.col("faithfulness"), F.col("coverage")))
+    return scored.withColumn("warnings", warnings(F.col("confidence"), F.col("faithfulness"), F.col("coverage"), F.col("n_sources")))
+
+
 def report(spark: SparkSession, scores: DataFrame, path: str) -> None:
     """One JSON file of the summary, a few rows."""
     scores.coalesce(1).write.mode("overwrite").json(path)
@@ -193,7 +222,27 @@ def _runs_query(spark, d):
     return score_runs(_runs(spark, d)).select("conv_id", "turn", *run_scores())
 
 
-QUERIES = {"overlap_grade": _grade_query, "faithfulness_coverage": _faith_query, "jaccard_relevance": _jaccard_query, "retrieval_recall": _recall_query, "metric_summary": _summary_query, "score_runs": _runs_query}
+def _experiment_query(spark, d):
+    return experiment_means(score_runs(_runs(spark, d)), list(run_scores()))
+
+
+def _case_summary(spark, d):
+    return metric_summary(score_runs(_runs(spark, d)).withColumn("third", F.col("conv_id") % 3), "routing_accuracy", ["third"])
+
+
+def _hit_query(spark, d):
+    hit = keyword_hit(F.col("text"), F.array(F.lit("THE"), F.lit("de"), F.lit("zebra"), F.lit("."))).alias("hit")
+    return table(spark, d, "conversations").select("conv_id", "turn", F.round(hit, 6).alias("hit"))
+
+
+def _confidence_query(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", *[F.abs(F.element_at("embedding", i).cast("double")).alias(c) for i, c in ((1, "m"), (2, "f"), (3, "c"))], (F.col("vec_id") % 7).alias("n"))
+    conf = confidence(F.col("n"), F.col("m"), F.col("f"), F.col("c"))
+    rows = e.withColumn("confidence", F.round(conf, 6))
+    return rows.select("vec_id", "confidence", (F.size(F.split(warnings(F.col("confidence"), F.col("f"), F.col("c"), F.col("n")), "; "))).cast("long").alias("n_warnings"))
+
+
+QUERIES = {"experiment_means": _experiment_query, "case_score_summary": _case_summary, "keyword_hit": _hit_query, "answer_confidence": _confidence_query, "overlap_grade": _grade_query, "faithfulness_coverage": _faith_query, "jaccard_relevance": _jaccard_query, "retrieval_recall": _recall_query, "metric_summary": _summary_query, "score_runs": _runs_query}
 
 _P = "p AS (SELECT item_id, b.text AS question, d.text FROM benchmark b JOIN documents d ON item_id = doc_id)"
 _TERMS = lambda e: T.terms_sql(e)
@@ -210,3 +259,9 @@ ORACLES = {
     "metric_summary": "SELECT event_type, count(*) AS n, round(avg(value), 4) AS mean, round(median(value), 4) AS median, round(min(value), 4) AS min, round(max(value), 4) AS max, round(stddev_pop(value), 4) AS std FROM events WHERE value IS NOT NULL GROUP BY 1",
     "score_runs": f"WITH r AS (SELECT conv_id, turn, text, {_TERMS('text')} AS t, {_TERMS(chr(39) + 'the chart' + chr(39))} AS x FROM conversations) SELECT conv_id, turn, CASE WHEN length(text) > 0 THEN round({T.share_sql('t', 'list_distinct(list_concat(t, x))')}, 3) ELSE 0.0::DOUBLE END AS faithfulness, CASE WHEN conv_id % 4 > 0 THEN 0.5::DOUBLE END AS citation_accuracy, CASE WHEN conv_id % 3 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS routing_accuracy, CASE conv_id % 3 WHEN 0 THEN 1.0::DOUBLE WHEN 2 THEN 0.0::DOUBLE END AS routing_precision, CASE WHEN conv_id % 2 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS modality_match, round(((list_contains(t, 'order'))::INT + list_contains(t, 'zzz')::INT)::DOUBLE / 2, 3) AS answer_correctness, round(1.0::DOUBLE - (conv_id % 3)::DOUBLE / 3, 3) AS retry_efficiency FROM r",
 }
+
+_METRICS = ("faithfulness", "citation_accuracy", "routing_accuracy", "routing_precision", "modality_match", "answer_correctness", "retry_efficiency")
+ORACLES["experiment_means"] = "SELECT metric, count(*) AS n, round(avg(value), 3) AS mean FROM (" + " UNION ALL ".join(f"SELECT '{m}' AS metric, {m}::DOUBLE AS value FROM ({ORACLES['score_runs']})" for m in _METRICS) + ") WHERE value IS NOT NULL GROUP BY metric"
+ORACLES["case_score_summary"] = f"SELECT conv_id % 3 AS third, count(*) AS n, round(avg(routing_accuracy), 4) AS mean, round(median(routing_accuracy), 4) AS median, round(min(routing_accuracy), 4) AS min, round(max(routing_accuracy), 4) AS max, round(stddev_pop(routing_accuracy), 4) AS std FROM ({ORACLES['score_runs']}) WHERE routing_accuracy IS NOT NULL GROUP BY 1"
+ORACLES["keyword_hit"] = "SELECT conv_id, turn, round((contains(lower(text), 'the')::INT + contains(lower(text), 'de')::INT + contains(lower(text), 'zebra')::INT + contains(lower(text), '.')::INT) / 4.0, 6)::DOUBLE AS hit FROM conversations"
+ORACLES["answer_confidence"] = "WITH e AS (SELECT vec_id, abs(embedding[1]::DOUBLE) AS m, abs(embedding[2]::DOUBLE) AS f, abs(embedding[3]::DOUBLE) AS c, vec_id % 7 AS n FROM embeddings), s AS (SELECT *, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.20::DOUBLE * least(n / 5.0::DOUBLE, 1.0::DOUBLE) + 0.25::DOUBLE * m + 0.30::DOUBLE * f + 0.25::DOUBLE * c)), 6) AS confidence FROM e) SELECT vec_id, confidence, nullif((confidence < 0.5)::INT + (f < 0.4)::INT + (c < 0.4)::INT + (n <= 1)::INT, 0)::BIGINT AS n_warnings FROM s"

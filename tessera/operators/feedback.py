@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -104,6 +106,28 @@ def suggestions(feedback: DataFrame, logs: DataFrame) -> DataFrame:
     return stats.crossJoin(F.broadcast(rate)).select(F.explode(rules).alias("r")).where("r.holds").select("r.rule", F.round("r.value", 4).alias("value"), "r.advice")
 
 
+def analysis(feedback: DataFrame, logs: DataFrame, comments: DataFrame, text: str = "user_comment", most: float = 3.0, low: int = 2) -> DataFrame:
+    """(insight, name, value): what the feedback says, all in one table: figures, weak categories, frequent words of complaints,
+    relevance of chunks, the worst of them, and the trend by day."""
+    row = lambda insight, df, name, value: df.select(F.lit(insight).alias("insight"), F.col(name).cast("string").alias("name"), F.col(value).cast("double").alias("value"))
+    stats = feedback_stats(feedback)
+    parts = [
+        row("overall", stats.select(F.explode(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).cast("double").alias("v")) for c in stats.columns])).alias("x")).select("x.*"), "k", "v"),
+        row("low_category", category_stats(feedback).where(F.col("avg_rating") <= most), "query_category", "avg_rating"),
+        row("failure_keyword", failure_keywords(comments, text), "word", "n"),
+        row("chunk_rate", relevance_rates(logs), "chunk_id", "rate"),
+        row("worst_chunk", worst_chunks(logs), "chunk_id", "rate"),
+        row("daily_rating", daily_trend(feedback), "day", "avg_rating"),
+        row("low_rated", feedback.where(F.col("user_rating") <= low).agg(F.count("*").alias("n")).withColumn("k", F.lit("queries")), "k", "n"),
+    ]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def learning_cycle(feedback: DataFrame, logs: DataFrame, comments: DataFrame) -> dict[str, DataFrame]:
+    """One turn of the loop: what was found, the new weights, the advice, and triples to train on."""
+    return {"insights": analysis(feedback, logs, comments), "weights": adjusted_weights(logs), "suggestions": suggestions(feedback, logs), "training": training_triples(logs, feedback)}
+
+
 def sliding_requests(events: DataFrame, key: str, ts: str, seconds: int = 60) -> DataFrame:
     """Requests of a key in the last ``seconds`` up to and with each row."""
     w = Window.partitionBy(key).orderBy("_s").rangeBetween(-seconds, 0)
@@ -153,6 +177,7 @@ def _scene_query(spark, d):
 
 
 QUERIES = {
+    "feedback_analysis": lambda s, d: analysis(_feedback(s, d), _logs(s, d), table(s, d, "conversations"), "text"),
     "feedback_stats": lambda s, d: feedback_stats(_feedback(s, d)),
     "feedback_categories": lambda s, d: category_stats(_feedback(s, d)),
     "low_rated_categories": lambda s, d: low_categories(_feedback(s, d)),
@@ -165,7 +190,7 @@ QUERIES = {
     "keyword_top20": lambda s, d: failure_keywords(table(s, d, "conversations"), "text"),
     "adjust_weights": lambda s, d: adjusted_weights(_logs(s, d)),
     "suggest_improvements": lambda s, d: suggestions(_feedback(s, d), _logs(s, d)),
-    "rate_window_60s": lambda s, d: sliding_requests(_users(s, d), "user_id", "ts", 3600).select("event_id", "in_window"),
+    "rate_window_60s": lambda s, d: sliding_requests(_users(s, d), "user_id", "ts", 60).select("event_id", "in_window"),
     "daily_budget": lambda s, d: daily_budget(_users(s, d), "user_id", "ts", 2),
     "scene_change": _scene_query,
 }
@@ -187,7 +212,14 @@ ORACLES = {
     "keyword_top20": f"SELECT word, count(*) AS n FROM (SELECT unnest(list_filter({T.scoring_tokens_sql('text')}, lambda w: length(w) > 2)) AS word FROM conversations) GROUP BY word ORDER BY n DESC, word LIMIT 20",
     "adjust_weights": f"WITH s AS (SELECT count(*) AS judged, sum(was_relevant::INT) AS r FROM {_L} WHERE was_relevant IS NOT NULL), v AS (SELECT judged, greatest({LOWEST}::DOUBLE, least({HIGHEST}::DOUBLE, {BASE}::DOUBLE + {RATE}::DOUBLE * (r::DOUBLE / judged - {TARGET}::DOUBLE))) AS v FROM s) SELECT judged, round(v, 4) AS vector_weight, round(1 - v, 4) AS bm25_weight, round(least(judged / 100, 1.0::DOUBLE), 4) AS confidence FROM v",
     "suggest_improvements": f"WITH s AS (SELECT avg(user_rating) AS rating, avg((user_rating <= 2)::INT) AS low FROM {_F}), p AS (SELECT avg(was_relevant::INT) AS precision FROM {_L} WHERE was_relevant IS NOT NULL) SELECT * FROM (SELECT 'low_rating' AS rule, round(rating, 4) AS value, 'review answers of the lowest categories' AS advice FROM s WHERE rating < 3.0 UNION ALL SELECT 'many_low', round(low, 4), 'inspect frequent words of low-rated comments' FROM s WHERE low > 0.3 UNION ALL SELECT 'low_precision', round(precision, 4), 'raise the keyword weight or rerank' FROM p WHERE precision < 0.5)",
-    "rate_window_60s": "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS in_window FROM events",
+    "rate_window_60s": "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 60 PRECEDING AND CURRENT ROW) AS in_window FROM events",
     "daily_budget": "SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS used, greatest(count(*) - 2, 0)::BIGINT AS refused FROM events GROUP BY 1, 2",
     "scene_change": "SELECT event_id, user_id, value FROM events WHERE value IS NOT NULL QUALIFY lag(value) OVER (PARTITION BY user_id ORDER BY event_id) IS NULL OR abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY event_id)) >= 30.0",
 }
+
+_STATS = " UNION ALL ".join(f"SELECT 'overall' AS insight, '{c}' AS name, {c}::DOUBLE AS value FROM ({ORACLES['feedback_stats']})" for c in ("total", "avg_rating", *(f"rating_{r}" for r in range(1, 6))))
+_PART = lambda insight, name, value, key: f" UNION ALL SELECT '{insight}', {name}, {value}::DOUBLE FROM ({ORACLES[key]})"
+ORACLES["feedback_analysis"] = (
+    _STATS + _PART("low_category", "query_category", "avg_rating", "low_rated_categories") + _PART("failure_keyword", "word", "n", "keyword_top20") + _PART("chunk_rate", "chunk_id", "rate", "relevance_rates")
+    + _PART("worst_chunk", "chunk_id", "rate", "worst_chunks") + _PART("daily_rating", "day", "avg_rating", "daily_trend") + f" UNION ALL SELECT 'low_rated', 'queries', count(*)::DOUBLE FROM {_F} WHERE user_rating <= 2"
+)

@@ -8,6 +8,7 @@ version. Nothing is collected but the figures of a question's words and its best
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Callable
 
@@ -25,7 +26,7 @@ DIMENSIONS = 64
 
 
 def bucket_of(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+    return (F.crc32(term.cast("binary")) % BUCKETS).cast("int")
 
 
 class CorpusIndex:
@@ -109,7 +110,7 @@ class CorpusIndex:
         postings = self.table("postings")
         if not wanted or not s["tokens"]:
             return postings.select(self.key, F.lit(0.0).alias("score")).limit(0)
-        own = F.col("bucket").isin([r[0] for r in self.spark.createDataFrame([(w,) for w in wanted], "w string").select(bucket_of(F.col("w"))).distinct().collect()]) & F.col("term").isin(list(wanted))
+        own = F.col("bucket").isin(sorted({zlib.crc32(w.encode()) % BUCKETS for w in wanted})) & F.col("term").isin(list(wanted))
         df = {r.term: r.df for r in self.table(f"terms-{s['version']}").where(own).collect()}
         idf = {w: math.log(s["n"] - d + 0.5) - math.log(d + 0.5) for w, d in df.items()}
         weight = {w: wanted[w] * (v if v >= 0 else s["floor"]) for w, v in idf.items()}
@@ -207,3 +208,88 @@ def documents_index(spark: SparkSession, sf_dir: str) -> CorpusIndex:
         index.add(texts(spark, sf_dir))
         _opened[known] = CorpusIndex(spark, index.path)
     return _opened[known]
+
+
+# --- registered queries -------------------------------------------------------------------
+
+TEXT_QUESTION = "the thing that was late, and the delay of this"
+
+
+def letter_embedder(text: Column) -> Column:
+    """Shares of the letters a to z, unit length: an embedder that needs no model and that SQL can state."""
+    low = F.lower(text)
+    return T.unit(F.transform(F.array(*[F.lit(chr(97 + i)) for i in range(26)]), lambda c: (F.length(low) - F.length(F.replace(low, c, F.lit("")))).cast("double")))
+
+
+def _fresh(spark: SparkSession, name: str, **options) -> CorpusIndex:
+    index = CorpusIndex(spark, f"{work_dir(spark)}/{name}-{spark.sparkContext.applicationId}", **options)
+    index.reset()
+    return index
+
+
+def _text_question(spark, d):
+    """Write an index in two batches, open it again, ask it by text."""
+    from tessera.session import table
+
+    items = table(spark, d, "benchmark").select("item_id", "text")
+    index = _fresh(spark, "benchmark", key="item_id", embedder=letter_embedder)
+    for odd in (0, 1):
+        part = items.where(F.col("item_id") % 2 == odd)
+        index.add(part)
+        index.embed(part)
+    again = CorpusIndex(spark, index.path, "item_id", letter_embedder)
+    return again.retrieve(TEXT_QUESTION, 5).select("item_id", F.round("score", 4).alias("score"))
+
+
+def _restored_keyword(spark, d):
+    from tessera.session import table
+
+    items = table(spark, d, "benchmark").select("item_id", "text")
+    index = _fresh(spark, "restored", key="item_id")
+    for odd in (0, 1):
+        index.add(items.where(F.col("item_id") % 2 == odd))
+    return CorpusIndex(spark, index.path, "item_id").keyword(TEXT_QUESTION, 10).select("item_id", F.round("score", 6).alias("score"))
+
+
+def visual_hits(index: CorpusIndex, modalities: DataFrame, vector: list[float], k: int) -> DataFrame:
+    """The k nearest of the visual table; ``modalities`` (key, modality) says what is not text."""
+    shown = index.table("visual").join(modalities.where(F.col("modality") != "text").select(index.key), index.key, "left_semi")
+    return retrieval.vector_top(shown, vector, k, index.key)
+
+
+def _visual(spark, d):
+    from tessera.session import table
+
+    v = table(spark, d, "embeddings")
+    index = _fresh(spark, "visual", key="vec_id")
+    index.add_vectors(v, name="visual")
+    modalities = v.select("vec_id", F.when(F.col("vec_id") % 7 == 0, "image").otherwise("text").alias("modality"))
+    return visual_hits(index, modalities, retrieval.vector_of(v, 7), 10).select("vec_id", F.round("score", 6).alias("score"))
+
+
+def _carried(spark, d):
+    """Nations as documents of their region, customers of a segment as assets: one each where the counts agree, else all to the first."""
+    from tessera.session import table
+
+    docs = table(spark, d, "nation").select(F.col("n_nationkey").alias("doc_id"), F.col("n_regionkey").cast("string").alias("source"))
+    assets = table(spark, d, "supplier").where("s_suppkey <= 15").select((F.col("s_suppkey") % 3).cast("string").alias("source"), F.col("s_suppkey").alias("ordinal"), F.col("s_name").alias("asset"))
+    return carried_assets(docs, assets, "doc_id")
+
+
+QUERIES = {"text_question_topk": _text_question, "restored_index_keyword": _restored_keyword, "visual_topk": _visual, "carried_assets": _carried}
+
+_LETTERS = lambda e: "list_transform(range(26), lambda i: (length(lower({0})) - length(replace(lower({0}), chr((97 + i)::INT), '')))::DOUBLE)".format(e)
+_ALL = retrieval.query_tokens(TEXT_QUESTION)
+ORACLES = {
+    "text_question_topk": f"WITH v AS (SELECT item_id, {_LETTERS('text')} AS x, {_LETTERS(chr(39) + TEXT_QUESTION + chr(39))} AS q FROM benchmark) SELECT item_id, round(list_dot_product(x, q) / sqrt(list_dot_product(x, x)) / sqrt(list_dot_product(q, q)), 4) AS score FROM v ORDER BY list_dot_product(x, q) / sqrt(list_dot_product(x, x)) DESC, item_id LIMIT 5",
+    "restored_index_keyword": f"""WITH toks AS (SELECT item_id, {T.bm25_tokens_sql('text')} AS t FROM benchmark), st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM toks),
+df AS (SELECT w, count(*) AS df FROM (SELECT unnest(list_distinct(t)) AS w FROM toks) GROUP BY w),
+raw AS (SELECT w, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS idf FROM df, st),
+idf AS (SELECT w, CASE WHEN idf < 0 THEN {retrieval.EPSILON}::DOUBLE * (SELECT avg(idf) FROM raw) ELSE idf END AS idf FROM raw),
+q AS (SELECT unnest({T.strings_sql(_ALL)}) AS w)
+SELECT item_id, round(sum(idf * tf * {retrieval.K1 + 1}::DOUBLE / (tf + {retrieval.K1}::DOUBLE * ({1 - retrieval.B}::DOUBLE + {retrieval.B}::DOUBLE * dl / avgdl))), 6) AS score
+FROM (SELECT item_id, q.w, len(t) AS dl, len(list_filter(t, lambda x: x = q.w)) AS tf FROM toks, q) JOIN idf USING (w), st
+GROUP BY item_id HAVING score > 0 ORDER BY round(sum(idf * tf * {retrieval.K1 + 1}::DOUBLE / (tf + {retrieval.K1}::DOUBLE * ({1 - retrieval.B}::DOUBLE + {retrieval.B}::DOUBLE * dl / avgdl))), 9) DESC, item_id LIMIT 10""",
+    "visual_topk": "SELECT v.vec_id, round(list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 7) q WHERE v.vec_id % 7 = 0 ORDER BY list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, v.vec_id LIMIT 10",
+    "carried_assets": "WITH d AS (SELECT n_nationkey AS doc_id, n_regionkey::VARCHAR AS source, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS at, count(*) OVER (PARTITION BY n_regionkey) AS nd FROM nation), a AS (SELECT (s_suppkey % 3)::VARCHAR AS source, s_suppkey AS ordinal, s_name AS asset, row_number() OVER (PARTITION BY s_suppkey % 3 ORDER BY s_suppkey) AS at, count(*) OVER (PARTITION BY s_suppkey % 3) AS na FROM supplier WHERE s_suppkey <= 15) SELECT d.doc_id, a.source, a.ordinal, a.asset FROM a JOIN d ON a.source = d.source AND d.at = CASE WHEN nd = na THEN a.at ELSE 1 END",
+}

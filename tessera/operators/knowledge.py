@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -170,6 +170,83 @@ def edge_evidence(edges: DataFrame, question: str, k: int = 6, least: int = 3) -
     return rows.where("hits > 0").orderBy(F.col("hits").desc(), "content").limit(k).select("subject", "content", "hits", F.least(F.lit(1.0), F.col("hits") / F.greatest(F.lit(1), F.col("asked"))).alias("score"))
 
 
+# Identifiers in a question, and opening words that are no names.
+QUESTION_IDS = r"(?i)(?<![A-Za-z0-9_])(?:ORD|PO|SO|INV|MCH|MACH|EQP|LINE|UNIT)[-#]?\d{2,10}(?![A-Za-z0-9_])"
+NO_NAMES = "the what which where when how why who did does was were are has had can could would should most many much".split()
+
+
+def question_entities(question: str) -> list[str]:
+    """Names a question may mean: identifiers, phrases and words in title case, quoted parts; first form of each, whatever its case."""
+    title = r"[A-Z][a-z]{%s,}"
+    found = [m.group() for m in re.finditer(QUESTION_IDS, question)]
+    found += [m.group() for m in re.finditer(r"\b" + title % 1 + r"(?:\s+" + title % 1 + r")+\b", question)]
+    found += [w for w in re.findall(r"\b" + title % 2 + r"\b", question) if w.lower() not in NO_NAMES]
+    found += re.findall(r'"([^"]{2,60})"', question)
+    kept: dict[str, str] = {}
+    for x in found:
+        if len(x.strip()) > 1:
+            kept.setdefault(x.strip().lower(), x.strip())
+    return list(kept.values())
+
+
+def nodes_in_question(nodes: DataFrame, question: str, least: int = 3) -> DataFrame:
+    """Nodes whose name, with blanks for underscores, stands in the question. The question goes to the scan as a literal."""
+    name = F.lower(F.translate("node", "_", " "))
+    return nodes.where((F.length("node") >= least) & (F.contains(F.lit(question.lower()), name) | F.contains(F.lit(question.lower()), F.lower("node"))))
+
+
+def context_lines(nodes: DataFrame, edges: DataFrame, entities: list[str], most: int = 3) -> DataFrame:
+    """(entity, node, entity_type, mention_count, direction, line): relations of the best nodes of each entity, at most ``most`` each.
+
+    One pass over the nodes finds the matches of all entities, which are few rows; edges are filtered by them, not gathered.
+    """
+    spark = nodes.sparkSession
+    want = [(e, re.sub(r"[\s\-]+", "_", e.strip()).lower()) for e in entities if e.strip()]
+    asked = spark.createDataFrame(want or [("", "")], "entity string, want string").where("want <> ''")
+    have = T.fold_entity(F.col("node"))
+    rank = F.when(have == F.col("want"), 0).when(have.startswith(F.col("want")), 1).when(F.contains(have, F.col("want")), 2)
+    # The entities of one question are a handful of rows.
+    ranked = nodes.join(F.broadcast(asked), F.contains(have, F.col("want"))).withColumn("match", rank)
+    best = Window.partitionBy("entity").orderBy("match", "node")
+    matched = ranked.withColumn("at", F.row_number().over(best)).where(F.col("at") <= most).select("entity", "node", "entity_type", "mention_count")
+    shown = lambda c: F.translate(c, "_", " ")
+    out = edges.join(F.broadcast(matched), F.col("subject") == F.col("node")).withColumn("direction", F.lit("out")).withColumn("line", F.concat(F.lit("-> "), shown("predicates"), F.lit(" "), shown("object")))
+    into = edges.join(F.broadcast(matched), F.col("object") == F.col("node")).withColumn("direction", F.lit("in")).withColumn("line", F.concat(F.lit("<- "), shown("subject"), F.lit(" "), shown("predicates")))
+    columns = ["entity", "node", "entity_type", "mention_count", "direction", "line"]
+    return out.select(*columns).unionByName(into.select(*columns)).distinct()
+
+
+def entity_contexts(lines: DataFrame, most: int = 50) -> DataFrame:
+    """(entity, context): text for a prompt, the first ``most`` relations of each node in their order; a reader's page, not a data set."""
+    by = Window.partitionBy("entity", "node").orderBy(F.col("direction").desc(), "line")
+    head = F.concat(F.translate("node", "_", " "), F.lit(" (type: "), "entity_type", F.lit(", mentions: "), F.col("mention_count").cast("string"), F.lit("):"))
+    short = lines.withColumn("at", F.row_number().over(by)).where(F.col("at") <= most)
+    each = short.groupBy("entity", "node", head.alias("head")).agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("x"))
+    page = F.concat_ws("\n  ", F.col("head"), F.transform("x", lambda x: x["line"]))
+    return each.groupBy("entity").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", page.alias("page")))), lambda x: x["page"]), "\n").alias("context"))
+
+
+def mentions(results: DataFrame, entities: DataFrame, text: str = "text") -> DataFrame:
+    """``results`` joined with each row of ``entities`` (a handful) that they name: as it is, with blanks, or with underscores."""
+    low, e = F.lower(F.col(text)), F.lower("entity")
+    return results.join(F.broadcast(entities), F.contains(low, e) | F.contains(low, F.translate(e, "_", " ")) | F.contains(low, F.translate(e, " ", "_")))
+
+
+SUMMARY, SUMMARY_SCORE = "graph_summary", 0.5
+
+
+def augmented(results: DataFrame, contexts: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Hits (key, text, score) with graph_context, where they name an entity, and one more hit that sums the contexts up.
+
+    Without any hit the summary still comes, so that a question that only the graph can answer gets its context.
+    """
+    named = mentions(results.select(key, "text"), contexts).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("entity", "context"))), lambda x: x["context"]), "\n---\n").alias("graph_context"))
+    hits = results.select(F.col(key).cast("string").alias(key), "text", "score", F.col(key).alias("__key")).join(named.withColumnRenamed(key, "__key"), "__key", "left").drop("__key")
+    whole = contexts.agg(F.array_sort(F.collect_list(F.struct("entity", "context"))).alias("x")).where(F.size("x") > 0)
+    page = F.concat_ws("\n\n", F.lit("[Knowledge Graph Context]"), F.transform("x", lambda x: x["context"]))
+    return hits.unionByName(whole.select(F.lit(SUMMARY).alias(key), page.alias("text"), F.lit(SUMMARY_SCORE).alias("score"), F.lit(None).cast("string").alias("graph_context")))
+
+
 def graph_export(nodes: DataFrame) -> DataFrame:
     """Display size of every node: 15 and up to 30 more by mentions."""
     return nodes.withColumn("size", 15 + F.least(3 * F.col("mention_count"), F.lit(30)))
@@ -230,7 +307,33 @@ def _prose_query(spark, d):
     return prose_triples(o, "o_orderkey").select("o_orderkey", "subject", "predicate", "object", "subject_type", "object_type")
 
 
+ASKED = "Why was the CNC Mill 3 of Apex Materials late? See DISPATCH-17."
+
+
+def _record_graph(spark, d):
+    triples = record_triples(_records(spark, d))
+    return nodes_of(triples, ["doc_id", "line", "field"]), edges_of(triples, ["doc_id", "line", "field"])
+
+
+def _context_query(spark, d):
+    nodes, edges = _record_graph(spark, d)
+    return context_lines(nodes, edges, ["CNC Mill 3", "Apex Materials", "DISPATCH-17"]).select("entity", "node", "mention_count", "direction", "line")
+
+
+def _question_nodes(spark, d):
+    nodes, _ = _record_graph(spark, d)
+    return nodes_in_question(nodes, ASKED).select("node", "mention_count")
+
+
+def _mention_query(spark, d):
+    asked = spark.createDataFrame([("CNC_Mill-3",), ("late 1",), ("Apex Materials",)], "entity string")
+    return mentions(_records(spark, d), asked).select("doc_id", "entity")
+
+
 QUERIES = {
+    "graph_context": _context_query,
+    "graph_question_nodes": _question_nodes,
+    "graph_mentions": _mention_query,
     "record_triples": _record_query,
     "graph_edges": _edge_query,
     "order_graph": order_graph,
@@ -244,7 +347,11 @@ QUERIES = {
 _REC = "SELECT o_orderkey AS doc_id, 1::BIGINT AS line, 'DISPATCH-' || o_orderkey AS subject, unnest(['supplied_by', 'has_status', 'delayed_because']) AS predicate, unnest(['Apex_Materials', o_orderstatus, 'late ' || o_orderpriority]) AS object, 'Order' AS subject_type FROM orders UNION ALL SELECT o_orderkey, 2, 'CNC-Mill-' || (o_custkey % 9), unnest(['located_in', 'note']), unnest(['Chicago_Plant', 'ok']), 'Machine' FROM orders"
 _GRAPH = "SELECT DISTINCT 'customer-' || o_custkey AS subject, 'ordered' AS predicate, 'product-' || l_partkey AS object FROM orders JOIN lineitem ON o_orderkey = l_orderkey UNION ALL SELECT DISTINCT 'supplier-' || l_suppkey, 'supplies', 'product-' || l_partkey FROM lineitem UNION ALL SELECT 'customer-' || c_custkey, 'located_in', r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
 _EDGES = f"SELECT subject, object, count(*)::BIGINT AS weight, min(predicate) AS predicates FROM ({_REC}) GROUP BY ALL"
+_ENDS = f"SELECT node, count(*) AS mention_count FROM (SELECT unnest([subject, object]) AS node FROM ({_REC})) GROUP BY node"
 ORACLES = {
+    "graph_context": f"WITH n AS ({_ENDS}), a(entity, want) AS (VALUES ('CNC Mill 3', 'cnc_mill_3'), ('Apex Materials', 'apex_materials'), ('DISPATCH-17', 'dispatch_17')), r AS (SELECT entity, node, mention_count, CASE WHEN f = want THEN 0 WHEN starts_with(f, want) THEN 1 ELSE 2 END AS m FROM (SELECT *, lower(replace(replace(node, '-', '_'), ' ', '_')) AS f FROM n), a WHERE contains(f, want)), b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY entity ORDER BY m, node) <= 3) SELECT DISTINCT entity, node, mention_count, 'out' AS direction, '-> ' || replace(predicates, '_', ' ') || ' ' || replace(object, '_', ' ') AS line FROM ({_EDGES}) JOIN b ON subject = node UNION ALL SELECT DISTINCT entity, node, mention_count, 'in', '<- ' || replace(subject, '_', ' ') || ' ' || replace(predicates, '_', ' ') FROM ({_EDGES}) JOIN b ON object = node",
+    "graph_question_nodes": f"SELECT node, mention_count FROM ({_ENDS}) WHERE length(node) >= 3 AND (contains(lower('{ASKED}'), lower(replace(node, '_', ' '))) OR contains(lower('{ASKED}'), lower(node)))",
+    "graph_mentions": "SELECT o_orderkey AS doc_id, entity FROM orders, (VALUES ('CNC_Mill-3'), ('late 1'), ('Apex Materials')) AS e(entity) WHERE entity = 'Apex Materials' OR (entity = 'late 1' AND starts_with(o_orderpriority, '1'))",
     "record_triples": _REC,
     "graph_edges": _EDGES,
     "order_graph": _GRAPH,

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tessera.operators import index, knowledge, warehouse
-from tessera.plans import answering, guard, questions
+from tessera.plans import answering, guard, questions, service
 
 
 def _search(spark, d):
@@ -20,12 +20,31 @@ def _corrective(spark, d):
     return spark.createDataFrame([(r.doc_id, round(float(r.overlap), 6), r.relevant) for r in rows], "doc_id long, overlap double, relevant boolean")
 
 
+def _graph(spark, d):
+    """The edges of the records, kept in the index of the documents."""
+    kept = index.documents_index(spark, d)
+    if not kept.has("edges"):
+        triples = knowledge.record_triples(knowledge._records(spark, d))
+        order = ["doc_id", "line", "field"]
+        kept.save_graph(knowledge.nodes_of(triples, order), knowledge.edges_of(triples, order))
+    return kept.graph()[1]
+
+
+def _ask(spark, d):
+    search, edges = _search(spark, d), _graph(spark, d)
+    return lambda question: answering.ask(spark, question, search, edges, lambda q: guard.answer_question(spark, d, q)[0])
+
+
 def _answer(spark, d):
-    edges = knowledge.edges_of(knowledge.record_triples(knowledge._records(spark, d)), ["doc_id", "line", "field"])
-    got = answering.ask(spark, "Why was dispatch 17 late, and what is the total by supplier?", _search(spark, d), edges, lambda q: guard.answer_question(spark, d, q)[0])
+    got = _ask(spark, d)("Why was dispatch 17 late, and what is the total by supplier?")
     return spark.createDataFrame([(",".join(got["specialists"]), got["answer"], got["verification"]["grounded"], got["retry_count"])], "specialists string, answer string, grounded boolean, retry_count int")
 
 
+def _evaluation(spark, d):
+    """The published questions of three categories, answered and scored; means without the latency, which differs from run to run."""
+    return service.experiment(spark, _ask(spark, d), ["factual", "sql", "comparison"])[1].where("metric <> 'latency_seconds'")
+
+
 def _template(spark, d):
     return guard.answer_question(spark, d, "What are the top 5 products?")[0]
 
@@ -36,7 +55,7 @@ def _guarded(spark, d):
     return spark.createDataFrame(rows, "id long, query string, ok boolean, reason string, needs_approval boolean").select("id", "ok", "reason", "needs_approval")
 
 
-QUERIES = {"multi_hop": _hops, "corrective_retrieval": _corrective, "answer_question": _answer, "question_template": _template, "statement_guard": _guarded}
+QUERIES = {"multi_hop": _hops, "corrective_retrieval": _corrective, "answer_question": _answer, "evaluation_run": _evaluation, "question_template": _template, "statement_guard": _guarded}
 ORACLES = {
     "question_template": warehouse.ORACLES["top_products"].replace("LIMIT 10", "LIMIT 5"),
     "statement_guard": "SELECT id, false AS ok, CASE WHEN id = 18 THEN 'Empty SQL query.' WHEN id = 19 THEN 'Forbidden keyword detected: DROP.' ELSE 'Only SELECT queries are permitted.' END AS reason, true AS needs_approval FROM range(25) AS t(id)",
