@@ -27,6 +27,8 @@ RULES = (
 DAMPING, STEPS = 0.85, 64
 #: Rounds between two written tables.
 UNROLLED = 4
+#: Blocked hosts that are broadcast to the pages.
+BROADCAST_HOSTS = 200_000
 #: A host is blocked if its distrust, less the trusted share of it, exceeds this. A host that links nowhere must
 #: have two thirds of its pages blocked, one that only links to wholly blocked hosts is over it; see the README.
 THRESHOLD = 0.1
@@ -132,7 +134,8 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFr
     rule, action = ruled(F.col("host"), F.col("path"), rules)
     seen = parts.select("page_id", "host", "path", rule.alias("rule"), action.alias("action"), node_of(F.col("host")).alias("node"))
     scores = host_scores(seen.select(F.col("node").alias("host"), "action"), host_links(pages))
-    bad = scores.where(F.col("distrust") * (1 - F.col("trust")) > threshold).select(F.col("host").alias("bad"))
-    judged = seen.join(bad, F.col("node") == F.col("bad"), "left")
+    bad = stored(scores.where(F.col("distrust") * (1 - F.col("trust")) > threshold).select(F.col("host").alias("bad")), "bad")
+    # Pages of a hot host stay in their tasks while the bad hosts are few; beyond that the adaptive join splits hot hosts.
+    judged = seen.join(F.broadcast(bad) if bad.count() <= BROADCAST_HOSTS else bad, F.col("node") == F.col("bad"), "left")
     verdict = F.coalesce("action", F.when(F.col("bad").isNotNull(), "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"))
