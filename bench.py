@@ -14,7 +14,7 @@ os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
 
 HEADLINE = [
     "monthly_trend", "revenue_by_supplier", "delayed_by_supplier_region", "top_products", "status_distribution", "revenue_by_region", "priority_breakdown",
-    "known_values", "tag_documents", "bm25_terms", "bm25_topk", "vector_topk", "hybrid_weighted", "hybrid_rrf", "simple_rerank", "chunk_documents", "html_text",
+    "known_values", "tag_documents", "bm25_terms", "index_terms", "bm25_topk", "vector_topk", "hybrid_weighted", "hybrid_rrf", "simple_rerank", "chunk_documents", "html_text",
     "record_triples", "graph_edges", "order_graph", "graph_bfs2", "feedback_stats", "training_triples", "daily_trend", "keyword_top20", "adjust_weights",
     "overlap_grade", "faithfulness_coverage", "metric_summary", "log_entries", "rate_window_60s", "classify_queries", "plan_specialists",
     "multi_hop", "corrective_retrieval", "answer_question", "evaluation_run", "graph_context", "graph_question_nodes", "experiment_means", "feedback_analysis", "visual_topk", "text_question_topk",

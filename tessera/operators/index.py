@@ -276,11 +276,16 @@ def _carried(spark, d):
     return carried_assets(docs, assets, "doc_id")
 
 
-QUERIES = {"text_question_topk": _text_question, "restored_index_keyword": _restored_keyword, "visual_topk": _visual, "carried_assets": _carried}
+def _index_terms(spark, d):
+    return documents_index(spark, d).term_statistics()
+
+
+QUERIES = {"index_terms": _index_terms, "text_question_topk": _text_question, "restored_index_keyword": _restored_keyword, "visual_topk": _visual, "carried_assets": _carried}
 
 _LETTERS = lambda e: "list_transform(range(26), lambda i: (length(lower({0})) - length(replace(lower({0}), chr((97 + i)::INT), '')))::DOUBLE)".format(e)
 _ALL = retrieval.query_tokens(TEXT_QUESTION)
 ORACLES = {
+    "index_terms": retrieval.ORACLES["bm25_terms"],
     "text_question_topk": f"WITH v AS (SELECT item_id, {_LETTERS('text')} AS x, {_LETTERS(chr(39) + TEXT_QUESTION + chr(39))} AS q FROM benchmark) SELECT item_id, round(list_dot_product(x, q) / sqrt(list_dot_product(x, x)) / sqrt(list_dot_product(q, q)), 4) AS score FROM v ORDER BY list_dot_product(x, q) / sqrt(list_dot_product(x, x)) DESC, item_id LIMIT 5",
     "restored_index_keyword": f"""WITH toks AS (SELECT item_id, {T.bm25_tokens_sql('text')} AS t FROM benchmark), st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM toks),
 df AS (SELECT w, count(*) AS df FROM (SELECT unnest(list_distinct(t)) AS w FROM toks) GROUP BY w),

@@ -71,7 +71,10 @@ def flatten(value, prefix: str = "") -> list[str]:
 
 
 def flatten_documents(docs: DataFrame, key: str, text: str, kind: str = "json") -> DataFrame:
-    """(key, text) with nested JSON or YAML as lines. Depth is unbounded, so this walks values in Arrow batches; bad input raises."""
+    """(key, text, error) with nested JSON or YAML as lines. Depth is unbounded, so this walks values in Arrow batches.
+
+    A text that does not parse gives a null text and the reason in ``error``; the other rows are not touched by it.
+    """
     dtype = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,11 +84,18 @@ def flatten_documents(docs: DataFrame, key: str, text: str, kind: str = "json")
             parse = yaml.safe_load
         else:
             parse = json.loads
+
+        def lines_of(t: str | None) -> tuple[str | None, str | None]:
+            try:
+                return (None if t is None else "\n".join(flatten(parse(t)))), None
+            except Exception as problem:  # noqa: BLE001 - one bad file is one bad row
+                return None, f"{type(problem).__name__}: {str(problem)[:200]}"
+
         for b in batches:
-            out = [None if t is None else "\n".join(flatten(parse(t))) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=[key, "text"])
+            out = [lines_of(t) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.string())], names=[key, "text", "error"])
 
-    return docs.select(key, text).mapInArrow(run, f"{key} {dtype}, text string")
+    return docs.select(key, text).mapInArrow(run, f"{key} {dtype}, text string, error string")
 
 
 def code_documents(files: DataFrame) -> DataFrame:

@@ -174,6 +174,14 @@ def test_questions_are_split_and_followed(spark):
     assert answering.split_compound("Why is it late and what does that cost?") == ["Why is it late and what does that cost?"]
 
 
+def test_a_bad_file_is_one_bad_row(spark):
+    from tessera.sources import tables
+
+    docs = spark.createDataFrame([(1, '{"a": {"b": [1, 2]}}'), (2, "{broken"), (3, None)], "k long, text string")
+    got = {r.k: (r.text, bool(r.error)) for r in tables.flatten_documents(docs, "k", "text").collect()}
+    assert got == {1: ("a.b[0]: 1\na.b[1]: 2", False), 2: (None, True), 3: (None, False)}
+
+
 def test_assets_are_carried(spark):
     docs = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "doc_id long, source string")
     assets = spark.createDataFrame([("a", 0, "x"), ("a", 1, "y"), ("b", 0, "p"), ("b", 1, "q")], "source string, ordinal int, asset string")
