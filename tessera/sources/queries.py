@@ -35,7 +35,7 @@ def _mail(spark, d):
 
 
 def _flat(spark, d):
-    return tables.flatten_documents(table(spark, d, "events").select("event_id", "props").drop("error"), "event_id", "props")
+    return tables.flatten_documents(table(spark, d, "events").select("event_id", "props"), "event_id", "props").drop("error")
 
 
 def _title(spark, d):
