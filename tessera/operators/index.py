@@ -194,12 +194,12 @@ def carried_assets(docs: DataFrame, assets: DataFrame, order: str) -> DataFrame:
     return placed.withColumn("at", home).join(numbered, ["source", "at"]).select("doc_id", "source", "ordinal", "asset")
 
 
-_opened: dict[tuple[int, str], CorpusIndex] = {}
+_opened: dict[tuple[str, str], CorpusIndex] = {}
 
 
 def documents_index(spark: SparkSession, sf_dir: str) -> CorpusIndex:
     """The keyword index over ``documents`` of a folder, built when this session first asks for it and opened again afterwards."""
-    known = (id(spark), sf_dir)
+    known = (spark.sparkContext.applicationId, sf_dir)
     if known not in _opened:
         from tessera.session import texts
 
@@ -207,6 +207,8 @@ def documents_index(spark: SparkSession, sf_dir: str) -> CorpusIndex:
         index.reset()
         index.add(texts(spark, sf_dir))
         _opened[known] = CorpusIndex(spark, index.path)
+    if _opened[known].spark is not spark:
+        _opened[known] = CorpusIndex(spark, _opened[known].path)
     return _opened[known]
 
 
