@@ -169,6 +169,35 @@ def test_statements_that_reach_out_are_refused():
     assert guard.validate("SELECT `a`.`b` FROM t WHERE x = 'parquet.`/p`'")[0]
 
 
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "SELECT \"'\", reflect('java.lang.System', 'lineSeparator'), \"'\"",
+        "SELECT reflect/**/('java.lang.System', 'lineSeparator')",
+        "SELECT `reflect`('java.lang.System', 'lineSeparator')",
+        "SELECT * FROM parquet.`x.parquet`",
+        "WITH a AS (SELECT * FROM csv.`b`) SELECT * FROM a",
+        "SELECT id FROM range(3) WHERE id IN (SELECT id FROM json.`q`)",
+        "SELECT (SELECT max(id) FROM orc.`q`)",
+        "SELECT * FROM IDENTIFIER('parquet.`x`')",
+        "SELECT TRANSFORM(id) USING 'cat' FROM range(3)",
+        "SELECT input_file_name() FROM range(3)",
+    ],
+)
+def test_plans_that_reach_out_are_refused(spark, sql):
+    assert guard.plan_reason(spark, sql)
+    with pytest.raises(ValueError):
+        guard.run_sql(spark, sql, approved=True)
+
+
+def test_plain_statements_run(spark):
+    spark.range(6).createOrReplaceTempView("six")
+    sql = "WITH a AS (SELECT id, CASE WHEN id % 2 = 0 THEN 'even' ELSE 'odd' END AS kind FROM six) SELECT kind, count(DISTINCT id) AS n, sum(id) + 1 AS s, row_number() OVER (ORDER BY kind) AS r FROM a WHERE id BETWEEN 1 AND 5 AND kind LIKE '%d%' OR id IN (SELECT max(id) FROM six) GROUP BY kind ORDER BY kind"
+    assert [tuple(r) for r in guard.run_sql(spark, f"```sql\n{sql};\n```").collect()] == [("odd", 3, 10, 1)]
+    spark.sql("SELECT year(date '2024-01-02') || '-' || upper(trim(' a ')) AS x").createOrReplaceTempView("one")
+    assert guard.run_sql(spark, "SELECT cast(x AS string), extract(MONTH FROM date '2024-05-01') m, coalesce(x, 'z') FROM one").first().m == 5
+
+
 def test_questions_are_split_and_followed(spark):
     assert answering.split_compound("What is the revenue, and which suppliers were late? How many orders are open?")[1:] == ["which suppliers were late", "How many orders are open"]
     assert answering.split_compound("Why is it late and what does that cost?") == ["Why is it late and what does that cost?"]
