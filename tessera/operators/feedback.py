@@ -146,6 +146,26 @@ def changes(frames: DataFrame, key: str, order: str, value: str, least: float) -
     return frames.where(F.col(value).isNotNull()).withColumn("_d", F.abs(F.col(value) - before)).where(F.col("_d").isNull() | (F.col("_d") >= least)).drop("_d")
 
 
+def keyframes(frames: DataFrame, key: str = "video", frame: str = "frame", hists: str = "hists", most: int = 50, least: float = 30.0) -> DataFrame:
+    """(key, frame, position, distance): the scene cuts of every video, its first sampled frame among them.
+
+    ``hists`` holds one histogram a channel. Of a video's frames every total / (4 * most)-th is looked at, and a cut is a mean Bhattacharyya
+    distance, times 100, of at least ``least`` from the sampled frame before. The first ``most`` cuts of a video are its keyframes. Frames
+    are numbered from 0; a frame without histograms is not sampled, a histogram without mass is at distance 1 from any.
+    """
+    total = Window.partitionBy(key)
+    step = F.greatest(F.lit(1), F.floor(F.count("*").over(total) / (4 * most)))
+    sampled = frames.select(key, frame, hists, step.alias("_step")).where(F.col(hists).isNotNull() & (F.col(frame) % F.col("_step") == 0))
+    whole = lambda h: F.aggregate(h, F.lit(0.0), lambda a, x: a + x)
+    alike = lambda a, b: F.try_divide(whole(F.zip_with(a, b, lambda x, y: F.sqrt(x * y))), F.sqrt(whole(a) * whole(b)))
+    apart = lambda a, b: F.sqrt(F.greatest(F.lit(0.0), 1 - F.coalesce(alike(a, b), F.lit(0.0))))
+    run = Window.partitionBy(key).orderBy(frame)
+    before = sampled.withColumn("_before", F.lag(hists).over(run))
+    each = F.zip_with(F.col(hists), F.col("_before"), apart)
+    cuts = before.withColumn("distance", 100 * whole(each) / F.size(hists)).where(F.col("_before").isNull() | (F.col("distance") >= least))
+    return cuts.select(key, frame, (F.row_number().over(run) - 1).alias("position"), "distance").where(F.col("position") < most)
+
+
 # --- registered queries -------------------------------------------------------------------
 
 
@@ -176,7 +196,16 @@ def _scene_query(spark, d):
     return changes(table(spark, d, "events").select("event_id", "user_id", "value"), "user_id", "event_id", "value", 30.0)
 
 
+def _keyframe_query(spark, d):
+    """Vectors as frames of eight videos, their components as the histograms of two channels."""
+    e = table(spark, d, "embeddings").where(F.col("embedding").isNotNull())
+    half = lambda at: F.transform(F.slice("embedding", at, 8), lambda x: F.abs(x.cast("double")))
+    frames = e.select((F.col("vec_id") % 8).alias("video"), F.floor(F.col("vec_id") / 8).alias("frame"), F.array(half(1), half(9)).alias("hists"))
+    return keyframes(frames).select("video", "frame", F.col("position").cast("long").alias("position"), F.round("distance", 4).alias("distance"))
+
+
 QUERIES = {
+    "video_keyframes": _keyframe_query,
     "feedback_analysis": lambda s, d: analysis(_feedback(s, d), _logs(s, d), table(s, d, "conversations"), "text"),
     "feedback_stats": lambda s, d: feedback_stats(_feedback(s, d)),
     "feedback_categories": lambda s, d: category_stats(_feedback(s, d)),
@@ -223,3 +252,12 @@ ORACLES["feedback_analysis"] = (
     _STATS + _PART("low_category", "query_category", "avg_rating", "low_rated_categories") + _PART("failure_keyword", "word", "n", "keyword_top20") + _PART("chunk_rate", "chunk_id", "rate", "relevance_rates")
     + _PART("worst_chunk", "chunk_id", "rate", "worst_chunks") + _PART("daily_rating", "day", "avg_rating", "daily_trend") + f" UNION ALL SELECT 'low_rated', 'queries', count(*)::DOUBLE FROM {_F} WHERE user_rating <= 2"
 )
+
+_HALF = lambda at: f"list_transform(embedding[{at}:{at + 7}], lambda x: abs(x::DOUBLE))"
+_APART = lambda c: f"sqrt(greatest(0.0::DOUBLE, 1.0::DOUBLE - list_sum(list_transform(list_zip({c}, p{c}), lambda z: sqrt(z[1] * z[2]))) / sqrt(list_sum({c}) * list_sum(p{c}))))"
+ORACLES["video_keyframes"] = (
+    f"WITH f AS (SELECT vec_id % 8 AS video, vec_id // 8 AS frame, {_HALF(1)} AS a, {_HALF(9)} AS b, count(*) OVER (PARTITION BY vec_id % 8) AS n FROM embeddings WHERE embedding IS NOT NULL), "
+    "s AS (SELECT *, lag(a) OVER w AS pa, lag(b) OVER w AS pb FROM f WHERE frame % greatest(1, n // 200) = 0 WINDOW w AS (PARTITION BY video ORDER BY frame)), "
+    f"c AS (SELECT video, frame, pa IS NULL AS head, CASE WHEN pa IS NOT NULL THEN 100.0::DOUBLE * ({_APART('a')} + {_APART('b')}) / 2 END AS distance FROM s) "
+    "SELECT video, frame, row_number() OVER (PARTITION BY video ORDER BY frame) - 1 AS position, round(distance, 4) AS distance FROM c WHERE head OR distance >= 30 QUALIFY position < 50"
+)

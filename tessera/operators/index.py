@@ -270,12 +270,14 @@ def _visual(spark, d):
 
 
 def _carried(spark, d):
-    """Nations as documents of their region, customers of a segment as assets: one each where the counts agree, else all to the first."""
+    """Nations as documents of their region. The assets of regions 0 to 2 are their nations, one each; those of regions 3 and 4 are
+    suppliers, whose number differs, and all go to the first."""
     from tessera.session import table
 
     docs = table(spark, d, "nation").select(F.col("n_nationkey").alias("doc_id"), F.col("n_regionkey").cast("string").alias("source"))
-    assets = table(spark, d, "supplier").where("s_suppkey <= 15").select((F.col("s_suppkey") % 3).cast("string").alias("source"), F.col("s_suppkey").alias("ordinal"), F.col("s_name").alias("asset"))
-    return carried_assets(docs, assets, "doc_id")
+    own = table(spark, d, "nation").where("n_regionkey < 3").select(F.col("n_regionkey").cast("string").alias("source"), F.col("n_nationkey").alias("ordinal"), F.col("n_name").alias("asset"))
+    many = table(spark, d, "supplier").select((F.col("s_suppkey") % 2 + 3).cast("string").alias("source"), F.col("s_suppkey").alias("ordinal"), F.col("s_name").alias("asset"))
+    return carried_assets(docs, own.unionByName(many), "doc_id")
 
 
 def _index_terms(spark, d):
@@ -298,5 +300,5 @@ SELECT item_id, round(sum(idf * tf * {retrieval.K1 + 1}::DOUBLE / (tf + {retriev
 FROM (SELECT item_id, q.w, len(t) AS dl, len(list_filter(t, lambda x: x = q.w)) AS tf FROM toks, q) JOIN idf USING (w), st
 GROUP BY item_id HAVING score > 0 ORDER BY round(sum(idf * tf * {retrieval.K1 + 1}::DOUBLE / (tf + {retrieval.K1}::DOUBLE * ({1 - retrieval.B}::DOUBLE + {retrieval.B}::DOUBLE * dl / avgdl))), 9) DESC, item_id LIMIT 10""",
     "visual_topk": "SELECT v.vec_id, round(list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 7) q WHERE v.vec_id % 7 = 0 ORDER BY list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, v.vec_id LIMIT 10",
-    "carried_assets": "WITH d AS (SELECT n_nationkey AS doc_id, n_regionkey::VARCHAR AS source, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS at, count(*) OVER (PARTITION BY n_regionkey) AS nd FROM nation), a AS (SELECT (s_suppkey % 3)::VARCHAR AS source, s_suppkey AS ordinal, s_name AS asset, row_number() OVER (PARTITION BY s_suppkey % 3 ORDER BY s_suppkey) AS at, count(*) OVER (PARTITION BY s_suppkey % 3) AS na FROM supplier WHERE s_suppkey <= 15) SELECT d.doc_id, a.source, a.ordinal, a.asset FROM a JOIN d ON a.source = d.source AND d.at = CASE WHEN nd = na THEN a.at ELSE 1 END",
+    "carried_assets": "WITH d AS (SELECT n_nationkey AS doc_id, n_regionkey AS r, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS place FROM nation) SELECT n_nationkey AS doc_id, n_regionkey::VARCHAR AS source, n_nationkey AS ordinal, n_name AS asset FROM nation WHERE n_regionkey < 3 UNION ALL SELECT doc_id, r::VARCHAR, s_suppkey, s_name FROM supplier JOIN d ON r = s_suppkey % 2 + 3 AND place = 1",
 }

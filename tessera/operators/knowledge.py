@@ -247,9 +247,29 @@ def augmented(results: DataFrame, contexts: DataFrame, key: str = "doc_id") -> D
     return hits.unionByName(whole.select(F.lit(SUMMARY).alias(key), page.alias("text"), F.lit(SUMMARY_SCORE).alias("score"), F.lit(None).cast("string").alias("graph_context")))
 
 
+# Colours of entity types.
+COLOURS = {
+    "Supplier": "#e74c3c",
+    "Machine": "#3498db",
+    "Order": "#2ecc71",
+    "Product": "#f39c12",
+    "Location": "#9b59b6",
+    "Person": "#1abc9c",
+    "Unknown": "#95a5a6",
+}
+WIDEST = 5
+
+
 def graph_export(nodes: DataFrame) -> DataFrame:
-    """Display size of every node: 15 and up to 30 more by mentions."""
-    return nodes.withColumn("size", 15 + F.least(3 * F.col("mention_count"), F.lit(30)))
+    """What a drawing needs of every node: label, size (15 and up to 30 more by mentions), colour by type."""
+    size = 15 + F.least(3 * F.col("mention_count"), F.lit(30))
+    colour = F.coalesce(_literal_map(COLOURS)[F.col("entity_type")], F.lit(COLOURS["Unknown"]))
+    return nodes.withColumn("label", F.replace("node", F.lit("_"), F.lit(" "))).withColumn("size", size).withColumn("colour", colour)
+
+
+def edge_export(edges: DataFrame) -> DataFrame:
+    """What a drawing needs of every edge: label and width, which grows with the weight up to a bound."""
+    return edges.withColumn("label", F.replace("predicates", F.lit("_"), F.lit(" "))).withColumn("width", F.least(F.col("weight"), F.lit(WIDEST)))
 
 
 def order_graph(spark: SparkSession, d: str) -> DataFrame:
@@ -302,8 +322,27 @@ def _evidence_query(spark, d):
     return out.select("subject", "content", F.col("hits").cast("long").alias("hits"), F.round("score", 6).alias("score"))
 
 
+# A sentence for each prose rule, {} being the order's key, and the triple it holds.
+PROSE_SENTENCES = (
+    ("Supplier Apex delayed shipment ORD-{}.", "Apex", "delayed", "ORD-{}", "Supplier", "Order"),
+    ("Vendor Beta delayed production {}.", "Beta", "delayed", "production", "Supplier", "Order"),
+    ("Machine M-{} failed due to heat.", "M-{}", "failed_due_to", "heat", "Machine", "Product"),
+    ("Unit U-{} failed during startup.", "U-{}", "failed", "startup", "Machine", "Order"),
+    ("Order PO-{} was cancelled because Gamma.", "PO-{}", "cancelled_because", "Gamma", "Order", "Supplier"),
+    ("Vendor Beta supplied bolts {}.", "Beta", "supplied", "bolts_{}", "Supplier", "Product"),
+    ("Acme shipped to Berlin {}.", "Acme", "shipped_to", "Berlin_{}", "Supplier", "Location"),
+    ("Storm caused delay {}.", "Storm", "caused", "delay_{}", "Supplier", "Order"),
+    ("Bob resolved ticket {}.", "Bob", "resolved", "ticket_{}", "Person", "Order"),
+    ("Case {} was escalated to Alice.", "Case_{}", "escalated", "Alice", "Order", "Person"),
+    ("Delta is located in Rome {}.", "Delta", "located_in", "Rome_{}", "Supplier", "Location"),
+)
+
+
 def _prose_query(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("Supplier Apex "), F.when(F.col("o_orderkey") % 2 == 0, "delayed shipment ORD-").otherwise("supplied "), F.col("o_orderkey").cast("string"), F.lit(". Machine M-10 failed due to heat, Bob resolved it.")).alias("text"))
+    """Every order as a sentence of one rule, between sentences that no rule knows."""
+    said = F.element_at(F.array(*[F.lit(p[0]) for p in PROSE_SENTENCES]), (F.col("o_orderkey") % len(PROSE_SENTENCES) + 1).cast("int"))
+    text = F.concat(F.lit("nothing here. "), F.replace(said, F.lit("{}"), F.col("o_orderkey").cast("string")), F.lit(" and so it was."))
+    o = table(spark, d, "orders").select("o_orderkey", text.alias("text"))
     return prose_triples(o, "o_orderkey").select("o_orderkey", "subject", "predicate", "object", "subject_type", "object_type")
 
 
@@ -330,7 +369,14 @@ def _mention_query(spark, d):
     return mentions(_records(spark, d), asked).select("doc_id", "entity")
 
 
+def _export_query(spark, d):
+    nodes, edges = _record_graph(spark, d)
+    n = graph_export(nodes).select(F.lit("node").alias("kind"), "node", F.lit(None).cast("string").alias("target"), "label", F.col("size").cast("long").alias("size"), "colour")
+    return n.unionByName(edge_export(edges).select(F.lit("edge").alias("kind"), F.col("subject").alias("node"), F.col("object").alias("target"), "label", F.col("width").cast("long").alias("size"), F.lit(None).cast("string").alias("colour")))
+
+
 QUERIES = {
+    "graph_export": _export_query,
     "graph_context": _context_query,
     "graph_question_nodes": _question_nodes,
     "graph_mentions": _mention_query,
@@ -349,6 +395,7 @@ _GRAPH = "SELECT DISTINCT 'customer-' || o_custkey AS subject, 'ordered' AS pred
 _EDGES = f"SELECT subject, object, count(*)::BIGINT AS weight, min(predicate) AS predicates FROM ({_REC}) GROUP BY ALL"
 _ENDS = f"SELECT node, count(*) AS mention_count FROM (SELECT unnest([subject, object]) AS node FROM ({_REC})) GROUP BY node"
 ORACLES = {
+    "graph_export": f"SELECT 'node' AS kind, node, NULL::VARCHAR AS target, replace(node, '_', ' ') AS label, 15 + least(3 * mention_count, 30)::BIGINT AS size, CASE WHEN starts_with(node, 'DISPATCH-') THEN '#2ecc71' WHEN starts_with(node, 'CNC-Mill-') THEN '#3498db' ELSE '#95a5a6' END AS colour FROM ({_ENDS}) UNION ALL SELECT 'edge', subject, object, replace(predicates, '_', ' '), least(weight, 5)::BIGINT, NULL FROM ({_EDGES})",
     "graph_context": f"WITH n AS ({_ENDS}), a(entity, want) AS (VALUES ('CNC Mill 3', 'cnc_mill_3'), ('Apex Materials', 'apex_materials'), ('DISPATCH-17', 'dispatch_17')), r AS (SELECT entity, node, mention_count, CASE WHEN f = want THEN 0 WHEN starts_with(f, want) THEN 1 ELSE 2 END AS m FROM (SELECT *, lower(replace(replace(node, '-', '_'), ' ', '_')) AS f FROM n), a WHERE contains(f, want)), b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY entity ORDER BY m, node) <= 3) SELECT DISTINCT entity, node, mention_count, 'out' AS direction, '-> ' || replace(predicates, '_', ' ') || ' ' || replace(object, '_', ' ') AS line FROM ({_EDGES}) JOIN b ON subject = node UNION ALL SELECT DISTINCT entity, node, mention_count, 'in', '<- ' || replace(subject, '_', ' ') || ' ' || replace(predicates, '_', ' ') FROM ({_EDGES}) JOIN b ON object = node",
     "graph_question_nodes": f"SELECT node, mention_count FROM ({_ENDS}) WHERE length(node) >= 3 AND (contains(lower('{ASKED}'), lower(replace(node, '_', ' '))) OR contains(lower('{ASKED}'), lower(node)))",
     "graph_mentions": "SELECT o_orderkey AS doc_id, entity FROM orders, (VALUES ('CNC_Mill-3'), ('late 1'), ('Apex Materials')) AS e(entity) WHERE entity = 'Apex Materials' OR (entity = 'late 1' AND starts_with(o_orderpriority, '1'))",
@@ -359,5 +406,7 @@ ORACLES = {
     "graph_bfs2": f"WITH g AS ({_GRAPH}), b AS (SELECT subject AS a, object AS b FROM g UNION ALL SELECT object, subject FROM g), s AS (SELECT 'supplier-1' AS node, 0 AS hops UNION ALL SELECT b, 1 FROM b WHERE a = 'supplier-1' UNION ALL SELECT y.b, 2 FROM b x JOIN b y ON x.b = y.a WHERE x.a = 'supplier-1') SELECT node, min(hops)::BIGINT AS hops FROM s GROUP BY node",
     "graph_match_nodes": f"SELECT subject AS node, 1::BIGINT AS \"match\", 'Machine' AS entity_type, count(*) AS mention_count FROM ({_REC}) WHERE subject_type = 'Machine' GROUP BY subject",
     "graph_evidence": f"WITH e AS (SELECT subject, replace(subject || ' ' || predicates || ' ' || object, '_', ' ') AS content FROM ({_EDGES})), q AS (SELECT list_filter({T.terms_sql(chr(39) + 'Why was dispatch 17 late, and urgent?' + chr(39))}, lambda x: length(x) >= 3) AS q), h AS (SELECT subject, content, len(list_intersect({T.terms_sql('content')}, q))::BIGINT AS hits, len(q) AS n FROM e, q) SELECT subject, content, hits, round(least(1.0::DOUBLE, hits::DOUBLE / n), 6) AS score FROM h WHERE hits > 0 ORDER BY hits DESC, content LIMIT 6",
-    "prose_triples": "SELECT o_orderkey, 'Apex' AS subject, CASE WHEN o_orderkey % 2 = 0 THEN 'delayed' ELSE 'supplied' END AS predicate, CASE WHEN o_orderkey % 2 = 0 THEN 'ORD-' ELSE '' END || o_orderkey AS object, 'Supplier' AS subject_type, CASE WHEN o_orderkey % 2 = 0 THEN 'Order' ELSE 'Product' END AS object_type FROM orders UNION ALL SELECT o_orderkey, 'M-10', 'failed_due_to', 'heat', 'Machine', 'Product' FROM orders UNION ALL SELECT o_orderkey, 'Bob', 'resolved', 'it', 'Person', 'Order' FROM orders",
+    "prose_triples": "SELECT o_orderkey, replace(s, '{}', o_orderkey::VARCHAR) AS subject, predicate, replace(o, '{}', o_orderkey::VARCHAR) AS object, subject_type, object_type FROM orders JOIN (VALUES "
+    + ", ".join(f"({i}, " + ", ".join(f"'{x}'" for x in p[1:]) + ")" for i, p in enumerate(PROSE_SENTENCES))
+    + f") AS t(i, s, predicate, o, subject_type, object_type) ON o_orderkey % {len(PROSE_SENTENCES)} = i",
 }

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import functions as F
+
 from tessera.operators import index, knowledge, warehouse
 from tessera.plans import answering, guard, questions, service
 
@@ -49,14 +53,56 @@ def _template(spark, d):
     return guard.answer_question(spark, d, "What are the top 5 products?")[0]
 
 
+# Statements, and what is expected of them: (statement, accepted, why, needs approval).
+STATEMENTS = (
+    ("SELECT a, count(*) FROM t GROUP BY a", True, "OK", False),
+    ("  select 1 ;  ", True, "OK", False),
+    ("SELECT `a`.`b` FROM t WHERE x = 'parquet.`/p`'", True, "OK", False),
+    ("WITH a AS (SELECT 1) SELECT * FROM a", False, "Only SELECT queries are permitted.", False),
+    ("EXPLAIN SELECT 1", False, "Only SELECT queries are permitted.", False),
+    ("-- nothing", False, "Only SELECT queries are permitted.", True),
+    ("", False, "Empty SQL query.", True),
+    ("SELECT 1; SELECT 2", False, "Multiple SQL statements are not allowed.", True),
+    ("SELECT * FROM orders; DROP TABLE orders;--", False, "Forbidden keyword detected: DROP.", True),
+    ("UPDATE t SET a = 1", False, "Only SELECT queries are permitted.", True),
+    ("SELECT replace(a, 'b', 'c') FROM t", False, "Forbidden keyword detected: replace.", True),
+    ("SELECT /* DELETE */ 1", False, "Forbidden keyword detected: DELETE.", False),
+    ("SELECT dropped, updates FROM t", True, "OK", False),
+    ("SELECT reflect('a', 'b')", False, "Function not allowed: reflect.", True),
+    ("SELECT * FROM csv.`/tmp/x`", False, "Files are not tables.", True),
+)
+
+
 def _guarded(spark, d):
-    """Which of the case questions are statements, and what the guards say."""
-    rows = [(i, q, *guard.validate(q), guard.needs_approval(q)) for i, (q, _) in enumerate(questions.CASES)]
-    return spark.createDataFrame(rows, "id long, query string, ok boolean, reason string, needs_approval boolean").select("id", "ok", "reason", "needs_approval")
+    """What the guards say of each statement."""
+    return spark.createDataFrame([(i, *guard.validate(q), guard.needs_approval(q)) for i, (q, *_) in enumerate(STATEMENTS)], "id long, ok boolean, reason string, needs_approval boolean")
+
+
+# A question for each template, the registered query whose rows it shows, and a number of these rows.
+TEMPLATE_QUESTIONS = (
+    ("Show the monthly trend", "monthly_trend", "order_count"),
+    ("What is the revenue by supplier?", "revenue_by_supplier", "order_count"),
+    ("Which were delayed?", "delayed_by_supplier_region", "delayed_count"),
+    ("top 10 products", "top_products", "total_qty"),
+    ("order status breakdown", "status_distribution", "order_count"),
+    ("sales per region", "revenue_by_region", "order_count"),
+    ("how is priority spread?", "priority_breakdown", "order_count"),
+    ("anything", "recent_orders", "o_orderkey"),
+)
+
+
+def _templates(spark, d):
+    """Rows and the sum of a number of every template, asked by its question."""
+    parts = []
+    for question, name, number in TEMPLATE_QUESTIONS:
+        rows = guard.answer_question(spark, d, question)[0]
+        parts.append(rows.agg(F.lit(name).alias("template"), F.count("*").alias("n"), F.sum(F.col(number).cast("double")).alias("total")))
+    return functools.reduce(lambda a, b: a.unionByName(b), parts)
 
 
-QUERIES = {"multi_hop": _hops, "corrective_retrieval": _corrective, "answer_question": _answer, "evaluation_run": _evaluation, "question_template": _template, "statement_guard": _guarded}
+QUERIES = {"multi_hop": _hops, "corrective_retrieval": _corrective, "answer_question": _answer, "evaluation_run": _evaluation, "question_template": _template, "question_templates": _templates, "statement_guard": _guarded}
 ORACLES = {
     "question_template": warehouse.ORACLES["top_products"].replace("LIMIT 10", "LIMIT 5"),
-    "statement_guard": "SELECT id, false AS ok, CASE WHEN id = 18 THEN 'Empty SQL query.' WHEN id = 19 THEN 'Forbidden keyword detected: DROP.' ELSE 'Only SELECT queries are permitted.' END AS reason, true AS needs_approval FROM range(25) AS t(id)",
+    "question_templates": " UNION ALL ".join(f"SELECT '{name}' AS template, count(*) AS n, sum({number})::DOUBLE AS total FROM ({warehouse.ORACLES[name]})" for _, name, number in TEMPLATE_QUESTIONS),
+    "statement_guard": "SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, {ok}, '{why}', {asks})" for i, (_, ok, why, asks) in enumerate(STATEMENTS)) + ") AS t(id, ok, reason, needs_approval)",
 }
