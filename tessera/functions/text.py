@@ -288,14 +288,30 @@ def doc_id(source: Column, ordinal: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", source, ordinal.cast("string")), 256), 1, 12)
 
 
+SLUG = 50
+# Words for yes and no, and words that open a request.
+YES = ["true", "yes", "y", "1", "relevant"]
+NO = ["false", "no", "n", "0", "not relevant", "irrelevant", "not_relevant"]
+REQUESTS = "show|display|give|get|find|list|what|which|how"
+UNTITLED = "Query Results"
+
+
 def slug(text: Column) -> Column:
-    return F.substring(F.regexp_replace(F.regexp_replace(F.lower(F.trim(text)), "[^a-z0-9]+", "_"), "^_+|_+$", ""), 1, 60)
+    """A name for files: lower case, words joined by underscores, at most SLUG characters."""
+    words = F.regexp_replace(F.lower(text), r"(?U)[^\w\s-]", "")
+    return F.substring(F.regexp_replace(F.regexp_replace(words, r"(?U)[\s_]+", "_"), "^_+|_+$", ""), 1, SLUG)
+
+
+def title(question: Column) -> Column:
+    """A chart's title: the question without the words that open a request, its first letter as a capital."""
+    rest = F.trim(F.regexp_replace(question, rf"(?i)^({REQUESTS})\s+(me\s+)?", ""))
+    return F.when(F.coalesce(rest, F.lit("")) == "", UNTITLED).otherwise(F.concat(F.upper(F.substring(rest, 1, 1)), F.substr(rest, F.lit(2))))
 
 
 def truth(value: Column) -> Column:
-    """A lenient boolean; null where the word is not known."""
+    """A lenient boolean: null for null, an error for a word that is neither yes nor no."""
     x = F.lower(F.trim(value))
-    return F.when(x.isin("true", "yes", "y", "1"), True).when(x.isin("false", "no", "n", "0", ""), False)
+    return F.when(x.isNull(), F.lit(None).cast("boolean")).when(x.isin(YES), True).when(x.isin(NO), False).otherwise(F.raise_error(F.concat(F.lit("not a boolean: "), value)))
 
 
 # --- vectors ------------------------------------------------------------------------------

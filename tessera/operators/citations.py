@@ -97,16 +97,34 @@ def _stats(spark: SparkSession, d: str) -> DataFrame:
     return corpus_stats(table(spark, d, "documents"))
 
 
+def _helpers(spark, d):
+    """File names, titles and lenient booleans of requests made of parts."""
+    asked = F.concat(F.when(F.col("p_partkey") % 3 == 0, "Show me the ").when(F.col("p_partkey") % 3 == 1, "which ").otherwise(""), "p_name", F.lit("s, by type & brand: "), "p_type", F.lit("?"))
+    word = F.element_at(T.strings([" Yes", "not relevant", "1", "N"]), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return table(spark, d, "part").select("p_partkey", T.slug(asked).alias("slug"), T.title(asked).alias("title"), T.truth(word).alias("truth"))
+
+
+def _context(spark, d):
+    """Every conversation's turns, in order, as numbered sources."""
+    turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.col("role").alias("source"), F.when(F.col("turn") % 2 == 0, "chat").alias("type"), "text"))).alias("c"))
+    return turns.select("conv_id", F.sha2(numbered_context(F.col("c")), 256).alias("hash"))
+
+
 def _hash(spark, d):
     c = table(spark, d, "documents").select("doc_id", T.content_hash(F.col("text")).alias("hash"))
     seen = c.where("doc_id % 2 = 0").select("hash").distinct()
     return c.groupBy("hash").agg(F.min("doc_id").alias("doc_id")).join(seen, "hash", "left_anti")
 
 
-QUERIES = {"citation_markers": _marks, "lenient_json": _json, "checked_answer": _check, "attribution": _attribution, "retrieval_confidence": _confidence, "corpus_stats": _stats, "embedding_cache_misses": _hash}
+QUERIES = {
+    "text_helpers": _helpers,
+    "numbered_context": _context,"citation_markers": _marks, "lenient_json": _json, "checked_answer": _check, "attribution": _attribution, "retrieval_confidence": _confidence, "corpus_stats": _stats, "embedding_cache_misses": _hash}
 
 _W = lambda e: f"list_distinct(list_filter(regexp_split_to_array(lower({e}), '\\s+'), lambda w: w <> ''))"
+_ASKED = "CASE p_partkey % 3 WHEN 0 THEN 'Show me the ' WHEN 1 THEN 'which ' ELSE '' END || p_name || 's, by type & brand: ' || p_type || '?'"
 ORACLES = {
+    "text_helpers": f"WITH a AS (SELECT p_partkey, {_ASKED} AS q, CASE WHEN p_partkey % 3 = 0 THEN 'the ' ELSE '' END || p_name || 's, by type & brand: ' || p_type || '?' AS rest FROM part) SELECT p_partkey, substr(regexp_replace(replace(replace(replace(replace(lower(q), ',', ''), '&', ''), ':', ''), '?', ''), '[ _]+', '_', 'g'), 1, 50) AS slug, upper(rest[1]) || rest[2:] AS title, p_partkey % 2 = 0 AS truth FROM a",
+    "numbered_context": "SELECT conv_id, sha256(string_agg('[Source ' || i || '] (source: ' || role || ', type: ' || CASE WHEN turn % 2 = 0 THEN 'chat' ELSE 'text' END || ')' || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY i)) AS hash FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations) GROUP BY conv_id",
     "citation_markers": "SELECT conv_id, turn, CASE WHEN turn % 4 = 2 THEN '2,9' ELSE '2,9,' || (turn % 4) END AS marks, CASE WHEN turn % 4 IN (1, 3) THEN 'f2,f' || (turn % 4) ELSE 'f2' END AS cited FROM conversations",
     "lenient_json": "SELECT event_id, CASE WHEN event_id % 4 < 3 THEN json_extract(props, '$.k')::INT END AS k FROM events",
     "checked_answer": f"WITH w AS (SELECT item_id, {_W('text')} AS a, {_W(chr(39) + chr(39) + ' || left(text, 40) || ' + chr(39) + ' other' + chr(39))} AS b FROM benchmark) SELECT item_id, item_id % 3 > 0 AS citation_verified, round(CASE WHEN len(a) > 0 THEN len(list_intersect(a, b))::DOUBLE / len(a) ELSE 0.0::DOUBLE END, 6) AS faithfulness_score, nullif(concat_ws(' ', CASE WHEN item_id % 3 = 0 THEN 'One or more cited source IDs are out of range.' END, CASE WHEN item_id % 2 = 0 THEN 'Low confidence score: 0.25.' END), '') AS warning FROM w",

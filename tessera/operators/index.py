@@ -90,6 +90,27 @@ class CorpusIndex:
             fs.delete(target, True)
         self._known = None
 
+    def whole(self) -> bool:
+        """False where a write broke off: texts are written first, the summary last, so that their numbers then differ."""
+        if not self.has("texts"):
+            return True
+        self._known = None
+        return self.has("summary") and self._summary()["n"] == self.table("texts").count()
+
+    def rebuild(self) -> None:
+        """Make postings and term statistics anew from the texts, each key once. Vectors and graph stay."""
+        spare = CorpusIndex(self.spark, f"{self.path}-rebuilt", self.key, self.embedder)
+        spare.reset()
+        spare.add(self.table("texts").dropDuplicates([self.key]))
+        fs, root = self._hadoop("")
+        made = lambda at: [s.getPath() for s in fs.listStatus(at) if s.getPath().getName() in ("texts", "postings", "summary") or s.getPath().getName().startswith("terms-")]
+        for old in made(root):
+            fs.delete(old, True)
+        for new in made(spare._hadoop("")[1]):
+            fs.rename(new, self._hadoop(new.getName())[1])
+        spare.reset()
+        self._known = None
+
     _known: dict | None = None
 
     def _summary(self) -> dict:

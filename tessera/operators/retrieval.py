@@ -242,6 +242,12 @@ def _multimodal_query(spark, d):
     return out.select("doc_id", "page", "type", F.round("score", 6).alias("score"))
 
 
+def _cosine_query(spark, d):
+    v = table(spark, d, "embeddings")
+    q = F.array(*[F.lit(x) for x in vector_of(v, 7)])
+    return v.where(F.col("embedding").isNotNull()).select("vec_id", F.round(T.cosine(F.col("embedding"), q), 6).alias("cosine"))
+
+
 def _terms_query(spark, d):
     return term_statistics(_docs(spark, d))
 
@@ -261,6 +267,7 @@ def _rounded(f):
 
 
 QUERIES = {
+    "cosine_to_vector": _cosine_query,
     "bm25_terms": _terms_query,
     "bm25_topk": _rounded(bm25_query),
     "vector_topk": _rounded(vector_query),
@@ -293,6 +300,7 @@ bk AS (SELECT * FROM bm ORDER BY round(score, 9) DESC, doc_id LIMIT 20),
 vk AS (SELECT * FROM vec ORDER BY score DESC, doc_id LIMIT 20)"""
 
 ORACLES = {
+    "cosine_to_vector": "SELECT v.vec_id, round(list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))), 6) AS cosine FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 7) q WHERE v.embedding IS NOT NULL",
     "bm25_terms": f"WITH {_TOK} SELECT w AS term, count(*) AS df, sum(c)::BIGINT AS cf FROM (SELECT doc_id, w, count(*) AS c FROM (SELECT doc_id, unnest(t) AS w FROM toks) GROUP BY ALL) GROUP BY w",
     "bm25_topk": f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM bk LIMIT 10",
     "vector_topk": f"WITH {_BM25} SELECT doc_id AS vec_id, round(score, 6) AS score FROM vk LIMIT 10",

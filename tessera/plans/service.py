@@ -163,6 +163,53 @@ def multimodal_search(text_search: Callable[[str, int], DataFrame], visual_searc
     return retrieval.multimodal(hits, visual_search(question, 2 * k), m.text_weight, m.visual_weight, k, keys)
 
 
+# Confidence of a warehouse answer, of an answer from nothing, characters of a source shown.
+SURE, UNSURE, SHOWN = 0.85, 0.3, 500
+MODES = ("analytics", "retrieval", "direct")
+
+
+def respond(parts: Components, question: str, mode: str | None = None, k: int = CONTEXT_CHUNKS) -> dict:
+    """One question by one of three ways: the warehouse, the verified plan, one direct search.
+
+    Without a mode the question's own kind decides. A way that fails is noted in ``trace`` and the next one is taken; the direct search
+    answers from what it finds, with the best score as confidence.
+    """
+    if mode is not None and mode not in MODES:
+        raise ValueError(f"mode is one of {', '.join(MODES)}")
+    question, trace = question.strip(), []
+    kind = mode or parts.spark.createDataFrame([(question,)], "q string").select(questions.service_kind(F.col("q"))).first()[0]
+
+    def analytics() -> dict:
+        rows, said = guard.answer_question(parts.spark, parts.need("warehouse"), question)
+        preview = guard.preview(rows)
+        return {"answer": f"{said}\n{preview}", "sources": [], "confidence": SURE, "chart": guard.chart_spec(rows, question)}
+
+    def planned() -> dict:
+        index = parts.need("index")
+        edges = index.graph()[1] if index.has("edges") else None
+        got = answering.ask(parts.spark, question, index.search, edges, (lambda q: guard.answer_question(parts.spark, parts.warehouse, q)[0]) if parts.warehouse else None)
+        held = [(f["source"], str(f["doc_id"]), f["content"], float(f["score"])) for f in got["findings"]]
+        frame = parts.spark.createDataFrame(held, "source string, doc_id string, text string, score double")
+        sure = evaluation.attributed_result(got["answer"], question, frame).first()
+        return {"answer": got["answer"], "sources": [{"source": s, "doc_id": i, "text": t[:SHOWN], "score": round(x, 4)} for s, i, t, x in held], "confidence": round(sure.confidence, 3), "warnings": sure.warnings}
+
+    def direct() -> dict:
+        rows = parts.need("index").search(question, k).orderBy(F.col("score").desc(), "doc_id").collect() if question else []
+        passages = parts.spark.createDataFrame([(str(r.doc_id), r.text, i) for i, r in enumerate(rows)], "source string, text string, ord int")
+        answer, said = generate(question, parts.models, lambda _: template_answer(question, passages))
+        best = max((float(r.score) for r in rows), default=0.0)
+        return {"answer": answer, "sources": [{"source": "documents", "doc_id": str(r.doc_id), "text": r.text[:SHOWN], "score": round(float(r.score), 4)} for r in rows], "confidence": round(min(best, 1.0), 3) if best > 0 else UNSURE, "trace": said}
+
+    ways = {"analytics": [analytics, planned, direct], "direct": [direct]}.get(kind, [planned, direct])
+    for way in ways[:-1]:
+        try:
+            return {"kind": way.__name__, **way(), "trace": trace}
+        except Exception as problem:  # noqa: BLE001 - the next way answers, and the trace says why
+            trace.append(f"{way.__name__}: {type(problem).__name__}")
+    last = ways[-1]()
+    return {"kind": "direct", **last, "trace": trace + last["trace"]}
+
+
 # --- set-up and evaluation ----------------------------------------------------------------
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The shape of a log line and of e-mail headers.
 _STAMP = r"\d{4}[-/]\d{2}[-/]\d{2}[T ]?\d{2}:\d{2}(?::\d{2})?"
 LOG_LINE = r"(?i)^[\[{(]?(" + _STAMP + r")[\]}).]?\s*(?:[|\-]\s*)?(?:(DEBUG|INFO|WARN(?:ING)?|ERROR|CRITICAL|NOTICE)\s*[|\-:]?\s*)?(?:\[?([A-Z]{2,5}-\d{3,})\]?\s*[|\-:]?\s*)?(.*)"
+_OPENS = r" *[\[{(]?" + _STAMP
 HEADER = r"(?im)^(From|To|Date|Subject|Cc|Bcc):\s*(.+)$"
 SNIFFED, LOG_HITS, LOG_SHARE, HEADERS = 30, 3, 0.4, 2
 
@@ -37,20 +38,20 @@ def plain_sections(docs: DataFrame, key: str, text: str) -> DataFrame:
 def log_entries(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, entry, text, timestamp, level, entry_id, message): a stamped line opens an entry, others go on with it.
 
-    Entries are numbered by a running count of openings in a document: one shuffle by the document's key.
+    Entries count from 1. Lines before the first stamp form entry 0, from the first line that is not blank. Nothing is shuffled: a text is
+    cut before its stamped lines.
     """
-    rows = docs.select(key, F.posexplode(lines(F.col(text))).alias("line", "l")).withColumn("opens", F.trim("l").rlike(LOG_LINE))
-    run = Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    # Lines before the first stamp form entry 0, from the first line that is not blank.
-    numbered = rows.withColumn("entry", F.sum(F.col("opens").cast("int")).over(run)).withColumn("said", F.sum(F.when(F.trim("l") != "", 1).otherwise(0)).over(run))
-    kept = numbered.where("entry > 0 OR said > 0")
-    parts = F.array_sort(F.collect_list(F.struct("line", "l", "opens")))
-    grouped = kept.groupBy(key, "entry").agg(parts.alias("p"))
-    first = F.trim(F.col("p")[0]["l"])
+    body = F.array_join(lines(F.col(text)), "\n")
+    cut = docs.select(key, body.rlike(r"(?i)\A" + _OPENS).cast("int").alias("before"), F.posexplode(F.split(body, r"(?i)(?:\A|\n)(?=" + _OPENS + ")")).alias("at", "piece"))
+    numbered = cut.select(key, (F.col("at") + F.col("before")).alias("entry"), "piece")
+    lead = F.regexp_replace("piece", r"\A(?: *\n)+", "")
+    kept = numbered.withColumn("piece", F.when(F.col("entry") > 0, F.col("piece")).otherwise(lead)).where((F.col("entry") > 0) | (F.trim("piece") != ""))
+    rows = kept.withColumn("p", F.split("piece", "\n"))
+    first = F.trim(F.col("p")[0])
     stamped = F.col("entry") > 0
-    piece = lambda i: F.when(stamped & (F.regexp_extract(first, LOG_LINE, i) != ""), F.regexp_extract(first, LOG_LINE, i))
-    said = F.transform("p", lambda x, i: F.when((i == 0) & stamped, F.trim(F.regexp_extract(F.trim(x["l"]), LOG_LINE, 4))).otherwise(F.trim(x["l"])))
-    return grouped.select(key, "entry", F.array_join(F.transform("p", lambda x: x["l"]), "\n").alias("text"), piece(1).alias("timestamp"), F.upper(piece(2)).alias("level"), piece(3).alias("entry_id"), F.array_join(said, " ").alias("message"))
+    part = lambda i: F.when(stamped & (F.regexp_extract(first, LOG_LINE, i) != ""), F.regexp_extract(first, LOG_LINE, i))
+    said = F.transform("p", lambda x, i: F.when((i == 0) & stamped, F.trim(F.regexp_extract(F.trim(x), LOG_LINE, 4))).otherwise(F.trim(x)))
+    return rows.select(key, "entry", F.col("piece").alias("text"), part(1).alias("timestamp"), F.upper(part(2)).alias("level"), part(3).alias("entry_id"), F.array_join(said, " ").alias("message"))
 
 
 def emails(docs: DataFrame, key: str, text: str) -> DataFrame:

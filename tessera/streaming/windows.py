@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import chunking
+from tessera.operators.index import CorpusIndex
 from tessera.session import table
 
 LATE = "2 days"
@@ -41,6 +42,23 @@ def ingest_stream(stream: DataFrame, chunks_path: str, checkpoint: str):
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def index_stream(stream: DataFrame, index: CorpusIndex, checkpoint: str):
+    """Append arriving (key, text) documents to an index, postings and vectors; those it holds already, by key, are left out.
+
+    A batch that is tried again therefore adds nothing twice. Where a batch broke off between texts and summary, the index is made anew
+    from its texts first.
+    """
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        if not index.whole():
+            index.rebuild()
+        fresh = lambda name: batch.join(index.table(name).select(index.key), index.key, "left_anti") if index.has(name) else batch
+        index.add(fresh("texts").dropDuplicates([index.key]))
+        index.embed(fresh("vectors").dropDuplicates([index.key]))
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def run_to_memory(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """Run a bounded stream to its end into a table in memory: for tests and small reports."""
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
@@ -56,5 +74,12 @@ def daily_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_to_memory(daily_counts(event_stream(spark, sf_dir)), "daily_" + uuid.uuid4().hex[:8])
 
 
-QUERIES = {"stream_daily_counts": daily_stream}
-ORACLES = {"stream_daily_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2"}
+def _rolling(spark: SparkSession, d: str) -> DataFrame:
+    events = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return rolling_requests(events).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "user_id", "n")
+
+
+QUERIES = {"stream_daily_counts": daily_stream, "rolling_requests": _rolling}
+ORACLES = {
+    "rolling_requests": "SELECT strftime(make_timestamp((s - 10 * i) * 1000000), '%Y-%m-%d %H:%M:%S') AS start, user_id, count(*) AS n FROM (SELECT user_id, (epoch_us(ts) // 10000000) * 10 AS s FROM events), range(6) AS r(i) GROUP BY 1, 2",
+    "stream_daily_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2"}

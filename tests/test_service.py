@@ -215,3 +215,53 @@ def test_assets_are_carried(spark):
     docs = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "doc_id long, source string")
     assets = spark.createDataFrame([("a", 0, "x"), ("a", 1, "y"), ("b", 0, "p"), ("b", 1, "q")], "source string, ordinal int, asset string")
     assert {(r.doc_id, r.asset) for r in index.carried_assets(docs, assets, "doc_id").collect()} == {(1, "x"), (2, "y"), (3, "p"), (3, "q")}
+
+
+def test_respond_takes_the_next_way_and_says_so(spark, kept):
+    parts = service.Components(spark, kept)
+    got = service.respond(parts, "What is the total revenue by supplier?")
+    assert got["trace"] == ["analytics: LookupError"] and got["kind"] == "planned" and 0 <= got["confidence"] <= 1 and got["sources"]
+    shown = service.respond(parts, "Which supplier shipped steel late?", "direct", 2)
+    assert shown["kind"] == "direct" and shown["confidence"] == 1.0 and len(shown["sources"]) == 2 and "steel" in shown["answer"].lower()
+    assert service.respond(parts, "zzz qqq", "direct")["confidence"] == service.UNSURE
+    with pytest.raises(ValueError):
+        service.respond(parts, "x", "sideways")
+    with pytest.raises(LookupError):
+        service.respond(service.Components(spark), "late steel")
+
+
+def test_words_for_yes_and_no(spark):
+    words = lambda *w: spark.createDataFrame([(x,) for x in w], "w string").select(T.truth(F.col("w"))).collect()
+    assert [r[0] for r in words(" Relevant", "NOT relevant", "y", None)] == [True, False, True, None]
+    with pytest.raises(Exception, match="not a boolean"):
+        words("perhaps")
+    row = spark.createDataFrame([("Show me  the Café -- costs!", "list")], "a string, b string").select(T.slug(F.col("a")), T.title(F.col("a")), T.title(F.col("b")), T.title(F.lit(None).cast("string"))).first()
+    assert tuple(row) == ("show_me_the_café_--_costs", "The Café -- costs!", "List", "Query Results")
+
+
+def test_arriving_documents_are_indexed_once(spark, kept, tmp_path):
+    from tessera.streaming import windows
+
+    for at, rows in enumerate([[(7, "copper arrives"), (8, "zinc")], [(8, "zinc again"), (9, "copper")]]):
+        spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "in" / str(at)))
+        stream = spark.readStream.schema("doc_id long, text string").parquet(str(tmp_path / "in" / "*"))
+        windows.index_stream(stream, kept, str(tmp_path / "ck")).awaitTermination()
+    again = CorpusIndex(spark, kept.path)
+    assert {r.doc_id for r in again.search("copper", 5).collect()} == {7, 9}
+    assert sorted(r.doc_id for r in again.table("texts").select("doc_id").collect()) == [1, 2, 3, 4, 5, 6, 7, 8, 9] and again.table("vectors").count() == 3
+
+
+def test_a_broken_write_is_mended(spark, kept, tmp_path):
+    from tessera.streaming import windows
+
+    before = [tuple(r) for r in kept.keyword("steel", 5).collect()]
+    assert kept.whole()
+    docs = [(7, "copper arrives"), (8, "zinc")]
+    kept._append(spark.createDataFrame(docs, "doc_id long, text string"), "texts")  # broke off before the postings
+    assert not kept.whole() and kept.keyword("copper", 5).count() == 0
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "in" / "0"))
+    stream = spark.readStream.schema("doc_id long, text string").parquet(str(tmp_path / "in" / "*"))
+    windows.index_stream(stream, kept, str(tmp_path / "ck")).awaitTermination()
+    again = CorpusIndex(spark, kept.path)
+    assert again.whole() and again.table("texts").count() == 8 and {r.doc_id for r in again.keyword("copper", 5).collect()} == {7}
+    assert [r[0] for r in before] == [r.doc_id for r in again.keyword("steel", 5).collect()]
