@@ -81,12 +81,15 @@ def _check(spark, d):
     return b.select("item_id", c.alias("c")).select("item_id", "c.citation_verified", F.round("c.faithfulness_score", 6).alias("faithfulness_score"), "c.warning")
 
 
+ANSWER = "this thing was late, and that delay"
+
+
 def _attribution(spark, d):
     """Sources of a benchmark passage among the documents that a keyword search finds."""
     docs = table(spark, d, "documents").select("doc_id", "text", "source")
     hits = retrieval.bm25(docs, retrieval.QUESTION, 20)
     chunks = docs.join(F.broadcast(hits), "doc_id")  # 20 rows
-    return evaluation.attribution("this thing was late, and that delay", retrieval.QUESTION, chunks).select("doc_id", "source", F.length("excerpt").cast("long").alias("n"), "relevance")
+    return evaluation.attribution(ANSWER, retrieval.QUESTION, chunks).select("doc_id", "source", F.length("excerpt").cast("long").alias("n"), "relevance")
 
 
 def _confidence(spark, d):
@@ -132,3 +135,11 @@ ORACLES = {
     "corpus_stats": "SELECT count(*) AS documents, count(DISTINCT source) AS sources, count(DISTINCT lang) AS languages FROM documents",
     "embedding_cache_misses": "SELECT sha256(text) AS hash, min(doc_id) AS doc_id FROM documents GROUP BY 1 HAVING bool_and(doc_id % 2 <> 0)",
 }
+
+_KEY, _SENT = evaluation._KEY, evaluation._SENT
+_SHOWN = 200
+ORACLES["attribution"] = (
+    f"WITH {retrieval._BM25}, c AS (SELECT doc_id, source, text, score, {_KEY(chr(39) + ANSWER + chr(39))} AS a, {_KEY(chr(39) + retrieval.QUESTION + chr(39))} AS w, {_KEY('text')} AS k, {_SENT('text')} AS s FROM bk JOIN documents USING (doc_id)), "
+    f"r AS (SELECT *, 0.6::DOUBLE * {T.share_sql('a', 'k')} + 0.4::DOUBLE * least(CASE WHEN score <= 1 THEN score ELSE score / 10 END, 1.0::DOUBLE) AS rel, list_min(list_transform(s, lambda x, i: {{'o': -len(list_intersect({_KEY('x')}, w)), 'i': i, 's': x}})).s AS best FROM c) "
+    f"SELECT doc_id, source, CASE WHEN length(text) <= {_SHOWN} THEN length(trim(text)) WHEN len(s) = 0 THEN length(trim(substr(text, 1, {_SHOWN}))) WHEN length(best) > {_SHOWN} THEN length(trim(substr(best, 1, {_SHOWN}))) + 3 ELSE length(best) END::BIGINT AS n, round(rel, 3) AS relevance FROM r WHERE rel >= {evaluation.MIN_RELEVANCE}"
+)

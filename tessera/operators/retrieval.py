@@ -282,16 +282,21 @@ QUERIES = {
 
 _Q = query_tokens(QUESTION)
 _TOK = f"toks AS (SELECT doc_id, {T.bm25_tokens_sql('text')} AS t FROM documents), st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM toks)"
-_BM25 = f"""{_TOK},
+_IDF = f"""{_TOK},
 df AS (SELECT w, count(*) AS df FROM (SELECT unnest(list_distinct(t)) AS w FROM toks) GROUP BY w),
 raw AS (SELECT w, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS idf FROM df, st),
-idf AS (SELECT w, CASE WHEN idf < 0 THEN {EPSILON}::DOUBLE * (SELECT avg(idf) FROM raw) ELSE idf END AS idf FROM raw),
-q AS (SELECT unnest({T.strings_sql(_Q)}) AS w),
-bm AS (
-  SELECT doc_id, sum(idf * tf * {K1 + 1}::DOUBLE / (tf + {K1}::DOUBLE * ({1 - B}::DOUBLE + {B}::DOUBLE * dl / avgdl))) AS score
-  FROM (SELECT doc_id, q.w, len(t) AS dl, len(list_filter(t, lambda x: x = q.w)) AS tf FROM toks, q) JOIN idf USING (w), st
-  GROUP BY doc_id HAVING score > 0
-),
+idf AS (SELECT w, CASE WHEN idf < 0 THEN {EPSILON}::DOUBLE * (SELECT avg(idf) FROM raw) ELSE idf END AS idf FROM raw)"""
+
+
+def scores_sql(query: str) -> str:
+    """SQL of (doc_id, score) for a query, over the tables of _IDF."""
+    return f"""SELECT doc_id, sum(idf * tf * {K1 + 1}::DOUBLE / (tf + {K1}::DOUBLE * ({1 - B}::DOUBLE + {B}::DOUBLE * dl / avgdl))) AS score
+  FROM (SELECT doc_id, q.w, len(t) AS dl, len(list_filter(t, lambda x: x = q.w)) AS tf FROM toks, (SELECT unnest({T.strings_sql(query_tokens(query))}) AS w) AS q) JOIN idf USING (w), st
+  GROUP BY doc_id HAVING score > 0"""
+
+
+_BM25 = f"""{_IDF},
+bm AS ({scores_sql(QUESTION)}),
 vec AS (
   SELECT v.vec_id AS doc_id, list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score
   FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 7) q

@@ -6,10 +6,14 @@ import functools
 
 from pyspark.sql import functions as F
 
-from tessera.operators import index, knowledge, warehouse
+from tessera.functions import text as T
+from tessera.operators import evaluation, index, knowledge, retrieval, warehouse
 from tessera.plans import answering, guard, questions, service
 
 
+QUESTION = "this thing with that"
+
+
 def _search(spark, d):
     return index.documents_index(spark, d).search
 
@@ -20,7 +24,7 @@ def _hops(spark, d):
 
 
 def _corrective(spark, d):
-    rows, _ = answering.corrective(_search(spark, d), "this thing with that")
+    rows, _ = answering.corrective(_search(spark, d), QUESTION)
     return spark.createDataFrame([(r.doc_id, round(float(r.overlap), 6), r.relevant) for r in rows], "doc_id long, overlap double, relevant boolean")
 
 
@@ -106,3 +110,15 @@ ORACLES = {
     "question_templates": " UNION ALL ".join(f"SELECT '{name}' AS template, count(*) AS n, sum({number})::DOUBLE AS total FROM ({warehouse.ORACLES[name]})" for _, name, number in TEMPLATE_QUESTIONS),
     "statement_guard": "SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, {ok}, '{why}', {asks})" for i, (_, ok, why, asks) in enumerate(STATEMENTS)) + ") AS t(id, ok, reason, needs_approval)",
 }
+
+_ASKED = [QUESTION, *[answering.rewrite(QUESTION, i) for i in range(1, answering.REWRITES + 1)]]
+_OVERLAP = T.share_sql("a", "b")
+ORACLES["corrective_retrieval"] = (
+    f"WITH {retrieval._IDF}, "
+    + ", ".join(f"b{i} AS (SELECT doc_id, {i} AS step FROM ({retrieval.scores_sql(q)}) ORDER BY round(score, 9) DESC, doc_id LIMIT {answering.TOP})" for i, q in enumerate(_ASKED))
+    + ", hits AS ("
+    + " UNION ALL ".join(f"FROM b{i}" for i in range(len(_ASKED)))
+    + f"), o AS (SELECT doc_id, step, {_OVERLAP} AS overlap FROM (SELECT doc_id, step, {T.terms_sql(chr(39) + QUESTION + chr(39))} AS a, {T.terms_sql('text')} AS b FROM hits JOIN documents USING (doc_id))), "
+    f"good AS (SELECT min(step) AS step FROM o WHERE overlap >= {evaluation.GRADE}) "
+    f"SELECT doc_id, round(overlap, 6) AS overlap, overlap >= {evaluation.GRADE} AS relevant FROM o, good WHERE CASE WHEN good.step IS NULL THEN o.step = {len(_ASKED) - 1} ELSE o.step = good.step AND overlap >= {evaluation.GRADE} END"
+)
