@@ -222,13 +222,13 @@ ORACLES = {
     "html_text": f"SELECT page_id, array_to_string(list_filter(list_transform(string_split({_TAGS}, chr(10)), lambda s: trim(s)), lambda s: s <> ''), chr(10)) AS text FROM pages",
     "mime_classify": "SELECT page_id, ['txt', 'pdf', 'xlsx', 'exe', 'zzz', 'py'][(page_id % 6 + 1)::INT] AS ext, ['text', 'document', 'table', 'unknown', 'unknown', 'code'][(page_id % 6 + 1)::INT] AS category, ['txt_loader', 'pdf_loader', 'excel_loader', NULL, NULL, 'code_loader'][(page_id % 6 + 1)::INT] AS loader, page_id % 6 = 3 AS blocked, CASE WHEN page_id % 6 = 5 THEN 'python' ELSE 'unknown' END AS language FROM pages",
 }
-# The pages hold these character references, and others only in what is dropped.
-_REFERENCES = (("&quot;", '"'), ("&#x27;", "''"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
+# The pages hold these character references, some without their end, and others only in what is dropped.
+_REFERENCES = (("&quot;?", '"'), ("&#x27;?", "''"), ("&lt;?", "<"), ("&gt;?", ">"), ("&amp;?", "&"))
 
 
 def _plain(e: str) -> str:
     for reference, character in _REFERENCES:
-        e = f"replace({e}, '{reference}', '{character}')"
+        e = f"regexp_replace({e}, '{reference}', '{character}', 'g')"
     return e
 
 
