@@ -84,10 +84,15 @@ def _tagged_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _ids(spark: SparkSession, d: str) -> DataFrame:
-    """Identifiers and quoted names in turns of conversations and order sentences."""
-    o = table(spark, d, "orders").select(F.concat(F.lit("see ord-100"), F.col("o_orderkey").cast("string"), F.lit(' and "'), F.col("o_orderpriority"), F.lit('" on LINE-'), (F.col("o_custkey") % 90 + 10).cast("string"), F.lit(" after the delay")).alias("text"), "o_orderkey")
-    e = T.extracted(F.col("text"))
-    return o.select("o_orderkey", e.alias("e")).select("o_orderkey", F.concat_ws("|", "e.order_ids").alias("order_ids"), F.concat_ws("|", "e.machine_ids").alias("machine_ids"), F.concat_ws("|", "e.quoted_entities").alias("quoted"), F.concat_ws("|", "e.concepts").alias("concepts"))
+    """All seven kinds of entities in a sentence made of each order."""
+    place = F.when(F.col("o_orderstatus") == "F", "Port Delta").when(F.col("o_orderstatus") == "O", "Omega").otherwise("North Pier")
+    said = F.concat(
+        F.lit("Supplier Firm"), F.col("o_custkey").cast("string"), F.lit(" delayed it on "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("; it lies at "), place,
+        F.lit(" warehouse. See ord-100"), F.col("o_orderkey").cast("string"), F.lit(' and "'), F.col("o_orderpriority"), F.lit('" on LINE-'), (F.col("o_custkey") % 90 + 10).cast("string"), F.lit(" after the outage."),
+    )
+    o = table(spark, d, "orders").select("o_orderkey", T.extracted(said).alias("e"))
+    joined = lambda kind, name: F.concat_ws("|", f"e.{kind}").alias(name)
+    return o.select("o_orderkey", joined("suppliers", "suppliers"), joined("dates", "dates"), joined("locations", "locations"), joined("order_ids", "order_ids"), joined("machine_ids", "machine_ids"), joined("quoted_entities", "quoted"), joined("concepts", "concepts"))
 
 
 def _dates(spark: SparkSession, d: str) -> DataFrame:
@@ -126,5 +131,5 @@ ORACLES = {
     "tag_documents": f"SELECT doc_id, {_best_sql('lower(text)', TYPE_BANKS)} AS type, {_best_sql('lower(text)', CATEGORY_BANKS)} AS category, {_priority_sql('text')} AS priority, len({_dates_sql('text')})::BIGINT AS n_dates, len({_names_sql('text')})::BIGINT AS n_entities FROM documents",
     "tag_records": f"SELECT o_orderkey, {_best_sql('lower(text)', TYPE_BANKS)} AS type, {_best_sql('lower(text)', CATEGORY_BANKS)} AS category, {_priority_sql('text')} AS priority, array_to_string({_dates_sql('text')}, '|') AS dates, array_to_string({_names_sql('text')}, '|') AS entities FROM ({_RECORDS_SQL})",
     "extract_dates": f"SELECT doc_id, len({_dates_sql('text')})::BIGINT AS n_dates, array_to_string({_dates_sql('text')}, '|') AS dates FROM documents",
-    "extract_ids": "SELECT o_orderkey, 'ORD-100' || o_orderkey AS order_ids, 'LINE-' || (o_custkey % 90 + 10) AS machine_ids, o_orderpriority AS quoted, 'delay' AS concepts FROM orders",
+    "extract_ids": "SELECT o_orderkey, 'Firm' || o_custkey AS suppliers, strftime(o_orderdate, '%Y-%m-%d') AS dates, CASE o_orderstatus WHEN 'F' THEN 'Port Delta' WHEN 'O' THEN 'Omega' ELSE 'North Pier' END AS locations, 'ORD-100' || o_orderkey AS order_ids, 'LINE-' || (o_custkey % 90 + 10) AS machine_ids, o_orderpriority AS quoted, 'delay|outage' AS concepts FROM orders",
 }
