@@ -407,3 +407,25 @@ def test_rare_terms_have_statistics(spark, tmp_path):
     spark.createDataFrame([(i, "common " + ("rare rare" if i == 3 else "")) for i in range(6)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {(r.term, r.df, r.cf) for r in retrieval.QUERIES["bm25_terms"](spark, str(tmp_path)).collect()}
     assert got == {("common", 6, 6), ("rare", 1, 2)}
+
+
+def test_keyframes(spark):
+    one, two, none = [[1.0, 0.0], [1.0, 1.0]], [[0.0, 1.0], [1.0, 0.0]], [[0.0, 0.0], [0.0, 0.0]]
+    rows = [("a", i, h) for i, h in enumerate([one, one, two, two, one])] + [("b", 0, None), ("b", 1, none), ("b", 2, one)] + [("c", i, one if i % 4 else two) for i in range(24)]
+    frames = spark.createDataFrame(rows, "video string, frame int, hists array<array<double>>")
+    got = lambda **o: {(r.video, r.frame): r.distance for r in feedback.keyframes(frames, **o).collect()}
+    every = got()
+    assert {k for k in every if k[0] != "c"} == {("a", 0), ("a", 2), ("a", 4), ("b", 1), ("b", 2)}
+    # Channel one has nothing in common: 1; channel two shares half: sqrt(1 - 1 / sqrt(2)).
+    assert every["a", 0] is None and every["a", 2] == pytest.approx(50 * (1 + (1 - 0.5**0.5) ** 0.5)) and every["b", 2] == pytest.approx(100)
+    assert [k[1] for k in sorted(every) if k[0] == "c"] == [f for f in range(24) if f % 4 < 2]
+    assert {k for k in got(most=2) if k[0] == "a"} == {("a", 0), ("a", 2)}
+    # 24 frames and at most one keyframe: every sixth is looked at.
+    assert {k for k in got(most=1) if k[0] == "c"} == {("c", 0)} and {k for k in got(least=100.1)} == {("a", 0), ("b", 1), ("c", 0)}
+    assert feedback.keyframes(frames.limit(0)).count() == 0
+
+
+def test_log_entries_without_stamps_or_text(spark):
+    rows = [(1, None), (2, ""), (3, " \n\n  "), (4, "\n \n a\r\n\r\nb"), (5, "  2024-01-12 08:00 x\n\n y\n[2024-01-12 08:00:01]"), (6, "see 2024-01-12 08:00 x")]
+    got = [(r.id, r.entry, r.text, r.message) for r in text.log_entries(spark.createDataFrame(rows, "id long, text string"), "id", "text").orderBy("id", "entry").collect()]
+    assert got == [(4, 0, " a\n\nb", "a  b"), (5, 1, "  2024-01-12 08:00 x\n\n y", "x  y"), (5, 2, "[2024-01-12 08:00:01]", ""), (6, 0, "see 2024-01-12 08:00 x", "see 2024-01-12 08:00 x")]
