@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.session import table
+from tessera.session import table, texts
 
 # Record fields and their predicates.
 ENTITY_FIELDS = {
@@ -342,7 +342,7 @@ def _prose_query(spark, d):
     """Every order as a sentence of one rule, between sentences that no rule knows."""
     said = F.element_at(F.array(*[F.lit(p[0]) for p in PROSE_SENTENCES]), (F.col("o_orderkey") % len(PROSE_SENTENCES) + 1).cast("int"))
     text = F.concat(F.lit("nothing here. "), F.replace(said, F.lit("{}"), F.col("o_orderkey").cast("string")), F.lit(" and so it was."))
-    o = table(spark, d, "orders").select("o_orderkey", text.alias("text"))
+    o = texts(spark, d, "orders", ("o_orderkey",)).select("o_orderkey", text.alias("text"))
     return prose_triples(o, "o_orderkey").select("o_orderkey", "subject", "predicate", "object", "subject_type", "object_type")
 
 

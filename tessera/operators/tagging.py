@@ -90,7 +90,7 @@ def _ids(spark: SparkSession, d: str) -> DataFrame:
         F.lit("Supplier Firm"), F.col("o_custkey").cast("string"), F.lit(" delayed it on "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("; it lies at "), place,
         F.lit(" warehouse. See ord-100"), F.col("o_orderkey").cast("string"), F.lit(' and "'), F.col("o_orderpriority"), F.lit('" on LINE-'), (F.col("o_custkey") % 90 + 10).cast("string"), F.lit(" after the outage."),
     )
-    o = table(spark, d, "orders").select("o_orderkey", T.extracted(said).alias("e"))
+    o = texts(spark, d, "orders", ("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus", "o_orderpriority")).select("o_orderkey", T.extracted(said).alias("e"))
     joined = lambda kind, name: F.concat_ws("|", f"e.{kind}").alias(name)
     return o.select("o_orderkey", joined("suppliers", "suppliers"), joined("dates", "dates"), joined("locations", "locations"), joined("order_ids", "order_ids"), joined("machine_ids", "machine_ids"), joined("quoted_entities", "quoted"), joined("concepts", "concepts"))
 

@@ -10,7 +10,7 @@ from xml.sax.saxutils import escape
 import pandas as pd
 from pyspark.sql import functions as F
 
-from tessera.session import table, work_dir
+from tessera.session import table, texts, work_dir
 from tessera.sources import binary, markup, mime, reader, tables, text
 
 
@@ -23,7 +23,7 @@ def _csv_columns(spark, d):
 
 
 def _log(spark, d):
-    o = table(spark, d, "orders").select(
+    o = texts(spark, d, "orders", ("o_orderkey", "o_orderdate", "o_orderpriority")).select(
         "o_orderkey",
         F.concat(F.lit("intro\n\n[2024-01-12 08:00] ERROR PO-4521 | it failed\n  more of it\n"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" 09:30:00 - started "), F.col("o_orderpriority"), F.lit("\nfrom here\n[2024-01-12 10:00] done\n")).alias("text"),
     )
