@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import linededup, minhash, mixing, packing, toxicity
-from tessera.llm.common import discard, quoted, stored, written
+from tessera.llm.common import discard, fresh, stored, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -34,10 +34,12 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     A document that held nothing else goes; one that lost nothing stays as it is, null and empty texts too. Rows that share the smallest
     doc_id all keep a line; lines found in rows without an id only stay.
     """
-    out = linededup.dedup_lines(docs, min_docs=10, keep_first=True)
+    read = ("doc_id", "text", "n_chars")
+    plain = docs.toDF(*[c if c in read else f"c{i}" for i, c in enumerate(docs.columns)])
+    out = linededup.dedup_lines(plain, min_docs=10, keep_first=True)
     spent = (F.col("n_dropped") > 0) & (F.regexp_replace("text", r"[ \t\n\x0B\f\r]+", "") == "")
     length = F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return out.where(~spent).withColumn("n_chars", length).select(*map(quoted, docs.columns))
+    return out.where(~spent).withColumn("n_chars", length).select(*plain.columns).toDF(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +47,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Texts without words and rows without an id stay. Rows that share a doc_id are one document and stay or go together.
     """
-    gone = minhash.near_duplicates(docs, width=5, percent=80).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    name = fresh(docs, "gone")
+    gone = minhash.near_duplicates(docs, width=5, percent=80).where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +62,8 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     A written table has no order, so the places in the mixture are derived again: they depend on the rows alone.
     """
-    return packing.pack(mixing.placed(docs, mixing.TARGETS, "_place", mixing.BLOCK), order="_place")
+    place = fresh(docs, "place")
+    return packing.pack(mixing.placed(docs, mixing.TARGETS, place, mixing.BLOCK), order=place)
 
 
 STAGES = [
