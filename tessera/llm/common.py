@@ -124,34 +124,82 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def sub_bucket(key: Column, low: int | None, width: float) -> Column:
-    """Monotone bucket of an integer key; nulls come first."""
-    return F.coalesce(F.floor((key.cast("double") - F.lit(float(low or 0))) / F.lit(width)), F.lit(-1)).cast("long")
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have: ``name``, with underscores before it as long as it is taken."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def cuts(df: DataFrame, key: str, ranges: int) -> list[int]:
+    """Bounds of about ``ranges`` ranges of an integer key with about equal numbers of rows, by approximate quantiles.
+
+    The sketches keep some numbers a range, so driver and tasks hold what ``ranges`` bounds, whatever the input.
+    A key of very many rows may be a bound more than once; it counts once.
+    """
+    if ranges < 2:
+        return []
+    shares = ",".join(repr(i / ranges) for i in range(1, ranges))
+    quantiles = F.percentile_approx(F.col(key).cast("long"), F.expr(f"cast(split('{shares}', ',') as array<double>)"), F.lit(max(10_000, 2 * ranges)))
+    found = df.agg(quantiles.alias("q")).first().q
+    return sorted(set(found or []))
+
+
+def range_of(key: Column, bounds: list[int]) -> Column:
+    """The number of ``bounds`` that are at most ``key``, by binary search; -1 for a null."""
+    if not bounds:
+        return F.when(key.isNull(), -1).otherwise(0).cast("long")
+    steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
+    listed = F.expr(f"cast(split('{','.join(map(str, bounds))}', ',') as array<bigint>)")
+    found = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(F.get(listed, at + step - 1) <= key.cast("long"), at + step).otherwise(at))
+    return F.when(key.isNull(), -1).otherwise(found).cast("long")
 
 
 def gapless(df: DataFrame, group: list[str], key: str, ties: list[Column], out: str, per_bucket: int = 1000, most: int = 65536) -> DataFrame:
     """Number the rows of each group 0, 1, 2 ... by ``key`` and ``ties`` without gathering a group in a task.
 
-    Each group is cut into ranges of ``key``; the ranges are counted, the counts
+    Each group is cut into ranges of ``key`` at quantiles of the whole table, so neither clustered keys nor one far out
+    make a range large (rows that share one key stay in one); the ranges are counted, the counts
     summed to offsets, and rows numbered inside their range only. The offsets
     hold one row per group and range. Nulls in ``group`` form a group. Rows without a ``key`` come
     first; they are cut by a hash of ``ties``, which goes before ``ties`` in their order. Columns of ``df`` may have any name but ``out``.
     """
-    own = lambda name: f"__gapless_{name}"
-    size, known, low, high = df.agg(F.count("*"), F.count(key), F.min(key), F.max(key)).first()
+    own = lambda name: fresh(df, f"__gapless_{name}")
+    size, known = df.agg(F.count("*"), F.count(key)).first()
     n, unnamed = (max(1, min(most, x // per_bucket)) for x in (size, size - known))
-    width = max(1.0, (float(high or 0) - float(low or 0) + 1) / n)
     lone = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*ties), F.lit(unnamed)))
-    cut = df.withColumn(own("sub"), F.coalesce(-1 - lone, sub_bucket(F.col(key), low, width)))
-    counts = cut.groupBy(*group, own("sub")).agg(F.count("*").alias("n"))
-    before = Window.partitionBy(*group).orderBy(own("sub")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*[F.col(g).alias(own(f"g{i}")) for i, g in enumerate(group)], F.col(own("sub")).alias(own("s")), F.coalesce(F.sum("n").over(before), F.lit(0)).alias(own("before")))
-    same = F.col(own("sub")) == F.col(own("s"))
+    cut = df.withColumn(own("sub"), F.coalesce(-1 - lone, range_of(F.col(key), cuts(df, key, n))))
+    names = {x: own(x) for x in ("sub", "s", "before", *[f"g{i}" for i in range(len(group))])}
+    counts = cut.groupBy(*group, names["sub"]).agg(F.count("*").alias("n"))
+    before = Window.partitionBy(*group).orderBy(names["sub"]).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*[F.col(g).alias(names[f"g{i}"]) for i, g in enumerate(group)], F.col(names["sub"]).alias(names["s"]), F.coalesce(F.sum("n").over(before), F.lit(0)).alias(names["before"]))
+    same = F.col(names["sub"]) == F.col(names["s"])
     for i, g in enumerate(group):
-        same &= F.col(g).eqNullSafe(F.col(own(f"g{i}")))
-    inside = Window.partitionBy(*group, own("sub")).orderBy(F.col(key).asc_nulls_first(), *ties)
-    return (
-        cut.join(offsets, same)
-        .withColumn(out, (F.col(own("before")) + F.row_number().over(inside) - 1).cast("long"))
-        .drop(own("sub"), own("s"), own("before"), *[own(f"g{i}") for i in range(len(group))])
-    )
+        same &= F.col(g).eqNullSafe(F.col(names[f"g{i}"]))
+    inside = Window.partitionBy(*group, names["sub"]).orderBy(F.col(key).asc_nulls_first(), *ties)
+    return cut.join(offsets, same).withColumn(out, (F.col(names["before"]) + F.row_number().over(inside) - 1).cast("long")).drop(*names.values())
+
+
+def wide_hash(text: Column) -> tuple[Column, Column]:
+    """Two 64-bit xxHash values with different seeds."""
+    return F.xxhash64(text), F.xxhash64(F.lit(0x5BD1E995), text)
+
+
+#: Repeated hashes (16 bytes each) that may be broadcast to fetch their texts; beyond it they are joined.
+BROADCAST_HASHES = 1_000_000
+
+
+def collisions(texts: DataFrame) -> DataFrame | None:
+    """``texts`` (h1, h2, text): the rows (h1, h2, text, part) of hashes that stand for different texts, part from 1; None where there are none.
+
+    Texts with equal hashes are compared as bytes: partial aggregation keeps two texts a hash and task, however many copies there are.
+    """
+    repeated = stored(texts.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "repeated")
+    side = F.broadcast(repeated) if repeated.count() <= BROADCAST_HASHES else repeated
+    ends = texts.join(side, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min("text").alias("lo"), F.max("text").alias("hi"))
+    mixed = stored(ends.where("lo <> hi").select("h1", "h2"), "mixed")
+    if mixed.isEmpty():
+        return None
+    parts = texts.join(mixed, ["h1", "h2"], "left_semi").distinct()
+    return stored(parts.withColumn("part", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("text"))), "parts")

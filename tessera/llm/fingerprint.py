@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, sub_bucket
+from .common import BROADCAST_HASHES, cuts, range_of, stored, wide_hash
 
 #: White space but for the space itself, and any white space.
 _OTHER = r"\t-\r\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -36,24 +36,19 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(out, BLANKS, " "))
 
 
-def wide_hash(text: Column) -> tuple[Column, Column]:
-    """Two 64-bit xxHash values with different seeds."""
-    return F.xxhash64(text), F.xxhash64(F.lit(0x5BD1E995), text)
-
-
-def with_next(docs: DataFrame, range_rows: int = 256, most: int = 1 << 20, marks: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
+def with_next(docs: DataFrame, range_rows: int = 256, most: int = 1 << 16, marks: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
     """``docs`` (doc_id, text) with ``after_``x for the text and every column that ``marks`` adds: that of the next row.
 
     The next row is that of the next lower doc_id, after the last row the first. Rows with one doc_id follow in the order of two
-    hashes of their text; null ids come last, in the same order. Rows are dealt by ranges of doc_id (null ids: of the hash), in one
+    hashes of their text; null ids come last, in the same order. Rows are dealt by ranges of doc_id cut at quantiles (null ids: of the hash), in one
     shuffle. Each range also gets a ghost: the first row of the next lower range that has rows. There are at most ``most`` ranges of each kind.
     """
-    n, ids, low, high = docs.agg(F.count("*"), F.count("doc_id"), F.min("doc_id"), F.max("doc_id")).first()
+    n, ids = docs.agg(F.count("*"), F.count("doc_id")).first()
     ranges, unnamed = (max(1, min(most, x // range_rows)) for x in (n, n - ids))
-    width = max(1.0, (float(high or 0) - float(low or 0) + 1) / ranges)
+    bounds = cuts(docs, "doc_id", ranges)
     cut = docs.select("doc_id", "text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), "text").alias("t2"))
     share = F.col("t1").cast("double") / 2.0**64 + 0.5
-    cut = cut.withColumn("g", F.when(F.col("doc_id").isNull(), -1 - F.least(F.floor(share * unnamed), F.lit(unnamed - 1))).otherwise(sub_bucket(F.col("doc_id"), low, width)).cast("long"))
+    cut = cut.withColumn("g", F.when(F.col("doc_id").isNull(), -1 - F.least(F.floor(share * unnamed), F.lit(unnamed - 1))).otherwise(range_of(F.col("doc_id"), bounds)).cast("long"))
     first = stored(cut.groupBy("g").agg(F.max(F.struct("doc_id", (-F.col("t1").cast("decimal(20,0)")).alias("a"), (-F.col("t2").cast("decimal(20,0)")).alias("b"))).alias("x")).select("g", "x.*"), "heads")
     down = Window.orderBy(F.col("g").desc())
     above = first.select("doc_id", "a", "b", F.coalesce(F.lag("g").over(down), F.min("g").over(down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("g"))
@@ -84,10 +79,6 @@ def _name(a: str, b: str) -> Column:
     return F.concat(F.lpad(F.lower(F.hex(a)), 16, "0"), F.lpad(F.lower(F.hex(b)), 16, "0"))
 
 
-#: Repeated hashes (16 bytes each) that may be broadcast to fetch their texts; beyond it they are joined.
-BROADCAST_HASHES = 1_000_000
-
-
 def _split_buckets(docs: DataFrame, hashed: DataFrame) -> DataFrame:
     """(t1, t2, part) of the rows of buckets whose canonical texts are not all equal; none, but for a collision of 128 bits.
 

@@ -61,25 +61,29 @@ def mix(docs: DataFrame, targets: dict[str, int], block: int = BLOCK, source: st
     targets = _checked(targets)
     period = sum(targets.values())
     added = ("entry", "block", "place", "release", "deadline", "slot")
-    docs = docs.select(*[quoted(c) for c in docs.columns if c.lower() not in added])
+    names = [c for c in docs.columns if c.lower() not in added]
+    # By place: whatever the columns are called, they do not meet those of the schedule.
+    plain = docs.select(*map(quoted, names)).toDF(*[f"c{i}" for i in range(len(names))])
+    own = {c.lower(): f"c{i}" for i, c in enumerate(names)}
     listed = [name for name in targets if name != REST]
-    entry = F.when(F.col(source).isin(listed), F.col(source)).otherwise(F.lit(REST))
-    numbered = gapless(docs.withColumn("entry", entry), ["entry"], key, [F.xxhash64(*[F.col(quoted(c)) for c in docs.columns])], "__n")
+    entry = F.when(F.col(own[source]).isin(listed), F.col(own[source])).otherwise(F.lit(REST))
+    numbered = gapless(plain.withColumn("entry", entry), ["entry"], own[key], [F.xxhash64(*plain.columns)], "n")
     rows = plan(targets)
     # The plan has one row for each slot of a period: configured weights bound it.
     quote = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
     values = ", ".join(f"({quote(n)}, {targets[n]}L, {j}L, {r}L, {d}L, {s}L)" for n, j, r, d, s in rows)
-    period_plan = docs.sparkSession.sql(f"SELECT * FROM VALUES {values} AS t(__entry, __w, __j, __r, __d, __s)")
+    period_plan = docs.sparkSession.sql(f"SELECT * FROM VALUES {values} AS t(of, w, j, r, d, s)").drop("w")
     weight: Column = F.element_at(F.create_map(*[F.lit(x) for kv in targets.items() for x in kv]), F.col("entry"))
-    cut = numbered.withColumn("block", F.floor(F.col("__n") / block).cast("long")).withColumn("place", (F.col("__n") % block).cast("long")).withColumn("__w0", weight.cast("long"))
-    cycle = F.floor(F.col("block") / F.col("__w0")).cast("long") * period
-    joined = cut.join(F.broadcast(period_plan), (F.col("entry") == F.col("__entry")) & (F.col("block") % F.col("__w0") == F.col("__j")))
-    return joined.select(*[quoted(c) for c in docs.columns], "entry", "block", "place", (cycle + F.col("__r")).alias("release"), (cycle + F.col("__d")).alias("deadline"), (cycle + F.col("__s")).alias("slot"))
+    cut = numbered.withColumn("block", F.floor(F.col("n") / block).cast("long")).withColumn("place", (F.col("n") % block).cast("long")).withColumn("w", weight.cast("long"))
+    cycle = F.floor(F.col("block") / F.col("w")).cast("long") * period
+    joined = cut.join(F.broadcast(period_plan), (F.col("entry") == F.col("of")) & (F.col("block") % F.col("w") == F.col("j")))
+    out = joined.select(*plain.columns, "entry", "block", "place", (cycle + F.col("r")).alias("release"), (cycle + F.col("d")).alias("deadline"), (cycle + F.col("s")).alias("slot"))
+    return out.toDF(*names, *added)
 
 
 def _apart(docs: DataFrame) -> DataFrame:
     """``docs`` with names of their own for all columns that the schedule does not read."""
-    return docs.toDF(*[c if c in ("doc_id", "source") else f"__c{i}" for i, c in enumerate(docs.columns)])
+    return docs.toDF(*[c if c in ("doc_id", "source") else f"c{i}" for i, c in enumerate(docs.columns)])
 
 
 def placed(docs: DataFrame, targets: dict[str, int], name: str, block: int = BLOCK) -> DataFrame:

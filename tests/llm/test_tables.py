@@ -53,6 +53,48 @@ def test_search_of_nothing(spark):
     assert topk.search(one, one, 5).count() == 0
 
 
+def test_search_of_large_components(spark):
+    """Products beyond 2**53 are exact, also where they cancel; a returned score that 64 bits do not hold raises, one that is not returned does not."""
+    kind = "vec_id long, embedding array<double>"
+    r = random.Random(3)
+    rows = [(i, [r.uniform(-5e6, 5e6) for _ in range(4)]) for i in range(60)]
+    rows[0], rows[50] = (0, [4e6, 4e6, 1.0, 0.5]), (50, [-3e6, -3e6, 5e6, 2.0])
+    rows += [(101, [1e12, -1e12, 3e6, 0.0]), (102, [1e15, -1e15, 0.0, 1.0])]
+    ints = {i: [math.floor(256 * x) for x in v] for i, v in rows}
+    want = set()
+    for q in (0, 50):
+        found = sorted((-sum(x * y for x, y in zip(ints[q], v)), i) for i, v in ints.items() if i != q)
+        want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(found[:40])}
+    v = spark.createDataFrame(rows, kind)
+    got = {tuple(x) for x in topk.search(v, v.where("vec_id in (0, 50)"), 40).collect()}
+    assert max(abs(x[3]) for x in want) > 1 << 60 and {101, 102} & {x[2] for x in want} and got == want
+    for size in (1e10, 1e30):
+        huge = spark.createDataFrame([(0, [size] * 4), (1, [-size] * 4), (2, [1.0] * 4), (3, [2.0] * 4)], kind)
+        with pytest.raises(Exception, match="64 bits"):
+            topk.search(huge, huge.where("vec_id = 0"), 3).collect()
+    small = spark.createDataFrame([(0, [1e10] * 4), (1, [-1e10] * 4), (2, [1.0] * 4), (3, [2.0] * 4)], kind)
+    assert [(x.vec_id, x.score) for x in topk.search(small, small.where("vec_id = 0"), 2).orderBy("rank").collect()] == [(3, 2 * 256 * 256 * 4 * 10**10), (2, 256 * 256 * 4 * 10**10)]
+
+
+def test_ranges_by_quantiles(spark):
+    """One id far out, or ids in clusters, do not make a range large; numbers stay gapless."""
+    from pyspark.sql import functions as F
+
+    from tessera.llm import common
+
+    ids = [*range(0, 3000), *range(10**9, 10**9 + 3000), 1 << 60, -(1 << 62), *[5] * 40, *[None] * 30]
+    df = spark.createDataFrame([(i, n % 3, n) for n, i in enumerate(ids)], "doc_id long, g long, sub long")
+    bounds = common.cuts(df, "doc_id", 60)
+    largest = df.groupBy(common.range_of(F.col("doc_id"), bounds)).count().agg(F.max("count")).first()[0]
+    assert len(bounds) > 40 and largest < 300
+    got = common.gapless(df, ["g"], "doc_id", [F.col("sub")], "n", per_bucket=100).collect()
+    place = lambda x: (x.doc_id is not None, x.doc_id or 0)
+    for g in range(3):
+        mine = sorted((x for x in got if x.g == g), key=lambda x: x.n)
+        assert [x.n for x in mine] == list(range(len(mine))) and [place(x) for x in mine] == sorted(map(place, mine))
+    assert len(got) == len(ids)
+
+
 PAGES = "page_id long, url string, html string, host string, rule string, mass double"
 
 
@@ -230,15 +272,18 @@ def test_run(spark, folder):
     assert got and {r.doc_id for r in got} <= {r.doc_id for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
 
 
-AWKWARD = COLUMNS + ", gone long, `a.b` string, _gone string, slot long, _n long"
+#: Names that the stages give or once gave to columns of their own, and names like those that they would choose instead.
+CLASHES = "gone _gone __gone place _place __place n_lines n_dropped n __n w __w0 j __j r __d entry __entry block release deadline slot c0 c1 c5 __c0 sub __gapless_sub ___gapless_sub h h1 t1 part root kept score".split()
+AWKWARD = COLUMNS + ", `a.b` string, " + ", ".join(f"{c} long" for c in CLASHES)
 
 
 def test_stages_with_awkward_rows(spark, folder):
     """Null and repeated ids, null texts and sources, clashing names: no stage fails, drops an innocent row or a column."""
     r = random.Random(5)
-    rows = [(i, fixtures.prose(r, 30), "en", f"src{i % 3}", 0, i, "x", "y", 1, 2) for i in range(30)]
-    rows += [(None, t, None, None, None, None, None, None, None, None) for t in (None, "", "no id", "no id either")]
-    rows += [rows[3], (4, "another text under a known id", "en", "src0", 0, 1, "x", "y", 1, 2), (900, None, None, None, 0, 1, "x", "y", 1, 2)]
+    more = ("y", *range(700, 700 + len(CLASHES)))
+    rows = [(i, fixtures.prose(r, 30), "en", f"src{i % 3}", 0, *more) for i in range(30)]
+    rows += [(None, t, None, None, None, *[None] * len(more)) for t in (None, "", "no id", "no id either")]
+    rows += [rows[3], (4, "another text under a known id", "en", "src0", 0, *more), (900, None, None, None, 0, *more)]
     docs = spark.createDataFrame(rows, AWKWARD)
     columns = docs.columns
     for name, stage in corpus_pipeline.STAGES[:-1]:
