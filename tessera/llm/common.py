@@ -26,14 +26,14 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def stored(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
-    """Cut lineage: write ``df`` as Parquet into the shared folder and read it back.
+def stored(df: DataFrame, label: str, compression: str = "snappy", by: tuple[str, ...] = ()) -> DataFrame:
+    """Cut lineage: write ``df`` as Parquet into the shared folder and read it back; ``by``: columns that make folders.
 
     The copy survives the loss of any executor, unlike a local checkpoint or a cache.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    df.write.option("compression", compression).partitionBy(*by).parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

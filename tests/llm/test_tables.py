@@ -382,5 +382,5 @@ def test_queries_are_registered():
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert {f"op{i}" for i in range(1, 11)} == {n.split("_")[0] for n in names if re.match(r"op\d+_", n)} and "pipeline" in names
+    assert {f"op{i}" for i in range(1, 14)} == {n.split("_")[0] for n in names if re.match(r"op\d+_", n)} and "pipeline" in names
     assert set(entry.oracle_sql()) <= set(names)
