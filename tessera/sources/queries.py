@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 from collections.abc import Callable
 from xml.sax.saxutils import escape
@@ -11,7 +12,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tessera.session import table, texts, work_dir
-from tessera.sources import binary, markup, mime, reader, tables, text
+from tessera.sources import binary, markup, mime, reader, splits, tables, text
 
 
 def _csv_rows(spark, d):
@@ -153,6 +154,34 @@ def _folder(spark, d):
     return found.select("file_type", F.col("part").cast("long").alias("part"), "text", F.col("error").isNotNull().alias("failed"))
 
 
+def _written(rows, key: str, order: list[str]) -> str:
+    """Lines of a column ``value`` as one text file for each ``key``; the folder."""
+    spark = rows.sparkSession
+    root = f"{work_dir(spark)}/files-{uuid.uuid4().hex}"
+    rows.repartition(key).sortWithinPartitions(key, *order).select(key, "value").write.partitionBy(key).text(root)
+    return root
+
+
+def _log_files(spark, d):
+    """All events as log files, one for each type, an entry over three lines; read back in byte ranges."""
+    level = F.element_at(F.array(*[F.lit(x) for x in ("ERROR", "info", "WARNING")]), (F.col("event_id") % 3 + 1).cast("int"))
+    value = F.concat(F.lit("[2024-01-12 08:"), F.lpad((F.col("event_id") % 60).cast("string"), 2, "0"), F.lit("] "), level, F.lit(" | PO-"), (F.col("event_id") + 1000).cast("string"), F.lit(" | user "), F.col("user_id").cast("string"), F.lit("\n  at "), "props", F.lit("\n"))
+    root = _written(table(spark, d, "events").select("event_type", "event_id", value.alias("value")), "event_type", ["event_id"])
+    log = splits.text_records(spark, root)["log"]
+    return log.select(F.regexp_extract("source", "event_type=([^/]*)", 1).alias("event_type"), F.col("entry").cast("long").alias("entry"), "timestamp", "level", "entry_id", "message")
+
+
+def _csv_files(spark, d):
+    """All orders as CSV files, one for each status, with values over two lines; read back in byte ranges."""
+    o = table(spark, d, "orders").select("o_orderstatus", "o_orderkey", "o_orderpriority")
+    row = F.concat(F.col("o_orderkey").cast("string"), F.lit(',"say ""'), "o_orderpriority", F.lit('"",\nand go",'))
+    rows = o.select("o_orderstatus", "o_orderkey", row.alias("value"))
+    heads = o.select("o_orderstatus").distinct().select("o_orderstatus", F.lit(-1).cast("long").alias("o_orderkey"), F.lit("key,note,empty").alias("value"))
+    found = splits.csv_records(spark, _written(rows.unionByName(heads), "o_orderstatus", ["o_orderkey"]), "*.txt")
+    status = F.regexp_extract("source", "o_orderstatus=([^/]*)", 1)
+    return found.select(status.alias("o_orderstatus"), "row", "total_rows", splits.named_values(F.col("names"), F.col("fields")).alias("text"))
+
+
 def _title(spark, d):
     return table(spark, d, "pages").select("page_id", markup.title(F.col("html")).alias("title"))
 
@@ -192,6 +221,8 @@ QUERIES = {
     "image_files": _media,
     "code_files": _code,
     "ingest_folder": _folder,
+    "log_files": _log_files,
+    "csv_files": _csv_files,
     "html_title": _title,
     "html_text": _html,
     "html_documents": _visible,
@@ -218,6 +249,8 @@ ORACLES = {
     "image_files": "SELECT '/in/' || s_suppkey || '.png' AS source, CASE WHEN ascii(right(s_name, 1)) % 2 = 1 THEN s_name ELSE '[Image: ' || s_suppkey || '.png]' END AS text, (ascii(right(s_name, 1)) % 2 = 1)::VARCHAR AS has_text FROM supplier",
     "code_files": "SELECT '/in/' || conv_id || '_' || turn || CASE WHEN turn % 2 = 0 THEN '.py' ELSE '.sql' END AS source, CASE WHEN turn % 2 = 0 THEN 'python' ELSE 'sql' END AS language, 'code' AS modality, len(string_split(text, chr(10)))::BIGINT AS line_count FROM conversations",
     "ingest_folder": "SELECT 'csv' AS file_type, row_number() OVER (ORDER BY n_nationkey) - 1 AS part, 'n_nationkey: ' || n_nationkey || chr(10) || 'n_name: ' || n_name || chr(10) || 'n_regionkey: ' || n_regionkey AS text, false AS failed FROM nation UNION ALL SELECT 'txt', unnest([0, 1]), unnest(['First of ', 'Second of ']) || r_name, false FROM region",
+    "log_files": "SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS entry, '2024-01-12 08:' || lpad((event_id % 60)::VARCHAR, 2, '0') AS timestamp, ['ERROR', 'INFO', 'WARNING'][(event_id % 3 + 1)::INT] AS level, 'PO-' || (event_id + 1000) AS entry_id, 'user ' || user_id || ' at ' || props || ' ' AS message FROM events",
+    "csv_files": "SELECT o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1 AS row, count(*) OVER (PARTITION BY o_orderstatus) AS total_rows, 'key: ' || o_orderkey || chr(10) || 'note: say \"' || o_orderpriority || '\",' || chr(10) || 'and go' AS text FROM orders",
     "html_title": "SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title FROM pages",
     "html_text": f"SELECT page_id, array_to_string(list_filter(list_transform(string_split({_TAGS}, chr(10)), lambda s: trim(s)), lambda s: s <> ''), chr(10)) AS text FROM pages",
     "mime_classify": "SELECT page_id, ['txt', 'pdf', 'xlsx', 'exe', 'zzz', 'py'][(page_id % 6 + 1)::INT] AS ext, ['text', 'document', 'table', 'unknown', 'unknown', 'code'][(page_id % 6 + 1)::INT] AS category, ['txt_loader', 'pdf_loader', 'excel_loader', NULL, NULL, 'code_loader'][(page_id % 6 + 1)::INT] AS loader, page_id % 6 = 3 AS blocked, CASE WHEN page_id % 6 = 5 THEN 'python' ELSE 'unknown' END AS language FROM pages",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import tagging
-from tessera.sources import binary, markup, mime, tables, text
+from tessera.sources import binary, markup, mime, splits, tables
 
 COLUMNS = ("doc_id", "source", "part", "text", "file_type", "detected_format", "meta", "error")
 
@@ -23,28 +23,32 @@ def _row(df: DataFrame, kind: str, detected=None, meta=None, error=None) -> Data
     )
 
 
-def _texts(files: DataFrame) -> DataFrame:
-    """Text files split by their sniffed format."""
-    rows = files.select("source", "text", text.sniff(F.col("text")).alias("f"))
-    plain = text.plain_sections(rows.where("f = 'plain'"), "source", "text").withColumnRenamed("section_index", "part")
-    log = text.log_entries(rows.where("f = 'log'"), "source", "text").withColumnRenamed("entry", "part")
-    mail = text.emails(rows.where("f = 'email'"), "source", "text").withColumnRenamed("message", "part")
+def _texts(spark: SparkSession, path: str, names: list[str], recursive: bool) -> DataFrame:
+    """Text files in byte ranges, split by their sniffed format."""
+    found = splits.text_records(spark, path, _glob(names), recursive)
+    plain, log, mail = (found[kind].withColumnRenamed(column, "part") for kind, column in (("plain", "section_index"), ("log", "entry"), ("email", "message")))
     stamp = F.map_filter(F.create_map(F.lit("timestamp"), F.col("timestamp"), F.lit("log_level"), F.col("level"), F.lit("entry_id"), F.col("entry_id")), lambda k, v: v.isNotNull())
     heads = F.map_filter(F.create_map(*[x for n in ("from", "to", "date", "subject") for x in (F.lit(f"email_{n}"), F.col(f"email_{n}"))]), lambda k, v: v.isNotNull())
     return _row(plain, "txt", F.lit("plain")).unionByName(_row(log, "txt", F.lit("log"), stamp)).unionByName(_row(mail, "txt", F.lit("email"), heads))
 
 
+def _glob(names: list[str]) -> str:
+    """Files of these extensions, in any case of letters."""
+    return "*.{" + ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in n) for n in names) + "}"
+
+
 def ingest(spark: SparkSession, path: str, extensions: list[str] | None = None, recursive: bool = True) -> DataFrame:
     """Tagged documents of all readable files under ``path``. Unknown kinds give nothing; errors are rows with ``error``."""
     wanted = [e for e in (extensions or list(mime.READER_OF)) if e in mime.READER_OF]
-    files = binary.read_binary(spark, path, "*.{" + ",".join(wanted) + "}", recursive).select("path", "content", mime.extension(F.col("path")).alias("ext"))
     kinds = {r for r in map(mime.READER_OF.get, wanted)}
-    of = lambda kind: files.where(F.col("ext").isin([e for e, reader in mime.READER_OF.items() if reader == kind]))
+    names = lambda kind: [e for e in wanted if mime.READER_OF[e] == kind]
+    # A file is listed and read by the branch of its kind alone.
+    of = lambda kind: binary.read_binary(spark, path, _glob(names(kind)), recursive).select("path", "content", mime.extension(F.col("path")).alias("ext"))
     whole = lambda kind: of(kind).select(F.col("path").alias("source"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
     one = lambda df: df.withColumn("part", F.lit(0))
     out = []
     if "text" in kinds:
-        out.append(_texts(whole("text")))
+        out.append(_texts(spark, path, names("text"), recursive))
     if "html" in kinds:
         pages = markup.html_documents(whole("html").withColumnRenamed("text", "html"), "source")
         out.append(_row(one(pages), "html", meta=F.create_map(F.lit("title"), F.col("title"))))
@@ -62,19 +66,14 @@ def ingest(spark: SparkSession, path: str, extensions: list[str] | None = None,
         if kind in kinds:
             out.append(_row(binary.parsed(of(kind), binary.media_parts(kind.capitalize()), named=True), kind, meta=F.col("meta"), error=F.col("error")))
     if "csv" in kinds:
-        out.append(_csv(spark, path, recursive))
+        out.append(_csv(spark, path, names("csv"), recursive))
     every = functools.reduce(lambda a, b: a.unionByName(b), out)
     return tagging.tag_documents(every, detected="detected_format")
 
 
-def _csv(spark: SparkSession, path: str, recursive: bool) -> DataFrame:
-    """Row documents of CSV files, each under its own header, parsed where the file is read."""
-    import csv
-    import io
-
-    def parts(data: bytes) -> list[binary.Part]:
-        rows = list(csv.DictReader(io.StringIO(data.decode("utf-8", "replace"))))
-        texts = ["\n".join(f"{k}: {v}" for k, v in r.items() if k and v) for r in rows]
-        return [(t, {"row_index": str(i), "total_rows": str(len(rows)), "mode": "row"}) for i, t in enumerate(texts) if t.strip()]
-
-    return _row(binary.parsed(binary.read_binary(spark, path, "*.csv", recursive), parts), "csv", meta=F.col("meta"), error=F.col("error"))
+def _csv(spark: SparkSession, path: str, names: list[str], recursive: bool) -> DataFrame:
+    """Row documents of CSV files, each under its own header, read in byte ranges."""
+    rows = splits.csv_records(spark, path, _glob(names), recursive)
+    meta = F.create_map(F.lit("row_index"), F.col("row").cast("string"), F.lit("total_rows"), F.col("total_rows").cast("string"), F.lit("mode"), F.lit("row"))
+    texts = rows.select("source", F.col("row").alias("part"), splits.named_values(F.col("names"), F.col("fields")).alias("text"), "row", "total_rows")
+    return _row(texts.where(F.trim("text") != ""), "csv", meta=meta)

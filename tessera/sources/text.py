@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 _STAMP = r"\d{4}[-/]\d{2}[-/]\d{2}[T ]?\d{2}:\d{2}(?::\d{2})?"
 LOG_LINE = r"(?i)^[\[{(]?(" + _STAMP + r")[\]}).]?\s*(?:[|\-]\s*)?(?:(DEBUG|INFO|WARN(?:ING)?|ERROR|CRITICAL|NOTICE)\s*[|\-:]?\s*)?(?:\[?([A-Z]{2,5}-\d{3,})\]?\s*[|\-:]?\s*)?(.*)"
 _OPENS = r" *[\[{(]?" + _STAMP
+#: A line that opens a log entry, one that opens a message of a mailbox, and one that parts messages.
+OPENS, MBOX, RULE = r"(?i)^" + _OPENS, r"^From\s+\S+", r"^-{3,}\s*$"
 HEADER = r"(?im)^(From|To|Date|Subject|Cc|Bcc):\s*(.+)$"
 SNIFFED, LOG_HITS, LOG_SHARE, HEADERS = 30, 3, 0.4, 2
 
@@ -44,6 +46,11 @@ def log_entries(docs: DataFrame, key: str, text: str) -> DataFrame:
     body = F.array_join(lines(F.col(text)), "\n")
     cut = docs.select(key, body.rlike(r"(?i)\A" + _OPENS).cast("int").alias("before"), F.posexplode(F.split(body, r"(?i)(?:\A|\n)(?=" + _OPENS + ")")).alias("at", "piece"))
     numbered = cut.select(key, (F.col("at") + F.col("before")).alias("entry"), "piece")
+    return parsed_entries(numbered, key)
+
+
+def parsed_entries(numbered: DataFrame, key: str) -> DataFrame:
+    """Log entries of (key, entry, piece): what ``log_entries`` says of each."""
     lead = F.regexp_replace("piece", r"\A(?: *\n)+", "")
     kept = numbered.withColumn("piece", F.when(F.col("entry") > 0, F.col("piece")).otherwise(lead)).where((F.col("entry") > 0) | (F.trim("piece") != ""))
     rows = kept.withColumn("p", F.split("piece", "\n"))
@@ -60,7 +67,11 @@ def emails(docs: DataFrame, key: str, text: str) -> DataFrame:
     parts = F.when(F.size(F.filter(mbox, lambda s: s != "")) >= 2, mbox).otherwise(F.split(F.col(text), r"(?m)^-{3,}\s*$"))
     strip = lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")
     clean = F.filter(F.transform(parts, strip), lambda s: s != "")
-    rows = docs.select(key, F.posexplode(clean).alias("message", "text"))
+    return parsed_emails(docs.select(key, F.posexplode(clean).alias("message", "text")), key)
+
+
+def parsed_emails(rows: DataFrame, key: str) -> DataFrame:
+    """Messages of (key, message, text) with their headers."""
     keys = F.transform(F.regexp_extract_all("text", F.lit(HEADER), 1), lambda k: F.lower(k))
     values = F.transform(F.regexp_extract_all("text", F.lit(HEADER), 2), lambda v: F.trim(v))
     pairs = F.arrays_zip(keys.alias("k"), values.alias("v"))
