@@ -24,6 +24,10 @@ FAMILY, HEADS = 100, 6
 SALTS = 64
 #: Ids joined to one string before a digest reads them, and turns of a chain that one row stands for.
 PIECE = 4096
+#: Rows of a level that may be broadcast (about 50 bytes each) and lie in one file; beyond it levels are joined by shuffles.
+SMALL = 100_000
+#: Turns in a file of a depth, about.
+FILE_ROWS = 1_000_000
 _TURN = ["h1", "h2", "part"]
 
 
@@ -59,10 +63,11 @@ def rebuilt(turns: DataFrame, family: int = FAMILY, heads: int = HEADS) -> tuple
     return first.unionByName(rest), known.select("c", "n")
 
 
-def _levels(turns: DataFrame) -> Callable[[int], DataFrame]:
+def _levels(turns: DataFrame, rows: int) -> Callable[[int], DataFrame]:
     """The turns of one depth, from a table in folders of depths: one each up to 16, then ranges that double."""
     band = F.when(F.col("d") <= 16, F.col("d")).otherwise(16 + F.ceil(F.log2(F.col("d") / 16))).cast("int")
-    kept = stored(turns.withColumn("band", band).repartition(slices(turns), "band", F.pmod(F.xxhash64("c", "d"), F.lit(slices(turns)))), "levels", by=("band",))
+    files = F.pmod(F.xxhash64("c", "d"), F.lit(1 + rows // FILE_ROWS))
+    kept = stored(turns.withColumn("band", band).repartition(slices(turns), "band", files), "levels", by=("band",))
     low = lambda d: d if d <= 16 else 16 + (-(-d // 16) - 1).bit_length()
     return lambda d: kept.where((F.col("band") == low(d)) & (F.col("d") == d)).drop("band", "d")
 
@@ -131,34 +136,50 @@ def prefix_trie(conversations: DataFrame, family: int = FAMILY, heads: int = HEA
     spark = conversations.sparkSession
     turns, known = rebuilt(stored(ordered(conversations, hash_of), "ranked"), family, heads)
     known = stored(known, "known")
-    size, least = known.agg(F.count("*"), F.min("c")).first()
+    size, least, rows = known.agg(F.count("*"), F.min("c"), F.sum("n")).first()
     if not size:
         return spark.createDataFrame([], "conv_id long, depth long, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long, ends_sha256 string")
-    level = _levels(turns)
+    level = _levels(turns, rows)
     root = spark.sql(f"SELECT {least}L AS id, 0L AS d, CAST(NULL AS long) AS parent, {size}L AS members, 0L AS size")
     if size == 1:
         return _chains(known.select("c", F.lit(0).cast("long").alias("d"), F.lit(None).cast("long").alias("parent"), "n"))
-    nodes, live = [root], known.withColumn("node", F.lit(least).cast("long"))
+    nodes, live = [(root, 1)], known.withColumn("node", F.lit(least).cast("long"))
     ends, alone = [live.where("n = 0").select(F.col("node").alias("id"), F.lit(0).cast("long").alias("d"), "c")], []
-    depth = 0
-    while not live.where(F.col("n") > depth).isEmpty():
+    depth, by = 0, ["node", *_TURN]
+    # Conversations that go on beyond this depth.
+    going = live.where("n > 0").count()
+    while going:
         depth += 1
-        going = live.where(F.col("n") >= depth)
-        step = going.join(level(depth), "c").withColumn("salt", F.pmod(F.xxhash64("c"), F.lit(SALTS)).cast("int"))
-        by = ["node", *_TURN]
-        parts = stored(step.groupBy(*by, "salt").agg(F.min("c").alias("id"), F.count("*").alias("members"), F.max("size").alias("size")), "parts")
-        groups = stored(parts.groupBy(*by).agg(F.min("id").alias("id"), F.sum("members").alias("members"), F.max("size").alias("size")), "groups")
-        # A group is told to the parts it has members in, SALTS at most; a member looks it up in its own part.
-        told = parts.select(*by, "salt").join(groups.select(*by, F.col("id").alias("to"), "members"), by)
-        live = stored(step.drop("size").join(told, [*by, "salt"]).select("c", "n", F.col("node").alias("parent"), F.col("to").alias("node"), "members"), "live")
         at = F.lit(depth).cast("long")
+        side, narrow = _sized(going)
+        step = level(depth).join(side(live.where(F.col("n") >= depth)), "c").withColumn("salt", F.pmod(F.xxhash64("c"), F.lit(SALTS)).cast("int"))
+        counted = lambda rows, *by: rows.groupBy(*by).agg(F.min("id").alias("id"), F.sum("members").alias("members"), F.max("size").alias("size"))
+        single = step.withColumn("id", F.col("c")).withColumn("members", F.lit(1).cast("long"))
+        if going <= SMALL:
+            groups = stored(narrow(counted(single, *by)), "groups")
+            told, keys = F.broadcast(groups.select(*by, F.col("id").alias("to"), "members")), by
+        else:
+            parts = stored(counted(single, *by, "salt"), "parts")
+            groups = stored(counted(parts, *by), "groups")
+            # A group is told to the parts it has members in, SALTS at most; a member looks it up in its own part.
+            told, keys = parts.select(*by, "salt").join(groups.select(*by, F.col("id").alias("to"), "members"), by), [*by, "salt"]
+        live = stored(narrow(step.drop("size").join(told, keys).select("c", "n", F.col("node").alias("parent"), F.col("to").alias("node"), "members")), "live")
         alone.append(live.where("members = 1").select("c", at.alias("d"), "parent", "n"))
         live = live.where("members > 1").select("c", "n", "node")
-        nodes.append(groups.where("members > 1").select("id", at.alias("d"), F.col("node").alias("parent"), "members", "size"))
+        shared = groups.where("members > 1").select("id", at.alias("d"), F.col("node").alias("parent"), "members", "size")
+        nodes.append((shared, going))
         ends.append(live.where(F.col("n") == depth).select(F.col("node").alias("id"), at.alias("d"), "c"))
+        going = live.where(F.col("n") > depth).count()
     return _rolled_up(nodes, alone, ends)
 
 
+def _sized(rows: int) -> tuple[Callable[[DataFrame], DataFrame], Callable[[DataFrame], DataFrame]]:
+    """How a table of at most ``rows`` rows is joined and written: a small one is broadcast and lies in one file."""
+    if rows <= SMALL:
+        return F.broadcast, lambda df: df.coalesce(1)
+    return lambda df: df, lambda df: df
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for x in frames[1:]:
@@ -166,21 +187,22 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _rolled_up(nodes: list[DataFrame], alone: list[DataFrame], ends: list[DataFrame]) -> DataFrame:
+def _rolled_up(nodes: list[tuple[DataFrame, int]], alone: list[DataFrame], ends: list[DataFrame]) -> DataFrame:
     """Leaves and savings from the deepest level to the root, a join a level; then the rows of shared nodes and of chains."""
     done: list[DataFrame] = []
     below = None
     for d in reversed(range(len(nodes))):
         chains = alone[d].select("parent", F.lit(1).cast("long").alias("leaves"), F.lit(0).cast("long").alias("saved")) if d < len(alone) else None
         children = [x for x in (below, chains) if x is not None]
-        rows = nodes[d]
+        rows, most = nodes[d]
+        side, narrow = _sized(most)
         saving = (F.col("members") - 1) * F.col("size")
         if children:
             sums = _union(children).groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("children"), F.sum("leaves").alias("leaves"), F.sum("saved").alias("saved"))
-            rows = rows.join(sums, "id", "left")
+            rows = rows.join(side(sums), "id", "left")
         else:
             rows = rows.select("*", *[F.lit(None).cast("long").alias(x) for x in ("children", "leaves", "saved")])
-        rows = stored(rows.select("id", "d", "parent", "members", F.coalesce("children", F.lit(0)).alias("children"), F.coalesce("leaves", F.lit(1)).alias("leaves"), (saving + F.coalesce("saved", F.lit(0))).alias("saved")), "rolled")
+        rows = stored(narrow(rows.select("id", "d", "parent", "members", F.coalesce("children", F.lit(0)).alias("children"), F.coalesce("leaves", F.lit(1)).alias("leaves"), (saving + F.coalesce("saved", F.lit(0))).alias("saved"))), "rolled")
         below = rows.select("parent", "leaves", "saved")
         done.append(rows)
     shared = _union(done).join(_digests(_union(ends)), ["id", "d"], "left")

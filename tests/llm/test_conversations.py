@@ -85,8 +85,11 @@ def places(spark, rows, df):
 
 @pytest.mark.parametrize("piece,hash_of", [(4096, trie.wide_hash), (3, lambda c: (F.length(c).cast("long"), F.lit(1).cast("long")))])
 def test_prefix_trie(spark, monkeypatch, piece, hash_of):
-    """Also with pieces of three turns and ids, and with hashes that nearly always collide."""
+    """Also with pieces of three turns and ids, all levels joined by shuffles, and hashes that nearly always collide."""
     monkeypatch.setattr(trie, "PIECE", piece)
+    if piece == 3:
+        monkeypatch.setattr(trie, "SMALL", 0)
+        monkeypatch.setattr(trie, "FILE_ROWS", 100)
     rows = conversations()
     if piece == 3:
         rows = [x for x in rows if x[1] is not None and not (x[0] == 8 and x[3] == "again")]  # equal turns follow by hash
