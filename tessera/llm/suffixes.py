@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bits_for, bloom_has, bloom_words, mix64, stored, text_batches
+from .common import bits_for, bloom_has, bloom_words, discard, mix64, shared_dir, stored, text_batches, written
 
 LENGTH, GRAM = 200, 20
 #: Bytes handled at once; longer texts go on in the next segment.
@@ -38,6 +38,8 @@ CROWD = 2000
 HOT, BROADCAST_NAMES = 1000, 100_000
 #: Bytes compared at once.
 VERIFIED = 4096
+#: Batches in which the query takes up its table.
+BATCHES = 4
 
 _MULTIPLIER, _SECOND = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _MASK = np.uint64((1 << 24) - 1)
@@ -183,11 +185,16 @@ def _distinct(entries: DataFrame) -> DataFrame:
     return one.select("head", "suffix", "left", "n", "mine", "p.*", "n1", "n2")
 
 
-def _sorted(entries: DataFrame) -> DataFrame:
-    """The array: entries in the order of their bytes; tasks share them by their head."""
+def _by_head(entries: DataFrame) -> DataFrame:
+    """Entries in the order of their bytes, those of a head in one task."""
     return entries.repartition("head").sortWithinPartitions("suffix", "left")
 
 
+def _sorted(entries: DataFrame) -> DataFrame:
+    """The array: entries in the order of head and bytes, cut into ranges, so that a crowded head may fill several."""
+    return entries.repartitionByRange("head", "suffix", "left").sortWithinPartitions("head", "suffix", "left")
+
+
 def _having(words) -> Column:
     """Whether a head is in a Bloom filter."""
 
@@ -245,22 +252,25 @@ class LogIndex:
         return out
 
     def keep(self, array: DataFrame) -> None:
-        """Take up the array of a batch, merging levels of equal size."""
-        level, gone = 0, []
-        run = _sorted(array.select(*_LEVEL))
-        while True:
-            name = f"level-{level}-{uuid.uuid4().hex}"
-            run.write.parquet(f"{self.path}/{name}")
-            if level not in self.levels:
-                break
-            other = self.level(level)
-            gone += [self.levels.pop(level), name]
-            run = _sorted(_distinct(other.unionByName(self.spark.read.parquet(f"{self.path}/{name}")).withColumn("mine", F.lit(False))).select(*_LEVEL))
+        """Take up the array of a batch. It merges with the full levels from 0 on, all at once, into the first that is empty."""
+        level, run = 0, array.select(*_LEVEL)
+        gone = []
+        while level in self.levels:
+            run = run.unionByName(self.level(level))
+            gone.append(self.levels[level])
             level += 1
-        self.levels[level] = name
+        if gone:
+            run = _distinct(run.withColumn("mine", F.lit(False))).select(*_LEVEL)
+        name = f"level-{level}-{uuid.uuid4().hex}"
+        _sorted(run).write.option("compression", "zstd").parquet(f"{self.path}/{name}")
+        self.levels = {k: v for k, v in self.levels.items() if k > level} | {level: name}
         self._list()
-        for name in gone:
-            self._fs(name).delete(self._hadoop(name), True)
+        for old in gone:
+            self._fs(old).delete(self._hadoop(old), True)
+
+    def drop(self) -> None:
+        """Delete the index."""
+        self._fs("").delete(self._hadoop(""), True)
 
 
 def _window_hashes(find: Anchors, sizes: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -299,19 +309,19 @@ _FOUND = pa.schema([(c, pa.int64()) for c in ("k1", "k2", "start", "end")])
 
 
 def _scanned(length: int, gram: int):
-    """The merge scan: spans of the new batch's lone entries covered by windows that another entry of the same head holds.
+    """The merge scan: spans of lone entries, of the new batch or of a level, covered by windows that another entry of the same head holds.
 
-    Rows are (suffix, left, n, mine, k1, k2, lo), sorted by their bytes, so entries of one head follow each other.
+    Rows are (suffix, left, n, k1, k2, lo), sorted by their bytes, so entries of one head follow each other.
     """
 
     def spans(t: pa.Table, find: Anchors) -> Iterator[pa.RecordBatch]:
         t = t.combine_chunks()
-        n, mine, k1, k2, lo = (t.column(i).to_numpy() for i in range(2, 7))
+        n, k1, k2, lo = (t.column(i).to_numpy() for i in range(2, 6))
         (se, sd), (le, ld) = _binary(t.column(0)), _binary(t.column(1))
         heads = sd[se[:-1, None] + np.arange(find.gram)]
         group = np.cumsum(np.append(False, (heads[1:] != heads[:-1]).any(axis=1)))
-        # Of a head without a lone entry of the new batch, or with no other entry, nothing is asked.
-        lone = (n == 1) & mine
+        # Of a head without a lone entry, or with no other entry, nothing is asked.
+        lone = n == 1
         open_ = (np.bincount(group, lone) > 0) & (np.bincount(group) > 1)
         pick = np.flatnonzero(open_[group])
         if not len(pick):
@@ -376,7 +386,7 @@ def _windows(length: int, gram: int):
             if not b.num_rows:
                 continue
             t = pa.Table.from_batches([b])
-            n, mine, k1, k2, lo, head = (t.column(i).to_numpy() for i in range(2, 8))
+            n, k1, k2, lo, head = (t.column(i).to_numpy() for i in range(2, 7))
             suffix, left = t.column(0).to_pylist(), t.column(1).to_pylist()
             shift = np.array([len(x) for x in left])
             data = np.frombuffer(b"".join([x + y for x, y in zip(left, suffix, strict=True)]), np.uint8)
@@ -385,65 +395,96 @@ def _windows(length: int, gram: int):
             w2 = _window_hashes(second, size, data)[2]
             with np.errstate(over="ignore"):
                 w1 = mix64(w1 + mix64(head.view(np.uint64)[row] + (at - shift[row]).astype(np.uint64)))
-            yield _arrays(_WINDOW, [k1[row], k2[row], lo[row] + at, w1, w2, n[row], ((n == 1) & mine)[row].astype(np.int64)])
+            yield _arrays(_WINDOW, [k1[row], k2[row], lo[row] + at, w1, w2, n[row], (n == 1)[row].astype(np.int64)])
 
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, index: LogIndex | None = None) -> DataFrame:
-    """(k1, k2, start, end): spans of ``docs`` whose union is what strings of ``length`` bytes found elsewhere cover.
+def _repeating(rows: DataFrame, length: int, gram: int):
+    """A broadcast filter of the heads that occur more than once in ``rows``; the entries of others meet nothing there."""
+    heads = stored(rows.mapInArrow(_heads(length, gram), "head long").groupBy("head").agg(F.count("*").alias("n")).where("n > 1").select("head"), "heads")
+    return rows.sparkSession.sparkContext.broadcast(bloom_words(heads, "head", bits_for(heads.count(), 16, 1 << 16, 1 << 25)))
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, index: LogIndex | None = None, again=None, keep: bool = True) -> DataFrame:
+    """(k1, k2, start, end): spans whose union is what strings of ``length`` bytes found elsewhere cover.
 
-    Elsewhere is ``docs`` itself and, with an ``index``, every batch it has taken up; ``docs`` is then taken up as well. Without an
-    index nothing is kept, so that entries whose head occurs once are left out of the array.
+    Elsewhere is ``docs`` itself and, with an ``index``, every batch it has taken up. Spans lie in ``docs`` and, where a string of ``docs`` meets one
+    of an earlier batch, in that batch too. ``docs`` is taken up as well, unless ``keep`` is false. Without an
+    index nothing is kept. ``again``, a filter of heads, leaves out entries that meet nothing in all batches to come.
     """
     spark = docs.sparkSession
     text_batches(spark)
     rows = _rows(docs)
     share = spark.sparkContext.broadcast
     gram = min(gram, length)
-    again = None
+    # Filters only choose what is looked at and how: both ways give the same spans.
+    filter_of = lambda heads, n: share(bloom_words(heads.select("head"), "head", bits_for(n, 16, 1 << 16, 1 << 25)))
     if index is None:
-        heads = stored(rows.mapInArrow(_heads(length, gram), "head long").groupBy("head").agg(F.count("*").alias("n")).where("n > 1").select("head"), "heads")
-        again = share(bloom_words(heads, "head", bits_for(heads.count(), 16, 1 << 16, 1 << 25)))
+        again = _repeating(rows, length, gram)
     mine = stored(rows.mapInArrow(_entries(length, gram, again), _ENTRY_TYPES), "entries", "zstd")
-    batch = mine.withColumn("n", F.lit(1).cast("long")).withColumn("mine", F.lit(True))
-    before = index.entries() if index else None
+    array = stored(_distinct(mine.withColumn("n", F.lit(1).cast("long")).withColumn("mine", F.lit(True))), "array", "zstd")
+    before, own = (index.entries() if index else None), array
+    places = mine.select("n1", "n2", "k1", "k2", F.col("lo").alias("start"), (F.col("lo") + F.length("suffix") + F.length("left")).alias("end"))
     if before is not None:
-        known = before.join(mine.select("head").distinct(), "head", "left_semi").withColumn("mine", F.lit(False))
-        batch = batch.unionByName(known.select(*batch.columns))
-    array = stored(_distinct(batch), "array", "zstd")
-    if index is not None:
-        index.keep(array if before is None else _distinct(mine.withColumn("n", F.lit(1).cast("long")).withColumn("mine", F.lit(True))))
+        # The merge: entries of the levels whose head the batch may have too.
+        known = before.where(_having(filter_of(own, own.count()))).withColumn("mine", F.lit(False)).select(*own.columns)
+        array = stored(_distinct(own.unionByName(known)), "array", "zstd")
+        # The only place of an entry of a level; entries with more places were repeated before.
+        places = places.union(known.where("n = 1").select("n1", "n2", "k1", "k2", F.col("lo").alias("start"), (F.col("lo") + F.length("suffix") + F.length("left")).alias("end")))
     # Entries met more than once are repeated as a whole, at each of their places.
-    again = array.where(F.col("mine") & (F.col("n") > 1)).select("n1", "n2", "n")
+    repeated = array.where(F.col("mine") & (F.col("n") > 1)).select("n1", "n2", "n")
     often = F.col("n") > HOT
-    places = mine.select("n1", "n2", "k1", "k2", F.col("lo").alias("start"), (F.col("lo") + F.length("suffix") + F.length("left")).alias("end"))
-    hot = again.where(often).select("n1", "n2")
+    hot = repeated.where(often).select("n1", "n2")
     if 0 < hot.count() <= BROADCAST_NAMES:
-        whole = places.join(F.broadcast(hot), ["n1", "n2"], "left_semi").union(places.join(again.where(~often).select("n1", "n2"), ["n1", "n2"], "left_semi"))
+        whole = places.join(F.broadcast(hot), ["n1", "n2"], "left_semi").union(places.join(repeated.where(~often).select("n1", "n2"), ["n1", "n2"], "left_semi"))
     else:
-        whole = places.join(again.select("n1", "n2"), ["n1", "n2"], "left_semi")
+        whole = places.join(repeated.select("n1", "n2"), ["n1", "n2"], "left_semi")
     spans = whole.select("k1", "k2", "start", "end")
-    by_head = array.groupBy("head").agg(F.count("*").alias("m"), F.max((F.col("n") == 1) & F.col("mine")).alias("open")).where("m > 1 AND open")
+    by_head = array.groupBy("head").agg(F.count("*").alias("m"), F.max(F.col("n") == 1).alias("open"), F.max("mine").alias("new")).where("m > 1 AND open AND new")
     asked = stored(by_head.select("head", "m"), "asked")
     n_asked, most = asked.agg(F.count("*"), F.max("m")).first()
-    if not n_asked:
-        return spans
-    # Filters only choose what is looked at and how: both ways give the same spans.
-    filter_of = lambda heads, n: share(bloom_words(heads.select("head"), "head", bits_for(n, 16, 1 << 16, 1 << 25)))
-    asked_for = array.where(_having(filter_of(asked, n_asked))).select("suffix", "left", "n", "mine", "k1", "k2", "lo", "head")
-    crowds = asked.where(F.col("m") > CROWD)
-    crowded = _having(filter_of(crowds, crowds.count())) if most > CROWD else F.lit(False)
-    shape = "k1 long, k2 long, start long, end long"
-    spans = spans.union(_sorted(asked_for.where(~crowded)).drop("head").mapInArrow(_scanned(length, gram), shape))
-    if most > CROWD:
-        windows = stored(asked_for.where(crowded).mapInArrow(_windows(length, gram), ", ".join(f"{c} long" for c in _WINDOW.names)), "windows")
-        twice = windows.groupBy("w1", "w2").agg(F.sum("n").alias("n")).where("n > 1").select("w1", "w2")
-        lone = windows.where("lone = 1").join(twice, ["w1", "w2"], "left_semi")
-        spans = spans.union(lone.select("k1", "k2", F.col("at").alias("start"), (F.col("at") + length).alias("end")))
+    if n_asked:
+        asked_for = array.where(_having(filter_of(asked, n_asked))).select("suffix", "left", "n", "k1", "k2", "lo", "head")
+        crowds = asked.where(F.col("m") > CROWD)
+        crowded = _having(filter_of(crowds, crowds.count())) if most > CROWD else F.lit(False)
+        shape = "k1 long, k2 long, start long, end long"
+        spans = spans.union(_by_head(asked_for.where(~crowded)).drop("head").mapInArrow(_scanned(length, gram), shape))
+        if most > CROWD:
+            windows = stored(asked_for.where(crowded).mapInArrow(_windows(length, gram), ", ".join(f"{c} long" for c in _WINDOW.names)), "windows")
+            twice = windows.groupBy("w1", "w2").agg(F.sum("n").alias("n")).where("n > 1").select("w1", "w2")
+            lone = windows.where("lone = 1").join(twice, ["w1", "w2"], "left_semi")
+            spans = spans.union(lone.select("k1", "k2", F.col("at").alias("start"), (F.col("at") + length).alias("end")))
+    if index is not None:
+        spans = stored(spans, "spans")  # the levels it reads may merge before the result is used
+        if keep:
+            index.keep(own)
     return spans
 
 
+def spans_by_batches(docs: DataFrame, batches: int, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """(k1, k2, start, end) of a whole table that goes through a log index of its own, batch by batch; each row is in one batch, by a hash.
+
+    Every batch gets its array, is scanned against the levels and joins them; the last one need not join. What a batch has written
+    is deleted when its spans are known, the index at the end.
+    """
+    spark = docs.sparkSession
+    text_batches(spark)
+    gram = min(gram, length)
+    index = LogIndex(spark, f"{shared_dir(spark)}/tessera/index-{uuid.uuid4().hex}", length, gram)
+    # No batch of this table will ever meet a suffix whose first bytes it holds once.
+    again = _repeating(_rows(docs), length, gram)
+    found = None
+    for b in range(batches):
+        kept = set(written(spark))
+        part = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)) == b)
+        spans = repeated_spans(part, length, gram, index, again, b < batches - 1)
+        discard(spark, [path for path in written(spark)[:-1] if path not in kept])
+        found = spans if found is None else found.union(spans)
+    index.drop()
+    return found
+
+
 #: A span as one long: its start, and its length in the lower bits. Spans end within two windows of their start.
 PACK = 1 << 20
 
@@ -475,18 +516,17 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.ListArray.from_arrays(offsets, spans), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, index: LogIndex | None = None) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, index: LogIndex | None = None, batches: int = 1) -> DataFrame:
     """doc_id, n_bytes, spans (maximal removed runs) and kept (the other bytes) for every row.
 
     A byte goes if a string of ``length`` bytes that covers it also starts anywhere else, in this or another row, or in a batch that the
-    ``index`` has taken up before; strings are judged on the input. Without an ``index`` the table is the only batch.
-    A null text is empty; texts shorter than ``length`` stay whole. A repeated row
+    ``index`` has taken up before; strings are judged on the input. Without an ``index`` the table is all there is; it goes through a log index of
+    its own in so many ``batches``, which do not change the result. A null text is empty; texts shorter than ``length`` stay whole, very
+    long ones are handled in segments. A repeated row
     is another document, so both copies lose their strings; null ids are ids like others. An empty table
     gives an empty result; other columns are ignored. ``kept`` may cut a character of several bytes.
     """
-    spans = repeated_spans(docs, length, gram, index)
-    if index is not None:
-        spans = stored(spans, "spans")  # the levels it reads may merge before the result is used
+    spans = spans_by_batches(docs, batches, length, gram) if index is None and batches > 1 else repeated_spans(docs, length, gram, index)
     listed = spans.groupBy("k1", "k2").agg(F.collect_list(F.col("start") * PACK + F.col("end") - F.col("start")).alias("x"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     same = (F.coalesce("doc_id", F.lit(-(2**63))) == F.col("k1")) & (F.xxhash64("text") == F.col("k2"))

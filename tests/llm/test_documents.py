@@ -136,6 +136,23 @@ def test_repeated_strings(spark, monkeypatch, length, gram, crowd, segment):
     assert mine == Counter(brute_repeats(fixtures.documents(), length))
 
 
+@pytest.mark.parametrize("batches,crowd", [(2, 2000), (5, 2000), (8, 3)])
+def test_batches_do_not_change_the_result(spark, monkeypatch, batches, crowd):
+    """A table through its own index: strings are found both ways, in at most log2(n) + 1 levels, and nothing but spans stays."""
+    monkeypatch.setattr(suffixes, "CROWD", crowd)
+    levels = []
+    keep, drop = suffixes.LogIndex.keep, suffixes.LogIndex.drop
+    monkeypatch.setattr(suffixes.LogIndex, "keep", lambda self, array: (keep(self, array), levels.append(sorted(self.levels))))
+    monkeypatch.setattr(suffixes.LogIndex, "drop", lambda self: (drop(self), levels.append([])))
+    before = len(suffixes.written(spark))
+    got = suffixes.without_repeats(fixtures.frame(spark), 64, batches=batches).collect()
+    mine = Counter((r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), bytes(r.kept)) for r in got)
+    assert mine == Counter(brute_repeats(fixtures.documents(), 64))
+    # After i batches there is a level for each bit of i.
+    assert levels == [[b for b in range(9) if i >> b & 1] for i in range(1, batches)] + [[]]
+    assert len(suffixes.written(spark)) - before == 1 + batches
+
+
 def test_equal_hashes_are_told_apart_by_bytes(spark, monkeypatch):
     """With a window hash of one value all windows collide, and the result is still that of the bytes."""
     real = suffixes._window_hashes
@@ -143,7 +160,7 @@ def test_equal_hashes_are_told_apart_by_bytes(spark, monkeypatch):
     texts = [b"the same head and then one tail of its own", b"the same head and then another tail of it!", b"xx the same head and then one tail of"]
     rows = [(t[i:], t[:i]) for t in texts for i in [t.index(b"same")]]
     order = sorted(range(3), key=lambda i: rows[i])
-    table = pa.table({"suffix": [rows[i][0] for i in order], "left": [rows[i][1] for i in order], "n": [1] * 3, "mine": [True] * 3, "k1": order, "k2": order, "lo": [0] * 3})
+    table = pa.table({"suffix": [rows[i][0] for i in order], "left": [rows[i][1] for i in order], "n": [1] * 3, "k1": order, "k2": order, "lo": [0] * 3})
     found = [r for b in suffixes._scanned(20, 4)(iter(table.to_batches())) for r in b.to_pylist()]
     want = {i: 0 for i in range(3)}
     for i, t in enumerate(texts):
@@ -170,7 +187,7 @@ def test_levels_are_kept_and_opened_again(spark, tmp_path):
     last = suffixes.LogIndex(spark, path, 64)
     assert sorted(last.levels) == [0, 2]  # five batches: one, and four that have merged
     for i in last.levels:  # arrays are sorted by their bytes within a file
-        for part in last.level(i).withColumn("f", F.input_file_name()).groupBy("f").agg(F.collect_list(F.struct("suffix", "left")).alias("x")).collect():
+        for part in last.level(i).withColumn("f", F.input_file_name()).groupBy("f").agg(F.collect_list(F.struct("head", "suffix", "left")).alias("x")).collect():
             assert [tuple(e) for e in part.x] == sorted(tuple(e) for e in part.x)
     with pytest.raises(ValueError):
         suffixes.LogIndex(spark, path, 65)
