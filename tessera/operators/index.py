@@ -8,11 +8,12 @@ version. Nothing is collected but the figures of a question's words and its best
 from __future__ import annotations
 
 import math
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -23,6 +24,8 @@ BUCKETS = 64
 #: Postings of a bucket in one file at most, about.
 FILE_ROWS = 4_000_000
 DIMENSIONS = 64
+#: Hits of many questions that may be broadcast to their texts, and keys that go to the scan of the texts as literals.
+BROADCAST_HITS, LITERALS = 100_000, 1_000
 
 
 def bucket_of(term: Column) -> Column:
@@ -154,6 +157,43 @@ class CorpusIndex:
         """key, text and a score scaled to 0 .. 1: the form that hops and corrective retrieval take."""
         return self.with_text(retrieval.minmax(self.keyword(query, k), "score", "scaled", []).select(self.key, F.col("scaled").alias("score")))
 
+    # --- many questions at once ---
+
+    def keyword_batch(self, asked: DataFrame, k: int) -> DataFrame:
+        """(id, key, score) of the k best of each question of ``asked`` (id, query), as ``keyword`` finds them: postings meet all words in one join."""
+        s = self._summary()
+        words = asked.select("id", F.explode(T.bm25_tokens(F.coalesce("query", F.lit("")))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("times")).withColumn("bucket", bucket_of(F.col("term")))
+        idf = F.log(F.lit(s["n"]) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+        known = words.join(self.table(f"terms-{s['version']}").select("bucket", "term", "df"), ["bucket", "term"])
+        weighed = known.select("id", "bucket", "term", (F.col("times") * F.when(idf >= 0, idf).otherwise(F.lit(float(s["floor"])))).alias("weight"))
+        mean = F.lit(float(s["tokens"]) / max(1, s["n"]))
+        part = F.col("weight") * F.col("tf") * (retrieval.K1 + 1) / (F.col("tf") + retrieval.K1 * (1 - retrieval.B + retrieval.B * F.col("dl") / mean))
+        hits = self.table("postings").join(weighed, ["bucket", "term"]).groupBy("id", self.key).agg(F.sum(part).alias("score")).where("score > 0")
+        best = Window.partitionBy("id").orderBy(F.round("score", 9).desc(), self.key)
+        return hits.withColumn("at", F.row_number().over(best)).where(F.col("at") <= k).drop("at")
+
+    def search_batch(self, asked: DataFrame, k: int) -> DataFrame:
+        """(id, key, text, score) for each question of ``asked`` (id, query), scores scaled to 0 .. 1 in each question."""
+        hits = retrieval.minmax(self.keyword_batch(asked, k), "score", "scaled", ["id"]).select("id", self.key, F.col("scaled").alias("score"))
+        path = f"{self.path}/hits-{uuid.uuid4().hex}"
+        hits.write.parquet(path)
+        hits = self.spark.read.schema(hits.schema).parquet(path)
+        texts = self.table("texts")
+        few = hits.select(self.key).distinct().limit(LITERALS + 1).collect()
+        if len(few) <= LITERALS:  # the keys go to the scan, which skips what cannot hold them
+            texts = texts.where(F.col(self.key).isin([r[0] for r in few]))
+        side = F.broadcast(hits) if hits.count() <= BROADCAST_HITS else hits
+        return texts.join(side, self.key).select("id", self.key, "text", "score")
+
+    def evidence_batch(self, asked: DataFrame, k: int = 6, least: int = 3) -> DataFrame:
+        """(id, subject, content, hits, score, rank): the k edges that share most terms with each question, from the postings of its own terms."""
+        terms = asked.select("id", F.filter(T.terms(F.coalesce("query", F.lit(""))), lambda t: F.length(t) >= least).alias("terms"))
+        wanted = terms.select("id", F.size("terms").alias("asked"), F.explode("terms").alias("term")).withColumn("bucket", bucket_of(F.col("term")))
+        found = self.table("edge_terms").join(wanted, ["bucket", "term"]).groupBy("id", "subject", "object", "content").agg(F.count("*").alias("hits"), F.max("asked").alias("asked"))
+        best = Window.partitionBy("id").orderBy(F.col("hits").desc(), "content", "subject", "object")
+        rows = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        return rows.select("id", "subject", "content", "hits", F.least(F.lit(1.0), F.col("hits") / F.greatest(F.lit(1), F.col("asked"))).alias("score"), "rank")
+
     # --- vectors ---
 
     def add_vectors(self, vectors: DataFrame, vector: str = "embedding", name: str = "vectors") -> None:
@@ -196,9 +236,14 @@ class CorpusIndex:
         self._append(assets, "assets")
 
     def save_graph(self, nodes: DataFrame, edges: DataFrame) -> None:
-        """Replace the graph."""
+        """Replace the graph, and the postings of its edges' words."""
+        from tessera.operators.knowledge import edge_sentence
+
         nodes.write.mode("overwrite").parquet(f"{self.path}/nodes")
         edges.write.mode("overwrite").parquet(f"{self.path}/edges")
+        words = self.table("edges").select("subject", "object", edge_sentence().alias("content"))
+        each = words.select("subject", "object", "content", F.explode(F.array_distinct(T.terms(F.col("content")))).alias("term")).withColumn("bucket", bucket_of(F.col("term")))
+        each.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/edge_terms")
 
     def graph(self) -> tuple[DataFrame, DataFrame]:
         return self.table("nodes"), self.table("edges")

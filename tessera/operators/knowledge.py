@@ -162,12 +162,17 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFra
     return reached
 
 
+def edge_sentence() -> Column:
+    """An edge as words."""
+    return F.translate(F.concat_ws(" ", "subject", "predicates", "object"), "_", " ")
+
+
 def edge_evidence(edges: DataFrame, question: str, k: int = 6, least: int = 3) -> DataFrame:
     """The k edges whose words share most stemmed terms with the question; score is the share found."""
     asked = F.filter(T.terms(F.lit(question)), lambda t: F.length(t) >= least)
-    sentence = F.translate(F.concat_ws(" ", "subject", "predicates", "object"), "_", " ")
+    sentence = edge_sentence()
     rows = edges.select("subject", "predicates", "object", sentence.alias("content"), F.size(F.array_intersect(T.terms(sentence), asked)).alias("hits"), F.size(asked).alias("asked"))
-    return rows.where("hits > 0").orderBy(F.col("hits").desc(), "content").limit(k).select("subject", "content", "hits", F.least(F.lit(1.0), F.col("hits") / F.greatest(F.lit(1), F.col("asked"))).alias("score"))
+    return rows.where("hits > 0").orderBy(F.col("hits").desc(), "content", "subject", "object").limit(k).select("subject", "content", "hits", F.least(F.lit(1.0), F.col("hits") / F.greatest(F.lit(1), F.col("asked"))).alias("score"))
 
 
 # Identifiers in a question, and opening words that are no names.

@@ -265,3 +265,42 @@ def test_a_broken_write_is_mended(spark, kept, tmp_path):
     again = CorpusIndex(spark, kept.path)
     assert again.whole() and again.table("texts").count() == 8 and {r.doc_id for r in again.keyword("copper", 5).collect()} == {7}
     assert [r[0] for r in before] == [r.doc_id for r in again.keyword("steel", 5).collect()]
+
+
+QUESTIONS = [
+    "Why was supplier Apex Materials late, and what is the total by supplier?",
+    "Compare supplier performance between Q3 and Q4",
+    "the thing",
+    "",
+    None,
+    "What are the top 3 products, and which supplier delayed shipment ORD-7?",
+    "How does MACHINE CNC-Mill-4 affect delay?",
+]
+
+
+def test_questions_of_one_plan_are_answered_as_one_by_one(spark, tmp_path):
+    """The plan over all questions against the plan of each question."""
+    import random
+
+    from tessera.plans import answering, batch
+
+    r = random.Random(3)
+    words = "supplier Apex Materials delayed shipment ORD-7 total number orders performance thing everything quality Machine M-4 failed report Q3 Q4 region overview".split()
+    rows = [(i, " ".join(r.choice(words) for _ in range(r.randrange(3, 14))) + ".") for i in range(60)] + [(60, None), (61, ""), (62, "Supplier: Beta Works delayed order ORD-7. late delivery quality")]
+    index = CorpusIndex(spark, str(tmp_path / "i"))
+    index.add(spark.createDataFrame(rows, "doc_id long, text string"))
+    triples = spark.createDataFrame([(i, r.choice(["Apex_Materials", "Beta", "CNC-Mill-4"]), r.choice(["delayed", "supplies", "affects"]), r.choice(["ORD-7", "quality", "delay"]), "Supplier") for i in range(30)], "at long, subject string, predicate string, object string, subject_type string")
+    index.save_graph(knowledge.nodes_of(triples, ["at"]), knowledge.edges_of(triples, ["at"]))
+    asked = spark.createDataFrame(list(enumerate(QUESTIONS)), "id long, query string")
+    hops = {}
+    for x in sorted(batch.multi_hop(index, asked).collect(), key=lambda x: (x.hop, -x.score, x.doc_id)):
+        hops.setdefault(x.id, []).append((x.doc_id, round(x.score, 9)))
+    got = {x.id: x for x in batch.answered(spark, asked, index, True, "/root/testdata/sf0.001").collect()}
+    assert sorted(got) == list(range(len(QUESTIONS)))
+    for i, question in enumerate(QUESTIONS):
+        want = answering.ask(spark, question or "", index.search, index.graph()[1], lambda q: guard.answer_question(spark, "/root/testdata/sf0.001", q)[0])
+        x = got[i]
+        assert x.answer == want["answer"] and x.specialists == want["specialists"] and x.retry_count == want["retry_count"], question
+        assert [(f.content, f.source, f.modality) for f in x.findings] == [(f["content"], f["source"], f["modality"]) for f in want["findings"]], question
+        assert x.citations == [c["source"] for c in want["citations"]] and (x.grounded, x.relevant) == (want["verification"]["grounded"], want["verification"]["relevant"])
+        assert hops.get(i, []) == [(p.doc_id, round(p.score, 9)) for p in answering.multi_hop(index.search, question or "").passages], question
