@@ -1,8 +1,7 @@
 """A search index kept in a folder: texts, postings, vectors and graph, written once, opened again, appended to.
 
-Postings are dealt by buckets of terms and sorted by term, so a question reads the buckets of its own words, and within
-them the row groups that can hold these. Corpus figures (documents, tokens, the floor of common terms) are one row a
-version. Nothing is collected but the figures of a question's words and its best hits.
+Texts and postings lie in segments (``operators/segments.py``), dealt by buckets of terms and sorted by term, so a question reads the buckets of
+its own words, and within them the row groups that can hold these. Nothing is collected but the figures of a question's words and its best hits.
 """
 
 from __future__ import annotations
@@ -18,18 +17,14 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import retrieval
+from tessera.operators.segments import BUCKETS, Segments, bucket_of
 from tessera.session import work_dir
 
-BUCKETS = 64
-#: Postings of a bucket in one file at most, about.
-FILE_ROWS = 4_000_000
 DIMENSIONS = 64
 #: Hits of many questions that may be broadcast to their texts, and keys that go to the scan of the texts as literals.
 BROADCAST_HITS, LITERALS = 100_000, 1_000
-
-
-def bucket_of(term: Column) -> Column:
-    return (F.crc32(term.cast("binary")) % BUCKETS).cast("int")
+#: What lies in segments.
+SEGMENTED = ("texts", "postings", "terms")
 
 
 class CorpusIndex:
@@ -40,6 +35,7 @@ class CorpusIndex:
 
     def __init__(self, spark: SparkSession, path: str, key: str = "doc_id", embedder: Callable[[Column], Column] | None = None):
         self.spark, self.path, self.key = spark, path.rstrip("/"), key
+        self.segments = Segments(spark, f"{self.path}/segments", key)
         self.embedder = embedder or (lambda text: retrieval.hashing_embedder(text, DIMENSIONS))
 
     # --- storage ---
@@ -50,6 +46,8 @@ class CorpusIndex:
         return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), target
 
     def has(self, name: str) -> bool:
+        if name in SEGMENTED:
+            return bool(self.segments.state()["segments"])
         fs, target = self._hadoop(name)
         return fs.exists(target)
 
@@ -57,8 +55,11 @@ class CorpusIndex:
         """Delete the index; the next write starts a new one."""
         fs, target = self._hadoop("")
         fs.delete(target, True)
+        self.segments = Segments(self.spark, self.segments.path, self.key)
 
     def table(self, name: str) -> DataFrame:
+        if name in SEGMENTED:
+            return self.segments.table(name)
         if not self.has(name):
             raise FileNotFoundError(f"the index at {self.path} has no {name}")
         return self.spark.read.parquet(f"{self.path}/{name}")
@@ -71,79 +72,43 @@ class CorpusIndex:
 
     def add(self, docs: DataFrame, text: str = "text") -> None:
         """Take up documents with keys that are not there yet. A null text is an empty one."""
-        docs = docs.select(self.key, F.coalesce(F.col(text), F.lit("")).alias("text"))
-        self._append(docs, "texts")
-        each = retrieval.token_runs(docs, self.key, "text").select(self.key, "dl", "x.term", F.col("x.c").alias("tf"), bucket_of(F.col("x.term")).alias("bucket"))
-        # Common words fill their bucket, so a bucket is cut by keys as well: about 200 postings a document.
-        n = docs.count()
-        salt = 1 + 200 * n // (BUCKETS * FILE_ROWS)
-        self._append(each.repartition(F.col("bucket"), F.pmod(F.xxhash64(self.key), F.lit(salt))).sortWithinPartitions("bucket", "term"), "postings", "bucket")
-        fresh = self.table("postings").groupBy("bucket", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-        # Every token is in some posting, so the postings give the corpus its length.
-        length = fresh.agg(F.sum("cf")).first()[0] or 0
-        version = 1 + (self._summary()["version"] if self.has("summary") else 0)
-        total = n + (self._summary()["n"] if version > 1 else 0)
-        fresh.repartition("bucket").sortWithinPartitions("term").write.partitionBy("bucket").parquet(f"{self.path}/terms-{version}")
-        idf = F.log(F.lit(total) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-        floor = self.table(f"terms-{version}").agg(F.avg(idf)).first()[0] or 0.0
-        row = [(version, total, int(length), retrieval.EPSILON * floor)]
-        self._append(self.spark.createDataFrame(row, "version long, n long, tokens long, floor double").coalesce(1), "summary")
-        if version > 1:
-            fs, target = self._hadoop(f"terms-{version - 1}")
-            fs.delete(target, True)
-        self._known = None
+        self.segments.add(docs.select(self.key, F.coalesce(F.col(text), F.lit("")).alias("text")))
 
     def whole(self) -> bool:
-        """False where a write broke off: texts are written first, the summary last, so that their numbers then differ."""
-        if not self.has("texts"):
-            return True
-        self._known = None
-        return self.has("summary") and self._summary()["n"] == self.table("texts").count()
+        """False where a write broke off: its segment is not listed, so the index goes on without it; ``rebuild`` clears it away."""
+        return not self.segments.left_over()
 
     def rebuild(self) -> None:
-        """Make postings and term statistics anew from the texts, each key once. Vectors and graph stay."""
-        spare = CorpusIndex(self.spark, f"{self.path}-rebuilt", self.key, self.embedder)
-        spare.reset()
-        spare.add(self.table("texts").dropDuplicates([self.key]))
-        fs, root = self._hadoop("")
-        made = lambda at: [s.getPath() for s in fs.listStatus(at) if s.getPath().getName() in ("texts", "postings", "summary") or s.getPath().getName().startswith("terms-")]
-        for old in made(root):
-            fs.delete(old, True)
-        for new in made(spare._hadoop("")[1]):
-            fs.rename(new, self._hadoop(new.getName())[1])
-        spare.reset()
-        self._known = None
-
-    _known: dict | None = None
-
-    def _summary(self) -> dict:
-        """The figures of the last version."""
-        if self._known is None:
-            self._known = self.table("summary").orderBy(F.col("version").desc()).first().asDict()
-        return self._known
+        """One segment of all texts, each key once, and nothing that is not listed. Vectors and graph stay."""
+        if self.has("texts"):
+            self.segments.compact()
+        self.segments.sweep()
 
     def stored_chunks(self) -> DataFrame:
         return self.table("texts")
 
     def term_statistics(self) -> DataFrame:
-        return self.table(f"terms-{self._summary()['version']}").select("term", "df", "cf")
+        return self.table("terms").groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
 
     def keyword(self, query: str, k: int) -> DataFrame:
         """(key, score) of the k best by BM25, from the postings of the query's words only; ties to the smaller key."""
-        s, wanted = self._summary(), Counter(retrieval.query_tokens(query))
+        wanted = Counter(retrieval.query_tokens(query))
+        n, tokens = self.segments.figures()
         postings = self.table("postings")
-        if not wanted or not s["tokens"]:
-            return postings.select(self.key, F.lit(0.0).alias("score")).limit(0)
+        nothing = self.table("texts").select(self.key, F.lit(0.0).alias("score")).limit(0)
+        if not wanted or not tokens:
+            return nothing
         own = F.col("bucket").isin(sorted({zlib.crc32(w.encode()) % BUCKETS for w in wanted})) & F.col("term").isin(list(wanted))
-        df = {r.term: r.df for r in self.table(f"terms-{s['version']}").where(own).collect()}
-        idf = {w: math.log(s["n"] - d + 0.5) - math.log(d + 0.5) for w, d in df.items()}
-        weight = {w: wanted[w] * (v if v >= 0 else s["floor"]) for w, v in idf.items()}
+        df = {r.term: r.df for r in self.table("terms").where(own).groupBy("term").agg(F.sum("df").alias("df")).collect()}
+        idf = {w: math.log(n - d + 0.5) - math.log(d + 0.5) for w, d in df.items()}
+        floor = self.segments.floor() if any(v < 0 for v in idf.values()) else 0.0
+        weight = {w: wanted[w] * (v if v >= 0 else floor) for w, v in idf.items()}
         if not weight:
-            return postings.select(self.key, F.lit(0.0).alias("score")).limit(0)
-        mean = s["tokens"] / s["n"]
+            return nothing
+        mean = tokens / n
         w = F.element_at(F.create_map(*[F.lit(x) for kv in weight.items() for x in kv]), F.col("term"))
         part = w * F.col("tf") * (retrieval.K1 + 1) / (F.col("tf") + retrieval.K1 * (1 - retrieval.B + retrieval.B * F.col("dl") / F.lit(float(mean))))
-        hits = postings.where(own).groupBy(self.key).agg(F.sum(part).alias("score")).where("score > 0")
+        hits = postings.where(own).select("term", F.explode("posts").alias("p")).select("term", "p.*").groupBy(self.key).agg(F.sum(part).alias("score")).where("score > 0")
         return hits.orderBy(F.round("score", 9).desc(), self.key).limit(k)
 
     def with_text(self, hits: DataFrame) -> DataFrame:
@@ -160,17 +125,8 @@ class CorpusIndex:
     # --- many questions at once ---
 
     def keyword_batch(self, asked: DataFrame, k: int) -> DataFrame:
-        """(id, key, score) of the k best of each question of ``asked`` (id, query), as ``keyword`` finds them: postings meet all words in one join."""
-        s = self._summary()
-        words = asked.select("id", F.explode(T.bm25_tokens(F.coalesce("query", F.lit("")))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("times")).withColumn("bucket", bucket_of(F.col("term")))
-        idf = F.log(F.lit(s["n"]) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-        known = words.join(self.table(f"terms-{s['version']}").select("bucket", "term", "df"), ["bucket", "term"])
-        weighed = known.select("id", "bucket", "term", (F.col("times") * F.when(idf >= 0, idf).otherwise(F.lit(float(s["floor"])))).alias("weight"))
-        mean = F.lit(float(s["tokens"]) / max(1, s["n"]))
-        part = F.col("weight") * F.col("tf") * (retrieval.K1 + 1) / (F.col("tf") + retrieval.K1 * (1 - retrieval.B + retrieval.B * F.col("dl") / mean))
-        hits = self.table("postings").join(weighed, ["bucket", "term"]).groupBy("id", self.key).agg(F.sum(part).alias("score")).where("score > 0")
-        best = Window.partitionBy("id").orderBy(F.round("score", 9).desc(), self.key)
-        return hits.withColumn("at", F.row_number().over(best)).where(F.col("at") <= k).drop("at")
+        """(id, key, score) of the k best of each question of ``asked`` (id, query), as ``keyword`` finds them, from the blocks that can hold them."""
+        return self.segments.best(asked, k)
 
     def search_batch(self, asked: DataFrame, k: int) -> DataFrame:
         """(id, key, text, score) for each question of ``asked`` (id, query), scores scaled to 0 .. 1 in each question."""
@@ -319,6 +275,18 @@ def _restored_keyword(spark, d):
     return CorpusIndex(spark, index.path, "item_id").keyword(TEXT_QUESTION, 10).select("item_id", F.round("score", 6).alias("score"))
 
 
+def _appended(spark, d):
+    """All documents taken up in five appends, which merge in tiers; then the three best of each item of the benchmark, by words 3 to 6 of it."""
+    from tessera.session import texts
+
+    docs = texts(spark, d)
+    index = _fresh(spark, "appended")
+    for part in range(5):
+        index.add(docs.where(F.col("doc_id") % 5 == part))
+    items = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("id"), F.array_join(F.slice(F.split("text", r"\s+"), 3, 4), " ").alias("query"))
+    return CorpusIndex(spark, index.path).keyword_batch(items, 3).select("id", "doc_id", F.round("score", 6).alias("score"))
+
+
 def visual_hits(index: CorpusIndex, modalities: DataFrame, vector: list[float], k: int) -> DataFrame:
     """The k nearest of the visual table; ``modalities`` (key, modality) says what is not text."""
     shown = index.table("visual").join(modalities.where(F.col("modality") != "text").select(index.key), index.key, "left_semi")
@@ -350,7 +318,7 @@ def _index_terms(spark, d):
     return documents_index(spark, d).term_statistics()
 
 
-QUERIES = {"index_terms": _index_terms, "text_question_topk": _text_question, "restored_index_keyword": _restored_keyword, "visual_topk": _visual, "carried_assets": _carried}
+QUERIES = {"index_terms": _index_terms, "text_question_topk": _text_question, "restored_index_keyword": _restored_keyword, "appended_index_batch": _appended, "visual_topk": _visual, "carried_assets": _carried}
 
 _LETTERS = lambda e: "list_transform(range(26), lambda i: (length(lower({0})) - length(replace(lower({0}), chr((97 + i)::INT), '')))::DOUBLE)".format(e)
 _ALL = retrieval.query_tokens(TEXT_QUESTION)
@@ -368,3 +336,10 @@ GROUP BY item_id HAVING score > 0 ORDER BY round(sum(idf * tf * {retrieval.K1 +
     "visual_topk": "SELECT v.vec_id, round(list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 7) q WHERE v.vec_id % 7 = 0 ORDER BY list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, v.vec_id LIMIT 10",
     "carried_assets": "WITH d AS (SELECT n_nationkey AS doc_id, n_regionkey AS r, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS place FROM nation) SELECT n_nationkey AS doc_id, n_regionkey::VARCHAR AS source, n_nationkey AS ordinal, n_name AS asset FROM nation WHERE n_regionkey < 3 UNION ALL SELECT doc_id, r::VARCHAR, s_suppkey, s_name FROM supplier JOIN d ON r = s_suppkey % 2 + 3 AND place = 1",
 }
+
+_SCORE = f"idf * tf * {retrieval.K1 + 1}::DOUBLE / (tf + {retrieval.K1}::DOUBLE * ({1 - retrieval.B}::DOUBLE + {retrieval.B}::DOUBLE * dl / avgdl))"
+ORACLES["appended_index_batch"] = f"""WITH {retrieval._IDF},
+posted AS (SELECT doc_id, len(t) AS dl, w, count(*) AS tf FROM (SELECT doc_id, t, unnest(t) AS w FROM toks) GROUP BY ALL),
+asked AS (SELECT id, w, count(*) AS times FROM (SELECT item_id AS id, unnest({T.bm25_tokens_sql("array_to_string(string_split_regex(text, chr(92) || 's+')[3:6], ' ')")}) AS w FROM benchmark) GROUP BY ALL),
+s AS (SELECT id, doc_id, sum(times * {_SCORE}) AS score FROM asked JOIN posted USING (w) JOIN idf USING (w), st GROUP BY ALL HAVING score > 0)
+SELECT id, doc_id, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, doc_id) <= 3"""

@@ -45,13 +45,12 @@ def ingest_stream(stream: DataFrame, chunks_path: str, checkpoint: str):
 def index_stream(stream: DataFrame, index: CorpusIndex, checkpoint: str):
     """Append arriving (key, text) documents to an index, postings and vectors; those it holds already, by key, are left out.
 
-    A batch that is tried again therefore adds nothing twice. Where a batch broke off between texts and summary, the index is made anew
-    from its texts first.
+    A batch that is tried again therefore adds nothing twice. What a batch left when it broke off is not listed in the index and is cleared away first.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        if not index.whole():
-            index.rebuild()
+        index.segments.reread()
+        index.segments.sweep()
         fresh = lambda name: batch.join(index.table(name).select(index.key), index.key, "left_anti") if index.has(name) else batch
         index.add(fresh("texts").dropDuplicates([index.key]))
         index.embed(fresh("vectors").dropDuplicates([index.key]))
