@@ -10,9 +10,9 @@ from tessera.operators import chunking, citations, evaluation, feedback, index,
 from tessera.plans import queries as plan_queries
 from tessera.plans import questions
 from tessera.sources import queries as source_queries
-from tessera.streaming import windows
+from tessera.streaming import limiter, windows
 
-MODULES = (warehouse, tagging, retrieval, index, knowledge, feedback, evaluation, citations, chunking, source_queries, questions, plan_queries, windows)
+MODULES = (warehouse, tagging, retrieval, index, knowledge, feedback, evaluation, citations, chunking, source_queries, questions, plan_queries, windows, limiter)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for m in MODULES for k, v in m.ORACLES.items()}
