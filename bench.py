@@ -18,8 +18,9 @@ HEADLINE = [
     "record_triples", "graph_edges", "order_graph", "graph_bfs2", "feedback_stats", "training_triples", "daily_trend", "keyword_top20", "adjust_weights",
     "overlap_grade", "faithfulness_coverage", "metric_summary", "log_entries", "rate_window_60s", "classify_queries", "plan_specialists",
     "multi_hop", "corrective_retrieval", "answer_question", "evaluation_run", "graph_context", "graph_question_nodes", "experiment_means", "feedback_analysis", "visual_topk", "text_question_topk",
+    "corrective_batch", "log_files", "csv_files", "stream_limiter", "graph_reach", "embedding_cache_runs", "metric_summary",
 ]
-CORPUS = ["op1_toxicity", "op2_url_graph", "op3_sharding", "op4_topk_search", "op5_minhash_dedup", "op6_mixing", "op7_packing", "op8_suffix_dedup", "op9_line_dedup", "op10_fingerprints"]
+CORPUS = ["op1_toxicity", "op2_url_graph", "op3_sharding", "op4_topk_search", "op5_minhash_dedup", "op6_mixing", "op7_packing", "op8_suffix_dedup", "op9_line_dedup", "op10_fingerprints", "op11_prefix_trie", "op12_filter_audit", "op13_chat_format"]
 
 
 def main() -> None:

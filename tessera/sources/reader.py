@@ -57,8 +57,8 @@ def ingest(spark: SparkSession, path: str, extensions: list[str] | None = None,
         out.append(_row(one(code), "code", meta=F.create_map(F.lit("language"), F.col("language"), F.lit("line_count"), F.col("line_count").cast("string"))))
     if "structured" in kinds:
         data = of("structured").select(F.col("path").alias("source"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"), "ext")
-        for kind, names in (("json", ["json"]), ("yaml", ["yaml", "yml"])):
-            out.append(_row(one(tables.flatten_documents(data.where(F.col("ext").isin(names)), "source", "text", kind)), kind, error=F.col("error")))
+        for kind, own in (("json", ["json"]), ("yaml", ["yaml", "yml"])):
+            out.append(_row(one(tables.flatten_documents(data.where(F.col("ext").isin(own)), "source", "text", kind)), kind, error=F.col("error")))
     for kind, parser in binary.PARSERS.items():
         if kind in kinds:
             out.append(_row(binary.parsed(of(kind), parser), kind, meta=F.col("meta"), error=F.col("error")))
