@@ -533,3 +533,45 @@ def test_canonical_form_covers_all_of_unicode(spark):
     pairs += [("marks", str(i), "q" + m) for i, m in enumerate(("̣̇", "̣̇"))]
     got = spark.createDataFrame(pairs, "x string, form string, t string").select("x", fingerprint.canonical(F.col("t")).alias("c")).distinct().collect()
     assert len(got) == len({x for x, *_ in pairs})
+
+
+def test_what_toxicity_learns_by_plain_counts(spark):
+    """Lexicon, coefficients and scores again without the operator's code: counts of training texts, odds, and the optimum of the penalised likelihood."""
+    import math
+    import random
+
+    r = random.Random(11)
+    rows, labels = [], []
+    for i in range(300):
+        bad = r.random() < 0.3
+        said = fixtures.prose(r, 12) + (f". You {r.choice(['blargh', 'snorfel'])} are vux{r.randrange(3)}led. " if bad or r.random() < 0.05 else ". ") + fixtures.prose(r, 5)
+        rows.append(fixtures.row(i, said))
+        labels.append((i, 1, int(bad)))
+    rows += [fixtures.row(1000 + i, rows[i][1]) for i in range(0, 60, 3)] + [fixtures.row(2000, None)]
+    labels += [(1000 + i, 1, 1 - labels[i][2] if i % 2 else labels[i][2]) for i in range(0, 60, 3)] + [(2000, 1, 1), (3, 1, None)]
+    grammar = toxicity.learn(fixtures.frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    texts, votes = {x[0]: x[1] for x in rows}, defaultdict(list)
+    for i, _, t in labels:
+        if t is not None and zlib.crc32(str(i).encode()) % 5 and texts[i] is not None:
+            votes[texts[i]].append(t)
+    sample = {t: int(2 * sum(v) >= len(v)) for t, v in votes.items()}
+    seen = {0: Counter(), 1: Counter()}
+    for t, label in sample.items():
+        low = t.lower()
+        words = set(toxicity.WORD.findall(low))
+        seen[label].update({"w:" + w for w in words} | {"p:" + w[:n] for w in words for n in toxicity.STEMS if len(w) > n} | {"a:" + w for w in toxicity.aimed_words(low)})
+    positive = sum(sample.values())
+    want = {}
+    for e, t in seen[1].items():
+        odds = (t + 1) / (seen[0][e] + 2)
+        if t >= toxicity.LEAST_TOXIC and odds >= toxicity.LEAST_ODDS:
+            want[e] = min(max(math.log(odds * (len(sample) - positive) / positive), 0.1), 8.0)
+    assert want and grammar.lexicon.keys() == want.keys() and all(abs(grammar.lexicon[e] - v) < 1e-9 for e, v in want.items())
+    # At the optimum, residuals and penalty balance for every coefficient.
+    *w, bias = grammar.coefficients
+    x = [grammar.features(t) for t in sample]
+    p = [1 / (1 + math.exp(-(bias + sum(a * b for a, b in zip(w, f))))) for f in x]
+    slopes = [sum((y - q) * f[j] for f, y, q in zip(x, sample.values(), p)) - 0.05 * w[j] for j in range(3)] + [sum(y - q for y, q in zip(sample.values(), p)) - 0.0005 * bias]
+    assert max(map(abs, slopes)) < 1e-5
+    got = {s.doc_id: s.score for s in toxicity.score(fixtures.frame(spark, rows), grammar).collect()}
+    assert all(abs(got[i] - 1 / (1 + math.exp(-(bias + sum(a * b for a, b in zip(w, grammar.features(t))))))) < 1e-12 for i, t in texts.items())
