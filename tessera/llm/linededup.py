@@ -163,7 +163,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, least: int = 1, keep_first:
     A line's key is the line stripped of blanks, A-Z lower-cased. Keys of at least ``least``
     code points found in at least ``min_docs`` rows lose all their lines, or all but the
     first line of the row with the smallest doc_id if ``keep_first``. A null text counts as one empty
-    line and stays null; an empty line has an empty key and stays. Repeated rows count as
+    line and stays null; an empty line has an empty key and stays. Very long texts and lines are read whole; keys are told apart by
+    digests of 128 bits. Repeated rows count as
     documents of their own; a null doc_id is a row like any other. With ``keep_first``, rows that share the smallest
     doc_id all keep the line, and a key found in rows without an id only stays in all of them. An empty table gives an empty
     result. Columns besides doc_id and text pass through, whatever their names, but for n_lines and n_dropped, which are replaced.

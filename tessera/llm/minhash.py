@@ -245,7 +245,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     Rows are linked if 100 * |A & B| >= percent * |A | B| for their sets of ``width``-word
     shingles (fewer words: the whole sequence is one shingle). No words or a null text: an
-    empty set, linked with nothing. component_id is the least doc_id reachable. Rows that share a doc_id are one document and
+    empty set, linked with nothing. Very long texts are read whole. component_id is the least doc_id reachable. Equal sets, and shingles within sets,
+    are told by hashes of 128 and 64 bits. Rows that share a doc_id are one document and
     so linked; a null doc_id is linked with nothing, has a null component and is kept. An empty table
     gives an empty result; other columns are ignored.
     """

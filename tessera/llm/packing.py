@@ -181,7 +181,7 @@ def _pieces(path: str, capacity: int, end: int, names: list[str]):
 def pack(docs: DataFrame, capacity: int = CAPACITY, end: int = END, path: str | None = None, order: str = "doc_id") -> DataFrame:
     """Pack every document into sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, padded.
 
-    A null or empty text is its end id alone. Null ids are kept and come first;
+    A null or empty text is its end id alone; a very long one is cut into as many pieces as it needs. Null ids are kept and come first;
     documents with one id are packed each for itself, in a fixed order. An empty table
     gives an empty result; other columns are ignored. Bins are filled per class by the rank of a piece in its class,
     in the ``order`` of an integer column (null first), then of doc_id; all bins but the last of each class hold their fixed count.

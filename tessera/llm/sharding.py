@@ -48,7 +48,7 @@ def shard(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text")
     ``size`` is the UTF-8 length plus 16 (null text: 16) and ``text_crc32`` the unsigned
     CRC-32 of those bytes (null text: of none). A null key is placed as key 0. Rows with
     the same key share a shard and take successive slots; identical rows do too. An
-    empty table gives an empty result; other columns are ignored. Texts never leave the
+    empty table gives an empty result; other columns are ignored. Texts, however long, never leave the
     scan: what is shuffled has a few numbers a row.
     """
     body = F.coalesce(F.col(text), F.lit(""))

@@ -127,7 +127,7 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFr
 
     A null url, or one without ``://``, has an empty host and path. Where no rule fits, the
     verdict is block if distrust * (1 - trust) > threshold at the host, else allow; an empty host is allowed.
-    Null html has no links. Repeated rows are judged each and count each; an empty table gives an empty
+    Null html has no links; very long html is read whole. A null page_id is a page like any other. Repeated rows are judged each and count each; an empty table gives an empty
     result; other columns are ignored.
     """
     parts = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
