@@ -73,3 +73,20 @@ def test_batches_under_a_budget_are_halved():
     assert embedding.embedded(texts, model) == [([float(len(t))], None) for t in texts] and asked == [8, 4, 2, 2, 4, 2, 2]
     assert embedding.embedded(["bad"], model) == [(None, "0 vectors for 1 texts")]
     assert [len(x) for x in embedding.batches_of(["x" * 400] * 5 + ["y" * 9000, "z"], 4, 300)] == [2, 2, 1, 1, 1]
+
+
+@pytest.mark.parametrize("names", [200_000, 7])
+def test_mentions_of_many_names(spark, monkeypatch, names):
+    from tessera.operators import mentions
+
+    monkeypatch.setattr(mentions, "NAMES", names)
+    r = random.Random(8)
+    words = ["apex", "Mill", "a_b", "x", "co", "coop", "late one"]
+    entities = ["Apex Mill", "a b", "coop", "co", "COOP", "", None, "mill x", "late_one", "zzz", *[f"{r.choice(words)} {r.choice(words)}" for _ in range(20)]]
+    docs = [(i, " ".join(r.choices(words, k=r.randrange(12)))) for i in range(80)] + [(80, None), (81, ""), (None, "coop"), (3, "apex_mill")]
+    forms = lambda e: {e.lower(), e.lower().replace("_", " "), e.lower().replace(" ", "_")}
+    want = sorted((str(i), e) for i, t in docs for e in set(entities) - {"", None} if any(f in (t or "").lower() for f in forms(e)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    got = mentions.mentions_of(frame, spark.createDataFrame([(e,) for e in entities], "entity string")).collect()
+    assert sorted((str(x.doc_id), x.entity) for x in got) == want
+    assert mentions.mentions_of(frame, spark.createDataFrame([], "entity string")).count() == 0
