@@ -147,7 +147,7 @@ def _heads(length: int, gram: int):
     return run
 
 
-_ENTRY = pa.schema([*[(c, pa.int64()) for c in ("head", "n1", "n2", "k1", "k2", "lo")], ("suffix", pa.binary()), ("left", pa.binary())])
+_ENTRY = pa.schema([*[(c, pa.int64()) for c in ("head", "n1", "n2", "k1", "k2", "lo", "size")], ("suffix", pa.binary()), ("left", pa.binary())])
 
 
 def _entries(length: int, gram: int, again):
@@ -167,22 +167,21 @@ def _entries(length: int, gram: int, again):
             suffix = [texts[t][y:z] for t, _, y, z in where]
             # The length of the left part keeps entries apart that split the same bytes elsewhere.
             names = np.frombuffer(b"".join([digest(x + y, seed=len(x)) for x, y in zip(left, suffix, strict=True)]), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in (head.view(np.int64), names[:, 0], names[:, 1], k1[i], k2[i], lo)], pa.array(suffix, pa.binary()), pa.array(left, pa.binary())], schema=_ENTRY)
+            yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in (head.view(np.int64), names[:, 0], names[:, 1], k1[i], k2[i], lo, hi + length - lo)], pa.array(suffix, pa.binary()), pa.array(left, pa.binary())], schema=_ENTRY)
 
     return run
 
 
-_ENTRY_TYPES = ", ".join(f"{c} long" for c in _ENTRY.names[:6]) + ", suffix binary, left binary"
+_ENTRY_TYPES = ", ".join(f"{c} long" for c in _ENTRY.names[:7]) + ", suffix binary, left binary"
 
 
 def _distinct(entries: DataFrame) -> DataFrame:
     """Entries equal in all bytes as one.
 
-    ``n`` counts places, ``mine`` says whether the new batch has one, k1, k2, lo name one of the new batch, or any.
+    ``n`` counts places, ``mine`` says whether the new batch has one. k1, k2 and lo name the place of an entry that has one; else they say nothing.
     """
-    place = F.struct("k1", "k2", "lo")
-    one = entries.groupBy("head", "suffix", "left").agg(F.sum("n").alias("n"), F.max("mine").alias("mine"), F.coalesce(F.min(F.when(F.col("mine"), place)), F.min(place)).alias("p"), F.first("n1").alias("n1"), F.first("n2").alias("n2"))
-    return one.select("head", "suffix", "left", "n", "mine", "p.*", "n1", "n2")
+    least = [F.min(c).alias(c) for c in ("k1", "k2", "lo", "size", "n1", "n2")]  # numbers only, so that rows are hashed, not sorted
+    return entries.groupBy("head", "suffix", "left").agg(F.sum("n").alias("n"), F.max("mine").alias("mine"), *least)
 
 
 def _by_head(entries: DataFrame) -> DataFrame:
@@ -191,8 +190,8 @@ def _by_head(entries: DataFrame) -> DataFrame:
 
 
 def _sorted(entries: DataFrame) -> DataFrame:
-    """The array: entries in the order of head and bytes, cut into ranges, so that a crowded head may fill several."""
-    return entries.repartitionByRange("head", "suffix", "left").sortWithinPartitions("head", "suffix", "left")
+    """The array: entries in the order of head and bytes within each file. Files share them by all their bytes, so a crowded head lies in many."""
+    return entries.sortWithinPartitions("head", "suffix", "left")
 
 
 def _having(words) -> Column:
@@ -205,7 +204,7 @@ def _having(words) -> Column:
     return has("head")
 
 
-_LEVEL = ["head", "suffix", "left", "n", "k1", "k2", "lo", "n1", "n2"]
+_LEVEL = ["head", "suffix", "left", "n", "k1", "k2", "lo", "size", "n1", "n2"]
 
 
 class LogIndex:
@@ -425,13 +424,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, inde
     mine = stored(rows.mapInArrow(_entries(length, gram, again), _ENTRY_TYPES), "entries", "zstd")
     array = stored(_distinct(mine.withColumn("n", F.lit(1).cast("long")).withColumn("mine", F.lit(True))), "array", "zstd")
     before, own = (index.entries() if index else None), array
-    places = mine.select("n1", "n2", "k1", "k2", F.col("lo").alias("start"), (F.col("lo") + F.length("suffix") + F.length("left")).alias("end"))
+    places = mine.select("n1", "n2", "k1", "k2", F.col("lo").alias("start"), (F.col("lo") + F.col("size")).alias("end"))
     if before is not None:
         # The merge: entries of the levels whose head the batch may have too.
         known = before.where(_having(filter_of(own, own.count()))).withColumn("mine", F.lit(False)).select(*own.columns)
         array = stored(_distinct(own.unionByName(known)), "array", "zstd")
         # The only place of an entry of a level; entries with more places were repeated before.
-        places = places.union(known.where("n = 1").select("n1", "n2", "k1", "k2", F.col("lo").alias("start"), (F.col("lo") + F.length("suffix") + F.length("left")).alias("end")))
+        places = places.union(known.where("n = 1").select("n1", "n2", "k1", "k2", F.col("lo").alias("start"), (F.col("lo") + F.col("size")).alias("end")))
     # Entries met more than once are repeated as a whole, at each of their places.
     repeated = array.where(F.col("mine") & (F.col("n") > 1)).select("n1", "n2", "n")
     often = F.col("n") > HOT
