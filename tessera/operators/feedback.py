@@ -129,9 +129,10 @@ def learning_cycle(feedback: DataFrame, logs: DataFrame, comments: DataFrame) ->
 
 
 def sliding_requests(events: DataFrame, key: str, ts: str, seconds: int = 60) -> DataFrame:
-    """Requests of a key in the last ``seconds`` up to and with each row."""
+    """Requests of a key in the last ``seconds`` up to and with each row. Times are rounded to the nearest second, halves to the even one."""
     w = Window.partitionBy(key).orderBy("_s").rangeBetween(-seconds, 0)
-    return events.withColumn("_s", F.unix_timestamp(F.col(ts).cast("timestamp"))).withColumn("in_window", F.count("*").over(w)).drop("_s")
+    at = F.rint(F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).cast("long")
+    return events.withColumn("_s", at).withColumn("in_window", F.count("*").over(w)).drop("_s")
 
 
 def daily_budget(events: DataFrame, key: str, ts: str, most: int) -> DataFrame:
