@@ -48,12 +48,12 @@ def _flat(spark, d):
     """Every event as a nested value, its props inside a list; every seventh is cut short and does not parse."""
     whole = F.concat(F.lit('{"event": {"id": '), F.col("event_id").cast("string"), F.lit(', "type": "'), "event_type", F.lit('", "tags": ['), F.col("user_id").cast("string"), F.lit(", "), "props", F.lit('], "ok": true}}'))
     body = F.when(F.col("event_id") % 7 == 0, F.substring(whole, 1, 20)).otherwise(whole)
-    return tables.flatten_documents(table(spark, d, "events").select("event_id", body.alias("body")), "event_id", "body").select("event_id", "text", F.col("error").isNotNull().alias("failed"))
+    return tables.flatten_documents(texts(spark, d, "events", ("event_id", "event_type", "user_id", "props")).select("event_id", body.alias("body")), "event_id", "body").select("event_id", "text", F.col("error").isNotNull().alias("failed"))
 
 
 def _yaml(spark, d):
     text = F.concat(F.lit("part:\n  name: '"), "p_name", F.lit("'\n  size: "), F.col("p_size").cast("string"), F.lit("\n  seen:\n    - "), "p_brand", F.lit("\n    - key: "), F.col("p_partkey").cast("string"))
-    return tables.flatten_documents(table(spark, d, "part").select("p_partkey", text.alias("body")), "p_partkey", "body", "yaml").drop("error")
+    return tables.flatten_documents(texts(spark, d, "part", ("p_partkey", "p_name", "p_size", "p_brand")).select("p_partkey", text.alias("body")), "p_partkey", "body", "yaml").drop("error")
 
 
 # --- files made of rows, read as files ------------------------------------------------------
@@ -88,7 +88,7 @@ def _docx(spark, d):
         cells = "".join(f"<w:tc>{p(t)}</w:tc>" for t in (str(key), segment, ""))
         return {"word/document.xml": f"<w:document {w}><w:body>{p(name)}{p('')}<w:tbl><w:tr>{cells}</w:tr></w:tbl></w:body></w:document>"}
 
-    files = table(spark, d, "customer").select(_file("docx", "c_custkey"), _zipped(body, "c_custkey", "c_name", "c_mktsegment"))
+    files = texts(spark, d, "customer", ("c_custkey", "c_name", "c_mktsegment")).select(_file("docx", "c_custkey"), _zipped(body, "c_custkey", "c_name", "c_mktsegment"))
     return binary.parsed(files, binary.docx_parts).select("source", "text", F.col("meta")["paragraph_count"].alias("paragraphs"), "error")
 
 
@@ -102,7 +102,7 @@ def _pptx(spark, d):
         notes = {"ppt/notesSlides/notesSlide2.xml": slide(brand, "<p:ph type='body'/>")} if key % 2 else {}
         return {"ppt/slides/slide10.xml": slide(str(key)), "ppt/slides/slide2.xml": slide(name), **notes}
 
-    files = table(spark, d, "part").select(_file("pptx", "p_partkey"), _zipped(body, "p_partkey", "p_name", "p_brand"))
+    files = texts(spark, d, "part", ("p_partkey", "p_name", "p_brand")).select(_file("pptx", "p_partkey"), _zipped(body, "p_partkey", "p_name", "p_brand"))
     m = F.col("meta")
     return binary.parsed(files, binary.pptx_parts).select("source", F.col("part").cast("long").alias("part"), "text", m["slide_number"].alias("slide"), m["has_notes"].alias("notes"))
 
@@ -119,7 +119,7 @@ def _xlsx(spark, d):
             "xl/worksheets/a.xml": f"<worksheet {s}><sheetData><row><c r='A1' t='s'><v>0</v></c><c r='B1' t='s'><v>1</v></c></row><row><c r='A2' t='s'><v>2</v></c><c r='B2'><v>{balance}</v></c></row></sheetData></worksheet>",
         }
 
-    rows = table(spark, d, "supplier").select("s_suppkey", "s_name", F.col("s_nationkey").cast("long").alias("s_nationkey"))
+    rows = texts(spark, d, "supplier", ("s_suppkey", "s_name", "s_nationkey")).select("s_suppkey", "s_name", F.col("s_nationkey").cast("long").alias("s_nationkey"))
     files = rows.select(_file("xlsx", "s_suppkey"), _zipped(body, "s_suppkey", "s_name", "s_nationkey"))
     m = F.col("meta")
     return binary.parsed(files, binary.xlsx_parts).select("source", "text", m["sheet_name"].alias("sheet"), m["row_count"].alias("rows"), m["column_count"].alias("columns"))
@@ -129,7 +129,7 @@ def _broken(spark, d):
     """Customers whose files are no archives in every third case: a row each, with text or with an error."""
     w = "xmlns:w='http://schemas.openxmlformats.org/wordprocessingml/2006/main'"
     made = _zipped(lambda key: {"word/document.xml": f"<w:document {w}><w:body><w:p><w:r><w:t>{key}</w:t></w:r></w:p></w:body></w:document>"}, "c_custkey")
-    files = table(spark, d, "customer").select(_file("docx", "c_custkey"), F.when(F.col("c_custkey") % 3 == 0, F.lit(b"no archive")).otherwise(made).alias("content"))
+    files = texts(spark, d, "customer", ("c_custkey",)).select(_file("docx", "c_custkey"), F.when(F.col("c_custkey") % 3 == 0, F.lit(b"no archive")).otherwise(made).alias("content"))
     return binary.parsed(files, binary.docx_parts).select("source", "text", F.col("error").isNotNull().alias("failed"))
 
 

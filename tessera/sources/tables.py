@@ -81,7 +81,13 @@ def flatten_documents(docs: DataFrame, key: str, text: str, kind: str = "json")
         if kind == "yaml":
             import yaml
 
-            parse = yaml.safe_load
+            quick = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
+
+            def parse(t: str):
+                try:
+                    return yaml.load(t, quick)
+                except yaml.YAMLError:  # what libyaml refuses is for the slower parser to judge
+                    return yaml.safe_load(t)
         else:
             parse = json.loads
 
