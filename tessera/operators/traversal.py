@@ -32,8 +32,9 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     spark = edges.sparkSession
     root = f"{work_dir(spark)}/reach-{uuid.uuid4().hex}"
     ends = edges.where(F.col("subject").isNotNull() & F.col("object").isNotNull())
-    both = ends.select(F.col("subject").alias("a"), F.col("object").alias("b")).union(ends.select("object", "subject")).distinct()
-    both = _kept(both, f"{root}/edges")
+    # An edge that is there twice finds the same nodes, which are made distinct; so the edges are not.
+    kept = _kept(ends.select(F.col("subject").alias("a"), F.col("object").alias("b")), f"{root}/edges")
+    both = kept.union(kept.select("b", "a"))
     hubs = _kept(both.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= HUB).select("a"), f"{root}/hubs")  # as many as edges / HUB at most
     n_hubs, nodes = hubs.count(), both.select("a").distinct().count()
     front = _kept(seeds.where(F.col("node").isNotNull()).select("node").distinct(), f"{root}/nodes-0")
