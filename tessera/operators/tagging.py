@@ -77,7 +77,7 @@ def _tag_query(spark: SparkSession, d: str) -> DataFrame:
 
 def _tagged_records(spark: SparkSession, d: str) -> DataFrame:
     """Tags of sentences built from the star schema, which hold every cue."""
-    o = table(spark, d, "orders")
+    o = texts(spark, d, "orders", ("o_orderkey", "o_orderdate", "o_orderstatus"))
     text = F.concat(F.lit("Order number PO-"), F.col("o_orderkey").cast("string"), F.lit(" total quantity invoice. Delivery and shipment on "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" by Apex Materials; "), F.when(F.col("o_orderstatus") == "P", "URGENT outage, ESCALATION").when(F.col("o_orderstatus") == "F", "routine, no action required").otherwise("error in warehouse"))
     out = tag_documents(o.select("o_orderkey", text.alias("text")))
     return out.select("o_orderkey", "type", "category", "priority", F.concat_ws("|", "dates").alias("dates"), F.concat_ws("|", "entities").alias("entities"))
