@@ -33,7 +33,7 @@ def _graph(spark, d):
     """The edges of the records, kept in the index of the documents."""
     kept = index.documents_index(spark, d)
     if not kept.has("edges"):
-        triples = knowledge.record_triples(knowledge._records(spark, d))
+        triples = batch._kept(knowledge.record_triples(knowledge._records(spark, d)))  # parsed once, for nodes and edges
         order = ["doc_id", "line", "field"]
         kept.save_graph(knowledge.nodes_of(triples, order), knowledge.edges_of(triples, order))
     return kept.graph()[1]
