@@ -154,30 +154,36 @@ def _folder(spark, d):
     return found.select("file_type", F.col("part").cast("long").alias("part"), "text", F.col("error").isNotNull().alias("failed"))
 
 
-def _written(rows, key: str, order: list[str]) -> str:
-    """Lines of a column ``value`` as one text file for each ``key``; the folder."""
+#: Lines of a part of a written file, about.
+PART_ROWS = 500_000
+
+
+def _written(rows, key: str, order: list[str], n: int) -> str:
+    """About ``n`` lines of a column ``value`` as one text for each ``key``, in parts whose numbers follow the order; the folder. No task sorts or writes a whole text."""
     spark = rows.sparkSession
     root = f"{work_dir(spark)}/files-{uuid.uuid4().hex}"
-    rows.repartition(key).sortWithinPartitions(key, *order).select(key, "value").write.partitionBy(key).text(root)
+    pieces = max(spark.sparkContext.defaultParallelism, -(-n // PART_ROWS))
+    rows.repartitionByRange(pieces, key, *order).sortWithinPartitions(key, *order).select(key, "value").write.partitionBy(key).text(root)
     return root
 
 
 def _log_files(spark, d):
-    """All events as log files, one for each type, an entry over three lines; read back in byte ranges."""
+    """All events as logs, one for each type, an entry over three lines; written in parts and read back in byte ranges."""
+    e = table(spark, d, "events")
     level = F.element_at(F.array(*[F.lit(x) for x in ("ERROR", "info", "WARNING")]), (F.col("event_id") % 3 + 1).cast("int"))
     value = F.concat(F.lit("[2024-01-12 08:"), F.lpad((F.col("event_id") % 60).cast("string"), 2, "0"), F.lit("] "), level, F.lit(" | PO-"), (F.col("event_id") + 1000).cast("string"), F.lit(" | user "), F.col("user_id").cast("string"), F.lit("\n  at "), "props", F.lit("\n"))
-    root = _written(table(spark, d, "events").select("event_type", "event_id", value.alias("value")), "event_type", ["event_id"])
-    log = splits.text_records(spark, root)["log"]
+    root = _written(e.select("event_type", "event_id", value.alias("value")), "event_type", ["event_id"], e.count())
+    log = splits.text_records(spark, root, parts=True)["log"]
     return log.select(F.regexp_extract("source", "event_type=([^/]*)", 1).alias("event_type"), F.col("entry").cast("long").alias("entry"), "timestamp", "level", "entry_id", "message")
 
 
 def _csv_files(spark, d):
-    """All orders as CSV files, one for each status, with values over two lines; read back in byte ranges."""
+    """All orders as CSV, a text for each status, with values over two lines; written in parts and read back in byte ranges."""
     o = table(spark, d, "orders").select("o_orderstatus", "o_orderkey", "o_orderpriority")
     row = F.concat(F.col("o_orderkey").cast("string"), F.lit(',"say ""'), "o_orderpriority", F.lit('"",\nand go",'))
     rows = o.select("o_orderstatus", "o_orderkey", row.alias("value"))
     heads = o.select("o_orderstatus").distinct().select("o_orderstatus", F.lit(-1).cast("long").alias("o_orderkey"), F.lit("key,note,empty").alias("value"))
-    found = splits.csv_records(spark, _written(rows.unionByName(heads), "o_orderstatus", ["o_orderkey"]), "*.txt")
+    found = splits.csv_records(spark, _written(rows.unionByName(heads), "o_orderstatus", ["o_orderkey"], o.count()), "*.txt", parts=True)
     status = F.regexp_extract("source", "o_orderstatus=([^/]*)", 1)
     return found.select(status.alias("o_orderstatus"), "row", "total_rows", splits.named_values(F.col("names"), F.col("fields")).alias("text"))
 

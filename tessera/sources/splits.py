@@ -2,7 +2,7 @@
 
 Spark cuts a text file into blocks and deals whole lines to the block in which they begin. A record may begin in one block and end
 in another, so the files are read twice. The first pass tells of each block how many records begin in it, what comes before the first of them,
-how the last begins, and, for CSV, whether a quoted value is open at its end for either state at its start. A prefix scan
+the first if it ends there, how the last begins, and, for CSV, whether a quoted value is open at its end for either state at its start. A prefix scan
 over these borders, one row a block, gives each block its first number and its state; the second pass reads the records
 that lie inside a block. No file passes through one task and only the pieces at borders move.
 """
@@ -22,22 +22,31 @@ from pyspark.sql import functions as F
 from tessera.session import work_dir
 from tessera.sources import text
 
+#: A block of a part file is numbered by the part and its first byte in it; parts are below so many bytes.
+PART_BYTES = 1 << 42
 #: Blocks that begin inside a quoted value and may be broadcast; beyond it lines are dealt anew by block.
 BROADCAST_BLOCKS = 100_000
-_SHAPE = "source string, block long, inside boolean, n long, head string, tail string, ends boolean"
+_SHAPE = "source string, block long, inside boolean, n long, head string, first string, tail string, ends boolean"
 _RECORD = "source string, block long, k long, text string"
 
 # A line that begins outside a quoted value and ends inside one; the rest of a quoted value up to its end.
 _OPENED = re.compile(r'(?>(?:"(?>[^"]+|"")*+"[^,]*+|[^",][^,]*+|),)*+"(?>[^"]+|"")*+\Z')
 _QUOTED = re.compile(r'(?>[^"]+|"")*+')
 _SKIPPED = re.compile(r"[^,]*+,")
+_PART = r"/part-(\d+)[^/]*$"
 
 
-def lines(spark: SparkSession, path: str, glob: str = "*", recursive: bool = True) -> DataFrame:
-    """(source, block, at, line) of the files under ``path``; ``at`` sorts the lines of a block. Broken encodings are replaced."""
+def lines(spark: SparkSession, path: str, glob: str = "*", recursive: bool = True, parts: bool = False) -> DataFrame:
+    """(source, block, at, line) of the files under ``path``; ``at`` sorts the lines of a block. Broken encodings are replaced.
+
+    With ``parts`` a folder of part files, as Spark writes them, is one file: its parts follow each other by their numbers, and the folder is the source.
+    """
     rows = spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", glob).text(path)
-    source = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/")
-    return rows.select(source.alias("source"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.make_valid_utf8("value").alias("line"))
+    source, block = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/"), F.col("_metadata.file_block_start")
+    if parts:
+        block = F.regexp_extract(source, _PART, 1).cast("long") * PART_BYTES + block
+        source = F.regexp_replace(source, "/[^/]*$", "")
+    return rows.select(source.alias("source"), block.alias("block"), F.monotonically_increasing_id().alias("at"), F.make_valid_utf8("value").alias("line"))
 
 
 def quoted_after(line: str, inside: bool) -> bool:
@@ -82,16 +91,18 @@ class _Quoted:
 
 
 def _borders(kind) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A row for each block and state at its start: records that begin, the piece before the first, the last one, the state at the end."""
+    """A row for each block and state at its start: records that begin, the piece before the first, the first unless it is the last, the last one, the state at the end."""
 
     class State:
         def __init__(self, inside: bool):
             self.start = self.inside = inside
-            self.n, self.head, self.tail = 0, None, None
+            self.n, self.head, self.first, self.tail = 0, None, None, None
 
         def take(self, line: str, marked: bool) -> None:
             begins = kind.begins(line, marked, self.inside)
             if begins:
+                if self.n == 1:
+                    self.first = self.tail
                 self.n, self.tail = self.n + 1, [line]
             elif begins is not None:
                 if self.n:
@@ -108,13 +119,13 @@ def _borders(kind) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
 
         def close() -> None:
             join = lambda x: None if x is None else "\n".join(x)
-            done.extend((*block, s.start, s.n, join(s.head), join(s.tail), s.inside) for s in states)
+            done.extend((*block, s.start, s.n, join(s.head), join(s.first), join(s.tail), s.inside) for s in states)
 
         def out() -> pa.RecordBatch:
-            kinds = [pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.string(), pa.string(), pa.bool_()]
+            kinds = [pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_()]
             rows = [pa.array([r[i] for r in done], k) for i, k in enumerate(kinds)]
             done.clear()
-            return pa.RecordBatch.from_arrays(rows, names=["source", "block", "inside", "n", "head", "tail", "ends"])
+            return pa.RecordBatch.from_arrays(rows, names=["source", "block", "inside", "n", "head", "first", "tail", "ends"])
 
         for b in batches:
             for source, at, line, marked in zip(*(c.to_pylist() for c in b.columns[:4]), strict=True):
@@ -191,6 +202,12 @@ def records(found: DataFrame, marked: Column | None = None) -> DataFrame:
     number 0. Without it the lines are CSV: a record begins at each line outside quoted values that is not blank, from 1.
     ``block`` is where the record begins. Lines are joined by line feeds. No lines, no records.
     """
+    whole, joined, _ = _parts(found, marked)
+    return whole.unionByName(joined)
+
+
+def _parts(found: DataFrame, marked: Column | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The records that end in the block in which they begin before its last, the other records, and the borders."""
     kind = _Quoted if marked is None else _Marked
     rows = found.select("source", "block", "line", (F.lit(False) if marked is None else F.coalesce(marked, F.lit(False))).alias("marked"), "at")
     borders = _kept(_scanned(_kept(rows.select("source", "block", "line", "marked").mapInArrow(_borders(kind), _SHAPE))))
@@ -208,7 +225,7 @@ def records(found: DataFrame, marked: Column | None = None) -> DataFrame:
     edges = borders.select("source", "block", "before", F.explode(ends).alias("e")).where(F.col("e.piece").isNotNull())
     edges = edges.groupBy("source", (F.col("before") + F.col("e.k")).alias("number")).agg(F.array_sort(F.collect_list(F.struct("block", "e.k", "e.piece"))).alias("p"))
     joined = edges.select("source", "number", F.col("p")[0]["block"].alias("block"), F.array_join(F.transform("p", lambda x: x["piece"]), "\n").alias("text"))
-    return whole.unionByName(joined)
+    return whole, joined, borders
 
 
 def renumbered(found: DataFrame) -> DataFrame:
@@ -227,31 +244,33 @@ def _heads(n: int):
         now, k = None, 0
         for b in batches:
             rows = []
-            for source, line in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                now, k = (now, k + 1) if source == now else (source, 0)
+            for source, block, line in zip(*(c.to_pylist() for c in b.columns[:3]), strict=True):
+                now, k = (now, k + 1) if (source, block) == now else ((source, block), 0)
                 if k < n:
-                    rows.append((source, k, line))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())], names=["source", "k", "line"])
+                    rows.append((source, block, k, line))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string()))], names=["source", "block", "k", "line"])
 
     return run
 
 
 def formats(found: DataFrame) -> DataFrame:
     """(source, f): log, email or plain, from the first lines of each file; in ``mbox`` whether its messages begin at From lines."""
-    heads = found.where("block = 0").select("source", "line").mapInArrow(_heads(text.SNIFFED), "source string, k long, line string")
-    first = heads.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "\n").alias("top"))
+    # Only the first bytes of a file or a part can be those of the source; of parts, the least.
+    heads = found.where(F.col("block") % PART_BYTES == 0).select("source", "block", "line").mapInArrow(_heads(text.SNIFFED), "source string, block long, k long, line string")
+    tops = heads.groupBy("source", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "\n").alias("top"))
+    first = tops.groupBy("source").agg(F.min_by("top", "block").alias("top"))
     place = F.struct("block", "at")
     opened = found.groupBy("source").agg(F.count_if(F.col("line").rlike(text.MBOX)).alias("n"), F.min(F.when(F.col("line").rlike(text.MBOX), place)).alias("first"), F.min(place).alias("least"))
     mbox = (F.col("n") >= 2) | ((F.col("n") == 1) & (F.col("first") > F.col("least")))
     return first.select("source", text.sniff(F.col("top")).alias("f")).join(opened.select("source", mbox.alias("mbox")), "source")
 
 
-def text_records(spark: SparkSession, path: str, glob: str = "*.txt", recursive: bool = True) -> dict[str, DataFrame]:
+def text_records(spark: SparkSession, path: str, glob: str = "*.txt", recursive: bool = True, parts: bool = False) -> dict[str, DataFrame]:
     """Log entries, messages and paragraphs of the text files under ``path``, each file read by its sniffed kind: log, email and plain.
 
     The columns are those of ``text.log_entries``, ``text.emails`` and ``text.plain_sections``, with ``source`` as the key.
     """
-    found = lines(spark, path, glob, recursive)
+    found = lines(spark, path, glob, recursive, parts)
     kinds = _kept(formats(found))
     of = lambda which: found.join(F.broadcast(kinds.where(which).select("source")), "source", "left_semi") if kinds.count() <= BROADCAST_BLOCKS else _ordered(found.join(kinds.where(which).select("source"), "source", "left_semi"))
     strip = F.regexp_replace("text", r"^\s+|\s+$", "")
@@ -275,16 +294,18 @@ def _fields(record: str) -> Column:
     return split(record)
 
 
-def csv_records(spark: SparkSession, path: str, glob: str = "*.csv", recursive: bool = True) -> DataFrame:
+def csv_records(spark: SparkSession, path: str, glob: str = "*.csv", recursive: bool = True, parts: bool = False) -> DataFrame:
     """(source, row, total_rows, names, fields) of the rows of CSV files, each under its own header.
 
     Values may hold commas, quotes and line feeds in quotes, as the csv module reads them, but for ``\\r\\n`` within a value, which becomes a line feed, and
     a line end at the end of a value that is never closed. Blank lines are no rows; a file of a header only has none.
     """
-    found = records(lines(spark, path, glob, recursive)).select("source", (F.col("number") - 2).alias("row"), _fields("text").alias("fields"))
-    header = found.where("row = -1").select("source", F.col("fields").alias("names"))
-    rows = found.where("row >= 0")
-    totals = rows.groupBy("source").agg(F.count("*").alias("total_rows"))
+    whole, joined, borders = _parts(lines(spark, path, glob, recursive, parts), None)
+    # The header and the number of rows come from the borders, so that records are read and parsed once.
+    first = borders.where("before = 0 AND n > 1").select("source", F.col("first").alias("text")).unionByName(joined.where("number = 1").select("source", "text"))
+    header = first.select("source", _fields("text").alias("names"))
+    totals = borders.groupBy("source").agg((F.sum("n") - 1).alias("total_rows"))
+    rows = whole.unionByName(joined).where("number > 1").select("source", (F.col("number") - 2).alias("row"), _fields("text").alias("fields"))
     return rows.join(header, "source").join(totals, "source").select("source", "row", "total_rows", "names", "fields")
 
 
